@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, exact, langid, mixing, pii, simhash, toolcalls
+from . import ann, bpe, exact, htmltext, langid, mixing, pii, repeats, simhash, toolcalls
 from .common import read
 
 
@@ -27,6 +27,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
@@ -44,7 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_toolcalls, op4_bpe, op7_neighbours, op8_pii, op9_exact, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_toolcalls, op4_bpe, op5_repeats, op6_html, op7_neighbours, op8_pii, op9_exact, op10_mixing)}
 
 _EXACT = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),
