@@ -31,9 +31,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, text_or_empty
+from .common import checkpoint, free_shuffles, text_or_empty
 
 LENGTH = 100
 K = 32
@@ -161,7 +161,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of the given contexts: window hash, doc, and (mark, start)."""
     for b in batches:
         parts, held = [], 0
-        for doc, text, ats in zip(*b.columns, strict=True):
+        for doc, text, ats in zip(*b.columns[:3], strict=True):
             at = np.unique(ats.values.to_numpy(zero_copy_only=False))
             raw, mark, start, count = _bytes(text.as_py()), at >> 43, (at >> 7) & ((1 << 36) - 1), at & 127
             every = np.repeat(start, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
@@ -194,19 +194,24 @@ def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(doc[repeat]), pa.array(at[repeat])], ["doc", "at"])
 
 
-def _keys(id_col: str, text: Column) -> list[Column]:
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, doc, mark, text: doc and mark stand for the document in all that follows."""
+    text = text_or_empty(text_col)
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    return [doc.alias("doc"), F.shiftrightunsigned(F.xxhash64(text), 44).alias("mark")]
+    return docs.select(F.col(id_col).alias("id"), doc.alias("doc"), F.shiftrightunsigned(F.xxhash64(text), 44).alias("mark"), text.alias("text"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, at: the runs of windows to remove, packed as mark << 43 | start << 7 | count."""
-    text = text_or_empty(text_col)
-    keyed = docs.select(*_keys(id_col, text), text.alias("text"))
-    found = keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(_contexts, "anchor long, content long, doc long, at long")
+def repeats(rows: DataFrame) -> DataFrame:
+    """doc, at: the runs of windows to remove, packed as mark << 43 | start << 7 | count.
+
+    ``rows`` comes from ``keyed``.  Texts are dealt by (doc, mark) with all their columns, just
+    as ``remove_repeats`` needs them again, so that Spark reuses that one exchange.
+    """
+    found = rows.select("doc", "mark", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(_contexts, "anchor long, content long, doc long, at long")
     found = checkpoint(found.repartition("anchor").sortWithinPartitions("anchor", "content", "doc", "at").mapInArrow(_sorted_contexts, "kind byte, doc long, at long"))
+    free_shuffles(rows.sparkSession)
     open_ = found.where("kind = 1").groupBy("doc", F.shiftright("at", 43).alias("mark")).agg(F.collect_list("at").alias("ats"))
-    windows = keyed.dropDuplicates(["doc", "mark"]).join(open_, ["doc", "mark"]).select("doc", "text", "ats").mapInArrow(_windows, "window long, doc long, at long")
+    windows = rows.join(open_, ["doc", "mark"]).select("doc", "text", "ats", "id").mapInArrow(_windows, "window long, doc long, at long")
     windows = windows.repartition("window").sortWithinPartitions("window", "doc", "at").mapInArrow(_sorted_windows, "doc long, at long")
     return found.where("kind = 0").select("doc", "at").unionByName(windows)
 
@@ -226,8 +231,8 @@ def _cut(text: str, ats) -> tuple[np.ndarray, int, bytes]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256 [, kept (bytes)]."""
-    text = text_or_empty(text_col)
-    ranges = repeats(docs, id_col, text_col).groupBy("doc", F.shiftright("at", 43).alias("mark")).agg(F.collect_list("at").alias("ats"))
+    rows = keyed(docs, id_col, text_col)
+    ranges = repeats(rows).groupBy("doc", F.shiftright("at", 43).alias("mark")).agg(F.collect_list("at").alias("ats"))
     kept = ",kept:binary" if keep_bytes else ""
 
     @F.pandas_udf(f"struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string{kept}>")
@@ -238,5 +243,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append((len(covered), len(covered) - len(rest), spans, hashlib.sha256(rest).hexdigest()) + ((rest,) if keep_bytes else ()))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes)
 
-    rows = docs.select(F.col(id_col).alias(id_col), *_keys(id_col, text), text.alias("__text"))
-    return rows.join(ranges, ["doc", "mark"], "left").select(id_col, run("__text", "ats").alias("r")).select(id_col, "r.*")
+    return rows.join(ranges, ["doc", "mark"], "left").select(F.col("id").alias(id_col), run("text", "ats").alias("r")).select(id_col, "r.*")
