@@ -115,7 +115,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, fingerprint (16 hex digits), component_id, text_hash."""
     text = text_or_empty(text_col)
     rows = checkpoint(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.pandas_udf(_fingerprints, "long")(text).alias("fp")))
-    fps = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("low")))
+    # each fingerprint becomes 64 keys, so the few bytes of this table must not end in few tasks
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("low")).repartition(parts, "fp"))
     roots = connected_components(link_fingerprints(fps, bucket), "u", "v").withColumnRenamed("node", "fp")
     nodes = fps.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
