@@ -1,0 +1,283 @@
+"""The training-data operators on small tables, against brute force."""
+
+import base64
+import hashlib
+import re
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from boxloom.llm import ann, bpe, components, exact, htmltext, langid, mixing, pii, queries, repeats, simhash, toolcalls
+
+from ..conftest import DATA
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+P = "the quick brown fox jumps over the lazy dog and runs far away from the loud hounds near the old river bank at dawn "
+ODD = [
+    (0, P * 3, "en", "a", 1), (1, P * 3, "en", "a", 1), (2, None, None, None, None), (3, "", "en", "b", 0), (4, " \t\n", "de", "b", 3),
+    (5, P * 3 + "tail", "en", None, 1), (6, "é" * 300, "fr", "c", 300), (7, "one", "en", "c", 3), (7, "one", "en", "c", 3), (7, "two words", "en", "c", 9),
+    (None, P, "en", "a", 1), (9, "x y z " * 5000, "en", "c", 1), (10, "ONE", "en", "a", 3), (11, "mail a.b@c.de, +49 (30) 123456-78, 1.2.3.4", "de", "a", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet")
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def brute_exact(data):
+    groups = defaultdict(list)
+    for i, t, *_ in data:
+        groups[re.sub("[\x20\x09-\x0d]", "", t or "")].append((-len(t or ""), i is None, -i if i is None else i or 0, i))
+    out = []
+    for v in groups.values():
+        keep = min(v, key=lambda x: x[:3])
+        out += [(i, keep[3], len(v), i == keep[3] and n == keep[0]) for n, _, _, i in v]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("digest", [exact.sha256, lambda c: F.substring(exact.sha256(c), 1, 1)])
+def test_exact(odd, digest):
+    data = [r for r in ODD if r[0] is not None]
+    got = exact.exact_duplicates(odd.where("doc_id IS NOT NULL"), digest=digest).select("doc_id", "keep_id", "group_size", "kept")
+    assert rows(got) == brute_exact(data)
+
+
+def test_exact_null_id_and_empty(odd, none):
+    assert exact.exact_duplicates(odd).count() == len(ODD)
+    assert exact.exact_duplicates(none).count() == exact.drop_copies(none).count() == 0
+    assert exact.drop_copies(odd.withColumn("digest", F.lit(1))).columns == [*odd.columns, "digest"]
+
+
+def by_bits(fps):
+    low = {f: f for f in fps}
+
+    def find(f):
+        while low[f] != f:
+            f = low[f]
+        return f
+
+    for a in fps:
+        for b in fps:
+            if bin((a ^ b) & (2**64 - 1)).count("1") <= 2:
+                x, y = find(a), find(b)
+                low[max(x, y)] = min(x, y)
+    return {f: find(f) for f in fps}
+
+
+def test_fingerprint():
+    for t in ("", "A b", "a B c d", "a b\nc\x1c d e"):
+        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        s = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+        assert simhash.fingerprint(t) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("bucket", [2, 512])
+def test_links_within_two_bits(spark, bucket):
+    rng = np.random.default_rng(1)
+    base = rng.integers(-(2**63), 2**63, 6)
+    fps = {int(b) for b in base}
+    for b in base:
+        for _ in range(40):
+            f = int(b)
+            for k in rng.integers(0, 64, rng.integers(1, 5)):
+                f ^= -(1 << 63) if k == 63 else 1 << int(k)
+            fps.add(f)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = {f: f for f in fps} | {r.node: r.root for r in components.connected_components(simhash.link_fingerprints(df, bucket), "u", "v").collect()}
+    assert got == by_bits(sorted(fps))
+
+
+def test_near_duplicates(odd, none):
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(odd).collect()}
+    assert got[(1, f"{simhash.fingerprint(P * 3):016x}")] == 0 and got[(3, "0" * 16)] == got[(2, "0" * 16)] == 2
+    assert simhash.near_duplicates(none).count() == simhash.drop_near_copies(none).count() == 0
+    assert 1 not in {r.doc_id for r in simhash.drop_near_copies(odd).collect()}
+
+
+def test_bpe(odd, docs, none):
+    with open(public_tokenizers.path(bpe.RANKS), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for data in (odd, docs.select("doc_id", "text")):
+        got = rows(bpe.round_trip(data))
+        want = []
+        for r in data.collect():
+            ids = np.array(model.encode_ordinary(r.text or ""), "<u4")
+            want.append((r.doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
+        assert got == sorted(want, key=repr)
+    both = bpe.decode_text(bpe.encode(odd, out="e", offsets=True).select("text", "e.ids", "e.offsets"), "ids")
+    for r in both.collect():
+        assert r.decoded == (r.text or "") and len(r.ids) == len(r.offsets) and list(r.offsets) == sorted(r.offsets)
+    assert bpe.round_trip(none).count() == 0
+
+
+def test_language(docs, odd, none):
+    got = langid.identify(docs, langid.train(docs.where(~langid.held_out()))).where(langid.held_out())
+    right = got.agg(F.avg((F.col("lang") == F.col("lang_id.lang_pred")).cast("double"))).first()[0]
+    assert right > 0.9
+    pred = {r.doc_id: r.lang_id for r in langid.identify(odd, langid.train(odd)).collect()}
+    assert pred[2].lang_pred == pred[4].lang_pred == "und" and pred[2].rejected
+    assert langid.identify(none, langid.train(none)).count() == 0
+
+
+def test_mixing(odd, none, docs):
+    got = mixing.taken(odd).collect()
+    assert len(got) == len(ODD) and all(0 <= r.taken <= 3 * r.size for r in got)
+    assert abs(sum(r.taken for r in got) - sum(r.size for r in got)) <= 0.05 * sum(r.size for r in got)
+    assert mixing.taken(none).count() == mixing.mixed(none).count() == 0
+    assert mixing.mixed(docs).columns == docs.columns
+    pieces = mixing.mix(docs)[1].collect()
+    by_slot = sorted((p.slot, p.place) for p in pieces)
+    assert len({s for s, _ in by_slot}) == len(set(by_slot))  # one source in a slot
+
+
+def test_repeats(odd, docs, none):
+    data = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.select(*odd.columns).withColumn("doc_id", F.col("doc_id") + 100))
+    got = {r.doc_id: r for r in repeats.remove_repeats(data, keep_bytes=True).collect()}
+    seen = set()
+    for d in sorted(data.collect(), key=lambda r: r.doc_id):
+        b = (d.text or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 99):
+            w = b[k : k + 100]
+            if w in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(w)
+        rest = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        r = got[d.doc_id]
+        assert (bytes(r.kept), r.n_bytes, r.n_spans) == (rest, len(b), len(re.findall(b"\1+", bytes(gone))))
+    assert repeats.remove_repeats(none).count() == 0
+
+
+def test_repeats_over_segments(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    text = "".join(map(chr, rng.integers(97, 123, 5000))) + "ab" * 400
+    whole = repeats.contexts(repeats._bytes(text))
+    monkeypatch.setattr(repeats, "SEGMENT", 1 << 10)
+    cut = repeats.contexts(repeats._bytes(text))
+    assert whole[3].sum() == cut[3].sum() == len(text) - 99
+
+
+def test_html():
+    model = htmltext.train()
+    page = '<html><head><title>T</title></head><body><nav><ul><li><a href="/">Home</a></ul></nav><article class="x>y"><h1>A  &amp; B</h1><p>One<br>two.<p>Three<script>"</p>"</script> four.</article><div class="sidebar">Read more</div><footer>&copy; us</footer>'
+    assert model.text(page) == "A & B\nOne two.\nThree four."
+    assert model.text("") == ""
+
+
+def test_html_table(spark, odd):
+    got = htmltext.main_text(odd, "text", "main").collect()
+    assert len(got) == len(ODD) and all(r.main is not None for r in got)
+
+
+@pytest.mark.parametrize("factor,least", [(1.0, 1.0), (ann.FACTOR, 0.9)])
+def test_neighbours(spark, factor, least):
+    data = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    got = ann.nearest(data, F.col("id") % 20 == 0, factor=factor, shard=150, block=10, leaf=16).collect()
+    x = {r.vec_id: np.array(r.embedding, float) for r in data.collect()}
+    hits = 0
+    for q in (i for i in x if i % 20 == 0):
+        want = sorted(((-float(x[q] @ v), i) for i, v in x.items() if i != q))[:20]
+        hits += len({i for _, i in want} & {r.vec_id for r in got if r.query_id == q})
+    assert hits >= least * len(got)
+
+
+def test_neighbours_odd_vectors(spark):
+    data = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [float("nan"), 1.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (80, [1.0]), (3, [None, 1.0])], "vec_id long, embedding array<double>")
+    got = ann.nearest(data, F.col("id") % 20 == 0).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 2.0), (0, 2, 2, 2.0)]
+    assert ann.nearest(data.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def brute_pii(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    return {
+        "email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)],
+        "ip": [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))],
+        "card": [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))],
+        "phone": [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m[0])) <= 15],
+    }
+
+
+def test_pii():
+    import random
+
+    rng, finder = random.Random(3), pii.Finder()
+    for _ in range(8000):
+        t = "".join(rng.choice(rng.choice(["0123456789", "a.b@", "+ (-) .", "1.1", "@.", "255.", "é ", "4111 1111 1111 1111"])) for _ in range(rng.randrange(0, 40)))
+        found = finder.spans(t)
+        assert {k: found[k] for k in pii.BASE} == brute_pii(t)
+
+
+def test_pii_table(odd, none):
+    got = {r.doc_id: r for r in pii.find(odd).collect()}
+    assert (got[11].n_email, got[11].n_phone, got[11].n_ip, got[2].spans) == (1, 1, 1, "")
+    assert pii.find(none).count() == 0
+    assert pii.mask(odd.where("doc_id = 11")).first().masked == "mail <email>, <phone>, <ip>"
+
+
+def test_tool_calls(spark):
+    calls = spark.createDataFrame([(1, "a", "add", '{"x":1}', 0), (1, "b", "add", '{"x":"$call:a"}', 2), (1, "c", "none", "[]", 4), (1, "d", "add", '{"x":"$call:e","z":1}', 5), (1, "e", "add", '{"x":"$call:d"}', 6)], "conv_id long, call_id string, name string, arguments string, turn long")
+    results = spark.createDataFrame([(1, "a", 1), (1, "q", 3)], "conv_id long, call_id string, turn long")
+    schema = spark.createDataFrame([("add", "x", "integer", True), ("add", "y", "string", True)], "name string, field string, type string, required boolean")
+    assert {r.call_id: r.state for r in toolcalls.link(calls, results).collect()} == {"a": "linked", "b": "unanswered", "c": "unanswered", "d": "unanswered", "e": "unanswered", "q": "orphan"}
+    assert {r.call_id: r.level for r in toolcalls.levels(calls, toolcalls.references(calls)).collect()} == {"a": 0, "b": 1, "c": 0, "d": None, "e": None}
+    errors = {r.call_id: r.errors for r in toolcalls.validate(calls, schema).collect()}
+    assert errors["a"] == ["missing:y"] and errors["b"] == ["missing:y", "type:x"] and "tool" in errors["c"] and "unknown:z" in errors["d"]
+
+
+def test_chats_odd_rows(spark):
+    odd = spark.createDataFrame([(1, 0, "user", 'a "q"\n'), (1, 1, "assistant", None), (1, 1, "assistant", "x"), (None, 0, None, "t"), (2, None, "user", "u")], "conv_id long, turn long, role string, text string")
+    got = toolcalls.format_chats(odd).collect()
+    assert len(got) == 5
+    assert {r.json for r in got if r.conv_id == 1 and r.turn == 0} == {'{"content":"a \\"q\\"\\n","id":"0","role":"user","state":"linked","turn":0}'}
+    assert toolcalls.format_chats(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, DATA)
+    cols = sorted(df.columns)
+    r = con.execute(queries.ORACLES[name])
+    names = [c[0] for c in r.description]
+    plain = lambda v: float(f"{v:.9g}") if isinstance(v, float) else v
+    got = sorted((tuple(plain(x[c]) for c in cols) for x in df.collect()), key=repr)
+    assert got == sorted((tuple(plain(x[names.index(c)]) for c in cols) for x in r.fetchall()), key=repr)
+
+
+def test_pipeline_stages(spark, docs, odd):
+    for data in (docs, odd):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, data, DATA)
+            assert out.columns == data.columns, name
+            folder = corpus_pipeline.tempfile.mkdtemp(prefix="spark-stage-")
+            out.write.parquet(f"{folder}/{name}")
+            data = spark.read.parquet(f"{folder}/{name}")
+            assert data.count() > 0
+    assert corpus_pipeline.run(spark, DATA).count() > 0
