@@ -10,7 +10,7 @@ each, from the middle: a model of at most ``SAMPLE_DOCS * SAMPLE_CHARS`` charact
 Prediction reads nothing but the text, and all of it.
 
 Null texts and texts without a letter are ``und`` with score 0, and rejected.  Ties go to the
-language that sorts first, with score 0, and are rejected.  With no labelled text at all
+language with more labelled documents, with score 0, and are rejected.  With no labelled text at all
 everything is ``und``; with one language its score is 1 wherever there is a letter.
 """
 
@@ -33,7 +33,7 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = SAMPLE_DOCS, chars_per_doc: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """The dictionaries.  Only ids and labels are sorted; the texts of the chosen rows follow."""
+    """The dictionaries, the language with most documents first.  Only ids and labels are sorted; the texts of the chosen rows follow."""
     labelled = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) >= 32))
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.md5(F.concat_ws("-", F.lit("sample"), F.col(id_col).cast("string"))).alias("key"))
     chosen = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))).where(F.col("k") <= docs_per_lang)
@@ -46,7 +46,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for r in parts.collect():
         of = by_lang.setdefault(r["lang"], {})
         of[r["key"]] = max(of.get(r["key"], ""), r["part"])
-    return {k: " ".join(letters(p) for _, p in sorted(v.items())).encode() for k, v in sorted(by_lang.items())}
+    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    return {k: " ".join(letters(p) for _, p in sorted(v.items())).encode() for k, v in sorted(by_lang.items(), key=lambda x: (-n[x[0]], x[0]))}
 
 
 def letters(text: str) -> str:
@@ -58,7 +59,7 @@ class Classifier:
 
     def __init__(self, model: dict[str, bytes], level: int = LEVEL):
         self.by_lang = []
-        for lang, sample in sorted(model.items()):
+        for lang, sample in model.items():
             d = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             self.by_lang.append((lang, zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False)))
@@ -70,8 +71,8 @@ class Classifier:
             return self.by_lang[0][0], 1.0
         raw = letters(text).encode("utf-8", "surrogatepass")
         # the frame around an empty text is no evidence
-        (first, lang), (second, _) = sorted((len(c.compress(raw)) - 9, k) for k, c in self.by_lang)[:2]
-        return lang, max(0.0, min(1.0, (second - first) / max(second, 1)))
+        (first, k), (second, _) = sorted((len(c.compress(raw)) - 9, k) for k, (_, c) in enumerate(self.by_lang))[:2]
+        return self.by_lang[k][0], max(0.0, min(1.0, (second - first) / max(second, 1)))
 
 
 def identify(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", out: str = "lang_id", level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
