@@ -9,7 +9,8 @@ sort do it, and only for the few suffixes that decide:
 1. Each window of ``LENGTH`` bytes has an anchor: the ``K``-byte string in it with the smallest
    hash, the first of equals.  Equal windows have equal anchors at equal places, so windows
    only need comparing under one anchor.  A run of windows with one anchor is a context.
-2. Contexts are sorted by (anchor, content, document, start).  All but the first of equal
+2. Each task settles equal contexts among its own documents, all but the first of which are
+   repeats.  The others are sorted by (anchor, content, document, start).  All but the first of equal
    contexts are repeats.  An anchor with one content needs nothing more.
 3. Where an anchor has several contents, the windows of each content's first occurrence are
    sorted in the same way, and all but the first of equal windows are repeats.
@@ -113,7 +114,19 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(parts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["anchor", "content", "doc", "at"])
+    """The contexts of some documents, in order; all but the first of equal ones are settled.
+
+    Settled contexts only pass through what follows, so they are dealt by a hash of their place.
+    """
+    anchor, content, doc, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((at, doc, content, anchor))
+    anchor, content, doc, at = anchor[order], content[order], doc[order], at[order]
+    begins = _firsts([anchor, content], None)
+    head = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+    settled = ~begins & ((doc != doc[head]) | (at != at[head]))
+    spread = (at.view(np.uint64) * _MIX) ^ doc.view(np.uint64)
+    anchor = np.where(settled, spread.view(np.int64), anchor)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor, content, doc, at, settled)], ["anchor", "content", "doc", "at", "settled"])
 
 
 def _firsts(keys: list[np.ndarray], last):
@@ -132,7 +145,12 @@ def _sorted_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for b in batches:
         if not b.num_rows:
             continue
-        anchor, content, doc, at = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        anchor, content, doc, at, settled = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        if settled.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(settled.sum(), np.int8)), pa.array(doc[settled]), pa.array(at[settled])], ["kind", "doc", "at"])
+            anchor, content, doc, at = (c[~settled] for c in (anchor, content, doc, at))
+            if not len(anchor):
+                continue
         begins = _firsts([anchor, content], last)
         heads = np.flatnonzero(begins)
         # the document and place of the first row of each row's run
@@ -207,7 +225,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     ``rows`` comes from ``keyed``.  Texts are dealt by (doc, mark) with all their columns, just
     as ``remove_repeats`` needs them again, so that Spark reuses that one exchange.
     """
-    found = rows.select("doc", "mark", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(_contexts, "anchor long, content long, doc long, at long")
+    found = rows.select("doc", "mark", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(_contexts, "anchor long, content long, doc long, at long, settled boolean")
     found = checkpoint(found.repartition("anchor").sortWithinPartitions("anchor", "content", "doc", "at").mapInArrow(_sorted_contexts, "kind byte, doc long, at long"))
     free_shuffles(rows.sparkSession)
     open_ = found.where("kind = 1").groupBy("doc", F.shiftright("at", 43).alias("mark")).agg(F.collect_list("at").alias("ats"))
