@@ -114,16 +114,16 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(parts) -> pa.RecordBatch:
-    """The contexts of some documents, in order; all but the first of equal ones are settled.
+    """The contexts of some documents; all but the first of equal ones are settled.
 
     Settled contexts only pass through what follows, so they are dealt by a hash of their place.
     """
     anchor, content, doc, at = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.lexsort((at, doc, content, anchor))
-    anchor, content, doc, at = anchor[order], content[order], doc[order], at[order]
-    begins = _firsts([anchor, content], None)
-    head = np.flatnonzero(begins)[np.cumsum(begins) - 1]
-    settled = ~begins & ((doc != doc[head]) | (at != at[head]))
+    begins = _firsts([anchor[order], content[order]], None)
+    head = order[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
+    settled = np.zeros(len(order), bool)
+    settled[order] = ~begins & ((doc[order] != doc[head]) | (at[order] != at[head]))
     spread = (at.view(np.uint64) * _MIX) ^ doc.view(np.uint64)
     anchor = np.where(settled, spread.view(np.int64), anchor)
     return pa.RecordBatch.from_arrays([pa.array(c) for c in (anchor, content, doc, at, settled)], ["anchor", "content", "doc", "at", "settled"])
@@ -229,6 +229,8 @@ def repeats(rows: DataFrame) -> DataFrame:
     found = checkpoint(found.repartition("anchor").sortWithinPartitions("anchor", "content", "doc", "at").mapInArrow(_sorted_contexts, "kind byte, doc long, at long"))
     free_shuffles(rows.sparkSession)
     open_ = found.where("kind = 1").groupBy("doc", F.shiftright("at", 43).alias("mark")).agg(F.collect_list("at").alias("ats"))
+    open_ = checkpoint(open_)
+    free_shuffles(rows.sparkSession)
     windows = rows.join(open_, ["doc", "mark"]).select("doc", "text", "ats", "id").mapInArrow(_windows, "window long, doc long, at long")
     windows = windows.repartition("window").sortWithinPartitions("window", "doc", "at").mapInArrow(_sorted_windows, "doc long, at long")
     return found.where("kind = 0").select("doc", "at").unionByName(windows)
