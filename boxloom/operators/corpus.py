@@ -30,3 +30,18 @@ def capped(rows: DataFrame, key: str, cap: int) -> DataFrame:
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r"), F.min(order).alias("position")).select("r.*", "position")
+
+
+def manifest(blocks: DataFrame) -> DataFrame:
+    """Valid boxes with record_id, rivals and split; positions count all boxes of the page.
+
+    ``blocks`` carry their page's project_id.
+    """
+    page = Window.partitionBy("page_id")
+    at = F.row_number().over(page.orderBy("block_index", "block_id")) - 1
+    valid = blocks.withColumn("__at", at).where((F.col("width") > 0) & (F.col("height") > 0))
+    project = F.col("project_id").cast("string")
+    return valid.withColumns({
+        "record_id": F.format_string("%s_%s_b%03d", F.substring(project, 1, 12), F.col("page_id").cast("string"), F.col("__at")),
+        "rivals": F.count("*").over(page) - 1, "split": split(F.col("project_id")),
+    }).drop("__at")

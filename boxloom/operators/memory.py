@@ -29,6 +29,29 @@ def export(memory: DataFrame, source: str = "auto", target: str = "auto") -> Dat
     return memory.orderBy(F.desc("frequency"), *KEY)
 
 
+def containing(entries: DataFrame, column: str, asked: DataFrame) -> DataFrame:
+    """Entries whose column contains the query, ignoring case, once for each such query.
+
+    They meet by their pieces of up to three letters, never by comparing all with all.
+    """
+    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
+    m = entries.withColumn("low", F.lower(column))
+    every = F.array_distinct(F.concat(*[F.when(F.length("low") >= n, pieces(F.col("low"), n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
+    q = asked.withColumn("want", F.lower("query")).withColumn("piece", F.substring("want", 1, 3))
+    return m.withColumn("piece", F.explode(every)).join(q, "piece").where(F.contains("low", "want"))
+
+
+def first_meaning(dictionary: DataFrame, asked: DataFrame) -> DataFrame:
+    """Per query the meaning of the first entry (by ord) that contains it, or whose romaji it is.
+
+    Equal spellings keep their first entry only, before they meet the queries.
+    """
+    first = lambda c: dictionary.groupBy(F.lower(c).alias(c)).agg(F.min(F.struct("ord", "meaning")).alias("first"))
+    inside = containing(first("orig"), "orig", asked).select("query", "first")
+    same = asked.join(first("romaji"), F.lower("query") == F.col("romaji")).select("query", "first")
+    return inside.union(same).groupBy("query").agg(F.min("first").alias("f")).select("query", F.col("f.meaning").alias("meaning"))
+
+
 def lookup(memory: DataFrame, asked: DataFrame, limit: int = 5) -> DataFrame:
     """Entries whose source contains the query, ignoring case; exact ones flagged.
 
@@ -36,11 +59,7 @@ def lookup(memory: DataFrame, asked: DataFrame, limit: int = 5) -> DataFrame:
     that contains the query contains its first piece.  Queries of under three characters have
     no piece and are compared with the shorter pieces kept for them.
     """
-    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
-    m = memory.withColumn("low", F.lower("source_text"))
-    every = F.array_distinct(F.concat(*[F.when(F.length("low") >= n, pieces(F.col("low"), n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
-    q = asked.withColumn("want", F.lower("query")).withColumn("piece", F.substring("want", 1, 3))
-    hit = m.withColumn("piece", F.explode(every)).join(q, "piece").where(F.contains("low", "want"))
+    hit = containing(memory, "source_text", asked)
     hit = hit.withColumn("exact", F.col("source_text") == F.col("query"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("frequency"), F.desc("last_seq"), *KEY))
     return hit.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", *KEY, "translation", "frequency", "exact")

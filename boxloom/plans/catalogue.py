@@ -2,41 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import accounts, audit, benchmark, boxes, consolidate, corpus, lines, memory, planning
-from ..sources.views import view, with_views
 from ..streaming import telemetry
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-class Tables:
-    """The views and tables of one folder, by attribute."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self._get = lambda name: view(spark, sf_dir, name)
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self._get(name)
-
-    @property
-    def placed(self) -> DataFrame:
-        return boxes.on_pages(self.v_blocks, self.v_pages)
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLES[name] = with_views(sql)
-        return f
-
-    return keep
+from . import exchange_queries, layout_queries, ledger_queries  # noqa: F401  (they register their queries)
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
 def _blank(c: str) -> str:
