@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Row, Window, functions as F
 
-from ..functions.text import strip, trailing_tag
+from ..functions.text import THAI, blank, squeezed, strip, trailing_tag
 
 #: The marks in front of source and translation.
 SOURCE_MARK, TRANSLATION_MARK = "[คำต้นฉบับ]: ", "[คำแปลไทย]: "
@@ -86,3 +86,108 @@ def read_tabs(lines: DataFrame) -> DataFrame:
         "file_id", "line_no", F.when(n >= 4, strip(F.get("c", F.lit(1)))).alias("block_id"), F.nullif(source, F.lit("")).alias("source"), strip(F.replace(told, F.lit("\\n"), F.lit("\n"))).alias("translation"),
         F.when(n == 2, so_far).alias("position"), F.when(~good, F.concat(F.lit("line "), (F.col("line_no") + 1).cast("string"), F.lit(": expected 2 or 4 columns"))).alias("error"),
     )
+
+
+def read_labelled(lines: DataFrame) -> DataFrame:
+    """Records of labelled lines: file_id, line_no, block_id, bubble, source, translation.
+
+    ``# ID:`` or ``# Bubble n`` opens a record.  The last source mark gives the source.  The
+    translation starts at the last translation mark, or else below the first mark, and goes on with
+    each further line that is neither blank, comment, mark nor layout tag.
+    """
+    s = strip(F.col("line"))
+    by_id, by_bubble = F.startswith(s, F.lit("# ID:")), F.regexp_like(s, F.lit(r"(?i)^#\s*Bubble\s+\d+"))
+    is_source, is_told = F.startswith(s, F.lit("[คำต้นฉบับ]:")), F.regexp_like(s, F.lit(r"^\[(คำแปลไทย|คำแปล)\]:"))
+    kind = (
+        F.when(by_id | by_bubble, "open").when(is_source, "source").when(is_told, "translation")
+        .when((s == "") | F.startswith(s, F.lit("#")) | F.startswith(s, F.lit("[[")), "none").otherwise("plain")
+    )
+    before = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    r = lines.withColumns({"kind": kind, "rest": strip(F.regexp_extract("line", r"^[^:]*:(.*)$", 1))})
+    r = r.withColumn("record", F.sum(F.when(F.col("kind") == "open", 1).otherwise(0)).over(before)).where("record > 0 AND kind <> 'none'")
+    within = Window.partitionBy("file_id", "record")
+    r = r.withColumns({"first_mark": F.min(F.when(F.col("kind").isin("source", "translation"), F.col("line_no"))).over(within), "told_at": F.max(F.when(F.col("kind") == "translation", F.col("line_no"))).over(within)})
+    told = F.when(F.col("kind") == "translation", F.when(F.col("line_no") == F.col("told_at"), F.col("rest")))
+    told = told.when((F.col("kind") == "plain") & (F.col("line_no") > F.col("first_mark")) & (F.col("line_no") > F.coalesce("told_at", F.lit(-1))), F.col("line"))
+    opens = F.col("kind") == "open"
+    per = r.groupBy("file_id", "record").agg(
+        F.min(F.when(opens, F.col("line_no"))).alias("line_no"),
+        F.max(F.when(opens & by_id, F.col("rest"))).alias("block_id"),
+        F.max(F.when(opens & ~by_id, F.regexp_extract(s, r"(\d+)", 1).cast("int"))).alias("bubble"),
+        F.max_by("rest", F.when(F.col("kind") == "source", F.col("line_no"))).alias("source"),
+        F.array_sort(F.collect_list(F.when(told.isNotNull(), F.struct("line_no", told.alias("t"))))).alias("told"),
+    )
+    text = strip(F.array_join(F.transform("told", lambda x: x["t"]), "\n"))
+    return per.select("file_id", "line_no", "block_id", "bubble", F.nullif("source", F.lit("")).alias("source"), text.alias("translation"))
+
+
+def resolved(records: DataFrame, blocks: DataFrame, strict: bool = False) -> DataFrame:
+    """Records with the block they are for, status (ok, warning, error, skip) and will_import.
+
+    A record names its block by block_id, else by source (the k-th record of a wording takes the
+    project's k-th block of that wording), else by bubble.  Of several records for one block the
+    first counts.  ``records`` has project_id, record_no, block_id, source, bubble, translation and
+    target; ``blocks`` has project_id, block_id, bubble, source_text.  A source that differs is a
+    warning, or with ``strict`` an error.
+    """
+    way = F.when(F.col("block_id").isNotNull(), "id").when(F.col("source").isNotNull(), "source").otherwise("bubble")
+    r = records.withColumns({"way": way, "norm": squeezed(F.col("source"))})
+    r = r.withColumn("k", F.row_number().over(Window.partitionBy("project_id", "way", "norm").orderBy("record_no")))
+    b = blocks.select("project_id", F.col("block_id").alias("found"), F.col("bubble").alias("at"), F.col("source_text").alias("now"), squeezed(F.col("source_text")).alias("now_norm"))
+    b = b.withColumn("now_k", F.row_number().over(Window.partitionBy("project_id", "now_norm").orderBy("at")))
+    named = r.withColumnRenamed("block_id", "asked")
+    # each way has a join of its own on equal keys, so that none turns into a search through a project
+    one = named.where("way = 'id'").join(b.withColumn("asked", F.col("found")), ["project_id", "asked"], "left")
+    two = named.where("way = 'source'").join(b.withColumnsRenamed({"now_k": "k"}).withColumn("norm", F.col("now_norm")), ["project_id", "norm", "k"], "left")
+    three = named.where("way = 'bubble'").join(b.withColumn("bubble", F.col("at")), ["project_id", "bubble"], "left")
+    cols = ["project_id", "record_no", "way", "norm", "translation", "target", "found", "at", "now_norm"]
+    every = one.select(cols).unionByName(two.select(cols)).unionByName(three.select(cols))
+    again = F.row_number().over(Window.partitionBy("project_id", F.coalesce("found", F.concat(F.lit("?"), F.col("record_no").cast("string")))).orderBy("record_no")) > 1
+    differs = (F.col("norm") != "") & (F.col("norm") != F.col("now_norm"))
+    foreign = F.startswith(F.lower("target"), F.lit("th")) & ~F.regexp_like("translation", F.lit(THAI))
+    lost, told = F.col("found").isNull(), ~blank(F.col("translation"))
+    every = every.withColumn("again", again)
+    status = (
+        F.when(lost & (F.col("way") == "source"), "warning").when(lost | F.col("again"), "error").when(differs & F.lit(strict), "error")
+        .when(~told, "skip").when(differs | F.coalesce(foreign, F.lit(False)), "warning").otherwise("ok")
+    )
+    goes = ~lost & ~F.col("again") & told & ~F.coalesce(foreign, F.lit(False)) & ~(differs & F.lit(strict))
+    return every.select("project_id", "record_no", F.col("found").alias("block_id"), F.col("at").alias("bubble"), "translation", status.alias("status"), goes.alias("will_import"))
+
+
+def importable(found: DataFrame) -> DataFrame:
+    """The records to import: none of a project with any error."""
+    bad = found.where("status = 'error'").select("project_id").distinct()
+    return found.where("will_import").join(bad, "project_id", "left_anti")
+
+
+def import_summary(found: DataFrame) -> DataFrame:
+    kinds = [F.count_if(F.col("status") == k).alias(k) for k in ("ok", "warning", "error", "skip")]
+    return found.groupBy("project_id").agg(*kinds, F.count("*").alias("total"), F.count_if("will_import").alias("importable"))
+
+
+#: What goes when a block's translation is cleared.
+LAYOUT_KEYS = ("typesetting_spec", "suggested_spec_id", "suggested_spec_revision", "suggested_explicit_lines", "suggested_template_id", "text_template_id", "manual_font_size")
+LINE_KEYS = ("line_break_source", "ai_preferred_lines", "ai_layout_hint", "ai_layout_text")
+SEMANTIC_KEYS = ("semantic_role", "semantic_role_label", "semantic_role_source", "semantic_role_tag", "semantic_role_confidence", "semantic_role_raw_translation", "semantic_role_template_id")
+
+
+def cleared(blocks: DataFrame) -> DataFrame:
+    """Blocks without translation and without its keys in the map ``metadata``."""
+    gone = LAYOUT_KEYS + LINE_KEYS + SEMANTIC_KEYS
+    return blocks.withColumns({"translation": F.lit(""), "metadata": F.map_filter("metadata", lambda k, v: ~k.isin(*gone))})
+
+
+def tag_map(builtin: list[Row], own: DataFrame) -> DataFrame:
+    """label and template_id per project: its own templates replace those of the same id and win a label.
+
+    ``builtin`` is the library's short list of template_id, label, ord; ``own`` has project_id too.  Of equal labels the last wins,
+    where a replaced template keeps its place.
+    """
+    few = F.array(*[F.struct(F.lit(r.template_id).alias("template_id"), F.lit(r.label).alias("base"), F.lit(r.ord).alias("base_ord")) for r in builtin])
+    every = own.select("project_id").distinct().select("project_id", F.inline(few))
+    both = every.join(own, ["project_id", "template_id"], "full")
+    place = F.struct(F.col("base_ord").isNull().alias("new"), F.coalesce("base_ord", "ord").alias("ord"), "template_id")
+    label = strip(F.when(F.col("ord").isNotNull(), F.coalesce("label", F.lit(""))).otherwise(F.col("base")))
+    rows = both.select("project_id", label.alias("label"), "template_id", place.alias("place")).where("label <> ''")
+    return rows.groupBy("project_id", "label").agg(F.max_by("template_id", "place").alias("template_id"))

@@ -209,3 +209,24 @@ def spec_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     names = F.array_join(F.filter(F.array(*[F.when(c, F.lit(f)) for f, c in differs]), lambda x: x.isNotNull()), ",")
     both = left.join(right, "block_id", "full")
     return both.select("block_id", F.when(F.col("a").isNull() | F.col("b").isNull(), "block").otherwise(names).alias("mismatches"))
+
+#: Findings that a person has to look at.
+HARD = ("TEXT_OVERFLOW", "FONT_TOO_SMALL", "FONT_BELOW_PROJECT_MINIMUM", "UNBALANCED_LINES", "LAYOUT_REGION_FALLBACK", "FONT_UNAVAILABLE", "FONT_FALLBACK")
+
+
+def decision(specs: DataFrame, floor: float = 0.90) -> DataFrame:
+    """Adds status and reasons (an array) of a layout: applied, default style, or for review.
+
+    Reads overflow, font_fallback, issues and error_codes (arrays), layout_confidence, style_confidence.
+    """
+    hard = F.filter("issues", lambda i: i.isin(*HARD))
+    over = F.col("overflow") | F.array_contains("issues", "TEXT_OVERFLOW")
+    unsure = F.col("layout_confidence") < floor
+    reasons = (
+        F.when(over, F.array(F.lit("TEXT_OVERFLOW"))).when(F.col("font_fallback"), F.array(F.lit("FONT_FALLBACK")))
+        .when(unsure, F.concat(hard, F.array(F.lit("LOW_LAYOUT_CONFIDENCE")))).when(F.size(hard) > 0, hard).when(F.size("error_codes") > 0, F.col("error_codes"))
+    )
+    low = F.col("style_confidence") < floor
+    soft = F.when(low, F.array(F.lit("LOW_STYLE_CONFIDENCE"))).otherwise(F.array(F.lit("CONSTRAINTS_OK")))
+    status = F.when(reasons.isNotNull(), "NEEDS_REVIEW").when(low, "DEFAULTED").otherwise("AUTO_APPLIED")
+    return specs.withColumns({"status": status, "reasons": F.coalesce(reasons, soft)})

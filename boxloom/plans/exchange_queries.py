@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, Window, functions as F
 
 from ..operators import exchange
-from .registry import query
+from .registry import query, split_list
 
 _ORDER = "ORDER BY block_index, block_id"
 query("a5_snapshot", f"""SELECT page_id, '[' || string_agg(concat('{{"block_id":"', block_id, '","bbox":[', x, ',', y, ',', width, ',', height, '],"type":"', balloon_type, '","confidence":', confidence, '}}'), ',' {_ORDER}) || ']' AS balloons FROM v_blocks GROUP BY 1""")(
@@ -33,3 +33,49 @@ query("k2_tabs", """WITH r AS (SELECT p_size AS file_id, p_partkey AS line_no, p
 
 def _partial(t):
     return t.v_blocks.selectExpr("page_id", "block_id", "block_index", "x", "CASE WHEN block_index <> 2 THEN width END AS width", "translation")
+
+
+def _numbered(t):
+    bubble = F.row_number().over(Window.partitionBy("project_id").orderBy("page_id", "block_index", "block_id"))
+    return t.placed.withColumn("bubble", bubble).select("project_id", "block_id", "bubble", "source_text", "translation")
+
+
+def _file(t):
+    """The project's export, as the lines of one file."""
+    e = exchange.export_text(t.placed, "both", {"soft": "t_soft"})
+    return e.select(F.col("project_id").alias("file_id"), "bubble", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("file_id", (F.col("bubble") * 10 + F.col("k")).alias("line_no"), "line")
+
+
+query("k1_labelled", f"WITH {_BUBBLE} SELECT project_id AS file_id, bubble * 10 AS line_no, NULL::VARCHAR AS block_id, bubble::INT AS bubble, nullif(trim(source_text), '') AS source, trim(translation) AS translation FROM b")(
+    lambda t: exchange.read_labelled(_file(t)))
+
+# records that name their block by id, by wording or by place; some name none, some name one again
+_RECORD = """project_id, CAST(bubble AS BIGINT) AS record_no, CASE bubble % 3 WHEN 0 THEN CASE WHEN bubble % 9 = 0 THEN 'gone' ELSE block_id END END AS block_id,
+  CASE WHEN bubble % 3 = 1 THEN CASE WHEN bubble % 7 = 0 THEN 'else' ELSE nullif(trim(source_text), '') END WHEN bubble % 6 = 3 THEN 'other words' END AS source,
+  CAST(CASE WHEN bubble % 11 = 0 THEN bubble - 1 WHEN bubble % 13 = 0 THEN 1000000 ELSE bubble END AS INT) AS bubble, CASE WHEN bubble % 5 = 0 THEN ' ' ELSE concat('ก ', translation) END AS translation, 'th' AS target"""
+_FOUND = f"""{_BUBBLE}, r AS (SELECT *, CASE WHEN block_id IS NOT NULL THEN 'id' WHEN source IS NOT NULL THEN 'source' ELSE 'bubble' END AS way, replace(coalesce(source, ''), ' ', '') AS norm FROM (SELECT {_RECORD} FROM b)),
+  r2 AS (SELECT *, row_number() OVER (PARTITION BY project_id, way, norm ORDER BY record_no) AS k FROM r), b2 AS (SELECT project_id, block_id, bubble, replace(source_text, ' ', '') AS norm, row_number() OVER (PARTITION BY project_id, replace(source_text, ' ', '') ORDER BY bubble) AS k FROM b),
+  j AS (SELECT r2.project_id, record_no, way, r2.norm, translation, b2.block_id AS found, b2.bubble AS pos, b2.norm AS now_norm FROM r2 LEFT JOIN b2 ON r2.project_id = b2.project_id AND CASE way WHEN 'id' THEN r2.block_id = b2.block_id WHEN 'source' THEN r2.norm = b2.norm AND r2.k = b2.k ELSE r2.bubble = b2.bubble END),
+  a AS (SELECT *, found IS NOT NULL AND row_number() OVER (PARTITION BY project_id, found ORDER BY record_no) > 1 AS again FROM j),
+  found AS (SELECT project_id, record_no, found AS block_id, pos AS bubble, translation, CASE WHEN found IS NULL THEN CASE way WHEN 'source' THEN 'warning' ELSE 'error' END WHEN again THEN 'error' WHEN trim(translation) = '' THEN 'skip' WHEN norm <> '' AND norm <> now_norm THEN 'warning' ELSE 'ok' END AS status, found IS NOT NULL AND NOT again AND trim(translation) <> '' AS will_import FROM a)"""
+
+
+def _found(t):
+    b = _numbered(t)
+    return exchange.resolved(b.selectExpr(*split_list(_RECORD)), b)
+
+
+query("c11_resolved", f"WITH {_FOUND} SELECT project_id, record_no, block_id, bubble, status, will_import FROM found")(lambda t: _found(t).drop("translation"))
+query("c11_summary", f"WITH {_FOUND} SELECT project_id, " + ", ".join(f"count(*) FILTER (status = '{k}') AS {k}" for k in ("ok", "warning", "error", "skip")) + ", count(*) AS total, count(*) FILTER (will_import) AS importable FROM found GROUP BY 1")(
+    lambda t: exchange.import_summary(_found(t)))
+query("k5_importable", f"WITH {_FOUND} SELECT project_id, block_id, translation FROM found WHERE will_import AND project_id NOT IN (SELECT project_id FROM found WHERE status = 'error')")(
+    lambda t: exchange.importable(_found(t)).select("project_id", "block_id", "translation"))
+
+query("b17_cleared", "SELECT block_id, '' AS translation, CASE WHEN block_index % 2 = 0 THEN 'kept,layout_region' ELSE 'layout_region' END AS keys FROM v_blocks")(
+    lambda t: exchange.cleared(t.v_blocks.withColumn("metadata", F.expr("map('layout_region', 'r', 'semantic_role', balloon_type, CASE WHEN block_index % 2 = 0 THEN 'kept' ELSE 'ai_layout_text' END, 'v')")))
+    .select("block_id", "translation", F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("keys")))
+query("j9_tag_map", """WITH own AS (SELECT c_custkey AS project_id, CASE c_nationkey % 3 WHEN 0 THEN 't_soft' ELSE concat('x', c_nationkey) END AS template_id, CASE c_nationkey % 4 WHEN 0 THEN 'shout' WHEN 1 THEN ' ' ELSE c_mktsegment END AS label FROM customer)
+  SELECT project_id, trim(label) AS label, template_id FROM own WHERE trim(label) <> '' AND NOT (template_id = 't_soft' AND label = 'shout')
+  UNION ALL SELECT project_id, 'soft', 't_soft' FROM own WHERE template_id <> 't_soft' UNION ALL SELECT project_id, 'shout', 't_shout' FROM own WHERE label <> 'shout' OR template_id = 't_soft'""")(
+    lambda t: exchange.tag_map([Row(template_id="t_soft", label="soft", ord=0), Row(template_id="t_shout", label="shout", ord=1)], t.customer.selectExpr(
+        "c_custkey AS project_id", "CASE c_nationkey % 3 WHEN 0 THEN 't_soft' ELSE concat('x', c_nationkey) END AS template_id", "CASE c_nationkey % 4 WHEN 0 THEN 'shout' WHEN 1 THEN ' ' ELSE c_mktsegment END AS label", "0 AS ord")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import boxes, corpus, layout
-from .registry import query
+from .registry import query, split_list
 
 
 def _derived(columns: str, source: str) -> str:
@@ -28,19 +28,7 @@ def _region_sql(smart: bool) -> str:
 
 
 def _regions(t, smart: bool):
-    return layout.effective_region(t.v_blocks.selectExpr("*", *_split(_REGION)), smart).select("block_id", "region.*")
-
-
-def _split(columns: str) -> list[str]:
-    """The select list's items: commas outside brackets part them."""
-    out, depth = [""], 0
-    for c in columns:
-        depth += (c == "(") - (c == ")")
-        if c == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return out
+    return layout.effective_region(t.v_blocks.selectExpr("*", *split_list(_REGION)), smart).select("block_id", "region.*")
 
 
 query("b9_effective_region", _region_sql(True))(lambda t: _regions(t, True))
@@ -52,25 +40,25 @@ query("b8_class_selection", "SELECT block_id, balloon_type FROM v_blocks WHERE b
 _CROP = """CAST((page_id * 7 + block_index * 13) % 120 AS DOUBLE) AS contrast, CAST((page_id * 3 + block_index) % 50 AS DOUBLE) / 5000 AS edge_density, CAST((page_id + block_index) % 6 AS INT) AS elements, CAST((page_id * 5 + block_index) % 40 AS DOUBLE) AS brightness_sd"""
 query("b12_crop_reasons", f"""WITH c AS ({_derived(_CROP, 'v_blocks')}) SELECT block_id, CASE WHEN least(width, height) < 18 THEN 'too_small' WHEN width / height > 8 OR width / height < 0.12::DOUBLE THEN 'extreme_aspect_ratio' WHEN contrast < 35 THEN 'low_contrast' WHEN edge_density < 0.002::DOUBLE THEN 'low_edge_density'
   WHEN elements < CASE WHEN width > 55 THEN 3 ELSE 1 END AND NOT (least(width, height) >= 50 AND brightness_sd > 20) THEN 'insufficient_text_elements' END AS reason FROM c""")(
-    lambda t: layout.crop_reason(t.v_blocks.selectExpr("*", *_split(_CROP))).select("block_id", "reason"))
+    lambda t: layout.crop_reason(t.v_blocks.selectExpr("*", *split_list(_CROP))).select("block_id", "reason"))
 
 _MASK = """width * height * CAST((page_id + block_index) % 40 AS DOUBLE) / 40 AS covered_area, width * height * CAST((page_id * 3 + block_index) % 36 AS DOUBLE) AS mask_area"""
 query("b15_mask_gate", f"""WITH m AS ({_derived(_MASK, 'v_blocks')}), g AS (SELECT block_id, CASE WHEN covered_area / greatest(1, width * height) < 0.85::DOUBLE THEN 'bbox_cover' WHEN mask_area / greatest(1, width * height) < 1.15::DOUBLE THEN 'area_too_small' WHEN mask_area / greatest(1, width * height) > 30 THEN 'area_too_large' ELSE 'accepted' END AS reason FROM m)
   SELECT block_id, reason = 'accepted' AS accepted, reason FROM g""")(
-    lambda t: layout.mask_gate(t.v_blocks.selectExpr("*", *_split(_MASK))).select("block_id", "accepted", "reason"))
+    lambda t: layout.mask_gate(t.v_blocks.selectExpr("*", *split_list(_MASK))).select("block_id", "accepted", "reason"))
 
 _AUTO = """CASE WHEN block_index % 4 > 0 THEN 'auto_detection' END AS layer_origin, CASE WHEN page_id % 5 = 0 THEN balloon_type END AS detected_type, CASE WHEN page_id % 3 = 0 THEN 'manual' END AS region_source"""
 query("m2_prunable", f"""WITH a AS ({_derived(_AUTO, 'v_blocks')}) SELECT page_id, block_id FROM a WHERE (layer_origin IS NOT NULL OR detected_type IS NOT NULL) AND region_source IS NULL AND trim(source_text) = '' AND trim(translation) = ''""")(
-    lambda t: layout.prunable(t.v_blocks.selectExpr("*", *_split(_AUTO))).select("page_id", "block_id"))
+    lambda t: layout.prunable(t.v_blocks.selectExpr("*", *split_list(_AUTO))).select("page_id", "block_id"))
 
 query("c20_font_style", """SELECT block_id, CASE balloon_type WHEN 'sfx' THEN 800 ELSE 400 END AS weight, false AS italic, 1.35::DOUBLE AS line_height, CASE balloon_type WHEN 'sfx' THEN 1 ELSE 0 END::DOUBLE AS spacing,
   round(greatest(11, least(36, sqrt(width * height / (greatest(1, length(translation)) * 1.8::DOUBLE)))), 6) AS font_size FROM v_blocks""")(
     lambda t: layout.font_style(t.v_blocks.withColumn("text", F.col("translation"))).select("block_id", "weight", "italic", "line_height", "spacing", F.round("font_size", 6).alias("font_size")))
 
 _LINED = "replace(translation, ' word', concat(chr(10), 'word')) AS lined, CASE WHEN page_id % 2 = 0 THEN 'ja' ELSE 'en' END AS lang"
-query("j4_font_estimate", f"""WITH l AS ({_derived(_LINED, 'v_blocks')}), n AS (SELECT *, len(list_filter(string_split(lined, chr(10)), lambda s: trim(s) <> ''))::DOUBLE AS n, length(trim(replace(lined, chr(10), '')))::DOUBLE AS c FROM l), p AS (SELECT *, greatest(1, c / nullif(n, 0)) AS a FROM n)
+query("j4_font_estimate", f"""WITH l AS ({_derived(_LINED, 'v_blocks')}), n AS (SELECT *, len(list_filter(stringsplit_list(lined, chr(10)), lambda s: trim(s) <> ''))::DOUBLE AS n, length(trim(replace(lined, chr(10), '')))::DOUBLE AS c FROM l), p AS (SELECT *, greatest(1, c / nullif(n, 0)) AS a FROM n)
   SELECT block_id, CASE WHEN n > 0 AND c > 0 THEN round(greatest(12, least(120, CASE lang WHEN 'ja' THEN least(width / n * 0.85::DOUBLE, height / a * 0.95::DOUBLE) ELSE least(height / n * 0.85::DOUBLE, width / a * 0.95::DOUBLE) END)), 6) END AS font_size FROM p""")(
-    lambda t: t.v_blocks.selectExpr("*", *_split(_LINED)).select("block_id", F.round(layout.font_estimate(F.col("lined"), F.col("lang"), F.col("width"), F.col("height")), 6).alias("font_size")))
+    lambda t: t.v_blocks.selectExpr("*", *split_list(_LINED)).select("block_id", F.round(layout.font_estimate(F.col("lined"), F.col("lang"), F.col("width"), F.col("height")), 6).alias("font_size")))
 
 _HINT = """g AS (SELECT *, floor(greatest(20, width) / greatest(20, height) * 100 + 0.5::DOUBLE) / 100 AS aspect, greatest(1, least(8, floor(greatest(20, height) * 0.85::DOUBLE / 30)::INT)) AS max_lines, CASE WHEN trim(translation) <> '' THEN translation ELSE source_text END AS txt FROM v_blocks),
   s AS (SELECT *, CASE balloon_type WHEN 'sfx' THEN 'free' WHEN 'narrative' THEN 'rectangle' ELSE CASE WHEN aspect >= 1.4::DOUBLE THEN 'wide_oval' WHEN aspect <= 0.75 THEN 'tall_oval' WHEN aspect BETWEEN 0.85::DOUBLE AND 1.15::DOUBLE THEN 'round_bubble' ELSE 'ellipse' END END AS shape, length(replace(txt, ' ', '')) AS u FROM g),
@@ -125,7 +113,7 @@ query("c18_spec_differences", f"""WITH a AS (SELECT {_SPEC_A} FROM v_blocks WHER
   SELECT coalesce(a.block_id, b.block_id) AS block_id, CASE WHEN a.block_id IS NULL OR b.block_id IS NULL THEN 'block' ELSE concat_ws(',', CASE WHEN abs(a.font_size - b.font_size) > 0.01::DOUBLE THEN 'font_size' END, CASE WHEN abs(a.line_height - b.line_height) > 0.01 THEN 'line_height' END,
     CASE WHEN a.bold IS DISTINCT FROM b.bold THEN 'bold' END, CASE WHEN a.text_align IS DISTINCT FROM b.text_align THEN 'text_align' END, CASE WHEN lower(replace(a.color_hex, '#', '')) <> b.color_hex THEN 'color_hex' END,
     CASE WHEN greatest(abs(a.x + a.width / 2 - (b.x + b.width / 2)), abs(a.y + a.height / 2 - (b.y + b.height / 2))) > greatest(2, 0.01::DOUBLE * greatest(a.width, a.height, 1)) THEN 'center' END) END AS mismatches FROM a FULL JOIN b ON a.block_id = b.block_id""")(
-    lambda t: layout.spec_differences(t.v_blocks.where("block_index <> 3").selectExpr(*_split(_SPEC_A)), t.v_blocks.where("block_index <> 4").selectExpr(*_split(_SPEC_B))))
+    lambda t: layout.spec_differences(t.v_blocks.where("block_index <> 3").selectExpr(*split_list(_SPEC_A)), t.v_blocks.where("block_index <> 4").selectExpr(*split_list(_SPEC_B))))
 
 # --- wording
 
@@ -135,19 +123,19 @@ query("j1_clean_text", rf"""WITH d AS (SELECT doc_id, doc_id % 2 = 0 AS cjk, rep
     lambda t: t.documents.select("doc_id", tx.clean_recognised(F.col("text"), F.expr(_SOURCE), wide=True).alias("text")))
 query("j20_keep_wording", r"""SELECT block_id, regexp_replace(CASE WHEN replace(translation, ' ', '') = replace(n, ' ', '') THEN translation ELSE n END, '[\r\n]+', '', 'g') AS text FROM (SELECT *, CASE WHEN page_id % 2 = 0 THEN replace(translation, ' ', '') ELSE concat(translation, ' x') END AS n FROM v_blocks)""")(
     lambda t: t.v_blocks.withColumn("n", F.expr("CASE WHEN page_id % 2 = 0 THEN replace(translation, ' ', '') ELSE concat(translation, ' x') END")).select("block_id", tx.kept_wording(F.col("translation"), F.col("n")).alias("text")))
-query("j16_dictionary", "SELECT DISTINCT word, length(word) AS letters FROM (SELECT trim(unnest(string_split(text, ' '))) AS word FROM benchmark) WHERE length(word) >= 2")(
+query("j16_dictionary", "SELECT DISTINCT word, length(word) AS letters FROM (SELECT trim(unnest(stringsplit_list(text, ' '))) AS word FROM benchmark) WHERE length(word) >= 2")(
     lambda t: tx.dictionary(t.benchmark.select(F.explode(F.split("text", " ")).alias("word"))))
 _LOG = "CASE event_id % 5 WHEN 0 THEN 'RESOURCE_EXHAUSTED' WHEN 1 THEN concat('Individual quota reached. Resets in ', CAST(event_id % 60 AS STRING), 'm 3s. ', props) WHEN 2 THEN 'HTTP 429 Too Many Requests' ELSE props END"
 query("j18_quota_errors", f"""SELECT event_id, CASE WHEN event_id % 5 = 1 THEN concat('Individual quota reached (Resets in ', event_id % 60, 'm 3s)') WHEN event_id % 5 = 2 THEN 'HTTP 429 Rate Limit Exceeded' ELSE 'Individual quota reached' END AS reason FROM v_events WHERE event_id % 5 < 3""")(
     lambda t: t.v_events.select("event_id", tx.quota_reason(F.expr(_LOG)).alias("reason")).where("reason IS NOT NULL"))
-query("j2_noise_lines", r"""WITH l AS (SELECT doc_id AS file_id, unnest(range(0, len(s))) AS line_no, unnest(s) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n|\r', chr(10), 'g'), chr(10)) AS s FROM documents)),
+query("j2_noise_lines", r"""WITH l AS (SELECT doc_id AS file_id, unnest(range(0, len(s))) AS line_no, unnest(s) AS line FROM (SELECT doc_id, stringsplit_list(regexp_replace(text, '\r\n|\r', chr(10), 'g'), chr(10)) AS s FROM documents)),
   n AS (SELECT file_id, line_no, regexp_replace(CASE line_no % 3 WHEN 0 THEN concat('// ', line, ' /') WHEN 1 THEN concat('」 ', line, '「') ELSE '(「…」~)' END, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS s FROM l)
   SELECT file_id, line_no, CASE WHEN s = '(「…」~)' THEN s ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '^[/\\]+[\s\p{Z}]*', ''), '[\s\p{Z}]*[/\\]+$', ''), '^[」\s\p{Z}]+', ''), '[「\s\p{Z}]+$', ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') END AS text FROM n""")(
     lambda t: _noisy(t))
 _TAGGED = "concat(translation, CASE seq % 5 WHEN 0 THEN ' {shout} { soft }' WHEN 1 THEN '{soft}' WHEN 2 THEN ' {other}' WHEN 3 THEN ' {soft} x' ELSE '' END)"
 query("j7_tags", "SELECT seq, CASE WHEN seq % 5 = 2 THEN translation || ' {other}' WHEN seq % 5 = 3 THEN translation || ' {soft} x' ELSE translation END AS text, CASE WHEN seq % 5 < 2 THEN 't_soft' END AS role, CASE WHEN seq % 5 < 2 THEN 'soft' END AS label, seq % 5 = 0 AS repeated FROM v_tm")(
     lambda t: t.v_tm.select("seq", *[c.alias(k) for k, c in tx.trailing_tag(F.expr(_TAGGED), {"shout": "t_shout", "soft": "t_soft"}).items()]))
-query("j17_rule_hits", """WITH w AS (SELECT unnest(string_split(lower(text), ' ')) AS token FROM documents), n AS (SELECT token, count(*) AS n FROM w GROUP BY 1), r AS (SELECT * FROM (VALUES ('forward', 'un'), ('forward', 'ge'), ('backward', 'en'), ('compound', 'schl')) v(kind, part))
+query("j17_rule_hits", """WITH w AS (SELECT unnest(stringsplit_list(lower(text), ' ')) AS token FROM documents), n AS (SELECT token, count(*) AS n FROM w GROUP BY 1), r AS (SELECT * FROM (VALUES ('forward', 'un'), ('forward', 'ge'), ('backward', 'en'), ('compound', 'schl')) v(kind, part))
   SELECT kind, part, sum(n)::BIGINT AS hits, count(*) AS tokens FROM n, r WHERE CASE kind WHEN 'forward' THEN starts_with(token, part) AND length(token) > length(part) WHEN 'backward' THEN suffix(token, part) AND length(token) > length(part) ELSE contains(token, part) END GROUP BY 1, 2""")(
     lambda t: tx.rule_hits(t.documents.select(F.explode(F.split(F.lower("text"), " ")).alias("token")), [("forward", "un"), ("forward", "ge"), ("backward", "en"), ("compound", "schl")]))
 
@@ -157,3 +145,9 @@ def _noisy(t):
 
     dirty = F.expr("CASE line_no % 3 WHEN 0 THEN concat('// ', line, ' /') WHEN 1 THEN concat('」 ', line, '「') ELSE '(「…」~)' END")
     return lines_of(t.documents, "doc_id", "text").select("file_id", "line_no", tx.without_noise(dirty).alias("text"))
+
+_SPEC = """page_id % 17 = 0 AS overflow, page_id % 13 = 0 AS font_fallback, CASE WHEN block_index = 2 THEN 'FONT_TOO_SMALL' WHEN block_index = 3 THEN 'TEXT_OVERFLOW' ELSE 'MINOR' END AS issue, CASE WHEN page_id % 5 = 0 THEN 'BAD' END AS code, confidence + CAST(0.2 AS DOUBLE) AS lc, CAST((page_id * 7 + block_index) % 20 AS DOUBLE) / 20 AS sc"""
+query("j13_decision", f"""WITH s AS ({_derived(_SPEC, 'v_blocks')}) SELECT block_id, CASE WHEN overflow OR issue = 'TEXT_OVERFLOW' OR font_fallback OR lc < 0.9::DOUBLE OR issue = 'FONT_TOO_SMALL' OR code IS NOT NULL THEN 'NEEDS_REVIEW' WHEN sc < 0.9::DOUBLE THEN 'DEFAULTED' ELSE 'AUTO_APPLIED' END AS status,
+  CASE WHEN overflow OR issue = 'TEXT_OVERFLOW' THEN 'TEXT_OVERFLOW' WHEN font_fallback THEN 'FONT_FALLBACK' WHEN lc < 0.9::DOUBLE THEN CASE issue WHEN 'FONT_TOO_SMALL' THEN 'FONT_TOO_SMALL,LOW_LAYOUT_CONFIDENCE' ELSE 'LOW_LAYOUT_CONFIDENCE' END WHEN issue = 'FONT_TOO_SMALL' THEN issue WHEN code IS NOT NULL THEN code WHEN sc < 0.9::DOUBLE THEN 'LOW_STYLE_CONFIDENCE' ELSE 'CONSTRAINTS_OK' END AS reasons FROM s""")(
+    lambda t: layout.decision(t.v_blocks.selectExpr("*", *split_list(_SPEC)).withColumns({"issues": F.array("issue"), "error_codes": F.expr("filter(array(code), x -> x IS NOT NULL)"), "layout_confidence": F.col("lc"), "style_confidence": F.col("sc")}))
+    .select("block_id", "status", F.array_join("reasons", ",").alias("reasons")))

@@ -35,3 +35,15 @@ def query(name: str, sql: str | None = None):
         return f
 
     return keep
+
+
+def split_list(columns: str) -> list[str]:
+    """The select list's items: commas outside brackets part them."""
+    out, depth = [""], 0
+    for c in columns:
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out

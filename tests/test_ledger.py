@@ -108,3 +108,50 @@ def test_layout_score_of_no_lines_and_regions_of_nan(spark):
                               "x double, y double, width double, height double, smart_x double, smart_y double, smart_width double, smart_height double, meta_x double, meta_y double, meta_width double, meta_height double, meta_confidence double, meta_source string")
     got = layout.effective_region(r).first()["region"]
     assert (got["x"], got["width"], got["source"], got["confidence"]) == (1.0, 1.0, "bbox", 0.0)
+
+
+def test_labelled_records(spark):
+    text = ["stray", "# Bubble 3: x", "[คำต้นฉบับ]: src", "under", "# note", "", "more {soft}", "# ID: b-7", "ignored", "[คำต้นฉบับ]: old", "[คำต้นฉบับ]: new", "[คำแปล]: first", "[คำแปลไทย]: told", "[[tag]]", "next", "# bubble 4"]
+    lines = spark.createDataFrame([(1, k, t) for k, t in enumerate(text)], "file_id int, line_no int, line string")
+    got = {r["line_no"]: (r["block_id"], r["bubble"], r["source"], r["translation"]) for r in exchange.read_labelled(lines).collect()}
+    assert got == {1: (None, 3, "src", "under\nmore {soft}"), 7: ("b-7", None, "new", "told\nnext"), 15: (None, 4, None, "")}
+
+
+def test_records_find_their_blocks(spark):
+    blocks = spark.createDataFrame([(1, "a", 1, "x y"), (1, "b", 2, "x  y"), (1, "c", 3, None), (2, "d", 1, "z")], "project_id int, block_id string, bubble int, source_text string")
+    rows = [
+        (1, 1, None, "xy", None, "ก", "th"), (1, 2, None, "x y", None, "plain", "th"), (1, 3, None, "x y", None, "ก", "th"), (1, 4, "a", None, None, "ก", "th"),
+        (1, 5, None, None, 3, " ", "th"), (1, 6, None, None, 9, "ก", None), (1, 7, "nope", None, None, "ก", "th"), (2, 1, "d", "other", None, "text", None),
+    ]
+    records = spark.createDataFrame(rows, "project_id int, record_no int, block_id string, source string, bubble int, translation string, target string")
+    found = exchange.resolved(records, blocks)
+    got = {(r["project_id"], r["record_no"]): (r["block_id"], r["status"], r["will_import"]) for r in found.collect()}
+    assert got == {
+        (1, 1): ("a", "ok", True), (1, 2): ("b", "warning", False), (1, 3): (None, "warning", False), (1, 4): ("a", "error", False),
+        (1, 5): ("c", "skip", False), (1, 6): (None, "error", False), (1, 7): (None, "error", False), (2, 1): ("d", "warning", True),
+    }
+    assert [r["block_id"] for r in exchange.importable(found).collect()] == ["d"]
+    assert exchange.importable(exchange.resolved(records, blocks, strict=True)).count() == 0
+
+
+def test_decision_counts_on_a_stream(spark, tmp_path):
+    rows = [(k, f"2024-01-01 0{k % 3}:10:00", ["accepted", "odd", None][k % 3], "s", "t", "one", None) for k in range(9)]
+    events = spark.createDataFrame(rows, "event_id int, ts string, change_reason string, suggested string, selected string, suggested_lines string, final_lines string").withColumn("ts", F.to_timestamp("ts"))
+    events.write.parquet(str(tmp_path / "in"))
+    stream = ledger.decision_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("decided").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+        got = sorted(map(tuple, spark.table("decided").collect()))
+    finally:
+        q.stop()
+    assert got == sorted(map(tuple, ledger.decision_counts(events).collect())) and sum(r[-1] for r in got) == 9
+
+
+def test_tag_map_replaces_templates_and_labels(spark):
+    from pyspark.sql import Row
+
+    builtin = [Row(template_id="p", label="soft", ord=0), Row(template_id="q", label="loud", ord=1)]
+    own = spark.createDataFrame([(1, "p", "calm", 0), (1, "z", "loud", 1), (2, "w", None, 0)], "project_id int, template_id string, label string, ord int")
+    got = {tuple(r) for r in exchange.tag_map(builtin, own).collect()}
+    assert got == {(1, "calm", "p"), (1, "loud", "z"), (2, "soft", "p"), (2, "loud", "q")}
