@@ -132,3 +132,11 @@ def pool_health(states: DataFrame, now: float) -> DataFrame:
     cooling = F.col("cooldown_until") > now
     h = states.groupBy("provider").agg(F.count("*").alias("total"), F.count_if(~cooling).alias("active"), F.count_if(cooling).alias("cooling"))
     return h.withColumn("all_healthy", F.col("active") == F.col("total"))
+
+
+def orphan_folders(files: DataFrame, projects: DataFrame) -> DataFrame:
+    """How many folders (the second part of each path) are no project's, their bytes, and megabytes to one place."""
+    folder = F.get(F.split("path", "/"), F.lit(1))
+    per = files.groupBy(folder.alias("project_id")).agg(F.sum("byte_size").alias("bytes"))
+    left = per.where("project_id IS NOT NULL").join(projects.select(F.col("project_id").cast("string").alias("project_id")).distinct(), "project_id", "left_anti")
+    return left.agg(F.count("*").alias("folders"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).withColumn("mb", F.floor(F.col("bytes") / (1024 * 1024) * 10 + 0.5) / 10)

@@ -66,3 +66,5 @@ def _calls(t):
 
 query("l5_key_states")(lambda t: ledger.key_states(_calls(t)))
 query("e16_pool_health")(lambda t: ledger.pool_health(ledger.key_states(_calls(t)), 1706657000.0))
+query("c4_orphan_folders", "SELECT count(DISTINCT storage_key) AS folders, coalesce(sum(byte_size), 0)::BIGINT AS bytes, floor(coalesce(sum(byte_size), 0) / 1048576 * 10 + 0.5::DOUBLE) / 10 AS mb FROM v_assets WHERE split_part(storage_key, '/', 2) NOT IN (SELECT page_id::VARCHAR FROM v_pages WHERE page_id % 4 > 0)")(
+    lambda t: ledger.orphan_folders(t.v_assets.select(F.col("storage_key").alias("path"), "byte_size"), t.v_pages.where("page_id % 4 > 0").select(F.col("page_id").alias("project_id"))))
