@@ -79,10 +79,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns, one for each distinct normalised text.
 
-    Rows that agree in id and text with the winner are repeats of it; one of them stays.
+    Rows that agree in id, length and content with the winner are repeats of it; the one with
+    the smallest hash of all its columns stays.  Each task first combines its own repeats, and
+    rows are dealt once, by keys that the winners share.
     """
-    decided = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("len").alias("__len"), F.col("digest").alias("__digest")).distinct()
+    # nulls get a value of their own, so that grouping and join use one exchange
+    i = [F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"), F.col(id_col).isNull().alias("__null")]
+    keys = ["__id", "__null", "__len", "__digest"]
+    decided = exact_duplicates(docs, id_col, text_col).where("kept").select(*i, F.col("len").alias("__len"), F.col("digest").alias("__digest")).distinct()
     text = text_or_empty(text_col)
-    rows = docs.withColumns({"__id": F.col(id_col), "__len": F.length(text), "__digest": sha256(normalised(text))})
-    same = rows["__id"].eqNullSafe(decided["__id"]) & (rows["__len"] == decided["__len"]) & (rows["__digest"] == decided["__digest"])
-    return rows.join(decided, same, "left_semi").drop("__id", "__len", "__digest")
+    hashed = F.xxhash64(*[c for c, t in docs.dtypes if "map<" not in t])
+    rows = docs.select(*i, F.length(text).alias("__len"), sha256(normalised(text)).alias("__digest"), F.struct(*docs.columns).alias("__row"), hashed.alias("__hash"))
+    one = rows.groupBy(*keys).agg(F.min_by("__row", "__hash").alias("__row"))
+    return one.join(decided, keys, "left_semi").select("__row.*")

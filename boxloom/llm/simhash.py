@@ -112,7 +112,11 @@ def link_fingerprints(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """One row per input row: id, fingerprint (16 hex digits), component_id, text_hash."""
+    """One row per input row: id, fingerprint (16 hex digits), component_id, text_hash, root.
+
+    ``root`` is the smallest fingerprint of the component, which tells components apart whose
+    smallest ids agree or are null.
+    """
     text = text_or_empty(text_col)
     rows = checkpoint(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.pandas_udf(_fingerprints, "long")(text).alias("fp")))
     # each fingerprint becomes 64 keys, so the few bytes of this table must not end in few tasks
@@ -121,25 +125,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(link_fingerprints(fps, bucket), "u", "v").withColumnRenamed("node", "fp")
     nodes = fps.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
-    groups = nodes.join(lows, "root").select("fp", "component_id")
+    groups = nodes.join(lows, "root").select("fp", "component_id", "root")
     return rows.join(groups, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash"
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "root"
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns, one document of each component: the smallest id.
 
-    Where several rows carry that id, the text with the smallest hash stays; rows that agree in
-    both are copies, which an exact pass removes.
+    Where several rows of a component carry that id, the text with the smallest hash stays; rows
+    that agree in both are copies, which an exact pass removes.
     """
     stay = (
         near_duplicates(docs, id_col, text_col)
         .where(F.col(id_col).eqNullSafe(F.col("component_id")))
-        .groupBy(F.col(id_col).alias("__id"), "component_id")
+        .groupBy(F.col(id_col).alias("__id"), "root")
         .agg(F.min("text_hash").alias("__hash"))
-        .drop("component_id")
+        .drop("root")
     )
+    # a text has one fingerprint, so (id, hash of the text) is in one component
     rows = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(text_or_empty(text_col))})
     same = rows["__id"].eqNullSafe(stay["__id"]) & (rows["__hash"] == stay["__hash"])
     return rows.join(stay, same, "left_semi").drop("__id", "__hash")

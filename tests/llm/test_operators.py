@@ -70,6 +70,29 @@ def test_exact_null_id_and_empty(odd, none):
     assert exact.drop_copies(odd.withColumn("digest", F.lit(1))).columns == [*odd.columns, "digest"]
 
 
+def test_drop_copies_leaves_one_of_repeats(spark, odd):
+    data = [*ODD, *[(20, "hot row " * 9, "en", "a", 1)] * 50, *[(None, "no id", "en", "a", 1)] * 5, (None, "no  id", "en", "b", 1), (30, "s p", "en", "a", 1), (30, "sp ", "en", "a", 1)]
+    got = exact.drop_copies(spark.createDataFrame(data, SCHEMA)).collect()
+    norm = lambda t: re.sub("[\x20\x09-\x0d]", "", t or "")
+    best = {}
+    for r in data:
+        best[norm(r[1])] = min(best.get(norm(r[1]), (1, False, 0)), (-len(r[1] or ""), r[0] is None, r[0] or 0))
+    assert sorted(((-len(r.text or ""), r.doc_id is None, r.doc_id or 0), norm(r.text)) for r in got) == sorted((v, k) for k, v in best.items())
+    assert all(tuple(r) in data for r in got)
+
+
+def test_drop_near_copies_leaves_one_of_each_component(spark):
+    data = [*ODD, (None, "a whole other text without an id", "en", "a", 1), (40, "first words of one", "en", "a", 1), (40, "quite different, same id", "en", "a", 1)]
+    fps = {r: simhash.fingerprint(r[1] or "") for r in data}
+    root = by_bits(sorted(set(fps.values())))
+    got = simhash.drop_near_copies(spark.createDataFrame(data, SCHEMA)).distinct().collect()
+    low = {}
+    for r in data:
+        k = root[fps[r]]
+        low[k] = min(low.get(k, (True, 0)), (r[0] is None, r[0] or 0))
+    assert sorted((root[fps[tuple(r)]], (r.doc_id is None, r.doc_id or 0)) for r in got) == sorted(low.items())
+
+
 def by_bits(fps):
     low = {f: f for f in fps}
 
