@@ -166,6 +166,19 @@ def test_language(docs, odd, none):
     assert langid.identify(none, langid.train(none)).count() == 0
 
 
+def test_language_margin_of_long_texts(docs):
+    model = langid.train(docs.where(~langid.held_out()))
+    texts = defaultdict(list)
+    for r in docs.where(langid.held_out() & F.col("lang").isNotNull()).orderBy("doc_id").collect():
+        texts[r.lang].append(r.text or "")
+    classifier, rng = langid.Classifier(model), np.random.default_rng(5)
+    for lang, parts in texts.items():
+        words = " ".join(parts).split()[:20_000]
+        # no stretch of words comes twice, as a copy would compress to nothing
+        (a, short), (b, score) = (classifier.predict(" ".join(rng.choice(words, n))) for n in (4_000, 500_000))
+        assert a == b == lang and score > 0.7 * short > 2 * langid.MARGIN, (lang, short, score)
+
+
 def test_mixing(odd, none, docs):
     got = mixing.taken(odd).collect()
     assert len(got) == len(ODD) and all(0 <= r.taken <= 3 * r.size for r in got)
