@@ -4,7 +4,8 @@ The golden-ratio sequence u_j = frac((j+1)/phi) is mapped through the cumulative
 so that slot j names a source and any run of slots holds the sources in proportion.  A source's
 documents lie in a fixed shuffled order, end to end, repeated for at most ``MAX_EPOCHS`` epochs,
 and are cut into blocks of ``BLOCK`` words; the k-th slot of a source takes its k-th block.  A
-source leaves the schedule when its target is met.  Only DataFrame functions are used.
+source leaves the schedule when its target is met; blocks that a source still lacks when the
+sequence ends follow in slots after it.  Only DataFrame functions are used.
 
 Hot sources: positions within a source are two-level prefix sums, over buckets of the shuffle
 order (aggregated before they meet) and inside one (source, bucket), so that no task sees a
@@ -78,21 +79,33 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) ->
 def schedule(spark, shares: DataFrame, block: int = BLOCK) -> DataFrame:
     """slot, place, rank: the source of each slot, and the how-manieth slot of it this is.
 
+    Every source has a slot for each block of its target: small shares may hold no, or too few,
+    points of the sequence, so what they lack is appended, one source after the other.
+
     ``shares`` has one row per source.  Slots find their share by an equality join on a grid
     cell of u, over which they spread evenly whatever the shares are.
     """
     head = shares.agg(F.ceil(F.max("total") / block).alias("blocks"), F.count("*").alias("sources")).first()
-    # a few slots more than blocks, so that rounding leaves no source short
-    slots = spark.range(int(head["blocks"] or 0) + 4 * head["sources"]).withColumnRenamed("id", "slot")
+    length = int(head["blocks"] or 0) + 4 * head["sources"]
+    slots = spark.range(length).withColumnRenamed("id", "slot")
     j = F.col("slot") + 1
     x = F.shiftright(j, 20) * GOLDEN_20 + (j % (1 << 20)) * GOLDEN
     slots = slots.select("slot", (x - F.floor(x)).alias("u")).withColumn("cell", F.floor(F.col("u") * GRID))
     last = F.least(F.floor(F.col("hi") * GRID), F.lit(GRID - 1))
     cells = shares.where("lo < hi").select("place", "lo", "hi", F.explode(F.sequence(F.least(F.floor(F.col("lo") * GRID), F.lit(GRID - 1)), last)).alias("cell"))
     slots = slots.join(cells, "cell").where("lo <= u and u < hi").select("slot", "place", F.floor(F.col("slot") / RUN).alias("run"))
-    before = prefix_sums(slots.groupBy("place", "run").agg(F.count("*").alias("n")), ["place"], "run", "n", "before")
+    runs = checkpoint(slots.groupBy("place", "run").agg(F.count("*").alias("n")))
+    before = prefix_sums(runs, ["place"], "run", "n", "before")
     ranked = slots.withColumn("in_run", F.row_number().over(Window.partitionBy("place", "run").orderBy("slot")) - 1)
-    return ranked.join(before.drop("n"), ["place", "run"]).select("slot", "place", (F.col("before") + F.col("in_run")).alias("rank"))
+    ranked = ranked.join(before.drop("n"), ["place", "run"]).select("slot", "place", (F.col("before") + F.col("in_run")).alias("rank"))
+    have = F.coalesce("have", F.lit(0))
+    need = F.ceil(F.floor(F.col("target") + 0.5) / block)
+    short = shares.join(runs.groupBy("place").agg(F.sum("n").alias("have")), "place", "left").select("place", have.alias("have"), need.alias("need")).where("have < need")
+    # one row per source
+    earlier = Window.partitionBy(F.lit(0)).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    short = short.withColumn("at", F.coalesce(F.sum(F.col("need") - F.col("have")).over(earlier), F.lit(0)) + length)
+    more = short.select("place", "have", "at", F.explode(F.sequence("have", F.col("need") - 1)).alias("rank"))
+    return ranked.unionByName(more.select((F.col("at") + F.col("rank") - F.col("have")).alias("slot"), "place", "rank"))
 
 
 def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:

@@ -179,6 +179,20 @@ def test_language_margin_of_long_texts(docs):
         assert a == b == lang and score > 0.7 * short > 2 * langid.MARGIN, (lang, short, score)
 
 
+def test_mixing_tiny_sources(spark):
+    data = [(k, "w " * (3 + k % 40), "en", f"tiny{k:03d}", 1) for k in range(150)] + [(1000 + k, "v " * 400, "en", "zz large", 1) for k in range(60)]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = defaultdict(int)
+    target = {}
+    for r in mixing.taken(df).collect():
+        got[r.source] += r.taken
+        target[r.source] = int(r.target + 0.5)
+    assert got == target
+    assert {r.source for r in mixing.mixed(df).select("source").distinct().collect()} == set(target)
+    slots = mixing.mix(df)[1].select("slot", "place").distinct().collect()
+    assert len({r.slot for r in slots}) == len(slots)
+
+
 def test_mixing(odd, none, docs):
     got = mixing.taken(odd).collect()
     assert len(got) == len(ODD) and all(0 <= r.taken <= 3 * r.size for r in got)
