@@ -8,7 +8,9 @@ page layouts writes with known labels; the fixed seed makes training repeatable.
 the best labelling of the whole page, and the blocks labelled as content are joined.
 
 Null and empty pages give an empty text.  Unclosed elements end with the page; stray end tags
-count for nothing.  Repeated rows are treated alike.
+count for nothing.  A head ends at its end tag, or before the first tag or text that cannot stand
+in one; only an unclosed script, style or textarea hides the rest of the page.  Repeated rows are
+treated alike.
 """
 
 from __future__ import annotations
@@ -28,12 +30,17 @@ PAGES = 400
 EPOCHS = 4
 SEED = 11
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|head)\b.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:(script|style|textarea)(?=[\s/>]).*?(?:</\1\s*>|\Z)"
+    # without an end tag the next ones are elements like others, but a select takes its options along
+    r"|(template|svg(?![^<>]*/>))(?=[\s/>]).*?</\2\s*>|(noscript|iframe|select|title)(?=[\s/>])(?:(?!<\3\b).)*?</\3\s*>"
+    r"|(select)(?=[\s/>])[^>]*>(?:[^<]|<(?=/?(?:option|optgroup)\b))*)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Elements that leave a head open.
+_HEAD = frozenset("html head title base basefont bgsound link meta noscript noframes template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -45,6 +52,7 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, str], ...], float]]:
     chain: list[tuple[str, str]] = []
     parts: list[str] = []
     linked = in_link = 0
+    in_head = in_title = False
 
     def flush() -> None:
         nonlocal linked
@@ -57,17 +65,32 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, str], ...], float]]:
     done = 0
     for m in _TOKEN.finditer(page):
         if m.start() > done:
-            parts.append(page[done : m.start()])
-            linked += (m.start() - done) * (in_link > 0)
+            if in_head and not in_title:
+                in_head = page[done : m.start()].isspace()
+            if not in_head:
+                parts.append(page[done : m.start()])
+                linked += (m.start() - done) * (in_link > 0)
         done = m.end()
-        if m[1]:
-            if m[1].lower() in ("select", "textarea", "head", "iframe"):
+        if hidden := m[1] or m[2] or m[3] or m[4]:
+            in_head = in_head and hidden.lower() not in ("select", "textarea", "svg", "iframe")
+            if hidden.lower() in ("select", "textarea", "iframe", "title"):
                 flush()
             continue
-        end, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        end, tag, attributes = (m[5], m[6], m[7]) if m[6] else (m[8], m[9], m[10])
         if not tag:
             continue
         tag = tag.lower()
+        in_title = False
+        if tag == "head":
+            flush()
+            in_head = not end
+            continue
+        if in_head:
+            # stray end tags say nothing; without its end tag a title lasts to the next tag
+            in_head = tag not in ("body", "html", "br") if end else tag in _HEAD
+            in_title = in_head and tag == "title" and not end
+            if in_head:
+                continue
         if tag == "br":
             parts.append(" ")
             continue
@@ -90,7 +113,7 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, str], ...], float]]:
         if tag not in _VOID and not attributes.endswith("/"):
             names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower() if attributes else ""
             chain.append((tag, names))
-    if done < len(page):
+    if done < len(page) and not in_title:
         parts.append(page[done:])
     flush()
     return out

@@ -238,6 +238,22 @@ def test_html():
     assert model.text("") == ""
 
 
+def test_html_without_end_tags():
+    model = htmltext.train()
+    story = '<article class="post"><h1>A title</h1><p>One two three, four five.</p><p>Six seven, eight.</p></article>'
+    want = "A title\nOne two three, four five.\nSix seven, eight."
+    heads = ["<head><title>x</title><body>", "<head><title>x</title><meta charset=a><script>'<p>no</p>'</script>", "<head><title>x</title></head><body>", "<title>x</title>", "<head><title>x<body>", "<head>\n<style>p > a {}</style><link rel=x>\n<body>"]
+    for head in heads:
+        assert model.text(f"<html>{head}{story}") == want, head
+    for tag in ("noscript", "iframe src=x", "template", "svg", "svg width=1 /", "select><option>A<option>B</option", "select"):
+        assert model.text(f"<html><head></head><body><{tag}>{story}") == want, tag
+        assert model.text(f"<html><head></head><body>{story}<div><{tag}></div>") == want, tag
+    for tag in ("noscript", "iframe", "template", "svg", "select", "script", "style", "textarea"):
+        assert model.text(f"<body><{tag}><p>hidden words</p></{tag}>{story}") == want, tag
+    for tag in ("script", "style", "textarea"):
+        assert model.text(f"<body>{story}<{tag}><p>hidden words, not shown.</p>") == want, tag
+
+
 def test_html_table(spark, odd):
     got = htmltext.main_text(odd, "text", "main").collect()
     assert len(got) == len(ODD) and all(r.main is not None for r in got)
