@@ -83,12 +83,15 @@ FROM m
 
 _TOOLCALLS = """
 WITH c AS (SELECT conv_id, turn, role, text, CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS call FROM conversations),
-q AS (SELECT DISTINCT conv_id, turn AS call FROM conversations WHERE role = 'user'),
+q AS (SELECT conv_id, turn AS call, lag(turn) OVER w AS last, rank() OVER w - 1 AS level FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'user') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 a AS (SELECT DISTINCT conv_id, turn - 1 AS call FROM conversations WHERE role = 'assistant'),
-j AS (SELECT c.*, CASE WHEN c.call IS NULL THEN NULL WHEN q.call IS NULL THEN 'orphan' WHEN a.call IS NULL THEN 'unanswered' ELSE 'linked' END AS state, CASE WHEN q.call IS NOT NULL THEN 0 END AS level
+j AS (SELECT c.*, q.last, CASE WHEN c.call IS NULL THEN NULL WHEN q.call IS NULL THEN 'orphan' WHEN a.call IS NULL THEN 'unanswered' ELSE 'linked' END AS state, CAST(q.level AS INTEGER) AS level,
+        CASE WHEN role = 'user' THEN json_object('text', text) END AS arguments
       FROM c LEFT JOIN q ON c.conv_id IS NOT DISTINCT FROM q.conv_id AND c.call = q.call LEFT JOIN a ON c.conv_id IS NOT DISTINCT FROM a.conv_id AND c.call = a.call)
-SELECT conv_id, turn, role, CAST(call AS VARCHAR) AS call_id, state, level, CASE WHEN role = 'user' THEN text IS NOT NULL END AS valid,
-  concat('{"content":', coalesce(CAST(to_json(text) AS VARCHAR), 'null'), ',"id":', coalesce('"' || call || '"', 'null'), ',"role":', coalesce('"' || role || '"', 'null'), ',"state":', coalesce('"' || state || '"', 'null'), ',"turn":', coalesce(CAST(turn AS VARCHAR), 'null'), '}') AS json,
+SELECT conv_id, turn, role, CAST(call AS VARCHAR) AS call_id, state, level, CASE WHEN role = 'user' THEN json_type(arguments, '$.text') = 'VARCHAR' END AS valid,
+  concat('{', CASE WHEN role = 'user' THEN concat('"arguments":{', coalesce('"history":{"$call":"' || last || '"},', ''), CASE WHEN text IS NOT NULL THEN concat('"text":', CAST(to_json(text) AS VARCHAR)) ELSE '' END, '}')
+      ELSE concat('"content":', coalesce(CAST(to_json(text) AS VARCHAR), 'null')) END,
+    ',"id":', coalesce('"' || call || '"', 'null'), CASE WHEN role = 'user' THEN ',"name":"reply"' ELSE '' END, ',"role":', coalesce('"' || role || '"', 'null'), ',"state":', coalesce('"' || state || '"', 'null'), ',"turn":', coalesce(CAST(turn AS VARCHAR), 'null'), '}') AS json,
   rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos
 FROM j
 """
