@@ -7,10 +7,10 @@ by which the runner-up is longer; a narrow one is a rejection.  As a dictionary
 of bytes that hardly grows with what follows it, one block for a long text would let the margin
 shrink with the length; over blocks it does not.
 
-Training takes at most ``SAMPLE_DOCS`` labelled documents per language (those with the smallest
-md5 of their id, so any order of rows gives the same) and at most ``SAMPLE_CHARS`` characters of
-each, from the middle: a model of at most ``SAMPLE_DOCS * SAMPLE_CHARS`` characters per language.
-Prediction reads nothing but the text, and all of it.
+Training takes whole labelled texts: of each language the ``SAMPLE_DOCS`` documents with the smallest md5 of
+their id (so any order of rows gives the same), and of these those of an eighth of ``SAMPLE_CHARS`` characters or
+less, in that order, while they fit in ``SAMPLE_CHARS`` together; only the shortest if all are longer.  Documents that
+repeat an id count as one, with the greatest of their texts.  Prediction reads nothing but the text, and all of it.
 
 Null texts and texts without a letter are ``und`` with score 0, and rejected.  Ties go to the
 language with more labelled documents, with score 0, and are rejected.  With no labelled text at all
@@ -26,8 +26,8 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SAMPLE_DOCS = 64
-SAMPLE_CHARS = 1024
+SAMPLE_DOCS = 256
+SAMPLE_CHARS = 96 << 10
 LEVEL = 5
 #: Bytes that one fresh dictionary serves.
 BLOCK = 1 << 14
@@ -37,22 +37,26 @@ UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = SAMPLE_DOCS, chars_per_doc: int = SAMPLE_CHARS) -> dict[str, bytes]:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = SAMPLE_DOCS, chars_per_lang: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """The dictionaries, the language with most documents first.  Only ids and labels are sorted; the texts of the chosen rows follow."""
-    labelled = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) >= 32))
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.md5(F.concat_ws("-", F.lit("sample"), F.col(id_col).cast("string"))).alias("key"))
-    chosen = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))).where(F.col("k") <= docs_per_lang)
-    # at most docs_per_lang rows per language
-    chosen = F.broadcast(chosen.select("lang", "id", "key").distinct())
-    middle = F.greatest(F.lit(1), (F.length("text") - chars_per_doc) / 2).cast("int")
-    texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    parts = texts.join(chosen, ["lang", "id"]).select("lang", "key", F.substring("text", middle, F.lit(chars_per_doc)).alias("part"))
-    by_lang: dict[str, dict[str, str]] = {}
-    for r in parts.collect():
-        of = by_lang.setdefault(r["lang"], {})
-        of[r["key"]] = max(of.get(r["key"], ""), r["part"])
-    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
-    return {k: " ".join(letters(p) for _, p in sorted(v.items())).encode() for k, v in sorted(by_lang.items(), key=lambda x: (-n[x[0]], x[0]))}
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    key = F.md5(F.concat_ws("-", F.lit("sample"), F.col("id").cast("string")))
+    ids = labelled.groupBy("lang", "id").agg(F.count("*").alias("n")).withColumn("key", key)
+    few = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("k") <= docs_per_lang)
+    # docs_per_lang rows of a language at most
+    few = F.broadcast(few.select(F.col("lang").alias("of"), F.col("id").alias("one"), "key"))
+    texts = labelled.join(few, (F.col("lang") == F.col("of")) & F.col("id").eqNullSafe(F.col("one"))).groupBy("lang", "key").agg(F.max("text").alias("text"))
+    size = F.length("text")
+    short = size <= chars_per_lang // 8
+    lang = Window.partitionBy("lang")
+    upto = F.sum(F.when(short, size)).over(lang.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    least = F.row_number().over(lang.orderBy(size, "key"))
+    texts = texts.withColumns({"fits": short & (upto <= chars_per_lang), "some": F.bool_or(short).over(lang), "least": least})
+    by_lang: dict[str, list[str]] = {}
+    for r in texts.where("fits or not some and least = 1").select("lang", "key", "text").orderBy("lang", "key").collect():
+        by_lang.setdefault(r["lang"], []).append(letters(r["text"]))
+    n = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per language
+    return {k: " ".join(v).encode("utf-8", "surrogatepass") for k, v in sorted(by_lang.items(), key=lambda x: (-n[x[0]], x[0]))}
 
 
 def letters(text: str) -> str:
