@@ -13,9 +13,11 @@ once and stored in the shared folder.  Scores are exact inner products of the or
 in double precision.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, neither
-as queries nor as candidates.  Vectors are only compared with vectors of the same length.  A
-query is no candidate of its own; rows that repeat an id count as the same vector.  Ties go to
-the smaller id.  With fewer than k candidates all are returned.
+as queries nor as candidates.  Vectors are only compared with vectors of the same length.  Rows that
+agree in id and vector are one; rows that agree in the id only are vectors, and queries, of their own, with
+a list each, and none is a candidate of the other.  Ties go to the smaller id.  With fewer than k
+candidates all are returned.  Where components are so large that products overflow, all vectors are
+scaled by one power of two for the search, and scores may be infinite.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from .common import checkpoint
 K = 20
 #: Vectors of a tree and queries of a block, on average.
 SHARD = 16_384
-BLOCK = 2_048
+BLOCK = 8_192
 #: Points of a leaf.
 LEAF = 256
 FACTOR = 0.2
@@ -97,8 +99,9 @@ class Search:
         near = d <= cut
         self._visit(inside, qs[near])
         self._visit(outside, qs[~near])
-        # the other side only where the ball reaches over the shell
-        far = np.abs(d - cut) <= self.factor * self.radius[qs] + 1e-9
+        # the other side only where the ball reaches over the shell, but for what rounding does to distances
+        slack = 1e-7 * np.sqrt(len(p) * (self.sq[qs] + self.top))
+        far = np.abs(d - cut) <= self.factor * self.radius[qs] + slack
         self._visit(outside, qs[near & far])
         self._visit(inside, qs[~near & far])
 
@@ -127,12 +130,12 @@ class Search:
     top = 0.0
 
 
-def build_trees(x: DataFrame, shards: int, top: float, leaf: int = LEAF) -> DataFrame:
-    """dim, shard, tree: one pickled tree per shard of the usable vectors."""
+def build_trees(x: DataFrame, shards: int, top: float, leaf: int = LEAF, scale: int = 0) -> DataFrame:
+    """dim, shard, tree: one pickled tree per shard of the usable vectors, over 2**scale."""
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").sort_values("id")
-        vectors = np.stack(pdf.v.to_numpy())
+        pdf = pdf.sort_values(["id", "hash"])
+        vectors = np.ldexp(np.stack(pdf.v.to_numpy()), -scale)
         lift = np.sqrt(np.maximum(0, top - (vectors * vectors).sum(axis=1)))
         tree = build(np.hstack([vectors, lift[:, None]]), int(key[1]), leaf)
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [pickle.dumps((pdf.id.to_numpy(), vectors, lift, tree))]})
@@ -146,12 +149,14 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
 
     ``is_query`` is a condition on the column ``id``.
     """
-    x = usable(vectors, id_col, vec_col)
-    norm = F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)
+    x = usable(vectors, id_col, vec_col).dropDuplicates(["id", "v"]).withColumn("hash", F.xxhash64("v"))
+    largest = x.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0.0
+    scale = int(np.frexp(largest)[1]) if largest > 2.0**400 else 0
+    norm = F.aggregate("v", F.lit(0.0), lambda a, b: a + (b * 2.0**-scale) * (b * 2.0**-scale))
     n, top = x.agg(F.count("*"), F.max(norm)).first()
     shards = max(1, -(-n // shard))
-    trees = checkpoint(build_trees(x, shards, top or 0.0, leaf))
-    queries = x.where(is_query).dropDuplicates(["id", "dim"])
+    trees = checkpoint(build_trees(x, shards, top or 0.0, leaf, scale))
+    queries = x.where(is_query)
     blocks = max(1, -(-queries.count() // block))
     # each query goes to each shard, in blocks of bounded size
     q = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
@@ -159,14 +164,17 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "hash": [], "vec_id": [], "score": []})
         s = Search(*pickle.loads(right.tree.iloc[0]), k, factor)
         s.top = top
         qids = left.id.to_numpy()
-        score, found = s.run(qids, np.stack(left.v.to_numpy()))
-        out = pd.DataFrame({"query_id": np.repeat(qids, k), "vec_id": found.ravel(), "score": score.ravel()})
-        return out[np.isfinite(out.score)]
-
-    found = q.groupBy("dim", "shard", "block").cogroup(t.groupBy("dim", "shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        score, found = s.run(qids, np.ldexp(np.stack(left.v.to_numpy()), -scale))
+        out = pd.DataFrame({"query_id": np.repeat(qids, k), "hash": np.repeat(left.hash.to_numpy(), k), "vec_id": found.ravel(), "score": score.ravel()})
+        out = out[np.isfinite(out.score)]
+        # an exact power of two, beyond what doubles hold at worst
+        with np.errstate(over="ignore"):
+            return out.assign(score=np.ldexp(out.score, 2 * scale))
+
+    found = q.groupBy("dim", "shard", "block").cogroup(t.groupBy("dim", "shard", "block")).applyInPandas(search, "query_id long, hash long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "hash").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
