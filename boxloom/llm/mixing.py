@@ -114,7 +114,7 @@ def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text_col).alias("size"), F.xxhash64(text_col).alias("text_hash"), key.alias("key"))
     d = checkpoint(d.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)))
     before = prefix_sums(d.groupBy("source", "bucket").agg(F.sum("size").alias("n")), ["source"], "bucket", "n", "before")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     same = d["source"].eqNullSafe(before["source"]) & (d["bucket"] == before["bucket"])
     return d.join(before.drop("n"), same).select("id", d["source"], "size", "text_hash", (F.col("before") + F.col("inside")).alias("start"))
