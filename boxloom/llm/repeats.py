@@ -8,12 +8,14 @@ lets Spark's external sort do it, and only for the suffixes that can matter:
    hash, the first of equals.  Equal windows have equal anchors at equal places, so windows
    only need comparing under one anchor.  A run of windows with one anchor is a context.
 2. Each task settles equal contexts among its own documents, all but the first of which are
-   repeats.  The others are sorted by anchor, and those whose anchor comes once are done.
-3. The bytes of what is left are dealt by anchor and sorted by (anchor, document, start).  Of equal contexts
-   all but the first are repeats; where an anchor has several contents, of equal windows.
-
-Hashes only bring together what may be equal: each removal rests on a comparison of bytes.
-Anchors with more than ``HOT`` contexts are dealt by window instead, which no number of different
+   repeats.  The others are sorted by (anchor, content, document, start), and all but the first of
+   equal contexts are repeats.  An anchor with one content needs nothing more.
+3. Where an anchor has several contents, the bytes of each one's first occurrence are dealt by anchor
+   and sorted by (anchor, document, start), and all but the first of equal windows are repeats.
+
+Within a task and among windows, hashes only bring together what may be equal, and bytes decide.
+Contexts of different tasks are equal if 147 bits agree: 64 of the anchor, 64 and 19 more of the content.
+Anchors with more than ``HOT`` contents are dealt by window instead, which no number of different
 contents under one anchor can make hot.  Every pass streams over sorted partitions and holds
 a bounded part, and of a string that goes on beyond it the different contents.
 
@@ -45,6 +47,8 @@ SHARD = 1 << 21
 SETTLE = 200_000
 #: Flags of a packed run of windows.
 SETTLED, HOT_FLAG = 1, 2
+#: Starts take 36 bits.  Above them, from bit 45 on, contexts carry 19 bits of a second hash.
+EXTRA = 36
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -81,7 +85,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(raw: np.ndarray, length: int = LENGTH, k: int = K):
-    """anchor hash, content hash, first window start and number of windows of each context."""
+    """anchor hash, content hash, 19 bits of another, first window start and number of windows of each context."""
     out = []
     for base in range(0, max(len(raw) - length + 1, 0), SEGMENT - length):
         seg = raw[base : base + SEGMENT]
@@ -94,8 +98,12 @@ def contexts(raw: np.ndarray, length: int = LENGTH, k: int = K):
         least = least[: SEGMENT - length]  # later windows belong to the next segment
         first = np.flatnonzero(np.diff(least, prepend=-1))
         count = np.diff(first, append=len(least))
-        out.append((x[least[first]].view(np.int64), h.of(first, first + count - 1 + length).view(np.int64), first + base, count))
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+        content = h.of(first, first + count - 1 + length)
+        # a second hash, of the parts before and after the middle
+        half = first + (count - 1 + length) // 2
+        extra = (h.of(first, half) * _MIX ^ h.of(half, first + count - 1 + length)) * _MIX >> np.uint64(45)
+        out.append((x[least[first]].view(np.int64), content.view(np.int64), extra.astype(np.int64), first + base, count))
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
 
 
 def _bytes(text: str) -> np.ndarray:
@@ -108,7 +116,7 @@ def packed(start: np.ndarray, count: np.ndarray, flags=0) -> np.ndarray:
 
 
 def _start(at: np.ndarray) -> np.ndarray:
-    return at >> 9
+    return at >> 9 & (1 << EXTRA) - 1
 
 
 def _count(at: np.ndarray) -> np.ndarray:
@@ -160,15 +168,15 @@ def _longs(b: pa.RecordBatch, n: int) -> list[np.ndarray]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, doc, mark, at of the contexts of (doc, mark, text)."""
+    """anchor, content, doc, mark, at of the contexts of (doc, mark, text)."""
     for b in batches:
         docs, marks = _longs(b, 2)
         parts, raws, held, base = [], [], 0, 0
         for k, text in enumerate(b.column(2)):
             raw = _bytes(text.as_py())
-            anchor, content, start, count = contexts(raw)
+            anchor, content, extra, start, count = contexts(raw)
             if len(anchor):
-                parts.append((anchor, content, np.full(len(anchor), docs[k]), np.full(len(anchor), marks[k]), start, count, start + base))
+                parts.append((anchor, content, extra, np.full(len(anchor), docs[k]), np.full(len(anchor), marks[k]), start, count, start + base))
                 raws.append(raw)
                 held, base = held + len(anchor), base + len(raw)
             if parts and (held > SETTLE or k + 1 == b.num_rows):
@@ -183,10 +191,10 @@ def _settled(parts: list, raws: list) -> pa.RecordBatch:
 
     Settled contexts only pass through what follows, so they are dealt by a hash of their place.
     """
-    anchor, content, doc, mark, start, count, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+    anchor, content, extra, doc, mark, start, count, place = (np.concatenate(c) for c in zip(*parts, strict=True))
     raw = np.concatenate(raws)
     order = np.lexsort((start, mark, doc))
-    anchor, content, doc, mark, start, count, place = (c[order] for c in (anchor, content, doc, mark, start, count, place))
+    anchor, content, extra, doc, mark, start, count, place = (c[order] for c in (anchor, content, extra, doc, mark, start, count, place))
     first = firsts(raw, place, count + LENGTH - 1, content ^ anchor)
     own = (doc == doc[first]) & (mark == mark[first]) & (start == start[first])
     settled = ~own
@@ -194,7 +202,8 @@ def _settled(parts: list, raws: list) -> pa.RecordBatch:
     anchor = np.where(settled, spread.view(np.int64), anchor)
     # rows that repeat a whole document say nothing new
     keep = settled | (first == np.arange(len(first)))
-    return _batch(["anchor", "doc", "mark", "at"], [c[keep] for c in (anchor, doc, mark, packed(start, count, settled * SETTLED))])
+    at = packed(start, count, settled * SETTLED) | np.where(settled, 0, extra << 45)
+    return _batch(["anchor", "content", "doc", "mark", "at"], [c[keep] for c in (anchor, np.where(settled, 0, content), doc, mark, at)])
 
 
 def _batch(names: list[str], columns: list) -> pa.RecordBatch:
@@ -202,29 +211,44 @@ def _batch(names: list[str], columns: list) -> pa.RecordBatch:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of contexts sorted by anchor those that are settled, or whose anchor comes more than once."""
+    """Of contexts sorted by (anchor, content): the repeats, settled, and the first of each content
+    of an anchor that has several."""
     names = ["anchor", "doc", "mark", "at"]
-    held, hot = None, None  # the rows of the newest anchor, or the anchor itself if it is hot
+    last = lead = None  # the content before; where its first context is
+    held, hot = None, None  # the first contexts of the newest anchor, or the anchor itself if it is hot
     for b in batches:
-        rows = _longs(b, 4)
-        settled = rows[3] & SETTLED > 0
+        anchor, content, doc, mark, at = _longs(b, 5)
+        settled = at & SETTLED > 0
         if settled.any():
-            yield _batch(names, [c[settled] for c in rows])
-            rows = [c[~settled] for c in rows]
+            yield _batch(names, [np.zeros(settled.sum(), np.int64), doc[settled], mark[settled], at[settled]])
+            anchor, content, doc, mark, at = (c[~settled] for c in (anchor, content, doc, mark, at))
+        if not len(anchor):
+            continue
+        extra, at = at >> 45, at & (1 << 45) - 1
+        begins = np.append(True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (extra[1:] != extra[:-1]))
+        begins[0] = (anchor[0], content[0], extra[0]) != last
+        last = anchor[-1], content[-1], extra[-1]
+        heads, run = np.flatnonzero(begins), np.cumsum(begins) - 1
+        first = [doc[heads], mark[heads], at[heads]]
+        if run[0] < 0:
+            first, run = [np.append(x, c) for x, c in zip(lead, first, strict=True)], run + 1
+        lead = [c[-1] for c in first]
+        repeat = ~begins & ((doc != first[0][run]) | (mark != first[1][run]) | (at != first[2][run]))
+        yield _batch(names, [np.zeros(repeat.sum(), np.int64), doc[repeat], mark[repeat], at[repeat] | SETTLED])
+        rows = [c[heads] for c in (anchor, doc, mark, at)]
         if held is not None:
             rows = [np.append(x, y) for x, y in zip(held, rows, strict=True)]
         if not len(rows[0]):
             continue
-        begins = np.append(True, rows[0][1:] != rows[0][:-1])
-        run = np.cumsum(begins) - 1
+        run = np.cumsum(np.append(True, rows[0][1:] != rows[0][:-1])) - 1
         size = np.bincount(run)
         is_hot = size > HOT
         if hot is not None and rows[0][0] == hot:
             is_hot[0] = True
         hot = rows[0][-1] if is_hot[-1] else None
-        last = (run == run[-1]) & (hot is None)
-        held = [c[last] for c in rows]
-        out = ((size > 1) | is_hot)[run] & ~last
+        newest = (run == run[-1]) & (hot is None)
+        held = [c[newest] for c in rows]
+        out = ((size > 1) | is_hot)[run] & ~newest
         rows[3] = rows[3] | is_hot[run] * HOT_FLAG
         yield _batch(names, [c[out] for c in rows])
     if held is not None and len(held[0]) > 1:
@@ -255,7 +279,10 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 every = _expanded(_start(at[hot]), _count(at[hot]))
                 hashes = np.concatenate([_window_hashes(raw, every[k : k + SEGMENT]) for k in range(0, len(every), SEGMENT)])
                 key, at = np.append(key[~hot], hashes), np.append(at[~hot], packed(every, 1))
-            size = np.where(at & SETTLED, 0, LENGTH - 1 + _count(at))
+            settled = at & SETTLED > 0
+            # settled ones only pass through, dealt by a hash of their place
+            key = np.where(settled, (_start(at).view(np.uint64) * _MIX ^ np.uint64(docs[k].view(np.uint64))).view(np.int64), key)
+            size = np.where(settled, 0, LENGTH - 1 + _count(at))
             for low in range(0, len(at), 1 << 14):
                 part = slice(low, low + (1 << 14))
                 data = _cut_out(raw, _start(at[part]), size[part])
@@ -349,8 +376,8 @@ def repeats(rows: DataFrame) -> DataFrame:
     ``rows`` comes from ``keyed``.  Texts are dealt by (doc, mark) with all their columns, just
     as ``remove_repeats`` needs them again, so that Spark reuses that one exchange.
     """
-    found = rows.select("doc", "mark", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(_contexts, "anchor long, doc long, mark long, at long")
-    found = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_met, "anchor long, doc long, mark long, at long")
+    found = rows.select("doc", "mark", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(_contexts, "anchor long, content long, doc long, mark long, at long")
+    found = found.repartition("anchor").sortWithinPartitions("anchor", "content", F.shiftrightunsigned("at", 45), "doc", "mark", "at").mapInArrow(_met, "anchor long, doc long, mark long, at long")
     found = found.groupBy("doc", "mark").agg(F.collect_list(F.struct("at", "anchor")).alias("found"))
     strings = rows.join(found, ["doc", "mark"]).select("doc", "mark", "text", "found", "id").mapInArrow(_strings, "key long, doc long, mark long, at long, bytes binary")
     return strings.repartition("key").sortWithinPartitions("key", "doc", "mark", "at").mapInArrow(_compared, "doc long, mark long, at long")

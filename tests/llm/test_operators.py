@@ -321,7 +321,7 @@ def test_repeats_over_segments(spark, monkeypatch):
     whole = repeats.contexts(repeats._bytes(text))
     monkeypatch.setattr(repeats, "SEGMENT", 1 << 10)
     cut = repeats.contexts(repeats._bytes(text))
-    assert whole[3].sum() == cut[3].sum() == len(text) - 99
+    assert whole[4].sum() == cut[4].sum() == len(text) - 99
 
 
 def test_html():
