@@ -14,7 +14,7 @@ lets Spark's external sort do it, and only for the suffixes that can matter:
    and sorted by (anchor, document, start), and all but the first of equal windows are repeats.
 
 Within a task and among windows, hashes only bring together what may be equal, and bytes decide.
-Contexts of different tasks are equal if 147 bits agree: 64 of the anchor, 64 and 19 more of the content.
+Contexts of different tasks are equal if 146 bits agree: 64 of the anchor, 64 and 18 more of the content.
 Anchors with more than ``HOT`` contents are dealt by window instead, which no number of different
 contents under one anchor can make hot.  Every pass streams over sorted partitions and holds
 a bounded part, and of a string that goes on beyond it the different contents.
@@ -45,10 +45,12 @@ HOT = 1 << 12
 #: Bytes that are compared at a time, and contexts that a task collects before it settles them.
 SHARD = 1 << 21
 SETTLE = 200_000
+#: Windows of one packed run.
+MOST = 1 << 24
 #: Flags of a packed run of windows.
 SETTLED, HOT_FLAG = 1, 2
-#: Starts take 36 bits.  Above them, from bit 45 on, contexts carry 19 bits of a second hash.
-EXTRA = 36
+#: Starts take 36 bits, counts 25.  Contexts need 7 bits of these, and carry a second hash in the upper 18.
+EXTRA = 9
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -85,7 +87,7 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(raw: np.ndarray, length: int = LENGTH, k: int = K):
-    """anchor hash, content hash, 19 bits of another, first window start and number of windows of each context."""
+    """anchor hash, content hash, 18 bits of another, first window start and number of windows of each context."""
     out = []
     for base in range(0, max(len(raw) - length + 1, 0), SEGMENT - length):
         seg = raw[base : base + SEGMENT]
@@ -101,7 +103,7 @@ def contexts(raw: np.ndarray, length: int = LENGTH, k: int = K):
         content = h.of(first, first + count - 1 + length)
         # a second hash, of the parts before and after the middle
         half = first + (count - 1 + length) // 2
-        extra = (h.of(first, half) * _MIX ^ h.of(half, first + count - 1 + length)) * _MIX >> np.uint64(45)
+        extra = (h.of(first, half) * _MIX ^ h.of(half, first + count - 1 + length)) * _MIX >> np.uint64(46)
         out.append((x[least[first]].view(np.int64), content.view(np.int64), extra.astype(np.int64), first + base, count))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
 
@@ -112,15 +114,15 @@ def _bytes(text: str) -> np.ndarray:
 
 def packed(start: np.ndarray, count: np.ndarray, flags=0) -> np.ndarray:
     """A run of windows: its first start, how many, and flags."""
-    return start << 9 | count << 2 | flags
+    return start << 27 | count << 2 | flags
 
 
 def _start(at: np.ndarray) -> np.ndarray:
-    return at >> 9 & (1 << EXTRA) - 1
+    return at >> 27
 
 
 def _count(at: np.ndarray) -> np.ndarray:
-    return at >> 2 & 127
+    return at >> 2 & (1 << 25) - 1
 
 
 def _expanded(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -202,7 +204,7 @@ def _settled(parts: list, raws: list) -> pa.RecordBatch:
     anchor = np.where(settled, spread.view(np.int64), anchor)
     # rows that repeat a whole document say nothing new
     keep = settled | (first == np.arange(len(first)))
-    at = packed(start, count, settled * SETTLED) | np.where(settled, 0, extra << 45)
+    at = packed(start, count, settled * SETTLED) | np.where(settled, 0, extra << EXTRA)
     return _batch(["anchor", "content", "doc", "mark", "at"], [c[keep] for c in (anchor, np.where(settled, 0, content), doc, mark, at)])
 
 
@@ -224,7 +226,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             anchor, content, doc, mark, at = (c[~settled] for c in (anchor, content, doc, mark, at))
         if not len(anchor):
             continue
-        extra, at = at >> 45, at & (1 << 45) - 1
+        extra = at >> EXTRA & (1 << 18) - 1
+        at = at ^ extra << EXTRA
         begins = np.append(True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]) | (extra[1:] != extra[:-1]))
         begins[0] = (anchor[0], content[0], extra[0]) != last
         last = anchor[-1], content[-1], extra[-1]
@@ -280,8 +283,12 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashes = np.concatenate([_window_hashes(raw, every[k : k + SEGMENT]) for k in range(0, len(every), SEGMENT)])
                 key, at = np.append(key[~hot], hashes), np.append(at[~hot], packed(every, 1))
             settled = at & SETTLED > 0
-            # settled ones only pass through, dealt by a hash of their place
-            key = np.where(settled, (_start(at).view(np.uint64) * _MIX ^ np.uint64(docs[k].view(np.uint64))).view(np.int64), key)
+            if settled.any():
+                # settled ones only pass through: neighbours as one, dealt by a hash of the document
+                runs = _merged(_start(at[settled]), _count(at[settled])) | SETTLED
+                own = np.array([docs[k]], np.int64).view(np.uint64) * _MIX
+                key, at = np.append(key[~settled], np.repeat((own ^ own >> np.uint64(29)).view(np.int64), len(runs))), np.append(at[~settled], runs)
+                settled = at & SETTLED > 0
             size = np.where(settled, 0, LENGTH - 1 + _count(at))
             for low in range(0, len(at), 1 << 14):
                 part = slice(low, low + (1 << 14))
@@ -295,6 +302,16 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(names, _with_bytes(parts))
 
 
+def _merged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Runs of windows, in order, with those that follow each other made one."""
+    begins = np.flatnonzero(np.append(True, start[1:] != start[:-1] + count[:-1]))
+    total = np.add.reduceat(count, begins)
+    # a count has 25 bits
+    pieces = -(-total // MOST)
+    first = np.repeat(start[begins], pieces) + (_expanded(np.zeros(len(pieces), np.int64), pieces) * MOST)
+    return packed(first, np.minimum(np.repeat(start[begins] + total, pieces) - first, MOST))
+
+
 def _window_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     data = _cut_out(raw, starts, np.full(len(starts), LENGTH))
     h = np.zeros(len(starts), np.uint64)
@@ -377,7 +394,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     as ``remove_repeats`` needs them again, so that Spark reuses that one exchange.
     """
     found = rows.select("doc", "mark", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(_contexts, "anchor long, content long, doc long, mark long, at long")
-    found = found.repartition("anchor").sortWithinPartitions("anchor", "content", F.shiftrightunsigned("at", 45), "doc", "mark", "at").mapInArrow(_met, "anchor long, doc long, mark long, at long")
+    found = found.repartition("anchor").sortWithinPartitions("anchor", "content", F.shiftright("at", EXTRA).bitwiseAND(F.lit((1 << 18) - 1)), "doc", "mark", "at").mapInArrow(_met, "anchor long, doc long, mark long, at long")
     found = found.groupBy("doc", "mark").agg(F.collect_list(F.struct("at", "anchor")).alias("found"))
     strings = rows.join(found, ["doc", "mark"]).select("doc", "mark", "text", "found", "id").mapInArrow(_strings, "key long, doc long, mark long, at long, bytes binary")
     return strings.repartition("key").sortWithinPartitions("key", "doc", "mark", "at").mapInArrow(_compared, "doc long, mark long, at long")
