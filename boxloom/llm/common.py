@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 SPACE = r"[\x20\x09-\x0D]"
 
 
+#: Words of a bitmap.
+WORDS = 1 << 16
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -44,6 +48,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def marked(rows: DataFrame, hashes: DataFrame, col: str, out: str) -> DataFrame:
+    """Adds ``out``: false where the long ``col`` is surely none of those in ``hashes`` (one column).
+
+    The test is a bitmap of ``64 * WORDS`` bits, so what is broadcast has ``WORDS`` rows at most, however many hashes
+    there are; with very many of them it only lets more rows through.
+    """
+    h = F.col(hashes.columns[0])
+    word = lambda c: F.pmod(F.shiftright(c, 6), F.lit(WORDS))
+    bit = lambda c: c.bitwiseAND(F.lit(63)).cast("int")
+    bits = hashes.groupBy(word(h).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(h))).alias("__bits"))
+    got = rows.withColumn("__w", word(F.col(col))).join(F.broadcast(bits), F.col("__w") == F.col("__word"), "left")
+    return got.withColumn(out, F.coalesce(F.call_function("getbit", F.col("__bits"), bit(F.col(col))) == 1, F.lit(False))).drop("__w", "__word", "__bits")
+
+
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -36,7 +36,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpoint, stored, text_or_empty
+from .common import checkpoint, marked, stored, text_or_empty
 from .components import connected_components
 
 SEED = 42
@@ -48,6 +48,8 @@ NEAR_WORDS = 5
 SIMILARITY = 0.8
 #: Symbols of a signature, and of one segment of it.
 SYMBOLS, SEGMENT = 24, 6
+#: How many times more leaders of a key each round has.
+MORE = 8
 #: Parts into which the comparisons with one document are split.
 SALTS = 64
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -196,9 +198,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, hash (of the text), covered: whether another document that is near, and before it, stands for it.
 
     Documents that share a key are candidates.  Before others come those with more candidates, then
-    smaller ids.  In each round the first of a key is compared with the others of the key that
-    nobody stands for yet, and leaves it, until no key has two such documents left.  So of two
-    documents that share a key and that nobody stands for none is near the other, and a
+    smaller ids.  A round chooses leaders of each key, compares each with all later members of the key
+    that nobody stands for yet, and takes the leaders out of the key.  There is one leader of a key at first, and ``MORE``
+    times as many in each round after, so few rounds are left for keys with many that are not near.  In the end
+    of two documents that share a key and that nobody stands for none is near the other, and a
     chain of near documents leads from every covered one to one that is not.
     """
     text = text_or_empty(text_col)
@@ -214,22 +217,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = checkpoint(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), keys(text).alias("keys")).withColumn("node", F.monotonically_increasing_id()))
     members = rows.select("node", F.explode("keys").alias("key"))
     members = checkpoint(members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
-    order = members.groupBy("node").agg(F.sum("n").alias("support"))
-    candidates = stored(order.join(rows.select("node", "id", "hash"), "node"))
-    found = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), text.alias("__text"))
+    candidates = stored(members.groupBy("node").agg(F.sum("n").alias("support")).join(rows.select("node", "id", "hash"), "node"))
+    found = marked(docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), text.alias("__text")), candidates.select("hash"), "__hash", "__maybe")
     same = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__hash") == F.col("hash"))
     # rows that agree in id and text match each other's nodes; one set for each node is enough
-    sets = checkpoint(found.join(candidates, same).dropDuplicates(["node"]).select("node", hashes("__text").alias("h")))
-    left = members.join(candidates.select("node", F.struct("support", (-F.col("id")).alias("neg"), "node").alias("order")), "node").select("key", "node", "order")
-    covered = None
+    sets = stored(found.where("__maybe").join(candidates, same).dropDuplicates(["node"]).select("node", hashes("__text").alias("h")))
+    left = stored(members.join(candidates.select("node", F.struct("support", (-F.col("id")).alias("neg"), "node").alias("order")), "node").select("key", "node", "order"))
+    covered, leaders = None, 1
     while True:
-        reps = left.groupBy("key").agg(F.max("order").alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.node").alias("rep"))
-        left = checkpoint(left.join(reps, "key").where("node <> rep"))
-        if left.isEmpty():
+        parted = left.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(leaders)))
+        top = stored(parted.groupBy("key", "part").agg(F.max("order").alias("top")))
+        pairs = stored(left.join(top, "key").where("top > order").select("node", F.col("top.node").alias("rep")).distinct())
+        if pairs.isEmpty():
             break
-        near = checkpoint(near_pairs(left.select("node", "rep").distinct(), sets, similarity).select("node").distinct())
+        near = stored(near_pairs(pairs, sets, similarity).select("node").distinct())
         covered = near if covered is None else covered.unionByName(near)
-        left = left.join(near, "node", "left_anti").select("key", "node", "order")
+        left = stored(parted.join(top, ["key", "part"]).where("order < top").select("key", "node", "order").join(near, "node", "left_anti"))
+        leaders *= MORE
     if covered is None:
         return rows.select("id", "hash", F.lit(False).alias("covered"))
     return rows.join(covered.withColumn("covered", F.lit(True)), "node", "left").select("id", "hash", F.coalesce("covered", F.lit(False)).alias("covered"))
@@ -244,4 +248,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gone = stored(found.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(F.bool_and("covered").alias("all")).where("all").drop("all"))
     rows = docs.withColumn("__text_hash", F.xxhash64(text_or_empty(text_col)))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
-    return rows.join(gone, same, "left_anti").drop("__text_hash")
+    rows = marked(rows, gone.select("__hash"), "__text_hash", "__maybe")
+    # most documents are not even compared with those that go
+    stay = rows.where("not __maybe").unionByName(rows.where("__maybe").join(gone, same, "left_anti"))
+    return stay.drop("__text_hash", "__maybe")
