@@ -49,7 +49,7 @@ SIMILARITY = 0.8
 #: Symbols of a signature, and of one segment of it.
 SYMBOLS, SEGMENT = 24, 6
 #: How many times more leaders of a key each round has.
-MORE = 8
+MORE = 2
 #: Parts into which the comparisons with one document are split.
 SALTS = 64
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -227,7 +227,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while True:
         parted = left.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(leaders)))
         top = stored(parted.groupBy("key", "part").agg(F.max("order").alias("top")))
-        pairs = stored(left.join(top, "key").where("top > order").select("node", F.col("top.node").alias("rep")).distinct())
+        # near documents share many keys: a node meets each leader once, however many keys they share
+        lists = left.join(top.groupBy("key").agg(F.collect_list("top").alias("tops")), "key")
+        met = lists.groupBy("node", "order").agg(F.array_distinct(F.flatten(F.collect_list("tops"))).alias("tops"))
+        pairs = stored(met.select("node", F.explode(F.filter("tops", lambda x: x > F.col("order"))).alias("top")).select("node", F.col("top.node").alias("rep")))
         if pairs.isEmpty():
             break
         near = stored(near_pairs(pairs, sets, similarity).select("node").distinct())
