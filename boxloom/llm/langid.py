@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 96 << 10
+#: Parts of a language in which the first documents are found by themselves.
+PARTS = 16
 LEVEL = 5
 #: Bytes that one fresh dictionary serves.
 BLOCK = 1 << 14
@@ -42,7 +44,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     key = F.md5(F.concat_ws("-", F.lit("sample"), F.col("id").cast("string")))
     ids = labelled.groupBy("lang", "id").agg(F.count("*").alias("n")).withColumn("key", key)
-    few = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("k") <= docs_per_lang)
+    # the first of each part, and of these the first, so that no task sees more of a language than PARTS such lists
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS))
+    few = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang", part).orderBy("key"))).where(F.col("k") <= docs_per_lang)
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("k") <= docs_per_lang)
     # docs_per_lang rows of a language at most
     few = F.broadcast(few.select(F.col("lang").alias("of"), F.col("id").alias("one"), "key"))
     texts = labelled.join(few, (F.col("lang") == F.col("of")) & F.col("id").eqNullSafe(F.col("one"))).groupBy("lang", "key").agg(F.max("text").alias("text"))
