@@ -38,12 +38,22 @@ def without_tags(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(\s*\{[^{}]+\}\s*)+$", ""), r"\s+$", "")
 
 
-def luminance(hex6: Column) -> Column:
-    """Relative luminance of ``#rgb`` or ``#rrggbb``, from 0 to 1; null for anything else."""
+def channels(hex6: Column) -> list[Column]:
+    """Red, green and blue of ``#rgb`` or ``#rrggbb``, from 0 to 1; null for anything else."""
     h = F.lower(F.regexp_replace(hex6, "^#", ""))
     h = F.when(F.regexp_like(h, F.lit("^[0-9a-f]{3}$")), F.regexp_replace(h, "(.)", "$1$1")).when(F.regexp_like(h, F.lit("^[0-9a-f]{6}$")), h)
-    part = lambda k: F.conv(F.substring(h, k, 2), 16, 10).cast("double") / 255
-    return part(1) * 0.2126 + part(3) * 0.7152 + part(5) * 0.0722
+    return [F.conv(F.substring(h, k, 2), 16, 10).cast("double") / 255 for k in (1, 3, 5)]
+
+
+def luminance(hex6: Column) -> Column:
+    r, g, b = channels(hex6)
+    return r * 0.2126 + g * 0.7152 + b * 0.0722
+
+
+def saturation(hex6: Column) -> Column:
+    """The share by which the weakest channel is below the strongest; zero for black."""
+    c = channels(hex6)
+    return F.when(F.greatest(*c) == 0, 0.0).otherwise((F.greatest(*c) - F.least(*c)) / F.greatest(*c))
 
 
 def evidence(text: Column, failed: Column) -> dict[str, Column]:

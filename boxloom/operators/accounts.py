@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def valid_uses(redemptions: DataFrame, allowed: int) -> DataFrame:
-    """The first ``allowed`` uses of each code, in order."""
+def valid_uses(attempts: DataFrame) -> DataFrame:
+    """The uses of each code that count, in order: the code is not revoked, has not expired on that day,
+    and fewer uses than ``allowed`` came before.  Columns revoked, expires_on and allowed are the code's.
+    """
+    good = attempts.where(~F.coalesce("revoked", F.lit(False)) & (F.col("expires_on").isNull() | (F.col("expires_on") >= F.col("redeemed_on"))))
     use = F.row_number().over(Window.partitionBy("code_id").orderBy("redeemed_on", "redemption_id"))
-    return redemptions.withColumn("use", use).where(F.col("use") <= allowed)
+    return good.withColumn("use", use).where("use <= allowed")
 
 
 def stacked_expiry(redemptions: DataFrame) -> DataFrame:
@@ -23,19 +26,33 @@ def stacked_expiry(redemptions: DataFrame) -> DataFrame:
     return r.select("redemption_id", "user_id", F.date_add(F.lit("1970-01-01").cast("date"), expiry.cast("int")).alias("expires_on"))
 
 
-def storage(assets: DataFrame, quota: int = 10 * 1024**3) -> DataFrame:
+def storage(assets: DataFrame, incoming: DataFrame | None = None, quota: int = 10 * 1024**3) -> DataFrame:
+    """used per owner, and whether it goes over the quota with the ``incoming`` (owner_id, byte_size)."""
     used = F.coalesce(F.sum(F.when(F.col("status") != "deleted", F.col("byte_size"))), F.lit(0))
-    return assets.groupBy("owner_id").agg(used.alias("used")).withColumn("over_quota", F.col("used") > quota)
+    per = assets.groupBy("owner_id").agg(used.alias("used"))
+    if incoming is not None:
+        more = incoming.groupBy("owner_id").agg(F.sum("byte_size").alias("more"))
+        per = per.join(more, "owner_id", "full").na.fill(0, ["used", "more"])
+    return per.withColumn("over_quota", F.col("used") + (F.col("more") if incoming is not None else 0) > quota)
+
+
+def expired(assets: DataFrame, today: str) -> DataFrame:
+    """Assets marked deleted, uploads begun before yesterday, and assets kept long enough."""
+    day = F.lit(today).cast("date")
+    return assets.where((F.col("status") == "deleted") | ((F.col("status") == "uploading") & (F.col("created_on") < F.date_sub(day, 1))) | (F.col("retained_until") < day))
 
 
-def unreferenced(assets: DataFrame, pages: DataFrame) -> DataFrame:
-    """Deleted assets that no page names."""
-    named = pages.select(F.col("inpainted_image_path").alias("storage_key")).where("storage_key is not null").distinct()
-    return assets.where("status = 'deleted'").join(named, "storage_key", "left_anti")
+def unreferenced(assets: DataFrame, pages: DataFrame, results: DataFrame, today: str) -> DataFrame:
+    """Expired assets that no page names as its source or rendered image and that no job gave as its result."""
+    paths = pages.select(F.explode(F.array("source_image_path", "rendered_image_path")).alias("storage_key")).where("storage_key is not null").distinct()
+    given = results.select("asset_id").where("asset_id is not null").distinct()
+    return expired(assets, today).join(paths, "storage_key", "left_anti").join(given, "asset_id", "left_anti")
 
 
-def purge_totals(assets: DataFrame, pages: DataFrame) -> DataFrame:
-    return unreferenced(assets, pages).agg(F.count("*").alias("purged"), F.coalesce(F.sum("byte_size"), F.lit(0)).alias("bytes"))
+def purge_totals(assets: DataFrame, pages: DataFrame, results: DataFrame, today: str, dry_run: bool = False) -> DataFrame:
+    """purged and bytes; both are zero in a dry run, which removes nothing."""
+    gone = unreferenced(assets, pages, results, today).where(F.lit(not dry_run))
+    return gone.agg(F.count("*").alias("purged"), F.coalesce(F.sum("byte_size"), F.lit(0)).alias("bytes"))
 
 
 def first_per_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -49,6 +66,14 @@ def sequenced(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     return events.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
 
 
+def counters(users: DataFrame, sessions: DataFrame, codes: DataFrame, now: str) -> DataFrame:
+    """One row: users, sessions that have not expired, codes."""
+    n = users.agg(F.countDistinct("user_id").alias("n")).select(F.lit("users").alias("k"), "n")
+    n = n.union(sessions.agg(F.count_if(F.col("expires_at") > F.lit(now).cast("timestamp_ntz"))).select(F.lit("sessions"), "*"))
+    n = n.union(codes.agg(F.countDistinct("code_id")).select(F.lit("codes"), "*"))
+    return n.agg(*[F.max(F.when(F.col("k") == k, F.col("n"))).alias(k) for k in ("users", "sessions", "codes")])
+
+
 def duplicate_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 

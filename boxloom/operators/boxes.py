@@ -58,13 +58,25 @@ def pairs(blocks: DataFrame) -> DataFrame:
     return a.join(b, "page_id").where(F.struct("a_block_index", "a_block_id") < F.struct("b_block_index", "b_block_id"))
 
 
+def pair_iou(blocks: DataFrame) -> DataFrame:
+    """Pairs that meet, with the overlap over the union, where a sliver in the divisor keeps it from zero."""
+    area = lambda p: F.greatest(F.lit(0.0), F.col(f"{p}_width")) * F.greatest(F.lit(0.0), F.col(f"{p}_height"))
+    side = lambda c, d: F.greatest(F.lit(0.0), F.least(F.col(f"a_{c}") + F.col(f"a_{d}"), F.col(f"b_{c}") + F.col(f"b_{d}")) - F.greatest(f"a_{c}", f"b_{c}"))
+    shared = side("x", "width") * side("y", "height")
+    return pairs(blocks).withColumn("s", shared).where("s > 0").select("page_id", "a_block_id", "b_block_id", (F.col("s") / (area("a") + area("b") - F.col("s") + 1e-6)).alias("iou"))
+
+
 def pair_overlaps(blocks: DataFrame) -> DataFrame:
     return pairs(blocks).select("page_id", "a_block_id", "b_block_id", g.iou("a_", "b_").alias("iou"), g.smaller_overlap("a_", "b_").alias("smaller_overlap")).where("smaller_overlap > 0")
 
 
 def shared_regions(blocks: DataFrame, limit: float = 0.55) -> DataFrame:
-    """Boxes that share most of the smaller one with another become inset base boxes."""
-    hit = pair_overlaps(blocks).where(F.col("smaller_overlap") >= limit)
+    """Boxes that share most of the smaller one with another become inset base boxes.
+
+    Boxes whose column ``source`` (if there is one) says manual or locked_detector_box take no part.
+    """
+    free = blocks.where(~F.coalesce("source", F.lit("")).isin("manual", "locked_detector_box")) if "source" in blocks.columns else blocks
+    hit = pair_overlaps(free).where(F.col("smaller_overlap") >= limit)
     ids = hit.select("page_id", F.col("a_block_id").alias("block_id")).union(hit.select("page_id", "b_block_id")).distinct().withColumn("shared", F.lit(True))
     b = blocks.join(ids, ["page_id", "block_id"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
     inset = {"x": F.col("x") + F.col("width") * 0.045, "y": F.col("y") + F.col("height") * 0.055, "width": F.greatest(F.lit(4.0), F.col("width") * 0.91), "height": F.greatest(F.lit(4.0), F.col("height") * 0.89), "confidence": F.least(F.lit(0.72), F.col("confidence"))}
@@ -72,12 +84,14 @@ def shared_regions(blocks: DataFrame, limit: float = 0.55) -> DataFrame:
 
 
 def rivals(blocks: DataFrame) -> DataFrame:
-    """For each block the number and total area of the other boxes of its page.
+    """For each block the other boxes of its page with positive sides, as an array in page order.
 
-    One aggregation per page and a join on it, so no pairs are made.
+    A page's boxes are gathered once and each block leaves itself out, so no pairs are shuffled.
     """
-    per = blocks.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.col("width") * F.col("height")).alias("all"))
-    return blocks.join(per, "page_id").select("page_id", "block_id", (F.col("n") - 1).alias("rivals"), (F.col("all") - F.col("width") * F.col("height")).alias("rival_area"))
+    box = F.struct("block_index", "block_id", *BOX)
+    per = blocks.groupBy("page_id").agg(F.array_sort(F.collect_list(F.when((F.col("width") > 0) & (F.col("height") > 0), box))).alias("boxes"))
+    others = F.filter("boxes", lambda b: b["block_id"] != F.col("block_id"))
+    return blocks.join(per, "page_id").select("page_id", "block_id", F.transform(others, lambda b: F.struct(*[b[c].alias(c) for c in BOX])).alias("rivals"))
 
 
 def tiles(pages: DataFrame) -> DataFrame:

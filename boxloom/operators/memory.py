@@ -10,17 +10,23 @@ KEY = ("source_text", "source_language", "target_language")
 
 
 def merge(rows: DataFrame) -> DataFrame:
-    """One entry per (trimmed source, languages): frequency, and the last translation by seq."""
+    """One entry per (trimmed source, languages): frequency, the last translation by seq, and the last
+    project that is given (``project_id``, if rows have it)."""
     r = rows.where(~blank(F.col("source_text")) & ~blank(F.col("translation"))).withColumns({"source_text": strip(F.col("source_text")), "translation": strip(F.col("translation"))})
     r = r.withColumns({"source_language": F.coalesce("source_language", F.lit("ja")), "target_language": F.coalesce("target_language", F.lit("th"))})
-    return r.groupBy(*KEY).agg(F.count("*").alias("frequency"), F.max_by("translation", F.struct("seq", "translation")).alias("translation"), F.max("seq").alias("last_seq"))
+    project = [F.max_by("project_id", F.when(F.col("project_id").isNotNull(), F.struct("seq", "project_id"))).alias("project_id")] if "project_id" in rows.columns else []
+    return r.groupBy(*KEY).agg(F.count("*").alias("frequency"), F.max_by("translation", F.struct("seq", "translation")).alias("translation"), F.max("seq").alias("last_seq"), *project)
 
 
 def upsert(memory: DataFrame, rows: DataFrame) -> DataFrame:
-    """The memory after the rows: frequencies add up, newer translations win."""
+    """The memory after the rows: frequencies add up, newer translations and given projects win."""
     new = merge(rows)
-    both = memory.select(*KEY, "frequency", "translation", "last_seq").unionByName(new)
-    return both.groupBy(*KEY).agg(F.sum("frequency").alias("frequency"), F.max_by("translation", "last_seq").alias("translation"), F.max("last_seq").alias("last_seq"))
+    if "project_id" in memory.columns and "project_id" not in new.columns:
+        new = new.withColumn("project_id", F.lit(None).cast(memory.schema["project_id"].dataType))
+    project = ["project_id"] if "project_id" in new.columns else []
+    both = memory.select(*KEY, "frequency", "translation", "last_seq", *project).unionByName(new)
+    last = [F.max_by("project_id", F.when(F.col("project_id").isNotNull(), F.col("last_seq"))).alias("project_id")] if project else []
+    return both.groupBy(*KEY).agg(F.sum("frequency").alias("frequency"), F.max_by("translation", "last_seq").alias("translation"), F.max("last_seq").alias("last_seq"), *last)
 
 
 def export(memory: DataFrame, source: str = "auto", target: str = "auto") -> DataFrame:

@@ -52,13 +52,20 @@ query("a6_label_lines", f"""WITH {_PLACED}, u AS (SELECT page_id, block_id, leas
 # --- joins
 
 query("c1_blocks_pages", "SELECT block_id, project_id FROM v_blocks JOIN v_pages USING (page_id)")(lambda t: t.placed.select("block_id", "project_id"))
-query("c3_unreferenced_assets", "SELECT asset_id, byte_size FROM v_assets WHERE status = 'deleted' AND storage_key NOT IN (SELECT inpainted_image_path FROM v_pages WHERE inpainted_image_path IS NOT NULL)")(
-    lambda t: accounts.unreferenced(t.v_assets, t.v_pages).select("asset_id", "byte_size"))
-query("c5_rivals", "SELECT page_id, block_id, count(*) OVER w - 1 AS rivals, sum(width * height) OVER w - width * height AS rival_area FROM v_blocks WINDOW w AS (PARTITION BY page_id)")(
-    lambda t: boxes.rivals(t.v_blocks))
-query("c6_shared_regions", f"""WITH {_PAIRS}, hit AS (SELECT * FROM pairs WHERE s / least(aa, ba) >= 0.55), ids AS (SELECT a_block_id AS block_id FROM hit UNION SELECT b_block_id FROM hit)
+_GONE = """gone AS (SELECT * FROM v_stored WHERE (status = 'deleted' OR (status = 'uploading' AND created_on < DATE '1996-06-14') OR retained_until < DATE '1996-06-15')
+  AND storage_key NOT IN (SELECT source_image_path FROM v_paths WHERE source_image_path IS NOT NULL) AND storage_key NOT IN (SELECT rendered_image_path FROM v_paths WHERE rendered_image_path IS NOT NULL)
+  AND asset_id NOT IN (SELECT asset_id FROM v_results WHERE asset_id IS NOT NULL))"""
+query("c3_unreferenced_assets", f"WITH {_GONE} SELECT asset_id, byte_size FROM gone")(
+    lambda t: accounts.unreferenced(t.v_stored, t.v_paths, t.v_results, "1996-06-15").select("asset_id", "byte_size"))
+query("c5_rivals", """SELECT a.page_id, a.block_id, coalesce('[' || string_agg(concat('{"x":', b.x, ',"y":', b.y, ',"width":', b.width, ',"height":', b.height, '}'), ',' ORDER BY b.block_index, b.block_id) FILTER (b.block_id IS NOT NULL) || ']', '[]') AS rivals
+  FROM v_blocks a LEFT JOIN v_blocks b ON a.page_id = b.page_id AND a.block_id <> b.block_id AND b.width > 0 AND b.height > 0 GROUP BY 1, 2""")(
+    lambda t: boxes.rivals(t.v_blocks).select("page_id", "block_id", F.to_json("rivals").alias("rivals")))
+query("c7_pair_iou", f"""WITH {_PAIRS}, ar AS (SELECT page_id, block_id, width * height AS area FROM v_blocks) SELECT p.page_id, a_block_id, b_block_id, s / (x.area + y.area - s + 0.000001::DOUBLE) AS iou
+  FROM pairs p JOIN ar x ON x.page_id = p.page_id AND x.block_id = a_block_id JOIN ar y ON y.page_id = p.page_id AND y.block_id = b_block_id WHERE s > 0""")(
+    lambda t: boxes.pair_iou(t.v_blocks))
+query("c6_shared_regions", f"""WITH {_PAIRS}, fixed AS (SELECT block_id FROM v_blocks WHERE block_index % 5 IN (1, 3)), hit AS (SELECT * FROM pairs WHERE s / least(aa, ba) >= 0.55 AND a_block_id NOT IN (SELECT * FROM fixed) AND b_block_id NOT IN (SELECT * FROM fixed)), ids AS (SELECT a_block_id AS block_id FROM hit UNION SELECT b_block_id FROM hit)
   SELECT v.block_id, i.block_id IS NOT NULL AS shared, CASE WHEN i.block_id IS NULL THEN x ELSE x + width * 0.045::DOUBLE END AS x, CASE WHEN i.block_id IS NULL THEN width ELSE greatest(4, width * 0.91::DOUBLE) END AS width, CASE WHEN i.block_id IS NULL THEN confidence ELSE least(0.72::DOUBLE, confidence) END AS confidence FROM v_blocks v LEFT JOIN ids i USING (block_id)""")(
-    lambda t: boxes.shared_regions(t.v_blocks).select("block_id", "shared", "x", "width", "confidence"))
+    lambda t: boxes.shared_regions(t.v_blocks.withColumn("source", F.element_at(F.array(*map(F.lit, ("smart_balloon", "manual", "balloon_interior", "locked_detector_box", "base"))), (F.col("block_index") % 5 + 1).cast("int")))).select("block_id", "shared", "x", "width", "confidence"))
 query("c7_pair_overlaps", f"WITH {_PAIRS} SELECT page_id, a_block_id, b_block_id, s / greatest(1, aa + ba - s) AS iou, s / least(aa, ba) AS smaller_overlap FROM pairs WHERE s > 0")(
     lambda t: boxes.pair_overlaps(t.v_blocks))
 _TILES = """side AS (SELECT page_id, width, height, least(width, height) AS th, greatest(1, trunc(least(width, height) * 0.8)::INT) AS st FROM v_pages),
@@ -119,20 +126,21 @@ query("f13_worst", "SELECT record_id, engine, mask_iou FROM v_bench WHERE succes
 
 # --- audit
 
-_ISSUES = f"""b AS (SELECT page_id, block_id, {_blank('source_text')} AS ns, {_blank('translation')} AS nt, confidence, ltrim(translation) AS tr,
-    greatest(ceil(length(translation) / greatest(1.0::DOUBLE, floor(width / (24.0::DOUBLE * 0.55::DOUBLE)))) * 24.0::DOUBLE * 1.25::DOUBLE / height - 1, 24.0::DOUBLE * 0.55::DOUBLE / width - 1) AS over FROM v_blocks),
+_ISSUES = """s AS (SELECT *, trim(source_text) = '' AS ns, ltrim(translation, ' ' || chr(10)) AS tr, CASE WHEN smart_width > 10 THEN smart_width ELSE width END AS w, CASE WHEN smart_height > 10 THEN smart_height ELSE height END AS h,
+    CASE WHEN coalesce(font_size, 0) = 0 THEN 24 ELSE font_size END AS size, list_filter(list_transform(string_split(translation, chr(10)), lambda x: length(trim(x))), lambda n: n > 0) AS ls FROM v_qa),
+  b AS (SELECT *, tr = '' AS nt, CASE WHEN len(ls) > 0 AND w > 0 AND h > 0 THEN greatest((list_max(ls) * (size * 0.55::DOUBLE) - w) / w, (len(ls) * (size * 1.25::DOUBLE) - h) / h) END AS over FROM s),
   issues AS (SELECT page_id, block_id, 'UNTRANSLATED_BUBBLE' AS code, 'warning' AS severity, '' AS detail FROM b WHERE NOT ns AND nt
   UNION ALL SELECT page_id, block_id, 'EMPTY_BLOCK', 'info', '' FROM b WHERE ns AND nt
   UNION ALL SELECT page_id, block_id, 'LOW_OCR_CONFIDENCE', 'info', CAST(trunc(confidence * 100)::INT AS VARCHAR) FROM b WHERE NOT ns AND confidence > 0 AND confidence < 0.45
-  UNION ALL SELECT page_id, block_id, 'TEXT_OVERFLOW', 'warning', CAST(trunc(over * 100)::INT AS VARCHAR) FROM b WHERE NOT nt AND over > 0.15
-  UNION ALL SELECT page_id, block_id, 'THAI_FLOATING_DIACRITIC', 'warning', '' FROM b WHERE length(tr) > 0 AND contains('{audit.FLOATING}', substring(tr, 1, 1))
+  UNION ALL SELECT page_id, block_id, 'TEXT_OVERFLOW', 'warning', CAST(trunc(over * 100)::INT AS VARCHAR) FROM b WHERE over > 0.15
+  UNION ALL SELECT page_id, block_id, 'THAI_FLOATING_DIACRITIC', 'warning', '' FROM b WHERE unicode(tr) IN (3633, 3636, 3637, 3638, 3639, 3640, 3641, 3642, 3655, 3656, 3657, 3658, 3659, 3660, 3661, 3662)
   UNION ALL SELECT page_id, NULL, 'MISSING_INPAINT_IMAGE', 'warning', '' FROM v_pages WHERE inpainted_image_path IS NULL AND page_id IN (SELECT page_id FROM b WHERE NOT nt))"""
-_PAGE = f"""{_ISSUES}, n AS (SELECT page_id, count(*) AS blocks FROM v_blocks GROUP BY 1), i AS (SELECT page_id, count(*) AS issues, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos FROM issues GROUP BY 1),
+_PAGE = f"""{_ISSUES}, n AS (SELECT page_id, count(*) AS blocks FROM v_qa GROUP BY 1), i AS (SELECT page_id, count(*) AS issues, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos FROM issues GROUP BY 1),
   r AS (SELECT page_id, project_id, coalesce(blocks, 0) AS blocks, coalesce(issues, 0) AS issues, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(infos, 0) AS infos, coalesce(issues, 0) = 0 AS is_clean FROM v_pages LEFT JOIN n USING (page_id) LEFT JOIN i USING (page_id))"""
-query("i1_i6_issues", f"WITH {_ISSUES} SELECT page_id, block_id, code, severity, detail FROM issues")(lambda t: audit.issues(t.v_blocks, t.v_pages))
-query("e7_page_audit", f"WITH {_PAGE} SELECT * FROM r")(lambda t: audit.page_rollup(t.v_blocks, t.v_pages))
+query("i1_i6_issues", f"WITH {_ISSUES} SELECT page_id, block_id, code, severity, detail FROM issues")(lambda t: audit.issues(t.v_qa, t.v_pages))
+query("e7_page_audit", f"WITH {_PAGE} SELECT * FROM r")(lambda t: audit.page_rollup(t.v_qa, t.v_pages))
 query("e8_project_audit", f"""WITH {_PAGE} SELECT project_id, count(*) AS pages, sum(blocks)::BIGINT AS blocks, sum(issues)::BIGINT AS issues, sum(errors)::BIGINT AS errors, sum(warnings)::BIGINT AS warnings, sum(infos)::BIGINT AS infos,
-  count(*) FILTER (is_clean) AS clean_pages, count(*) FILTER (NOT is_clean) AS pages_with_issues FROM r GROUP BY 1""")(lambda t: audit.project_rollup(t.v_blocks, t.v_pages))
+  count(*) FILTER (is_clean) AS clean_pages, count(*) FILTER (NOT is_clean) AS pages_with_issues FROM r GROUP BY 1""")(lambda t: audit.project_rollup(t.v_qa, t.v_pages))
 
 # --- memory and accounts
 
@@ -140,17 +148,18 @@ _MERGED = "m AS (SELECT source_text, source_language, target_language, count(*)
 query("e9_memory_merge", f"WITH {_MERGED} SELECT * FROM m")(lambda t: memory.merge(t.v_tm))
 query("e9_memory_upsert", f"WITH {_MERGED} SELECT * FROM m")(lambda t: memory.upsert(memory.merge(t.v_tm.where("seq % 2 = 0")), t.v_tm.where("seq % 2 = 1")))
 query("e10_memory_export", f"WITH {_MERGED} SELECT * FROM m WHERE source_language = 'ja'")(lambda t: memory.export(memory.merge(t.v_tm), "ja"))
-query("e11_storage", "SELECT owner_id, coalesce(sum(byte_size) FILTER (status <> 'deleted'), 0)::BIGINT AS used, coalesce(sum(byte_size) FILTER (status <> 'deleted'), 0) > 2000000 AS over_quota FROM v_assets GROUP BY 1")(
-    lambda t: accounts.storage(t.v_assets, 2_000_000))
+query("e11_storage", """WITH u AS (SELECT owner_id, coalesce(sum(byte_size) FILTER (status <> 'deleted'), 0)::BIGINT AS used, coalesce(sum(byte_size) FILTER (status = 'uploading'), 0)::BIGINT AS more FROM v_assets GROUP BY 1)
+  SELECT owner_id, used, more, used + more > 2000000 AS over_quota FROM u""")(
+    lambda t: accounts.storage(t.v_assets, t.v_assets.where("status = 'uploading'"), 2_000_000))
 query("e12_active_jobs", "SELECT job_id, count(*) AS active, count(*) >= 2 AS over_quota FROM v_events WHERE kind IN ('submitted', 'started') GROUP BY 1")(
     lambda t: t.v_events.where("kind IN ('submitted', 'started')").groupBy("job_id").agg(F.count("*").alias("active")).withColumn("over_quota", F.col("active") >= 2))
-query("e13_counters", "SELECT count(DISTINCT user_id) AS users, count(DISTINCT code_id) AS codes, count(*) AS redemptions FROM v_redemptions")(
-    lambda t: t.v_redemptions.agg(F.countDistinct("user_id").alias("users"), F.countDistinct("code_id").alias("codes"), F.count("*").alias("redemptions")))
-query("e15_purge_totals", "SELECT count(*) AS purged, coalesce(sum(byte_size), 0)::BIGINT AS bytes FROM v_assets WHERE status = 'deleted' AND storage_key NOT IN (SELECT inpainted_image_path FROM v_pages WHERE inpainted_image_path IS NOT NULL)")(
-    lambda t: accounts.purge_totals(t.v_assets, t.v_pages))
+query("e13_counters", """SELECT (SELECT count(DISTINCT user_id) FROM v_redemptions) AS users, (SELECT count(*) FROM v_events WHERE kind = 'submitted' AND ts + INTERVAL 240 HOUR > TIMESTAMP '2024-01-20 00:00:00') AS sessions, (SELECT count(DISTINCT code_id) FROM v_redemptions) AS codes""")(
+    lambda t: accounts.counters(t.v_redemptions.select("user_id"), t.v_events.where("kind = 'submitted'").select(F.expr("ts + INTERVAL 240 HOUR").alias("expires_at")), t.v_redemptions.select("code_id"), "2024-01-20 00:00:00"))
+query("e15_purge_totals", f"WITH {_GONE} SELECT count(*) AS purged, coalesce(sum(byte_size), 0)::BIGINT AS bytes FROM gone")(
+    lambda t: accounts.purge_totals(t.v_stored, t.v_paths, t.v_results, "1996-06-15"))
 query("e18_reorder_summary", "SELECT count(DISTINCT page_id) AS pages, count(*) AS blocks FROM v_blocks")(lambda t: t.v_blocks.agg(F.countDistinct("page_id").alias("pages"), F.count("*").alias("blocks")))
-query("f10_valid_uses", "SELECT redemption_id, code_id, use FROM (SELECT *, row_number() OVER (PARTITION BY code_id ORDER BY redeemed_on, redemption_id) AS use FROM v_redemptions) WHERE use <= 100")(
-    lambda t: accounts.valid_uses(t.v_redemptions, 100).select("redemption_id", "code_id", "use"))
+query("f10_valid_uses", "SELECT redemption_id, code_id, use FROM (SELECT *, row_number() OVER (PARTITION BY code_id ORDER BY redeemed_on, redemption_id) AS use FROM v_attempts WHERE NOT revoked AND (expires_on IS NULL OR expires_on >= redeemed_on)) WHERE use <= allowed")(
+    lambda t: accounts.valid_uses(t.v_attempts).select("redemption_id", "code_id", "use"))
 query("f9_stacked_expiry", """WITH s AS (SELECT *, sum(duration_days) OVER (PARTITION BY user_id ORDER BY redeemed_on, redemption_id ROWS UNBOUNDED PRECEDING) AS s, redeemed_on - DATE '1970-01-01' AS d FROM v_redemptions)
   SELECT redemption_id, user_id, DATE '1970-01-01' + CAST(s + max(d - (s - duration_days)) OVER (PARTITION BY user_id ORDER BY redeemed_on, redemption_id ROWS UNBOUNDED PRECEDING) AS INT) AS expires_on FROM s""")(
     lambda t: accounts.stacked_expiry(t.v_redemptions))
@@ -200,10 +209,34 @@ _LINES = r"""ln AS (SELECT doc_id AS file_id, unnest(range(0, len(s))) AS line_n
 query("a10_lines", f"WITH {_LINES} SELECT file_id, line_no, line FROM ln")(lambda t: lines.lines_of(t.documents, "doc_id", "text"))
 query("a10_format", rf"""WITH {_LINES} SELECT file_id, CASE WHEN bool_or(regexp_matches(line, '^# (ID:|Bubble [0-9]+)')) THEN 'labelled' WHEN bool_or(starts_with(line, '//')) THEN 'slash' WHEN bool_or(contains(line, chr(9))) THEN 'tsv' ELSE 'alternating' END AS format, count(*) AS lines FROM ln GROUP BY 1""")(
     lambda t: lines.file_format(lines.lines_of(t.documents, "doc_id", "text")))
-query("k3_alternating", rf"""WITH {_LINES}, b AS (SELECT *, regexp_matches(line, '^[\s\p{{Z}}]*$') AS blank FROM ln), f AS (SELECT *, NOT blank AND coalesce(lag(blank) OVER (PARTITION BY file_id ORDER BY line_no), true) AS starts FROM b),
-  p AS (SELECT *, sum(starts::INT) OVER (PARTITION BY file_id ORDER BY line_no) - 1 AS para FROM f), g AS (SELECT file_id, para, string_agg(line, chr(10) ORDER BY line_no) AS text FROM p WHERE NOT blank GROUP BY 1, 2)
-  SELECT file_id, (para // 2)::BIGINT AS pair, max(text) FILTER (para % 2 = 0) AS source, max(text) FILTER (para % 2 = 1) AS translation, max(text) FILTER (para % 2 = 1) IS NULL AS error FROM g GROUP BY 1, 2""")(
-    lambda t: lines.alternating(lines.lines_of(t.documents, "doc_id", "text")))
+# a file's lines: about every fourth file has paragraphs of one line, and some files hold marks
+_MARKED = r"""mk AS (SELECT file_id, line_no, CASE WHEN file_id % 4 = 0 AND line_no % 2 = 1 THEN ' ' WHEN (file_id + line_no) % 9 = 4 THEN '[[SMART_BALLOON_SPATIAL shape=ellipse aspect=1.5 w=30 h=20 target_lines=2 max_lines=4]]'
+  WHEN file_id % 3 = 1 THEN concat(CASE WHEN (file_id + line_no) % 7 = 6 THEN '' ELSE '// ' END, CASE WHEN line_no % 2 = 1 THEN 'ก ' ELSE '' END, line) ELSE line END AS line FROM ln)"""
+_PARAS = rf"""{_LINES}, {_MARKED}, bl AS (SELECT *, regexp_matches(line, '^[\s\p{{Z}}]*$') AS blank FROM mk), st AS (SELECT *, NOT blank AND coalesce(lag(blank) OVER (PARTITION BY file_id ORDER BY line_no), true) AS starts FROM bl),
+  pa AS (SELECT file_id, line_no, regexp_replace(line, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS line, sum(starts::INT) OVER (PARTITION BY file_id ORDER BY line_no) - 1 AS para, blank FROM st),
+  pl AS (SELECT *, row_number() OVER (PARTITION BY file_id, para ORDER BY line_no) - 1 AS place, count(*) OVER (PARTITION BY file_id, para) AS n, starts_with(line, '[[SMART_BALLOON_SPATIAL shape=') AS hint FROM pa WHERE NOT blank)"""
+
+
+def _marked(t):
+    return lines.lines_of(t.documents, "doc_id", "text").selectExpr("file_id", "line_no", _MARKED[_MARKED.index("CASE") : _MARKED.index(" AS line FROM ln")] + " AS line")
+
+
+query("k3_alternating", rf"""WITH {_PARAS}, si AS (SELECT *, max(place) OVER (PARTITION BY file_id) = 0 AS single FROM pl),
+  re AS (SELECT *, CASE WHEN single THEN para // 2 ELSE para END AS record, CASE WHEN single THEN para % 2 ELSE place END AS spot FROM si)
+  SELECT file_id, min(line_no) AS line_no, max(line) FILTER (spot = 0) AS source, max(line) FILTER (spot = 1 AND hint) AS layout, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (spot > 0 AND NOT (spot = 1 AND hint)), '') AS translation, count(*) = 1 AS error FROM re GROUP BY file_id, record""")(
+    lambda t: lines.alternating(_marked(t)))
+query("k4_slash", rf"""WITH {_PARAS}, cl AS (SELECT *, starts_with(line, '//') AS slash, CASE WHEN starts_with(line, '//') THEN regexp_replace(substring(line, 3), '^[\s\p{{Z}}]+', '') ELSE line END AS clean FROM pl),
+  th AS (SELECT *, regexp_matches(clean, '[\x{{0E00}}-\x{{0E7F}}]') AS thai, bool_or(place = 1 AND hint) OVER (PARTITION BY file_id, para) AS middle FROM cl),
+  fo AS (SELECT *, CASE WHEN n = 2 OR (n = 3 AND middle) THEN 'pair' WHEN n > 2 AND n % 2 = 0 AND bool_and(slash AND thai = (place % 2 = 1)) OVER (PARTITION BY file_id, para) THEN 'turns' ELSE 'run' END AS form FROM th),
+  -- for each line the last line before it, in its paragraph, that is no layout line
+  la AS (SELECT f.*, (SELECT max_by(g.slash AND NOT g.thai, g.line_no) FROM fo g WHERE g.file_id = f.file_id AND g.para = f.para AND g.line_no < f.line_no AND NOT g.hint) AS foreign_before FROM fo f),
+  op AS (SELECT *, CASE form WHEN 'pair' THEN place = 0 WHEN 'turns' THEN place % 2 = 0 ELSE slash AND NOT hint AND NOT (coalesce(foreign_before, false) AND thai) END AS opens FROM la),
+  rc AS (SELECT *, sum(opens::INT) OVER (PARTITION BY file_id, para ORDER BY line_no) AS record, min(line_no) OVER (PARTITION BY file_id, para) AS first FROM op),
+  gr AS (SELECT file_id, record, CASE WHEN record = 0 THEN min(first) ELSE min(line_no) FILTER (opens) END AS line_no, max(clean) FILTER (opens) AS source,
+    arg_max(line, line_no) FILTER (hint AND NOT opens AND (form = 'run' OR (form = 'pair' AND n = 3))) AS layout,
+    string_agg(clean, chr(10) ORDER BY line_no) FILTER (NOT opens AND NOT (hint AND (form = 'run' OR (form = 'pair' AND n = 3)))) AS translation FROM rc GROUP BY file_id, para, record)
+  SELECT file_id, line_no, row_number() OVER (PARTITION BY file_id ORDER BY line_no, record) AS bubble, source, layout, coalesce(translation, '') AS translation FROM gr WHERE record > 0 OR translation IS NOT NULL""")(
+    lambda t: lines.slashed(_marked(t)))
 query("j3_evidence", r"""SELECT conv_id, turn, CASE WHEN turn % 13 = 0 THEN 'needs_review' WHEN NOT regexp_matches(coalesce(text, ''), '[\p{L}\p{N}]') THEN 'reject' ELSE 'confirmed' END AS status,
   CASE WHEN turn % 13 = 0 THEN 'ocr_failed' WHEN regexp_matches(coalesce(text, ''), '^[\s\p{Z}]*$') THEN 'empty_ocr' WHEN NOT regexp_matches(coalesce(text, ''), '[\p{L}\p{N}]') THEN 'punctuation_only' ELSE 'valid_text' END AS reason FROM conversations""")(
     lambda t: t.conversations.select("conv_id", "turn", *[c.alias(k) for k, c in tx.evidence(F.col("text"), F.col("turn") % 13 == 0).items()]))
@@ -213,10 +246,12 @@ query("j6_normal_lines", r"""SELECT item_id, regexp_replace(array_to_string(list
     lambda t: t.benchmark.select("item_id", tx.normal_lines(F.col("text")).alias("text")))
 query("j8_strip_tags", r"""SELECT seq, regexp_replace(regexp_replace(s, '(\s*\{[^{}]+\}\s*)+$', ''), '\s+$', '') AS text FROM (SELECT seq, translation || CASE WHEN seq % 3 = 0 THEN ' {shout} {soft}' WHEN seq % 3 = 1 THEN '{x' ELSE ' {a}' END AS s FROM v_tm)""")(
     lambda t: t.v_tm.select("seq", tx.without_tags(F.concat("translation", F.when(F.col("seq") % 3 == 0, " {shout} {soft}").when(F.col("seq") % 3 == 1, "{x").otherwise(" {a}"))).alias("text")))
-query("j10_signals", r"""SELECT doc_id, len(regexp_extract_all(text, '[!！]')) AS exclaims, len(regexp_extract_all(text, '[?？]')) AS asks, len(regexp_extract_all(text, '[A-Z]{2,}')) AS capital_runs, length(text) AS length, length(text) <= 6 AS short FROM documents""")(
-    lambda t: t.documents.select("doc_id", F.regexp_count("text", F.lit("[!！]")).alias("exclaims"), F.regexp_count("text", F.lit("[?？]")).alias("asks"), F.regexp_count("text", F.lit("[A-Z]{2,}")).alias("capital_runs"), F.length("text").alias("length"), (F.length("text") <= 6).alias("short")))
-query("j11_luminance", """WITH h AS (SELECT p_partkey, substring(md5(p_name), 1, 6) AS h FROM part) SELECT p_partkey, round(('0x' || substring(h, 1, 2))::INT / 255 * 0.2126 + ('0x' || substring(h, 3, 2))::INT / 255 * 0.7152 + ('0x' || substring(h, 5, 2))::INT / 255 * 0.0722, 6) AS luminance FROM h""")(
-    lambda t: t.part.select("p_partkey", F.round(tx.luminance(F.concat(F.lit("#"), F.substring(F.md5("p_name"), 1, 6))), 6).alias("luminance")))
+_SIGNALS = {"exclaims": "[!！]", "asks": "[?？]", "katakana": "[ァ-ヶー]", "capital_runs": "[A-Z]{2,}", "thai": "[ก-๛]"}
+query("j10_signals", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{v}')) AS {k}" for k, v in {"exclaims": "!|！", "asks": r"\?|？", "katakana": r"[\x{30A1}-\x{30F6}\x{30FC}]", "capital_runs": "[A-Z][A-Z]+", "thai": r"[\x{0E01}-\x{0E5B}]"}.items()) + ", length(text) AS length, length(text) <= 6 AS short, length(text) <= 3 AS very_short FROM documents")(
+    lambda t: t.documents.select("doc_id", *[F.regexp_count("text", F.lit(v)).alias(k) for k, v in _SIGNALS.items()], F.length("text").alias("length"), (F.length("text") <= 6).alias("short"), (F.length("text") <= 3).alias("very_short")))
+query("j11_luminance", """WITH h AS (SELECT p_partkey, substring(md5(p_name), 1, 6) AS h FROM part), c AS (SELECT p_partkey, ('0x' || substring(h, 1, 2))::INT / 255 AS r, ('0x' || substring(h, 3, 2))::INT / 255 AS g, ('0x' || substring(h, 5, 2))::INT / 255 AS b FROM h)
+  SELECT p_partkey, round(r * 0.2126 + g * 0.7152 + b * 0.0722, 6) AS luminance, round(CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE 1 - least(r, g, b) / greatest(r, g, b) END, 6) AS saturation FROM c""")(
+    lambda t: (lambda h: t.part.select("p_partkey", F.round(tx.luminance(h), 6).alias("luminance"), F.round(tx.saturation(h), 6).alias("saturation")))(F.concat(F.lit("#"), F.substring(F.md5("p_name"), 1, 6))))
 query("j21_target_check", rf"SELECT seq, regexp_matches(translation, '{tx.THAI}') AS is_thai FROM v_tm")(lambda t: t.v_tm.select("seq", F.regexp_like("translation", F.lit(tx.THAI)).alias("is_thai")))
 
 # --- streaming operators, over the stored events
@@ -228,7 +263,9 @@ query("l2_status_totals", """SELECT date_trunc('hour', ts)::TIMESTAMP AS start,
     lambda t: telemetry.status_totals(t.v_events).withColumn("start", F.col("start").cast("timestamp_ntz")))
 query("l3_recent_errors", "SELECT event_id, job_id, substring(props, 1, 200) AS message FROM v_events WHERE kind = 'failed' ORDER BY ts DESC, event_id DESC LIMIT 20")(lambda t: telemetry.recent_errors(t.v_events))
 query("l6_latest_state", "SELECT job_id, arg_max(kind, (ts, event_id)) AS kind, arg_max(event_id, (ts, event_id)) AS event_id FROM v_events GROUP BY 1")(lambda t: telemetry.latest_state(t.v_events))
-query("l10_first_use", "SELECT event_id, job_id FROM v_events QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) = 1")(lambda t: telemetry.first_use(t.v_events, "job_id").select("event_id", "job_id"))
+_TICKETS = "SELECT *, event_id % 3 AS project_id, job_id % 3 AS ticket_project"
+query("l10_first_use", f"WITH e AS ({_TICKETS}, TIMESTAMP '2024-01-05 00:00:00' + INTERVAL 1 DAY * (job_id % 25)::INT AS expires_at FROM v_events) SELECT event_id, job_id FROM e WHERE ts < expires_at AND project_id = ticket_project QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) = 1")(
+    lambda t: telemetry.first_use(t.v_events.selectExpr("*", "event_id % 3 AS project_id", "job_id % 3 AS ticket_project", "TIMESTAMP_NTZ'2024-01-05 00:00:00' + make_dt_interval(CAST(job_id % 25 AS INT)) AS expires_at"), "job_id").select("event_id", "job_id"))
 
 # --- planning
 

@@ -55,7 +55,9 @@ _RECORD = """project_id, CAST(bubble AS BIGINT) AS record_no, CASE bubble % 3 WH
   CAST(CASE WHEN bubble % 11 = 0 THEN bubble - 1 WHEN bubble % 13 = 0 THEN 1000000 ELSE bubble END AS INT) AS bubble, CASE WHEN bubble % 5 = 0 THEN ' ' ELSE concat('ก ', translation) END AS translation, 'th' AS target"""
 _FOUND = f"""{_BUBBLE}, r AS (SELECT *, CASE WHEN block_id IS NOT NULL THEN 'id' WHEN source IS NOT NULL THEN 'source' ELSE 'bubble' END AS way, replace(coalesce(source, ''), ' ', '') AS norm FROM (SELECT {_RECORD} FROM b)),
   r2 AS (SELECT *, row_number() OVER (PARTITION BY project_id, way, norm ORDER BY record_no) AS k FROM r), b2 AS (SELECT project_id, block_id, bubble, replace(source_text, ' ', '') AS norm, row_number() OVER (PARTITION BY project_id, replace(source_text, ' ', '') ORDER BY bubble) AS k FROM b),
-  j AS (SELECT r2.project_id, record_no, way, r2.norm, translation, b2.block_id AS found, b2.bubble AS pos, b2.norm AS now_norm FROM r2 LEFT JOIN b2 ON r2.project_id = b2.project_id AND CASE way WHEN 'id' THEN r2.block_id = b2.block_id WHEN 'source' THEN r2.norm = b2.norm AND r2.k = b2.k ELSE r2.bubble = b2.bubble END),
+  j AS (SELECT r2.project_id, record_no, way, r2.norm, translation, b2.block_id AS found, b2.bubble AS pos, b2.norm AS now_norm FROM r2 LEFT JOIN b2 ON r2.project_id = b2.project_id AND r2.block_id = b2.block_id WHERE way = 'id'
+    UNION ALL SELECT r2.project_id, record_no, way, r2.norm, translation, b2.block_id, b2.bubble, b2.norm FROM r2 LEFT JOIN b2 ON r2.project_id = b2.project_id AND r2.norm = b2.norm AND r2.k = b2.k WHERE way = 'source'
+    UNION ALL SELECT r2.project_id, record_no, way, r2.norm, translation, b2.block_id, b2.bubble, b2.norm FROM r2 LEFT JOIN b2 ON r2.project_id = b2.project_id AND r2.bubble = b2.bubble WHERE way = 'bubble'),
   a AS (SELECT *, found IS NOT NULL AND row_number() OVER (PARTITION BY project_id, found ORDER BY record_no) > 1 AS again FROM j),
   found AS (SELECT project_id, record_no, found AS block_id, pos AS bubble, translation, CASE WHEN found IS NULL THEN CASE way WHEN 'source' THEN 'warning' ELSE 'error' END WHEN again THEN 'error' WHEN trim(translation) = '' THEN 'skip' WHEN norm <> '' AND norm <> now_norm THEN 'warning' ELSE 'ok' END AS status, found IS NOT NULL AND NOT again AND trim(translation) <> '' AS will_import FROM a)"""
 
@@ -68,7 +70,7 @@ def _found(t):
 query("c11_resolved", f"WITH {_FOUND} SELECT project_id, record_no, block_id, bubble, status, will_import FROM found")(lambda t: _found(t).drop("translation"))
 query("c11_summary", f"WITH {_FOUND} SELECT project_id, " + ", ".join(f"count(*) FILTER (status = '{k}') AS {k}" for k in ("ok", "warning", "error", "skip")) + ", count(*) AS total, count(*) FILTER (will_import) AS importable FROM found GROUP BY 1")(
     lambda t: exchange.import_summary(_found(t)))
-query("k5_importable", f"WITH {_FOUND} SELECT project_id, block_id, translation FROM found WHERE will_import AND project_id NOT IN (SELECT project_id FROM found WHERE status = 'error')")(
+query("k5_importable", f"WITH {_FOUND} SELECT project_id, block_id, translation FROM found ANTI JOIN (SELECT DISTINCT project_id FROM found WHERE status = 'error') USING (project_id) WHERE will_import")(
     lambda t: exchange.importable(_found(t)).select("project_id", "block_id", "translation"))
 
 query("b17_cleared", "SELECT block_id, '' AS translation, CASE WHEN block_index % 2 = 0 THEN 'kept,layout_region' ELSE 'layout_region' END AS keys FROM v_blocks")(

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _BLOCK_ID = "concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING))"
 
+#: Thai consonants, vowel signs and tone marks, U+0E2E to U+0E50.
+_THAI = "".join(map(chr, range(0x0E2E, 0x0E51)))
+
 VIEWS = {
     "v_blocks": f"""SELECT l_orderkey AS page_id, l_linenumber AS block_index, {_BLOCK_ID} AS block_id,
         CAST((l_partkey * 37 + l_linenumber * 91) % 900 AS DOUBLE) AS x,
@@ -22,6 +25,23 @@ VIEWS = {
         CASE WHEN l_partkey % 7 = 0 THEN '  ' ELSE concat('src ', CAST(l_partkey AS STRING)) END AS source_text,
         CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE concat('tr ', CAST(l_suppkey AS STRING), repeat(' word', CAST(l_quantity AS INT) % 12)) END AS translation
         FROM lineitem""",
+    "v_qa": f"""SELECT l_orderkey AS page_id, l_linenumber AS block_index, {_BLOCK_ID} AS block_id,
+        20 + l_quantity * 4 AS width, CAST(18 + (l_partkey * 7 + l_suppkey) % 110 AS DOUBLE) AS height,
+        CASE WHEN l_linenumber % 3 = 0 THEN l_quantity * 6 - 8 END AS smart_width, CASE WHEN l_linenumber % 4 = 0 THEN CAST(l_suppkey % 90 AS DOUBLE) END AS smart_height,
+        CASE WHEN l_partkey % 4 = 0 THEN CAST(0 AS DOUBLE) WHEN l_partkey % 4 = 1 THEN CAST(8 + l_partkey % 30 AS DOUBLE) END AS font_size,
+        CAST(20 + (l_partkey * 13 + l_linenumber) % 80 AS DOUBLE) / 100 AS confidence,
+        CASE WHEN l_partkey % 7 = 0 THEN '  ' ELSE concat('src ', CAST(l_partkey AS STRING)) END AS source_text,
+        CASE WHEN l_suppkey % 3 = 0 THEN ' ' ELSE concat(CASE WHEN l_partkey % 5 = 0 THEN concat(' ', substring('{_THAI}', CAST(1 + l_partkey % {len(_THAI)} AS INT), 1)) ELSE 'tr ' END,
+          CAST(l_suppkey AS STRING), repeat(CASE WHEN l_linenumber % 2 = 0 THEN '\n word' ELSE ' word' END, CAST(l_quantity AS INT) % 12)) END AS translation
+        FROM lineitem""",
+    "v_paths": """SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 3 = 0 THEN concat('src/', CAST(o_orderkey AS STRING)) END AS source_image_path,
+        concat('tmp/', CAST(o_orderkey AS STRING)) AS inpainted_image_path, CASE WHEN o_orderkey % 4 = 0 THEN concat('out/', CAST(o_orderkey AS STRING)) END AS rendered_image_path FROM orders""",
+    "v_stored": f"""SELECT {_BLOCK_ID} AS asset_id, l_suppkey AS owner_id, concat(CASE l_linenumber % 3 WHEN 0 THEN 'src/' WHEN 1 THEN 'out/' ELSE 'tmp/' END, CAST(l_orderkey AS STRING)) AS storage_key,
+        CAST(l_quantity * 1000 AS BIGINT) AS byte_size, CASE l_returnflag WHEN 'R' THEN 'deleted' WHEN 'A' THEN 'uploading' ELSE 'active' END AS status,
+        CAST(l_shipdate AS DATE) AS created_on, CASE WHEN l_suppkey % 5 = 0 THEN CAST(l_shipdate AS DATE) + CAST(l_partkey % 900 AS INT) END AS retained_until FROM lineitem""",
+    "v_results": f"""SELECT CASE WHEN l_partkey % 13 = 0 THEN {_BLOCK_ID} END AS asset_id FROM lineitem""",
+    "v_attempts": """SELECT o_orderkey AS redemption_id, o_custkey AS user_id, o_orderkey % 50 AS code_id, CAST(o_orderdate AS DATE) AS redeemed_on, o_orderkey % 50 % 9 = 4 AS revoked,
+        CASE WHEN o_orderkey % 50 % 4 = 1 THEN CAST('1993-01-01' AS DATE) + CAST(o_orderkey % 50 * 40 AS INT) END AS expires_on, CAST(3 + o_orderkey % 50 * 2 AS INT) AS allowed FROM orders""",
     "v_pages": """SELECT o_orderkey AS page_id, o_custkey AS project_id, CAST(1000 + o_orderkey % 3 * 100 AS INT) AS width,
         CAST(1400 + o_orderkey % 5 * 700 AS INT) AS height,
         CASE WHEN o_orderstatus = 'F' THEN concat('clean/', CAST(o_orderkey AS STRING)) END AS inpainted_image_path,

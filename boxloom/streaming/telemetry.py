@@ -56,7 +56,15 @@ def lost_workers(jobs: DataFrame, now: str, max_attempts: int = 3, silence: int
 
 
 def first_use(events: DataFrame, key: str) -> DataFrame:
-    """The first use of each one-time ticket; on a stream, later ones within the watermark go."""
+    """The first good use of each one-time ticket; on a stream, later ones within the watermark go.
+
+    A use is good before the ticket's ``expires_at`` and in the ticket's project (``project_id`` is
+    ``ticket_project``), where events have these columns.
+    """
+    if "expires_at" in events.columns:
+        events = events.where("ts < expires_at")
+    if "ticket_project" in events.columns:
+        events = events.where(F.col("project_id").eqNullSafe(F.col("ticket_project")))
     if events.isStreaming:
         return timed(events).dropDuplicatesWithinWatermark([key])
     first = F.row_number().over(Window.partitionBy(key).orderBy("ts", "event_id"))
