@@ -173,3 +173,31 @@ def row_clusters(blocks: DataFrame, near: float = 60, right_to_left: bool = True
 
     schema = ", ".join(f"`{n}` {t}" for n, t in blocks.dtypes if n != "order") + ", `order` int"
     return per_page(blocks.drop("order"), ["y", "x", "block_index", "block_id"], rule, schema)
+
+
+def merge_padded(blocks: DataFrame, margin: int = 35) -> DataFrame:
+    """Boxes that meet once ``margin`` is put around them (never above zero) become one, pass after pass, until none do.
+
+    In a pass a box grows over all later ones that it meets on the way.  Sides are whole numbers.
+    """
+
+    def rule(boxes: np.ndarray, own) -> list[int]:
+        boxes[:] = np.trunc(boxes)
+        rows = list(range(len(boxes)))
+        while True:
+            stay, free = [], dict.fromkeys(rows)
+            for k in rows:
+                if k not in free:
+                    continue
+                del free[k]
+                stay.append(k)
+                for j in [j for j in free if j > k]:
+                    a, b = boxes[k], boxes[j]
+                    if all(max(0, a[d] - margin) <= b[d] + b[d + 2] + margin and max(0, b[d] - margin) <= a[d] + a[d + 2] + margin for d in (0, 1)):
+                        boxes[k] = _union(a, b)
+                        del free[j]
+            if len(stay) == len(rows):
+                return stay
+            rows = stay
+
+    return per_page(blocks, ["block_index", "block_id"], rule)

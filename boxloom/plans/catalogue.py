@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import accounts, audit, benchmark, boxes, consolidate, corpus, lines, memory, planning
 from ..streaming import telemetry
-from . import exchange_queries, layout_queries, ledger_queries  # noqa: F401  (they register their queries)
+from . import exchange_queries, intake_queries, layout_queries, ledger_queries, style_queries  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -246,9 +246,9 @@ query("j6_normal_lines", r"""SELECT item_id, regexp_replace(array_to_string(list
     lambda t: t.benchmark.select("item_id", tx.normal_lines(F.col("text")).alias("text")))
 query("j8_strip_tags", r"""SELECT seq, regexp_replace(regexp_replace(s, '(\s*\{[^{}]+\}\s*)+$', ''), '\s+$', '') AS text FROM (SELECT seq, translation || CASE WHEN seq % 3 = 0 THEN ' {shout} {soft}' WHEN seq % 3 = 1 THEN '{x' ELSE ' {a}' END AS s FROM v_tm)""")(
     lambda t: t.v_tm.select("seq", tx.without_tags(F.concat("translation", F.when(F.col("seq") % 3 == 0, " {shout} {soft}").when(F.col("seq") % 3 == 1, "{x").otherwise(" {a}"))).alias("text")))
-_SIGNALS = {"exclaims": "[!！]", "asks": "[?？]", "katakana": "[ァ-ヶー]", "capital_runs": "[A-Z]{2,}", "thai": "[ก-๛]"}
-query("j10_signals", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{v}')) AS {k}" for k, v in {"exclaims": "!|！", "asks": r"\?|？", "katakana": r"[\x{30A1}-\x{30F6}\x{30FC}]", "capital_runs": "[A-Z][A-Z]+", "thai": r"[\x{0E01}-\x{0E5B}]"}.items()) + ", length(text) AS length, length(text) <= 6 AS short, length(text) <= 3 AS very_short FROM documents")(
-    lambda t: t.documents.select("doc_id", *[F.regexp_count("text", F.lit(v)).alias(k) for k, v in _SIGNALS.items()], F.length("text").alias("length"), (F.length("text") <= 6).alias("short"), (F.length("text") <= 3).alias("very_short")))
+_SIGNALS = {"exclaims": "[!！]", "asks": "[?？]", "katakana": r"[\u30A0-\u30FF]", "capital_runs": "[A-Z]{2,}", "thai": r"[\u0E00-\u0E7F]"}
+query("j10_signals", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{v}')) AS {k}" for k, v in {"exclaims": "!|！", "asks": r"\?|？", "katakana": r"[\x{30A0}-\x{30FF}]", "capital_runs": "[A-Z][A-Z]+", "thai": r"[\x{0E00}-\x{0E7F}]"}.items()) + r", length(s) AS length, length(s) <= 6 AS short, length(s) <= 3 AS very_short FROM (SELECT *, regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS s FROM documents)")(
+    lambda t: t.documents.select("doc_id", *[F.regexp_count("text", F.lit(v)).alias(k) for k, v in _SIGNALS.items()], F.length(tx.strip(F.col("text"))).alias("length"), (F.length(tx.strip(F.col("text"))) <= 6).alias("short"), (F.length(tx.strip(F.col("text"))) <= 3).alias("very_short")))
 query("j11_luminance", """WITH h AS (SELECT p_partkey, substring(md5(p_name), 1, 6) AS h FROM part), c AS (SELECT p_partkey, ('0x' || substring(h, 1, 2))::INT / 255 AS r, ('0x' || substring(h, 3, 2))::INT / 255 AS g, ('0x' || substring(h, 5, 2))::INT / 255 AS b FROM h)
   SELECT p_partkey, round(r * 0.2126 + g * 0.7152 + b * 0.0722, 6) AS luminance, round(CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE 1 - least(r, g, b) / greatest(r, g, b) END, 6) AS saturation FROM c""")(
     lambda t: (lambda h: t.part.select("p_partkey", F.round(tx.luminance(h), 6).alias("luminance"), F.round(tx.saturation(h), 6).alias("saturation")))(F.concat(F.lit("#"), F.substring(F.md5("p_name"), 1, 6))))

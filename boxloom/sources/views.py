@@ -42,6 +42,12 @@ VIEWS = {
     "v_results": f"""SELECT CASE WHEN l_partkey % 13 = 0 THEN {_BLOCK_ID} END AS asset_id FROM lineitem""",
     "v_attempts": """SELECT o_orderkey AS redemption_id, o_custkey AS user_id, o_orderkey % 50 AS code_id, CAST(o_orderdate AS DATE) AS redeemed_on, o_orderkey % 50 % 9 = 4 AS revoked,
         CASE WHEN o_orderkey % 50 % 4 = 1 THEN CAST('1993-01-01' AS DATE) + CAST(o_orderkey % 50 * 40 AS INT) END AS expires_on, CAST(3 + o_orderkey % 50 * 2 AS INT) AS allowed FROM orders""",
+    "v_projects": """SELECT c_custkey AS project_id, CASE c_custkey % 4 WHEN 1 THEN 'bubble' WHEN 2 THEN 'sfx' WHEN 3 THEN 'none' END AS default_template_id,
+        CASE WHEN c_custkey % 7 = 0 THEN 'old' ELSE CAST(c_custkey % 5 AS STRING) END AS policy_version FROM customer""",
+    "v_templates": """SELECT p_partkey % 40 AS project_id, CASE CAST(floor(p_partkey / 40) AS INT) WHEN 0 THEN 'bubble' WHEN 1 THEN 'sfx' ELSE concat('t', CAST(CAST(floor(p_partkey / 40) AS INT) AS STRING)) END AS template_id,
+        CAST(p_partkey % 17 AS INT) AS ord, p_size % 3 <> 0 AS valid, CASE p_size % 4 WHEN 0 THEN 'Kanit, Tahoma,Kanit' WHEN 1 THEN '' WHEN 2 THEN ' Arial ,None' END AS font_stack, concat('F', CAST(p_size % 5 AS STRING)) AS font_family,
+        CASE WHEN p_size % 5 <> 0 THEN concat('#', substring(md5(p_name), 1, 6)) END AS color_hex, p_size % 2 = 0 AS bold, CASE WHEN p_size % 3 = 1 THEN true END AS italic, CASE WHEN p_size % 2 = 1 THEN CAST(p_size + 10 AS DOUBLE) END AS font_size,
+        CASE WHEN p_size % 4 <> 1 THEN '#00ff00' END AS stroke_color, p_size % 7 <> 0 AS stroke_enabled, CASE WHEN p_size % 6 <> 5 THEN CAST(p_size % 6 AS DOUBLE) END AS stroke_width, p_size % 8 <> 3 AS auto_font_size FROM part""",
     "v_pages": """SELECT o_orderkey AS page_id, o_custkey AS project_id, CAST(1000 + o_orderkey % 3 * 100 AS INT) AS width,
         CAST(1400 + o_orderkey % 5 * 700 AS INT) AS height,
         CASE WHEN o_orderstatus = 'F' THEN concat('clean/', CAST(o_orderkey AS STRING)) END AS inpainted_image_path,
