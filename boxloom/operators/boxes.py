@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as g
@@ -44,18 +46,33 @@ def gate_reason(blocks: DataFrame) -> DataFrame:
 
 
 def clipped(blocks: DataFrame) -> DataFrame:
-    """Whole pixels within the page, and reason zero_area where nothing is left."""
+    """Whole pixels within the page, and reason: malformed_bbox where a number is missing, zero_area where nothing is left."""
     x, y = F.greatest(F.lit(0), F.col("x").cast("int")), F.greatest(F.lit(0), F.col("y").cast("int"))
     w = F.least(F.col("width").cast("int"), F.col("page_width") - x)
     h = F.least(F.col("height").cast("int"), F.col("page_height") - y)
-    return blocks.withColumns({"x": x, "y": y, "width": w, "height": h, "reason": F.when((w <= 0) | (h <= 0), "zero_area")})
+    whole = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("width").isNotNull() & F.col("height").isNotNull()
+    box = {k: F.when(whole, v) for k, v in {"x": x, "y": y, "width": w, "height": h}.items()}
+    return blocks.withColumns({**box, "reason": F.when(~whole, "malformed_bbox").when((w <= 0) | (h <= 0), "zero_area")})
+
+
+#: Side of the cells in which boxes of a page meet, in pixels.
+CELL = 512
 
 
 def pairs(blocks: DataFrame) -> DataFrame:
-    """Unordered pairs of boxes of one page, a_ before b_ by (block_index, block_id)."""
-    side = lambda p: blocks.select("page_id", *[F.col(c).alias(f"{p}_{c}") for c in ("block_id", "block_index", *BOX)])
-    a, b = side("a"), side("b")
-    return a.join(b, "page_id").where(F.struct("a_block_index", "a_block_id") < F.struct("b_block_index", "b_block_id"))
+    """Unordered pairs of boxes of one page that meet, a_ before b_ by (block_index, block_id).
+
+    Boxes meet in the cells of a grid that they cover, so that a page with very many boxes is not compared all with
+    all; a pair counts in the one cell that holds the upper left corner of what both cover.
+    """
+    cell = lambda c: F.floor(c / CELL)
+    covered = lambda c, d: F.explode(F.sequence(cell(F.col(c)), cell(F.col(c) + F.col(d))))
+    b = blocks.where((F.col("width") > 0) & (F.col("height") > 0)).select("page_id", "block_id", "block_index", *BOX)
+    b = b.withColumn("cell_x", covered("x", "width")).withColumn("cell_y", covered("y", "height"))
+    on = ["page_id", "cell_x", "cell_y"]
+    side = lambda p: b.select(*on, *[F.col(c).alias(f"{p}_{c}") for c in ("block_id", "block_index", *BOX)])
+    corner = (cell(F.greatest("a_x", "b_x")) == F.col("cell_x")) & (cell(F.greatest("a_y", "b_y")) == F.col("cell_y"))
+    return side("a").join(side("b"), on).where(F.struct("a_block_index", "a_block_id") < F.struct("b_block_index", "b_block_id")).where(corner).drop("cell_x", "cell_y")
 
 
 def pair_iou(blocks: DataFrame) -> DataFrame:
@@ -132,6 +149,21 @@ def empty_tiles(blocks: DataFrame, t: DataFrame) -> DataFrame:
     return t.join(in_tiles(blocks, t).select("page_id", "k").distinct(), ["page_id", "k"], "left_anti")
 
 
+#: How much the brightness of a background tile varies, and the most tiles of each split.
+VARIED, MOST_BACKGROUND = 15.0, {"train": 360, "val": 65}
+
+
+def background_tiles(empty: DataFrame, most: dict[str, int] = MOST_BACKGROUND, seed: str = "42") -> DataFrame:
+    """Tiles without boxes that are no plain colour, at most so many of each split, in hash order.
+
+    ``empty`` has page_id, k, deviation (of the brightness) and split.  Each split is a distributed top-k.
+    """
+    order = F.md5(F.concat_ws("-", F.lit(seed), F.col("page_id").cast("string"), F.col("k").cast("string")))
+    good = empty.where(F.col("deviation") > VARIED).withColumn("__order", order)
+    first = [good.where(F.col("split") == s).orderBy("__order", "page_id", "k").limit(n) for s, n in most.items()]
+    return reduce(DataFrame.unionByName, first).drop("__order")
+
+
 def label_lines(blocks: DataFrame) -> DataFrame:
     """One training label per box of a page: class 0, centre and size with six decimals."""
     ok = blocks.where("page_width > 0 and page_height > 0")

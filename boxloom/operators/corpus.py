@@ -32,16 +32,26 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r"), F.min(order).alias("position")).select("r.*", "position")
 
 
-def manifest(blocks: DataFrame) -> DataFrame:
-    """Valid boxes with record_id, rivals and split; positions count all boxes of the page.
+def manifest(blocks: DataFrame, types: tuple[str, ...] | None = None, limit: int | None = None) -> DataFrame:
+    """Valid boxes with record_id, rivals and split; positions and rivals count boxes of every type on the page.
 
-    ``blocks`` carry their page's project_id.
+    ``blocks`` carry their page's project_id.  ``types`` keeps some balloon types only, ``limit`` the first records
+    by project, page and position.
     """
     page = Window.partitionBy("page_id")
     at = F.row_number().over(page.orderBy("block_index", "block_id")) - 1
     valid = blocks.withColumn("__at", at).where((F.col("width") > 0) & (F.col("height") > 0))
     project = F.col("project_id").cast("string")
-    return valid.withColumns({
+    records = valid.withColumns({
         "record_id": F.format_string("%s_%s_b%03d", F.substring(project, 1, 12), F.col("page_id").cast("string"), F.col("__at")),
         "rivals": F.count("*").over(page) - 1, "split": split(F.col("project_id")),
-    }).drop("__at")
+    })
+    records = records if types is None else records.where(F.coalesce("balloon_type", F.lit("bubble")).isin(*types))
+    records = records if limit is None else records.orderBy("project_id", "page_id", "__at").limit(limit)
+    return records.drop("__at")
+
+
+def manifest_counts(records: DataFrame) -> DataFrame:
+    """Records by split and by type: kind (split or type), value, records."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in (("split", "split"), ("type", "balloon_type"))])
+    return records.select(F.inline(kinds)).groupBy("kind", "value").agg(F.count("*").alias("records"))

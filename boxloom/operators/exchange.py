@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row, Window, functions as F
 
 from ..functions.text import THAI, blank, squeezed, strip, trailing_tag
+from .lines import LAYOUT
 
 #: The marks in front of source and translation.
 SOURCE_MARK, TRANSLATION_MARK = "[คำต้นฉบับ]: ", "[คำแปลไทย]: "
@@ -53,19 +54,24 @@ def export_text(blocks: DataFrame, mode: str, tags: dict[str, str]) -> DataFrame
     """project_id, bubble and text: one entry for each block, in the project's order.
 
     Entries stay rows, so that a project of any size is written by sorting within partitions;
-    a reader joins them by line breaks.  ``blocks`` carry their page's project_id.
+    a reader joins them by line breaks.  ``blocks`` carry their page's project_id, and for the mode ai_layout
+    the column layout, a line on how the text is laid out.
     """
-    if mode not in ("ocr", "translation", "both"):
+    if mode not in ("ocr", "translation", "both", "ai_layout"):
         raise ValueError(f"unknown export mode: {mode}")
     flat = F.translate(F.coalesce("source_text", F.lit("")), "\r\n", "  ")
     bubble = F.row_number().over(Window.partitionBy("project_id").orderBy("page_id", "block_index", "block_id"))
     b = blocks.withColumn("bubble", bubble)
     if mode == "ocr":
         return b.select("project_id", "bubble", F.concat(F.lit("//"), strip(flat)).alias("text"))
+    told = trailing_tag(F.col("translation"), tags)["text"]
+    if mode == "ai_layout":
+        one = F.replace(F.replace(told, F.lit("\r\n"), F.lit(" ")), F.lit("\n"), F.lit(" "))
+        return b.select("project_id", "bubble", F.concat_ws("\n", flat, "layout", F.nullif(one, F.lit("")), F.lit("")).alias("text"))
     lines = [F.concat(F.lit("# Bubble "), F.col("bubble").cast("string"))]
     if mode == "both":
         lines.append(F.concat(F.lit(SOURCE_MARK), flat))
-    lines.append(F.concat(F.lit(TRANSLATION_MARK), trailing_tag(F.col("translation"), tags)["text"]))
+    lines.append(F.concat(F.lit(TRANSLATION_MARK), told))
     return b.select("project_id", "bubble", F.concat_ws("\n", *lines, F.lit("")).alias("text"))
 
 
@@ -89,18 +95,18 @@ def read_tabs(lines: DataFrame) -> DataFrame:
 
 
 def read_labelled(lines: DataFrame) -> DataFrame:
-    """Records of labelled lines: file_id, line_no, block_id, bubble, source, translation.
+    """Records of labelled lines: file_id, line_no, block_id, bubble, source, translation, layout.
 
     ``# ID:`` or ``# Bubble n`` opens a record.  The last source mark gives the source.  The
     translation starts at the last translation mark, or else below the first mark, and goes on with
-    each further line that is neither blank, comment, mark nor layout tag.
+    each further line that is neither blank, comment, mark nor layout line.  The last layout line is kept.
     """
     s = strip(F.col("line"))
     by_id, by_bubble = F.startswith(s, F.lit("# ID:")), F.regexp_like(s, F.lit(r"(?i)^#\s*Bubble\s+\d+"))
     is_source, is_told = F.startswith(s, F.lit("[คำต้นฉบับ]:")), F.regexp_like(s, F.lit(r"^\[(คำแปลไทย|คำแปล)\]:"))
     kind = (
         F.when(by_id | by_bubble, "open").when(is_source, "source").when(is_told, "translation")
-        .when((s == "") | F.startswith(s, F.lit("#")) | F.startswith(s, F.lit("[[")), "none").otherwise("plain")
+        .when(F.regexp_like(s, F.lit(LAYOUT)), "layout").when((s == "") | F.startswith(s, F.lit("#")), "none").otherwise("plain")
     )
     before = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     r = lines.withColumns({"kind": kind, "rest": strip(F.regexp_extract("line", r"^[^:]*:(.*)$", 1))})
@@ -116,9 +122,10 @@ def read_labelled(lines: DataFrame) -> DataFrame:
         F.max(F.when(opens & ~by_id, F.regexp_extract(s, r"(\d+)", 1).cast("int"))).alias("bubble"),
         F.max_by("rest", F.when(F.col("kind") == "source", F.col("line_no"))).alias("source"),
         F.array_sort(F.collect_list(F.when(told.isNotNull(), F.struct("line_no", told.alias("t"))))).alias("told"),
+        F.max_by(s, F.when(F.col("kind") == "layout", F.col("line_no"))).alias("layout"),
     )
     text = strip(F.array_join(F.transform("told", lambda x: x["t"]), "\n"))
-    return per.select("file_id", "line_no", "block_id", "bubble", F.nullif("source", F.lit("")).alias("source"), text.alias("translation"))
+    return per.select("file_id", "line_no", "block_id", "bubble", F.nullif("source", F.lit("")).alias("source"), text.alias("translation"), "layout")
 
 
 def resolved(records: DataFrame, blocks: DataFrame, strict: bool = False) -> DataFrame:

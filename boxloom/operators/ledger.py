@@ -69,6 +69,20 @@ def decisions(events: DataFrame) -> DataFrame:
     return events.withColumns({"change_reason": reason, "final_lines": F.coalesce("final_lines", "suggested_lines")})
 
 
+def decision_lines(events: DataFrame) -> DataFrame:
+    """One JSON line for each decision, to append with ``write.mode("append").text``."""
+    return events.select(F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def read_decisions(lines: DataFrame, schema: str) -> DataFrame:
+    """The decisions of JSON lines (``value``), as ``decisions`` gives them; lines that are none are left out.
+
+    Works on ``readStream.text`` too.
+    """
+    parsed = F.from_json("value", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"})
+    return decisions(lines.select(parsed.alias("r")).where("r is not null and r.__bad is null").select("r.*").drop("__bad"))
+
+
 def decision_counts(events: DataFrame) -> DataFrame:
     """Decisions per hour, reason and pair of templates; a stream waits ten minutes for late ones."""
     e = decisions(events)

@@ -38,13 +38,20 @@ def export(memory: DataFrame, source: str = "auto", target: str = "auto") -> Dat
 def containing(entries: DataFrame, column: str, asked: DataFrame) -> DataFrame:
     """Entries whose column contains the query, ignoring case, once for each such query.
 
-    They meet by their pieces of up to three letters, never by comparing all with all.
+    They meet by pieces of up to three letters, never by comparing all with all: a query waits at the one of its
+    pieces that the fewest entries hold.
     """
     pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
     m = entries.withColumn("low", F.lower(column))
     every = F.array_distinct(F.concat(*[F.when(F.length("low") >= n, pieces(F.col("low"), n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
-    q = asked.withColumn("want", F.lower("query")).withColumn("piece", F.substring("want", 1, 3))
-    return m.withColumn("piece", F.explode(every)).join(q, "piece").where(F.contains("low", "want"))
+    m = m.withColumn("piece", F.explode(every))
+    q = asked.withColumn("want", F.lower("query")).where(F.length("want") > 0)
+    wanted = F.when(F.length("want") >= 3, pieces(F.col("want"), 3)).otherwise(F.array("want"))
+    each = q.select("want").distinct().select("want", F.explode(wanted).alias("piece"))
+    held = m.join(each.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
+    # a piece that no entry holds rules its query out, so it counts as the rarest
+    rarest = each.join(held, "piece", "left").groupBy("want").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    return m.join(q.join(rarest, "want"), "piece").where(F.contains("low", "want"))
 
 
 def first_meaning(dictionary: DataFrame, asked: DataFrame) -> DataFrame:
@@ -59,13 +66,16 @@ def first_meaning(dictionary: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def lookup(memory: DataFrame, asked: DataFrame, limit: int = 5) -> DataFrame:
-    """Entries whose source contains the query, ignoring case; exact ones flagged.
+    """Entries whose source contains the trimmed query, ignoring case; exact ones flagged.
 
-    ``asked`` has query_id and query.  Candidates meet by their three-letter pieces: a source
-    that contains the query contains its first piece.  Queries of under three characters have
-    no piece and are compared with the shorter pieces kept for them.
+    ``asked`` has query_id, query and perhaps source_language and target_language, of which null, an empty
+    text and ``auto`` stand for any.
     """
-    hit = containing(memory, "source_text", asked)
+    asked = asked.withColumn("query", strip(F.col("query")))
+    kinds = [c for c in ("source_language", "target_language") if c in asked.columns]
+    hit = containing(memory, "source_text", asked.withColumnsRenamed({c: f"__{c}" for c in kinds}))
+    for c in kinds:
+        hit = hit.where(F.coalesce(F.col(f"__{c}"), F.lit("")).isin("", "auto") | (F.col(c) == F.col(f"__{c}")))
     hit = hit.withColumn("exact", F.col("source_text") == F.col("query"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("frequency"), F.desc("last_seq"), *KEY))
     return hit.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", *KEY, "translation", "frequency", "exact")

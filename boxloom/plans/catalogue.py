@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..operators import accounts, audit, benchmark, boxes, consolidate, corpus, lines, memory, planning
 from ..streaming import telemetry
 from . import exchange_queries, intake_queries, layout_queries, ledger_queries, style_queries  # noqa: F401  (they register their queries)
-from .registry import ORACLES, QUERIES, query  # noqa: F401
+from .registry import ORACLES, QUERIES, query, split_list  # noqa: F401
 
 
 def _blank(c: str) -> str:
@@ -39,10 +39,10 @@ query("b7_margin", f"""WITH {_PLACED}, c AS (SELECT block_id, greatest(0, x - 10
     lambda t: boxes.with_margin(t.placed).select("block_id", *boxes.BOX))
 query("b13_page_box_gate", f"WITH {_PLACED} SELECT block_id, CASE WHEN width < 18 OR height < 18 THEN 'too_small' WHEN width > 0.97 * page_width AND height > 0.97 * page_height THEN 'covers_page' END AS reason FROM placed")(
     lambda t: boxes.gate_reason(t.placed).select("block_id", "reason"))
-query("b14_clip", f"""WITH {_PLACED}, c AS (SELECT block_id, greatest(0, trunc(x)::INT) AS x, greatest(0, trunc(y)::INT) AS y, trunc(width)::INT AS w, trunc(height)::INT AS h, page_width, page_height FROM placed),
-  d AS (SELECT block_id, x, y, least(w, page_width - x) AS width, least(h, page_height - y) AS height FROM c)
-  SELECT *, CASE WHEN width <= 0 OR height <= 0 THEN 'zero_area' END AS reason FROM d""")(
-    lambda t: boxes.clipped(t.placed).select("block_id", *boxes.BOX, "reason"))
+query("b14_clip", f"""WITH {_PLACED}, c AS (SELECT block_id, block_index = 6 AS bad, greatest(0, trunc(x)::INT) AS x, greatest(0, trunc(y)::INT) AS y, trunc(width)::INT AS w, trunc(height)::INT AS h, page_width, page_height FROM placed),
+  d AS (SELECT block_id, bad, x, y, least(w, page_width - x) AS width, least(h, page_height - y) AS height FROM c)
+  SELECT block_id, CASE WHEN NOT bad THEN x END AS x, CASE WHEN NOT bad THEN y END AS y, CASE WHEN NOT bad THEN width END AS width, CASE WHEN NOT bad THEN height END AS height, CASE WHEN bad THEN 'malformed_bbox' WHEN width <= 0 OR height <= 0 THEN 'zero_area' END AS reason FROM d""")(
+    lambda t: boxes.clipped(t.placed.withColumn("height", F.when(F.col("block_index") != 6, F.col("height")))).select("block_id", *boxes.BOX, "reason"))
 query("b16_tiers", "SELECT CASE WHEN mask_iou >= 0.85 THEN 'HIGH' WHEN mask_iou >= 0.7 THEN 'MEDIUM' ELSE 'LOW' END AS tier, count(*) AS n FROM v_bench GROUP BY 1")(
     lambda t: benchmark.tier_counts(t.v_bench))
 query("a6_label_lines", f"""WITH {_PLACED}, u AS (SELECT page_id, block_id, least(1, greatest(0, (x + width / 2) / page_width)) AS a, least(1, greatest(0, (y + height / 2) / page_height)) AS b, least(1, greatest(0, width / page_width)) AS c, least(1, greatest(0, height / page_height)) AS d FROM placed)
@@ -78,6 +78,10 @@ query("d2_tile_labels", f"""WITH {_TILES}, {_IN} SELECT page_id, k, block_id, CA
     lambda t: boxes.tile_labels(t.v_blocks, boxes.tiles(t.v_pages)))
 query("d4_empty_tiles", f"WITH {_TILES}, {_IN} SELECT page_id, k FROM tiles t WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.page_id = t.page_id AND h.k = t.k)")(
     lambda t: boxes.empty_tiles(t.v_blocks, boxes.tiles(t.v_pages)).select("page_id", "k"))
+_SHADED = "CAST((page_id * 7 + k * 13) % 40 AS DOUBLE) AS deviation, CASE WHEN page_id % 7 = 0 THEN 'val' ELSE 'train' END AS split"
+query("d4_background", f"""WITH {_TILES}, {_IN}, e AS (SELECT page_id, k, {_SHADED} FROM tiles t WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.page_id = t.page_id AND h.k = t.k)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5(concat_ws('-', '42', page_id, k)), page_id, k) AS n FROM e WHERE deviation > 15) SELECT page_id, k, deviation, split FROM r WHERE n <= CASE split WHEN 'val' THEN 65 ELSE 360 END""")(
+    lambda t: boxes.background_tiles(boxes.empty_tiles(t.v_blocks, boxes.tiles(t.v_pages)).selectExpr("page_id", "k", *split_list(_SHADED))))
 query("d5_page_last_wins", "SELECT page_id, max_by(block_id, block_id) AS block_id FROM v_blocks GROUP BY page_id")(
     lambda t: corpus.last_wins(t.v_blocks.select("page_id", "block_id"), "page_id", "block_id").select("page_id", "block_id"))
 query("d6_hash_split", "SELECT page_id, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'dev' ELSE 'test' END AS split FROM (SELECT page_id, ('0x' || substring(md5(CAST(project_id AS VARCHAR)), 1, 12))::BIGINT / pow(16, 12) AS u FROM v_pages)")(
@@ -89,10 +93,10 @@ query("d8_capped_round_robin", "SELECT page_id, project_id, round FROM (SELECT *
 query("d11_cleaning_report", f"WITH {_PLACED} SELECT CASE WHEN width < 18 OR height < 18 THEN 'too_small' WHEN width > 0.97 * page_width AND height > 0.97 * page_height THEN 'covers_page' ELSE 'kept' END AS reason, count(*) AS n FROM placed GROUP BY 1")(
     lambda t: boxes.gate_reason(t.placed).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n")))
 query("c13_memory_lookup", """WITH m AS (SELECT source_text, source_language, target_language, count(*) AS frequency, max_by(translation, seq) AS translation, max(seq) AS last_seq FROM v_tm GROUP BY ALL),
-  q AS (SELECT DISTINCT p_type AS query_id, substring(p_type, 3, 7) AS query FROM part),
-  h AS (SELECT query_id, m.*, source_text = query AS exact, row_number() OVER (PARTITION BY query_id ORDER BY frequency DESC, last_seq DESC, source_text, source_language, target_language) AS rank FROM q JOIN m ON contains(lower(source_text), lower(query)))
+  q AS (SELECT DISTINCT p_type AS query_id, trim(CASE length(p_type) % 4 WHEN 0 THEN substring(p_type, 3, 7) WHEN 1 THEN p_type WHEN 2 THEN substring(p_type, 4, 2) ELSE substring(p_type, 6, 6) END) AS query, CASE length(p_type) % 3 WHEN 0 THEN 'ko' WHEN 1 THEN 'auto' END AS wanted FROM part),
+  h AS (SELECT query_id, m.*, source_text = query AS exact, row_number() OVER (PARTITION BY query_id ORDER BY frequency DESC, last_seq DESC, source_text, source_language, target_language) AS rank FROM q JOIN m ON query <> '' AND contains(lower(source_text), lower(query)) AND (wanted IS NULL OR wanted = 'auto' OR wanted = source_language))
   SELECT query_id, rank, source_text, source_language, target_language, translation, frequency, exact FROM h WHERE rank <= 5""")(
-    lambda t: memory.lookup(memory.merge(t.v_tm), t.part.select(F.col("p_type").alias("query_id"), F.substring("p_type", 3, 7).alias("query")).distinct()))
+    lambda t: memory.lookup(memory.merge(t.v_tm), t.part.selectExpr("p_type AS query_id", "CASE length(p_type) % 4 WHEN 0 THEN substring(p_type, 3, 7) WHEN 1 THEN p_type WHEN 2 THEN substring(p_type, 4, 2) ELSE substring(p_type, 6, 6) END AS query", "CASE length(p_type) % 3 WHEN 0 THEN 'ko' WHEN 1 THEN 'auto' END AS source_language", "'th' AS target_language").distinct()))
 query("c15_duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")(
     lambda t: accounts.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"]))
 query("c15_orphans", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")(
@@ -110,6 +114,7 @@ query("c9_exact_text_match", """WITH r AS (SELECT conv_id, turn, regexp_replace(
 # --- benchmark aggregation
 
 _STAT = """count(*) AS n, count(*) FILTER (success AND has_gt) AS n_scored, round(avg(success::INT), 6) AS success_rate, round(avg(mask_iou) FILTER (success AND has_gt), 6) AS mean_iou,
+  round(avg("precision") FILTER (success AND has_gt), 6) AS mean_precision, round(avg(utilization) FILTER (success AND has_gt), 6) AS mean_utilization, round(avg(containment) FILTER (success AND has_gt), 6) AS mean_containment,
   round(median(mask_iou) FILTER (success AND has_gt), 6) AS median_iou, round(quantile_cont(elapsed_ms, 0.5), 6) AS p50, round(quantile_cont(elapsed_ms, 0.95), 6) AS p95"""
 query("e1_e2_rollup", f"""WITH s AS (SELECT 'overall' AS scope, NULL AS eng, NULL AS value, * FROM v_bench UNION ALL SELECT 'engine', engine, NULL, * FROM v_bench UNION ALL SELECT 'type', engine, balloon_type, * FROM v_bench
   UNION ALL SELECT 'split', engine, split, * FROM v_bench UNION ALL SELECT 'archetype', engine, archetype, * FROM v_bench WHERE success) SELECT scope, eng AS engine, value, {_STAT} FROM s GROUP BY 1, 2, 3""")(
@@ -147,6 +152,9 @@ query("e8_project_audit", f"""WITH {_PAGE} SELECT project_id, count(*) AS pages,
 _MERGED = "m AS (SELECT source_text, source_language, target_language, count(*) AS frequency, max_by(translation, seq) AS translation, max(seq) AS last_seq FROM v_tm GROUP BY ALL)"
 query("e9_memory_merge", f"WITH {_MERGED} SELECT * FROM m")(lambda t: memory.merge(t.v_tm))
 query("e9_memory_upsert", f"WITH {_MERGED} SELECT * FROM m")(lambda t: memory.upsert(memory.merge(t.v_tm.where("seq % 2 = 0")), t.v_tm.where("seq % 2 = 1")))
+query("e9_memory_project", """SELECT source_text, source_language, target_language, count(*) AS frequency, arg_max(translation, seq) AS translation, max(seq) AS last_seq, arg_max(p, seq) FILTER (p IS NOT NULL) AS project_id
+  FROM (SELECT *, CASE WHEN seq % 3 = 1 THEN seq % 50 END AS p FROM v_tm) GROUP BY 1, 2, 3""")(
+    lambda t: (lambda r: memory.upsert(memory.merge(r.where("seq <= 90")), r.where("seq > 90")))(t.v_tm.withColumn("project_id", F.when(F.col("seq") % 3 == 1, F.col("seq") % 50))))
 query("e10_memory_export", f"WITH {_MERGED} SELECT * FROM m WHERE source_language = 'ja'")(lambda t: memory.export(memory.merge(t.v_tm), "ja"))
 query("e11_storage", """WITH u AS (SELECT owner_id, coalesce(sum(byte_size) FILTER (status <> 'deleted'), 0)::BIGINT AS used, coalesce(sum(byte_size) FILTER (status = 'uploading'), 0)::BIGINT AS more FROM v_assets GROUP BY 1)
   SELECT owner_id, used, more, used + more > 2000000 AS over_quota FROM u""")(
@@ -262,7 +270,9 @@ query("l1_throughput", """WITH w AS (SELECT unnest(range(0, 6)) AS k, ts FROM v_
 query("l2_status_totals", """SELECT date_trunc('hour', ts)::TIMESTAMP AS start, count(*) FILTER (kind = 'completed') AS completed, count(*) FILTER (kind = 'failed') AS failed, round(avg(latency_ms), 6) AS mean_latency FROM v_events GROUP BY 1""")(
     lambda t: telemetry.status_totals(t.v_events).withColumn("start", F.col("start").cast("timestamp_ntz")))
 query("l3_recent_errors", "SELECT event_id, job_id, substring(props, 1, 200) AS message FROM v_events WHERE kind = 'failed' ORDER BY ts DESC, event_id DESC LIMIT 20")(lambda t: telemetry.recent_errors(t.v_events))
-query("l6_latest_state", "SELECT job_id, arg_max(kind, (ts, event_id)) AS kind, arg_max(event_id, (ts, event_id)) AS event_id FROM v_events GROUP BY 1")(lambda t: telemetry.latest_state(t.v_events))
+query("l6_latest_state", """WITH s AS (SELECT job_id, arg_max(kind, (ts, event_id)) AS kind, arg_max(event_id, (ts, event_id)) AS event_id, min(ts) AS began, max(ts) AS seen FROM v_events GROUP BY 1)
+  SELECT job_id, kind, event_id, round(CAST(event_id % 997 AS DOUBLE) / 997, 4) AS progress, round((epoch_us(CASE WHEN kind IN ('completed', 'failed') THEN seen ELSE TIMESTAMP '2024-02-01 00:00:00' END) - epoch_us(began)) / 1000000.0::DOUBLE, 2) AS elapsed FROM s""")(
+    lambda t: telemetry.latest_state(t.v_events.withColumn("progress", F.expr("CAST(event_id % 997 AS DOUBLE) / 997")), "2024-02-01 00:00:00"))
 _TICKETS = "SELECT *, event_id % 3 AS project_id, job_id % 3 AS ticket_project"
 query("l10_first_use", f"WITH e AS ({_TICKETS}, TIMESTAMP '2024-01-05 00:00:00' + INTERVAL 1 DAY * (job_id % 25)::INT AS expires_at FROM v_events) SELECT event_id, job_id FROM e WHERE ts < expires_at AND project_id = ticket_project QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) = 1")(
     lambda t: telemetry.first_use(t.v_events.selectExpr("*", "event_id % 3 AS project_id", "job_id % 3 AS ticket_project", "TIMESTAMP_NTZ'2024-01-05 00:00:00' + make_dt_interval(CAST(job_id % 25 AS INT)) AS expires_at"), "job_id").select("event_id", "job_id"))

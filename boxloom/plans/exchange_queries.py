@@ -24,6 +24,8 @@ query("a11_export_ocr", f"WITH {_BUBBLE} SELECT project_id, bubble, concat('//',
     lambda t: exchange.export_text(t.placed, "ocr", {"word": "t"}))
 query("a11_export_both", f"WITH {_BUBBLE} SELECT project_id, bubble, concat('# Bubble ', bubble, chr(10), '{exchange.SOURCE_MARK}', source_text, chr(10), '{exchange.TRANSLATION_MARK}', translation, chr(10)) AS text FROM b")(
     lambda t: exchange.export_text(t.placed.withColumn("translation", F.concat("translation", F.lit(" {soft} "))), "both", {"soft": "t_soft"}))
+query("a11_export_layout", f"WITH {_BUBBLE} SELECT project_id, bubble, concat(source_text, chr(10), '[[', balloon_type, ']]', CASE WHEN translation <> '' THEN concat(chr(10), translation, ' x') ELSE concat(chr(10), 'x') END, chr(10)) AS text FROM b")(
+    lambda t: exchange.export_text(t.placed.withColumns({"layout": F.concat(F.lit("[["), "balloon_type", F.lit("]]")), "translation": F.concat(F.when(F.col("translation") != "", F.concat("translation", F.lit("\n"))).otherwise(""), F.lit("x {soft} "))}), "ai_layout", {"soft": "t_soft"}))
 
 _TABS = "concat_ws(chr(9), CASE WHEN p_partkey % 3 < 2 THEN p_type ELSE '1' END, CASE WHEN p_partkey % 3 <> 0 THEN concat(' ', p_brand) END, CASE WHEN p_partkey % 3 = 2 THEN p_type END, CASE WHEN p_partkey % 3 <> 1 THEN concat('a', chr(92), 'n', p_name) END, CASE WHEN p_partkey % 6 = 5 THEN 'more' END)"
 query("k2_tabs", """WITH r AS (SELECT p_size AS file_id, p_partkey AS line_no, p_partkey % 3 AS m, p_type, p_brand, p_name FROM part), c AS (SELECT *, count(*) OVER (PARTITION BY file_id ORDER BY line_no) AS n FROM r)
@@ -31,6 +33,9 @@ query("k2_tabs", """WITH r AS (SELECT p_size AS file_id, p_partkey AS line_no, p
     lambda t: exchange.read_tabs(t.part.select(F.col("p_size").alias("file_id"), F.col("p_partkey").alias("line_no"), F.expr(_TABS.replace("chr(92)", "char(92)").replace("chr(9)", "char(9)")).alias("line"))))
 
 
+_HINT = "[[SMART_BALLOON_SPATIAL shape=ellipse aspect=1.5 w=30 h=20 target_lines=2 max_lines=4]]"
+
+
 def _partial(t):
     return t.v_blocks.selectExpr("page_id", "block_id", "block_index", "x", "CASE WHEN block_index <> 2 THEN width END AS width", "translation")
 
@@ -43,10 +48,12 @@ def _numbered(t):
 def _file(t):
     """The project's export, as the lines of one file."""
     e = exchange.export_text(t.placed, "both", {"soft": "t_soft"})
-    return e.select(F.col("project_id").alias("file_id"), "bubble", F.posexplode(F.split("text", "\n")).alias("k", "line")).select("file_id", (F.col("bubble") * 10 + F.col("k")).alias("line_no"), "line")
+    e = e.select(F.col("project_id").alias("file_id"), "bubble", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    hints = e.where("k = 0 and bubble % 4 = 1").select("file_id", (F.col("bubble") * 10 + 5).alias("line_no"), F.lit(f" {_HINT}").alias("line"))
+    return e.select("file_id", (F.col("bubble") * 10 + F.col("k")).alias("line_no"), "line").union(hints)
 
 
-query("k1_labelled", f"WITH {_BUBBLE} SELECT project_id AS file_id, bubble * 10 AS line_no, NULL::VARCHAR AS block_id, bubble::INT AS bubble, nullif(trim(source_text), '') AS source, trim(translation) AS translation FROM b")(
+query("k1_labelled", f"WITH {_BUBBLE} SELECT project_id AS file_id, bubble * 10 AS line_no, NULL::VARCHAR AS block_id, bubble::INT AS bubble, nullif(trim(source_text), '') AS source, trim(translation) AS translation, CASE WHEN bubble % 4 = 1 THEN '{_HINT}' END AS layout FROM b")(
     lambda t: exchange.read_labelled(_file(t)))
 
 # records that name their block by id, by wording or by place; some name none, some name one again

@@ -102,10 +102,18 @@ query("d3_clamped_tile_labels", """WITH side AS (SELECT page_id, width, height,
     lambda t: layout.clamped_tile_labels(boxes.in_tiles(t.v_blocks, boxes.tiles(t.v_pages))))
 
 _SIZED = "CASE WHEN block_index = 2 THEN 0 ELSE width END AS w2"
-query("d9_manifest", f"""WITH p AS (SELECT b.*, project_id, row_number() OVER (PARTITION BY page_id ORDER BY block_index, block_id) - 1 AS idx, {_SIZED.replace('ELSE width', 'ELSE b.width')} FROM v_blocks b JOIN v_pages USING (page_id)), v AS (SELECT *, count(*) OVER (PARTITION BY page_id) - 1 AS rivals FROM p WHERE w2 > 0 AND height > 0),
-  h AS (SELECT *, ('0x' || substring(md5(CAST(project_id AS VARCHAR)), 1, 12))::BIGINT / pow(16, 12) AS u FROM v)
-  SELECT printf('%s_%d_b%03d', substring(project_id::VARCHAR, 1, 12), page_id, idx) AS record_id, balloon_type, rivals, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'dev' ELSE 'test' END AS split FROM h""")(
-    lambda t: corpus.manifest(t.placed.withColumn("width", F.expr(_SIZED.removesuffix(" AS w2")))).select("record_id", "balloon_type", "rivals", "split"))
+_RECORDS = f"""p AS (SELECT b.*, project_id, row_number() OVER (PARTITION BY page_id ORDER BY block_index, block_id) - 1 AS idx, {_SIZED.replace('ELSE width', 'ELSE b.width')} FROM v_blocks b JOIN v_pages USING (page_id)), v AS (SELECT *, count(*) OVER (PARTITION BY page_id) - 1 AS rivals FROM p WHERE w2 > 0 AND height > 0),
+  h AS (SELECT *, ('0x' || substring(md5(CAST(project_id AS VARCHAR)), 1, 12))::BIGINT / pow(16, 12) AS u FROM v),
+  m AS (SELECT printf('%s_%d_b%03d', substring(project_id::VARCHAR, 1, 12), page_id, idx) AS record_id, balloon_type, rivals, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'dev' ELSE 'test' END AS split, project_id, page_id, idx FROM h WHERE balloon_type IN ('bubble', 'sfx'))"""
+
+
+def _records(t, limit: int | None = None):
+    return corpus.manifest(t.placed.withColumn("width", F.expr(_SIZED.removesuffix(" AS w2"))), ("bubble", "sfx"), limit)
+
+
+query("d9_manifest", f"WITH {_RECORDS} SELECT record_id, balloon_type, rivals, split FROM m")(lambda t: _records(t).select("record_id", "balloon_type", "rivals", "split"))
+query("d9_first", f"WITH {_RECORDS} SELECT record_id, split FROM m ORDER BY project_id, page_id, idx LIMIT 500")(lambda t: _records(t, 500).select("record_id", "split"))
+query("d9_counts", f"WITH {_RECORDS} SELECT 'split' AS kind, split AS value, count(*) AS records FROM m GROUP BY 2 UNION ALL SELECT 'type', balloon_type, count(*) FROM m GROUP BY 2")(lambda t: corpus.manifest_counts(_records(t)))
 
 _SPEC_A = "block_id, x, y, width, height, height / 3 AS font_size, CAST(1.25 AS DOUBLE) AS line_height, balloon_type = 'sfx' AS bold, CASE WHEN page_id % 2 = 0 THEN 'center' END AS text_align, CASE WHEN page_id % 3 > 0 THEN '#AABB0C' END AS color_hex"
 _SPEC_B = "block_id, x + block_index AS x, y, width, height, height / 3 + CAST(page_id % 4 AS DOUBLE) / 200 AS font_size, CAST(1.25 AS DOUBLE) AS line_height, page_id % 7 = 0 AS bold, CASE WHEN page_id % 4 = 0 THEN 'center' END AS text_align, CASE WHEN page_id % 5 = 0 THEN 'aabb0d' ELSE 'aabb0c' END AS color_hex"

@@ -34,13 +34,16 @@ query("e14_evidence_counts", r"SELECT count(*) FILTER (turn % 13 <> 0 AND regexp
 _DECISION = """event_id, ts, CASE event_id % 4 WHEN 0 THEN 'user_preference' WHEN 1 THEN 'system_wrong' WHEN 2 THEN 'other' END AS change_reason, concat('t', CAST(job_id % 3 AS STRING)) AS suggested, concat('t', CAST(event_id % 3 AS STRING)) AS selected, kind AS suggested_lines, CASE WHEN event_id % 2 = 0 THEN props END AS final_lines"""
 query("a9_decisions", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'user_preference' WHEN 1 THEN 'system_wrong' ELSE 'suggested' END AS change_reason, CASE WHEN event_id % 2 = 0 THEN props ELSE kind END AS final_lines FROM v_events")(
     lambda t: ledger.decisions(_decided(t)).select("event_id", "change_reason", "final_lines"))
+query("a9_decision_lines", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'user_preference' WHEN 1 THEN 'system_wrong' ELSE 'suggested' END AS change_reason, CASE WHEN event_id % 2 = 0 THEN props ELSE kind END AS final_lines FROM v_events WHERE event_id % 10 <> 7")(
+    lambda t: ledger.read_decisions(ledger.decision_lines(_decided(t)).select(F.when(F.get_json_object("value", "$.event_id").cast("long") % 10 == 7, F.expr("substring(value, 1, 20)")).otherwise(F.col("value")).alias("value")),
+        "event_id long, change_reason string, suggested_lines string, final_lines string").select("event_id", "change_reason", "final_lines"))
 query("l8_decision_counts", f"""WITH d AS (SELECT {_DECISION} FROM v_events) SELECT date_trunc('hour', ts)::TIMESTAMP AS start, CASE WHEN change_reason IN ('user_preference', 'system_wrong') THEN change_reason ELSE 'suggested' END AS change_reason, suggested, selected, count(*) AS n FROM d GROUP BY ALL""")(
     lambda t: ledger.decision_counts(_decided(t)).withColumn("start", F.col("start").cast("timestamp_ntz")))
 query("l7_ordered_events", "WITH d AS (SELECT DISTINCT event_id, job_id, ts, kind FROM (SELECT * FROM v_events UNION ALL SELECT * FROM v_events WHERE event_id % 4 = 0)) SELECT event_id, job_id, kind, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) - 1 AS seq FROM d")(
     lambda t: ledger.ordered_events(t.v_events.union(t.v_events.where("event_id % 4 = 0"))).select("event_id", "job_id", "kind", "seq"))
-query("l4_lost_workers", """WITH j AS (SELECT job_id, count(*) FILTER (kind = 'started') AS attempts, arg_max(kind, (ts, event_id)) AS kind, max(ts) AS seen FROM v_events GROUP BY 1)
-  SELECT job_id, attempts, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'queued' END AS status FROM j WHERE kind IN ('started', 'heartbeat') AND date_sub('second', seen, TIMESTAMP '2024-01-31 00:00:00') > 45""")(
-    lambda t: telemetry.lost_workers(t.v_events, "2024-01-31 00:00:00"))
+query("l4_lost_workers", """WITH j AS (SELECT job_id, count(*) FILTER (kind = 'started') AS attempts, arg_max(kind, (ts, event_id)) AS kind, max(ts) AS seen, max(ts) FILTER (kind = 'heartbeat') AS beat FROM v_events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY 1)
+  SELECT job_id, attempts, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'queued' END AS status FROM j WHERE kind IN ('started', 'heartbeat') AND seen + INTERVAL 60 SECOND < TIMESTAMP '2024-01-15 00:00:00' AND (beat IS NULL OR beat + INTERVAL 45 SECOND < TIMESTAMP '2024-01-15 00:00:00')""")(
+    lambda t: telemetry.lost_workers(t.v_events.where("ts <= TIMESTAMP_NTZ'2024-01-15 00:00:00'"), "2024-01-15 00:00:00"))
 query("c14_sound_words", """WITH q AS (SELECT DISTINCT substring(p_name, 1, 3) AS query FROM part), d AS (SELECT p_type AS orig, lower(p_brand) AS romaji, p_name AS meaning, p_partkey AS ord FROM part UNION ALL SELECT p_name, p_type, p_type, p_partkey + 1000000000 FROM part)
   SELECT query, arg_min(meaning, ord) AS meaning FROM q JOIN d ON contains(lower(orig), lower(query)) OR lower(romaji) = lower(query) GROUP BY 1""")(
     lambda t: memory.first_meaning(

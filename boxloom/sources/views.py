@@ -60,7 +60,8 @@ VIEWS = {
         event_type AS balloon_type, CASE WHEN user_id % 5 = 0 THEN 'square' ELSE 'round' END AS archetype,
         CASE WHEN user_id % 2 = 0 THEN 'dev' ELSE 'test' END AS split, value > 20 AS success, event_id % 4 <> 0 AS has_gt,
         CASE WHEN value > 20 THEN NULL WHEN event_id % 2 = 0 THEN 'contour_too_small' ELSE NULL END AS fallback_reason,
-        value AS elapsed_ms, CAST(event_id * 7919 % 1000 AS DOUBLE) / 1000 AS mask_iou FROM events""",
+        value AS elapsed_ms, CAST(event_id * 7919 % 1000 AS DOUBLE) / 1000 AS mask_iou, CAST(event_id * 31 % 1000 AS DOUBLE) / 1000 AS precision,
+        CAST(event_id * 577 % 1000 AS DOUBLE) / 1000 AS utilization, CAST(event_id * 113 % 1000 AS DOUBLE) / 1000 AS containment FROM events""",
     "v_redemptions": """SELECT o_orderkey AS redemption_id, o_custkey AS user_id, o_orderkey % 50 AS code_id,
         CAST(o_orderdate AS DATE) AS redeemed_on, CAST(1 + o_orderkey % 90 AS INT) AS duration_days FROM orders""",
     "v_assets": f"""SELECT {_BLOCK_ID} AS asset_id, l_suppkey AS owner_id, concat('clean/', CAST(l_orderkey AS STRING)) AS storage_key,

@@ -29,9 +29,17 @@ def recent_errors(events: DataFrame, k: int = 20) -> DataFrame:
     return events.where("kind = 'failed'").orderBy(F.desc("ts"), F.desc("event_id")).limit(k).select("event_id", "job_id", F.substring("props", 1, 200).alias("message"))
 
 
-def latest_state(events: DataFrame) -> DataFrame:
-    last = F.max(F.struct("ts", "event_id", "kind"))
-    return events.groupBy("job_id").agg(last.alias("s")).select("job_id", F.col("s.kind").alias("kind"), F.col("s.event_id").alias("event_id"))
+def latest_state(events: DataFrame, now: str | None = None) -> DataFrame:
+    """Per job the last event's kind; also its progress (four decimals), where events have one, and the seconds
+    since the job's first event (two decimals) up to its end, or for open jobs up to ``now``, where that is given."""
+    more = ["progress"] if "progress" in events.columns else []
+    s = events.groupBy("job_id").agg(F.max(F.struct("ts", "event_id", "kind", *more)).alias("s"), F.min("ts").alias("began"))
+    cols = [F.round("s.progress", 4).alias("progress")] * len(more)
+    if now is not None:
+        until = F.when(F.col("s.kind").isin("completed", "failed"), F.col("s.ts")).otherwise(F.expr(f"to_timestamp_ntz('{now}')"))
+        micros = F.timestamp_diff("MICROSECOND", F.col("began"), until)
+        cols.append(F.round(micros / 1e6, 2).alias("elapsed"))
+    return s.select("job_id", F.col("s.kind").alias("kind"), F.col("s.event_id").alias("event_id"), *cols)
 
 
 def moving_latency(events: DataFrame, n: int = 50) -> DataFrame:
@@ -48,11 +56,14 @@ def pending(events: DataFrame) -> DataFrame:
     return e.select("event_id", "job_id", (F.col("s") - F.least(F.lit(0), F.min("s").over(w))).alias("pending"))
 
 
-def lost_workers(jobs: DataFrame, now: str, max_attempts: int = 3, silence: int = 45) -> DataFrame:
-    """Started jobs without a sign of life: failed when attempts are used up, else queued."""
-    e = jobs.groupBy("job_id").agg(F.count_if(F.col("kind") == "started").alias("attempts"), F.max_by("kind", F.struct("ts", "event_id")).alias("kind"), F.max("ts").alias("seen"))
-    old = F.expr(f"timestampdiff(SECOND, seen, to_timestamp_ntz('{now}'))") > silence
-    return e.where((F.col("kind").isin("started", "heartbeat")) & old).select("job_id", "attempts", F.when(F.col("attempts") >= max_attempts, "failed").otherwise("queued").alias("status"))
+def lost_workers(jobs: DataFrame, now: str, max_attempts: int = 3, silence: int = 45, lease: int = 60) -> DataFrame:
+    """Jobs in work whose lease has run out and whose last heartbeat, if any, is old: failed when attempts are
+    used up, else queued.  A start and each heartbeat grant ``lease`` seconds."""
+    beat = F.max(F.when(F.col("kind") == "heartbeat", F.col("ts"))).alias("beat")
+    e = jobs.groupBy("job_id").agg(F.count_if(F.col("kind") == "started").alias("attempts"), F.max_by("kind", F.struct("ts", "event_id")).alias("kind"), F.max("ts").alias("seen"), beat)
+    since = lambda c: F.timestamp_diff("MICROSECOND", F.col(c), F.expr(f"to_timestamp_ntz('{now}')")) / 1e6
+    lost = (since("seen") > lease) & F.coalesce(since("beat") > silence, F.lit(True))
+    return e.where(F.col("kind").isin("started", "heartbeat") & lost).select("job_id", "attempts", F.when(F.col("attempts") >= max_attempts, "failed").otherwise("queued").alias("status"))
 
 
 def first_use(events: DataFrame, key: str) -> DataFrame:
