@@ -150,10 +150,18 @@ def resolved(records: DataFrame, blocks: DataFrame, strict: bool = False) -> Dat
     cols = ["project_id", "record_no", "way", "norm", "translation", "target", "found", "at", "now_norm"]
     every = one.select(cols).unionByName(two.select(cols)).unionByName(three.select(cols))
     again = F.row_number().over(Window.partitionBy("project_id", F.coalesce("found", F.concat(F.lit("?"), F.col("record_no").cast("string")))).orderBy("record_no")) > 1
+    return judged_records(every.withColumn("again", again), strict)
+
+
+def judged_records(every: DataFrame, strict: bool = False) -> DataFrame:
+    """Status and will_import of records with what they found.
+
+    ``every`` has project_id, record_no, way (id, source or bubble), norm, translation, target, found, at, now_norm
+    and again (an earlier record took the block).
+    """
     differs = (F.col("norm") != "") & (F.col("norm") != F.col("now_norm"))
     foreign = F.startswith(F.lower("target"), F.lit("th")) & ~F.regexp_like("translation", F.lit(THAI))
     lost, told = F.col("found").isNull(), ~blank(F.col("translation"))
-    every = every.withColumn("again", again)
     status = (
         F.when(lost & (F.col("way") == "source"), "warning").when(lost | F.col("again"), "error").when(differs & F.lit(strict), "error")
         .when(~told, "skip").when(differs | F.coalesce(foreign, F.lit(False)), "warning").otherwise("ok")

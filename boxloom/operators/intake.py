@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import squeezed, strip
-from .exchange import SEMANTIC_KEYS
+from .exchange import SEMANTIC_KEYS, judged_records
 
 #: The largest file and picture that are taken.
 MOST_BYTES, MOST_PIXELS = 100 * 1024 * 1024, 120_000_000
@@ -146,6 +146,29 @@ def _most_alike(norm: str, texts: list[str], counts: list[Counter], free: np.nda
     return (best[1], best[0]) if sure else (-1, best[0])
 
 
+class _Wordings:
+    """A project's blocks in order, each of which is taken once."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.sizes, self.free = texts, np.array([len(t) for t in texts]), np.ones(len(texts), bool)
+        self.counts = [Counter(t) for t in texts]
+        self.places: dict[str, list[int]] = {}
+        for k in range(len(texts) - 1, -1, -1):
+            self.places.setdefault(texts[k], []).append(k)
+
+    def take(self, norm: str) -> tuple[int, float]:
+        """The first free block of the wording, else the one that is most alike, and how much; -1 if there is none."""
+        if not norm:
+            return -1, 0.0
+        same = self.places.get(norm, [])
+        while same and not self.free[same[-1]]:
+            same.pop()
+        k, ratio = (same[-1], 1.0) if same else _most_alike(norm, self.texts, self.counts, self.free, self.sizes)
+        if k >= 0:
+            self.free[k] = False
+        return k, ratio
+
+
 def match_by_likeness(records: DataFrame, blocks: DataFrame) -> DataFrame:
     """project_id, record_id, block_id, ratio of the records that find a block.
 
@@ -157,30 +180,62 @@ def match_by_likeness(records: DataFrame, blocks: DataFrame) -> DataFrame:
 
     def one(r: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         r, b = r.sort_values("seq"), b.sort_values("seq")
-        texts = b.norm.tolist()
-        sizes, free, counts = np.array([len(t) for t in texts]), np.ones(len(texts), bool), [Counter(t) for t in texts]
-        places: dict[str, list[int]] = {}
-        for k in range(len(texts) - 1, -1, -1):
-            places.setdefault(texts[k], []).append(k)
-        out = []
+        words, out = _Wordings(b.norm.tolist()), []
         for project, record, norm in zip(r.project_id, r.record_id, r.norm, strict=True):
-            if not norm:
-                continue
-            same = places.get(norm, [])
-            while same and not free[same[-1]]:
-                same.pop()
-            k, ratio = (same[-1], 1.0) if same else _most_alike(norm, texts, counts, free, sizes)
+            k, ratio = words.take(norm)
             if k >= 0:
-                free[k] = False
                 out.append((project, record, b.block_id.iloc[k], ratio))
         return pd.DataFrame(out, columns=["project_id", "record_id", "block_id", "ratio"])
 
-    side = lambda df, name: df.select("project_id", name, "seq", F.regexp_replace(squeezed(F.col("source_text")), "﻿", "").alias("norm"))
+    side = lambda df, name: df.select(F.col("project_id").alias("project_id"), name, "seq", _wording(F.col("source_text")).alias("norm"))
     types = {**dict(records.dtypes), **dict(blocks.select("block_id").dtypes)}
     schema = f"project_id {types['project_id']}, record_id {types['record_id']}, block_id {types['block_id']}, ratio double"
     return side(records, "record_id").groupBy("project_id").cogroup(side(blocks, "block_id").groupBy("project_id")).applyInPandas(one, schema)
 
 
+def _wording(c: Column) -> Column:
+    return F.regexp_replace(squeezed(c), "\ufeff", "")
+
+
+def resolved_in_order(records: DataFrame, blocks: DataFrame, strict: bool = False) -> DataFrame:
+    """``exchange.resolved``, but record by record in file order, and with likeness.
+
+    A wording goes to its first block that no earlier record took in any way, else to a free block that is much
+    alike; a record without id and source means the block at its bubble, or at its own number.  As records of a
+    project depend on each other, one task handles one project, with its blocks' texts.
+    """
+
+    def one(r: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        r, b = r.sort_values("record_no"), b.sort_values("at")
+        words, ids, by_id = _Wordings(b.now_norm.tolist()), b.found.tolist(), {}
+        for k, i in enumerate(ids):
+            by_id.setdefault(i, k)
+        out = []
+        for project, record, asked, source, bubble, norm in zip(r.project_id, r.record_no, r.asked, r.source, r.bubble, r.norm, strict=True):
+            again = False
+            if asked is not None or not source:
+                number = record if pd.isna(bubble) or not bubble else int(bubble)
+                k = by_id.get(asked, -1) if asked is not None else number - 1 if 1 <= number <= len(ids) else -1
+                again = k >= 0 and not words.free[k]
+                if k >= 0:
+                    words.free[k] = False
+            else:
+                k, _ = words.take(norm)
+            out.append((project, record, ids[k] if k >= 0 else None, again))
+        return pd.DataFrame(out, columns=["project_id", "record_no", "found", "again"])
+
+    types = {**dict(records.dtypes), **dict(blocks.select("block_id").dtypes)}
+    schema = f"project_id {types['project_id']}, record_no {types['record_no']}, found {types['block_id']}, again boolean"
+    r = records.withColumnRenamed("block_id", "asked").withColumn("norm", F.coalesce(_wording(F.col("source")), F.lit("")))
+    # an alias makes a column of its own, where both sides come from one table
+    b = blocks.select(F.col("project_id").alias("project_id"), F.col("block_id").alias("found"), F.col("bubble").alias("at"), F.coalesce(_wording(F.col("source_text")), F.lit("")).alias("now_norm"))
+    asked = r.select("project_id", "record_no", "asked", "source", "bubble", "norm").groupBy("project_id")
+    took = asked.cogroup(b.groupBy("project_id")).applyInPandas(one, schema)
+    way = F.when(F.col("asked").isNotNull(), "id").when(F.coalesce("source", F.lit("")) != "", "source").otherwise("bubble")
+    every = r.withColumn("way", way).drop("bubble").join(took, ["project_id", "record_no"]).join(b, ["project_id", "found"], "left")
+    return judged_records(every, strict)
+
+
 #: Pixels kept around a box, and from the ends of a page; the smallest chunk.
 CUT_MARGIN, FROM_ENDS, LEAST_CHUNK = 30, 100, 800
 

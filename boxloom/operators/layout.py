@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import blank, strip
+from ..functions.text import THAI, blank, strip
 
 SIDES = ("x", "y", "width", "height")
 CJK = ("ja", "zh", "ko")
@@ -71,16 +71,29 @@ def prunable(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.coalesce(auto, F.lit(False)) & ~placed & blank(F.col("source_text")) & blank(F.col("translation")))
 
 
+#: The first choice of a font for each script and kind of box.
+FAMILIES = {
+    "th": {"shout": "Prompt", "bubble": "Prompt", "thought": "Sarabun", "narration": "Sarabun", "whisper": "Sarabun", "sfx": "Kanit", "system": "Prompt"},
+    "en": {"shout": "CCWildWords", "bubble": "CCWildWords", "thought": "Anime Ace", "narration": "Helvetica", "whisper": "Anime Ace", "sfx": "Impact", "system": "Arial"},
+    "ja": {"shout": "MS Gothic", "bubble": "MS Mincho", "thought": "MS Mincho", "narration": "MS Mincho", "whisper": "MS Gothic", "sfx": "MS Gothic", "system": "MS Gothic"},
+}
+
+
 def font_style(blocks: DataFrame, script: str = "th") -> DataFrame:
-    """Weight, slant, line height, spacing and size by kind of box; unknown kinds count as bubbles."""
+    """Family, weight, slant, line height, spacing and size by kind of box; unknown kinds count as bubbles,
+    other scripts as Thai where the text has Thai letters, else as Latin."""
     kind = F.lower(F.trim(F.coalesce("balloon_type", F.lit("bubble"))))
+    thai = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(THAI)) if script not in FAMILIES else F.lit(script == "th")
+    used = F.lit(script) if script in FAMILIES else F.when(thai, "th").otherwise("en")
+    families = F.create_map(*[F.lit(x) for s, own in FAMILIES.items() for k, f in own.items() for x in (f"{s}/{k}", f)])
+    family = F.coalesce(F.try_element_at(families, F.concat(used, F.lit("/"), kind)), F.try_element_at(families, F.concat(used, F.lit("/bubble"))))
     soft = kind.isin("thought", "whisper")
     height = F.when(kind == "shout", 1.15).when(soft, 1.30).when(kind == "sfx", 1.0).otherwise(1.25)
     letters = F.greatest(F.lit(1), F.length(F.coalesce("text", F.lit(""))))
     size = F.sqrt(F.col("width") * F.col("height") / (letters * F.lit(1.8).cast("double")))
     return blocks.withColumns({
         "weight": F.when(kind == "shout", 700).when(soft, 300).when(kind == "narration", 500).when(kind == "sfx", 800).otherwise(400),
-        "italic": soft, "line_height": F.greatest(height, F.lit(1.35 if script == "th" else 0.0)),
+        "italic": soft, "line_height": F.greatest(height, F.when(thai, 1.35).otherwise(0.0)), "family": family,
         "spacing": F.when(kind == "shout", -0.5).when(kind == "sfx", 1.0).otherwise(0.0),
         "font_size": F.greatest(F.lit(11.0), F.least(F.lit(36.0), size)),
     })

@@ -11,8 +11,27 @@ BASE = {"dialogue": 0.35, "narration": 0.15, "emphasis": 0.10, "sfx": 0.10}
 ROLE_OF = {"bubble": "dialogue", "narrative": "narration", "narration": "narration", "sfx": "sfx", "emphasis": "emphasis"}
 
 
-def judged(blocks: DataFrame) -> DataFrame:
-    """block_id, role, intensity, orientation, has_outline, confidence and reason_codes.
+#: The template that goes with each role, and the mark of a shouted one.
+TEMPLATE_OF = {"dialogue": "bubble", "narration": "narration", "emphasis": "emphasis", "sfx": "sfx"}
+SHOUTED = "ตะโกน"
+
+
+def role_templates(templates: DataFrame) -> DataFrame:
+    """project_id and, per role, the template for it: of that name, else the role's usual one, else the first that
+    suits, else the first.  ``templates`` has project_id, template_id, ord, balloon_type and semantic_tag."""
+    kind, name = F.lower(F.coalesce("balloon_type", F.lit(""))), F.col("template_id")
+    suits = {
+        "dialogue": kind.isin("bubble", "dialogue", ""), "narration": kind.isin("narrative", "narration"), "sfx": kind == "sfx",
+        "emphasis": F.contains(F.lower(name), F.lit("emphasis")) | F.contains(F.coalesce("semantic_tag", F.lit("")), F.lit(SHOUTED)),
+    }
+    place = lambda r: F.when(name == r, 0).when(name == TEMPLATE_OF[r], 1).when(suits[r], 2).otherwise(3)
+    return templates.groupBy("project_id").agg(*[F.min_by("template_id", F.struct(place(r), F.col("ord"), name)).alias(r) for r in BASE])
+
+
+def judged(blocks: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """block_id, role, intensity, orientation, has_outline, confidence and reason_codes, and with ``templates``
+    (see ``role_templates``) suggested_template; blocks then have project_id and text_template_id, which is
+    kept where it suits the role.
 
     ``blocks`` has source_text, translation, detected_type, balloon_type, text_direction, source_color,
     y, width, height, region_source, source_stroke_width and page_height.  Signs add to the scores of roles;
@@ -57,9 +76,21 @@ def judged(blocks: DataFrame) -> DataFrame:
         for r, v in adds.items():
             score[r] = score[r] + F.when(F.coalesce(c, F.lit(False)), v).otherwise(0.0)
     reasons = F.filter(F.array(*[F.when(c, r if isinstance(r, Column) else F.lit(r)) for c, _, r in signs]), lambda x: x.isNotNull())
-    b = blocks.select("block_id", F.array(*[F.round(score[r], 6) for r in BASE]).alias("scores"), reasons.alias("told"), seen.alias("seen"), several.alias("several"), fallback.alias("fallback"), vertical.alias("vertical"), outline.alias("has_outline"), F.col("source_color").isNull().alias("plain"), mapped.isNotNull().alias("mapped"))
+    b = blocks.select("block_id", F.array(*[F.round(score[r], 6) for r in BASE]).alias("scores"), reasons.alias("told"), seen.alias("seen"), several.alias("several"), fallback.alias("fallback"), vertical.alias("vertical"), outline.alias("has_outline"), F.col("source_color").isNull().alias("plain"), mapped.isNotNull().alias("mapped"), *(["project_id", "text_template_id"] if templates is not None else []))
     best, ranked = F.array_max("scores"), F.sort_array("scores", False)
     role = F.element_at(F.array(*map(F.lit, BASE)), F.array_position("scores", best).cast("int"))
+    more = []
+    if templates is not None:
+        b = b.withColumn("role", role).join(role_templates(templates), "project_id", "left")
+        own = templates.select("project_id", F.col("template_id").alias("text_template_id"), F.coalesce("balloon_type", F.lit("")).alias("own_type"))
+        b = b.join(own, ["project_id", "text_template_id"], "left")
+        per_role = lambda d: F.create_map(*[x for r in BASE for x in (F.lit(r), d(r))])[F.col("role")]
+        suggested = F.coalesce(per_role(F.col), F.lit("bubble"))
+        speaks = F.create_map(*[F.lit(x) for p in ROLE_OF.items() for x in p])[F.lower("own_type")]
+        suits = (F.col("text_template_id") == per_role(lambda r: F.lit(TEMPLATE_OF[r]))) | (F.col("text_template_id") == suggested) | F.coalesce(speaks == F.col("role"), F.lit(False))
+        keeps = F.col("own_type").isNotNull() & suits
+        b = b.withColumns({"suggested_template": F.when(keeps, F.col("text_template_id")).otherwise(suggested), "told": F.when(keeps, F.concat("told", F.array(F.lit("KEEP_EXISTING_TEMPLATE")))).otherwise(F.col("told"))})
+        role, more = F.col("role"), ["suggested_template"]
     margin = F.round(best - F.get(ranked, F.lit(1)), 6)
     conf = 0.40 + F.least(F.lit(0.35), best * 0.30) + F.least(F.lit(0.12), margin * 0.35)
     conf = conf - F.when(F.col("fallback"), 0.12).otherwise(0) + F.when(F.col("seen") & F.col("mapped") & (margin > 0.15), 0.06).otherwise(0)
@@ -67,7 +98,7 @@ def judged(blocks: DataFrame) -> DataFrame:
     intensity = F.when((role == "emphasis") | F.col("several"), "shout").when(role == "narration", "soft").otherwise("normal")
     return b.select(
         "block_id", role.alias("role"), intensity.alias("intensity"), F.when(F.col("vertical"), "vertical").otherwise("horizontal").alias("orientation"), "has_outline",
-        F.greatest(F.lit(0.05), F.least(F.lit(0.89), F.round(conf, 4))).alias("confidence"), F.when(F.col("plain"), F.concat("told", F.array(F.lit("NO_SOURCE_COLOR_EVIDENCE")))).otherwise(F.col("told")).alias("reason_codes"),
+        F.greatest(F.lit(0.05), F.least(F.lit(0.89), F.round(conf, 4))).alias("confidence"), F.when(F.col("plain"), F.concat("told", F.array(F.lit("NO_SOURCE_COLOR_EVIDENCE")))).otherwise(F.col("told")).alias("reason_codes"), *more,
     )
 
 

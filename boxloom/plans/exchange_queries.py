@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Row, Window, functions as F
 
-from ..operators import exchange
+from ..operators import exchange, intake
 from .registry import query, split_list
 
 _ORDER = "ORDER BY block_index, block_id"
@@ -74,6 +74,13 @@ def _found(t):
     return exchange.resolved(b.selectExpr(*split_list(_RECORD)), b)
 
 
+def found_in_order(t):
+    """Records of _RECORD, whose wording has a slip now and then."""
+    b = _numbered(t)
+    slips = F.when(F.col("record_no") % 4 == 1, F.concat("source", F.lit("x"))).otherwise(F.col("source"))
+    return intake.resolved_in_order(b.selectExpr(*split_list(_RECORD)).withColumn("source", slips), b).drop("translation")
+
+
 query("c11_resolved", f"WITH {_FOUND} SELECT project_id, record_no, block_id, bubble, status, will_import FROM found")(lambda t: _found(t).drop("translation"))
 query("c11_summary", f"WITH {_FOUND} SELECT project_id, " + ", ".join(f"count(*) FILTER (status = '{k}') AS {k}" for k in ("ok", "warning", "error", "skip")) + ", count(*) AS total, count(*) FILTER (will_import) AS importable FROM found GROUP BY 1")(
     lambda t: exchange.import_summary(_found(t)))

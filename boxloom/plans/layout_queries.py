@@ -52,8 +52,8 @@ query("m2_prunable", f"""WITH a AS ({_derived(_AUTO, 'v_blocks')}) SELECT page_i
     lambda t: layout.prunable(t.v_blocks.selectExpr("*", *split_list(_AUTO))).select("page_id", "block_id"))
 
 query("c20_font_style", """SELECT block_id, CASE balloon_type WHEN 'sfx' THEN 800 ELSE 400 END AS weight, false AS italic, 1.35::DOUBLE AS line_height, CASE balloon_type WHEN 'sfx' THEN 1 ELSE 0 END::DOUBLE AS spacing,
-  round(greatest(11, least(36, sqrt(width * height / (greatest(1, length(translation)) * 1.8::DOUBLE)))), 6) AS font_size FROM v_blocks""")(
-    lambda t: layout.font_style(t.v_blocks.withColumn("text", F.col("translation"))).select("block_id", "weight", "italic", "line_height", "spacing", F.round("font_size", 6).alias("font_size")))
+  round(greatest(11, least(36, sqrt(width * height / (greatest(1, length(translation)) * 1.8::DOUBLE)))), 6) AS font_size, CASE balloon_type WHEN 'sfx' THEN 'Kanit' ELSE 'Prompt' END AS family FROM v_blocks""")(
+    lambda t: layout.font_style(t.v_blocks.withColumn("text", F.col("translation"))).select("block_id", "family", "weight", "italic", "line_height", "spacing", F.round("font_size", 6).alias("font_size")))
 
 _LINED = "replace(translation, ' word', concat(chr(10), 'word')) AS lined, CASE WHEN page_id % 2 = 0 THEN 'ja' ELSE 'en' END AS lang"
 query("j4_font_estimate", f"""WITH l AS ({_derived(_LINED, 'v_blocks')}), n AS (SELECT *, len(list_filter(string_split(lined, chr(10)), lambda s: trim(s) <> ''))::DOUBLE AS n, length(trim(replace(lined, chr(10), '')))::DOUBLE AS c FROM l), p AS (SELECT *, greatest(1, c / nullif(n, 0)) AS a FROM n)

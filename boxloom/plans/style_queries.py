@@ -14,12 +14,12 @@ _TEXTS = """CASE b.block_index % 6 WHEN 0 THEN 'ドカーン' ELSE source_text E
 _NAMES = "block_id, block_index, balloon_type, x, y, b.width, b.height, " + _SEEN.split("b.*, ")[1] + ", " + _TEXTS
 
 
-def _seen(t):
+def _seen(t, names: str = _NAMES):
     b, p = t.v_blocks.alias("b"), t.v_pages.alias("p")
-    return b.join(p, F.col("b.page_id") == F.col("p.page_id")).selectExpr(*[c.strip() for c in split_list(_NAMES)])
+    return b.join(p, F.col("b.page_id") == F.col("p.page_id")).selectExpr(*[c.strip() for c in split_list(names)])
 
 
-query("j12_style", f"""WITH s AS (SELECT {_NAMES} FROM v_blocks b JOIN v_pages p ON b.page_id = p.page_id),
+_JUDGED = f"""s AS (SELECT {_NAMES} FROM v_blocks b JOIN v_pages p ON b.page_id = p.page_id),
   g AS (SELECT *, coalesce(nullif(translation, ''), source_text) AS text, coalesce(detected_type, balloon_type) AS kind, round(width / greatest(height, 1), 4) AS aspect FROM s),
   h AS (SELECT *, CASE kind WHEN 'bubble' THEN 1 WHEN 'narrative' THEN 2 WHEN 'emphasis' THEN 3 WHEN 'sfx' THEN 4 END AS mapped, detected_type IS NOT NULL AS seen, length(text) - length(replace(text, '!', '')) AS loud, length(trim(text)) <= 6 AS short,
       block_index % 6 = 0 AS kata, coalesce(source_color = '#801010', false) AS dark, coalesce(source_color = '#fafafa', false) AND (length(trim(text)) <= 6 OR kind = 'sfx') AS light,
@@ -31,12 +31,25 @@ query("j12_style", f"""WITH s AS (SELECT {_NAMES} FROM v_blocks b JOIN v_pages p
       list_filter([CASE WHEN mapped IS NOT NULL THEN concat(CASE WHEN seen THEN 'DETECTOR_' ELSE 'LEGACY_OR_MANUAL_' END, upper(kind)) END, CASE WHEN aspect > 2.2 AND height < 80 THEN 'WIDE_SHORT_BOX' END, CASE WHEN aspect < 0.55 AND short THEN 'TALL_SHORT_TEXT' END, CASE WHEN fb THEN 'LAYOUT_REGION_FALLBACK' END,
         CASE WHEN loud >= 2 THEN 'MULTI_EXCLAMATION' WHEN loud = 1 THEN 'EXCLAMATION' END, CASE WHEN caps AND short THEN 'LATIN_UPPER_SHORT' END, CASE WHEN kata THEN 'KATAKANA_SFX' END, CASE WHEN dark THEN 'SATURATED_DARK_COLOR' END, CASE WHEN light THEN 'LIGHT_GLYPH_COLOR' END,
         CASE WHEN outline AND short THEN 'HAS_OUTLINE' END, 'HEURISTIC_UNCALIBRATED', CASE WHEN top THEN 'TOP_PAGE_BANNER' END, CASE WHEN vert THEN 'VERTICAL_ORIENTATION' END], lambda r: r IS NOT NULL) AS told FROM h),
-  m AS (SELECT *, list_max(sc) AS best, round(list_max(sc) - list_reverse_sort(sc)[2], 6) AS margin, ['dialogue', 'narration', 'emphasis', 'sfx'][list_position(sc, list_max(sc))] AS role FROM c)
+  m AS (SELECT *, list_max(sc) AS best, round(list_max(sc) - list_reverse_sort(sc)[2], 6) AS margin, ['dialogue', 'narration', 'emphasis', 'sfx'][list_position(sc, list_max(sc))] AS role FROM c)"""
+query("j12_style", f"""WITH {_JUDGED}
   SELECT block_id, role, CASE WHEN role = 'emphasis' OR loud >= 2 THEN 'shout' WHEN role = 'narration' THEN 'soft' ELSE 'normal' END AS intensity, CASE WHEN vert THEN 'vertical' ELSE 'horizontal' END AS orientation, outline AS has_outline,
     round(greatest(0.05, least(0.89, 0.40 + least(0.35, best * 0.30) + least(0.12, margin * 0.35) - CASE WHEN fb THEN 0.12 ELSE 0 END + CASE WHEN seen AND margin > 0.15 THEN 0.06 ELSE 0 END - CASE WHEN len(told) <= 2 THEN 0.08 ELSE 0 END - CASE WHEN source_color IS NULL THEN 0.05 ELSE 0 END)), 4) AS confidence,
     array_to_string(told, ',') || CASE WHEN source_color IS NULL THEN ',NO_SOURCE_COLOR_EVIDENCE' ELSE '' END AS reason_codes FROM m""")(
     lambda t: style.judged(_seen(t)).withColumn("reason_codes", F.array_join("reason_codes", ",")))
 
+# templates of every fifth project, some of which a box has already
+_OWN = "project_id, template_id, ord, CASE WHEN template_id = 'sfx' THEN 'SFX' WHEN ord % 3 = 0 THEN 'narrative' WHEN ord % 3 = 1 THEN 'bubble' END AS balloon_type, CASE WHEN ord % 4 = 2 THEN '{ตะโกน}' END AS semantic_tag"
+_HAS = "CASE b.block_index % 3 WHEN 0 THEN 'sfx' WHEN 1 THEN 't2' END AS text_template_id, p.project_id"
+_PLACE = "CASE WHEN template_id = r THEN 0 WHEN template_id = CASE r WHEN 'dialogue' THEN 'bubble' ELSE r END THEN 1 WHEN CASE r WHEN 'dialogue' THEN coalesce(lower(balloon_type), '') IN ('bubble', 'dialogue', '') WHEN 'narration' THEN coalesce(lower(balloon_type), '') IN ('narrative', 'narration') WHEN 'sfx' THEN coalesce(lower(balloon_type), '') = 'sfx' ELSE coalesce(semantic_tag, '') LIKE '%ตะโกน%' END THEN 2 ELSE 3 END"
+query("j12_templates", f"""WITH {_JUDGED.replace(_NAMES, _NAMES + ', ' + _HAS)}, o AS (SELECT {_OWN} FROM v_templates), ps AS (SELECT project_id, r, arg_min(template_id, ({_PLACE}, ord, template_id)) AS pick FROM o CROSS JOIN (SELECT unnest(['dialogue', 'narration', 'emphasis', 'sfx']) AS r) GROUP BY 1, 2),
+  j AS (SELECT m.*, coalesce(pick, 'bubble') AS pick, o.template_id AS has, CASE lower(o.balloon_type) WHEN 'bubble' THEN 'dialogue' WHEN 'narrative' THEN 'narration' WHEN 'sfx' THEN 'sfx' END AS speaks FROM m LEFT JOIN ps ON m.project_id = ps.project_id AND m.role = ps.r LEFT JOIN o ON m.project_id = o.project_id AND m.text_template_id = o.template_id),
+  k AS (SELECT *, has IS NOT NULL AND (has = CASE role WHEN 'dialogue' THEN 'bubble' ELSE role END OR has = pick OR coalesce(speaks = role, false)) AS keeps FROM j)
+  SELECT block_id, CASE WHEN keeps THEN has ELSE pick END AS suggested_template,
+    round(greatest(0.05, least(0.89, 0.40 + least(0.35, best * 0.30) + least(0.12, margin * 0.35) - CASE WHEN fb THEN 0.12 ELSE 0 END + CASE WHEN seen AND margin > 0.15 THEN 0.06 ELSE 0 END - CASE WHEN len(told) + keeps::INT <= 2 THEN 0.08 ELSE 0 END - CASE WHEN source_color IS NULL THEN 0.05 ELSE 0 END)), 4) AS confidence,
+    array_to_string(told, ',') || CASE WHEN keeps THEN ',KEEP_EXISTING_TEMPLATE' ELSE '' END || CASE WHEN source_color IS NULL THEN ',NO_SOURCE_COLOR_EVIDENCE' ELSE '' END AS reason_codes FROM k""")(
+    lambda t: style.judged(_seen(t, _NAMES + ", " + _HAS), t.v_templates.selectExpr(*[c.strip() for c in split_list(_OWN)])).select("block_id", "suggested_template", "confidence", F.array_join("reason_codes", ",").alias("reason_codes")))
+
 query("j19_fingerprint", """SELECT block_id, sha256(concat_ws('|', 'PS-' || balloon_type, 'f1', printf('%.4f', height / 3), replace(translation, ' ', '|'), printf('%.4f', width / 7), '', CASE WHEN block_index % 2 = 0 THEN 'true' ELSE 'false' END, '', '#000000', '2', '', '', '', '', '', '', '', '', printf('%.4f', x / 11), '', '')) AS render_fingerprint FROM v_blocks""")(
     lambda t: style.render_fingerprint(t.v_blocks.select("block_id", F.concat(F.lit("PS-"), "balloon_type").alias("font_postscript_name"), F.lit("f1").alias("font_fingerprint"), (F.col("height") / 3).alias("font_size"), F.split("translation", " ").alias("explicit_lines"), (F.col("width") / 7).alias("line_height"), (F.col("block_index") % 2 == 0).alias("bold"), F.lit("#000000").alias("color_hex"), F.lit(2).alias("stroke_width"), (F.col("x") / 11).alias("rotation_deg"))).select("block_id", "render_fingerprint"))
 

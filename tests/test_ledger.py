@@ -111,7 +111,7 @@ def test_layout_score_of_no_lines_and_regions_of_nan(spark):
 
 
 def test_labelled_records(spark):
-    text = ["stray", "# Bubble 3: x", "[คำต้นฉบับ]: src", "under", "# note", "", "more {soft}", "# ID: b-7", "ignored", "[คำต้นฉบับ]: old", "[คำต้นฉบับ]: new", "[คำแปล]: first", "[คำแปลไทย]: told", "[[tag]]", "next", "# bubble 4"]
+    text = ["stray", "# Bubble 3: x", "[คำต้นฉบับ]: src", "under", "# note", "", "more {soft}", "# ID: b-7", "ignored", "[คำต้นฉบับ]: old", "[คำต้นฉบับ]: new", "[คำแปล]: first", "[คำแปลไทย]: told", "[[SMART_BALLOON_SPATIAL shape=ellipse target_lines=2 max_lines=4]]", "next", "# bubble 4"]
     lines = spark.createDataFrame([(1, k, t) for k, t in enumerate(text)], "file_id int, line_no int, line string")
     got = {r["line_no"]: (r["block_id"], r["bubble"], r["source"], r["translation"]) for r in exchange.read_labelled(lines).collect()}
     assert got == {1: (None, 3, "src", "under\nmore {soft}"), 7: ("b-7", None, "new", "told\nnext"), 15: (None, 4, None, "")}
