@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, Window, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 
 from ..functions.text import THAI, blank, squeezed, strip, trailing_tag
 from .lines import LAYOUT
@@ -36,6 +36,47 @@ def document(blocks: DataFrame) -> DataFrame:
     return per.select("page_id", F.to_json("items").alias("document"))
 
 
+#: What a project's document says of a page and of a block, in order.
+PAGE_FIELDS = ("page_number", "name", "width", "height", "source_image_path", "inpainted_image_path", "rendered_image_path", "status")
+BLOCK_FIELDS = ("block_index", "x", "y", "width", "height", "rotation_deg", "source_text", "translation", "font_family", "font_size", "color_hex", "bold", "italic", "text_direction", "text_align", "balloon_type", "confidence")
+
+
+def project_documents(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """project_id and document: its pages in order, each with its blocks in order, as JSON with null fields.
+
+    Fields that the tables lack are left out; a null ``extra_metadata`` (a map) is written as an empty one.  A task
+    gathers one project, since that is one document.
+    """
+    said = lambda df, names: [F.col(c) for c in names if c in df.columns]
+    none = F.create_map().cast("map<string,string>")
+    more = [F.coalesce("extra_metadata", none).alias("extra_metadata")] if "extra_metadata" in blocks.columns else []
+    block = F.struct(F.col("block_id").alias("id"), *said(blocks, BLOCK_FIELDS), *more)
+    # maps have no order, so rows are ordered by index and id alone
+    in_order = lambda c: F.transform(F.array_sort(c, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)), lambda r: r["item"])
+    per_page = blocks.groupBy("page_id").agg(in_order(F.collect_list(F.struct(F.struct("block_index", "block_id").alias("at"), block.alias("item")))).alias("text_blocks"))
+    p = pages.join(per_page, "page_id", "left")
+    nothing = F.array().cast(per_page.schema["text_blocks"].dataType)
+    page = F.struct(F.col("page_id").alias("id"), *said(pages, PAGE_FIELDS), F.coalesce("text_blocks", nothing).alias("text_blocks"))
+    number = "page_number" if "page_number" in pages.columns else "page_id"
+    per = p.groupBy("project_id").agg(in_order(F.collect_list(F.struct(F.struct(number, "page_id").alias("at"), page.alias("item")))).alias("pages"))
+    return per.select("project_id", F.to_json(F.struct(F.col("project_id").alias("id"), "pages"), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def read_snapshot_files(spark: SparkSession, glob: str) -> DataFrame:
+    """path, project_id, page_id, image and balloons (JSON, for ``read_snapshot``) of the snapshot files.
+
+    Files that are no JSON are left out, as are pages without an image or boxes.  A file that names no project
+    is of the project whose folder holds the file's folder.
+    """
+    box = "struct<block_id:string,bbox:array<double>,type:string,confidence:double>"
+    schema = f"project_id string, pages array<struct<page_id:string,image:string,balloons:array<{box}>>>, __bad string"
+    f = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "__bad").json(glob)
+    f = f.select(F.col("_metadata.file_path").alias("path"), "*").where("__bad is null")
+    own = F.coalesce("project_id", F.get(F.reverse(F.split("path", "/")), F.lit(2)))
+    p = f.select("path", own.alias("project_id"), F.explode("pages").alias("p")).where("p.image <> '' and size(p.balloons) > 0")
+    return p.select("path", "project_id", "p.page_id", "p.image", F.to_json("p.balloons").alias("balloons"))
+
+
 def restore(documents: DataFrame, existing: DataFrame) -> DataFrame:
     """Blocks of documents, with defaults where they say nothing; ids that exist already are issued anew.
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Why a user changed a layout.
 REASONS = ("accepted", "system_wrong", "user_preference", "suggested", "auto_applied", "defaulted", "needs_review")
@@ -92,7 +93,9 @@ def decision_counts(events: DataFrame) -> DataFrame:
 
 
 def ordered_events(events: DataFrame) -> DataFrame:
-    """Each event of a job once, numbered in order."""
+    """Each event of a job once, numbered in order; on a stream only the repeats within ten minutes go, and readers number."""
+    if events.isStreaming:
+        return events.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["job_id", "event_id"])
     seq = F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "event_id")) - 1
     return events.dropDuplicates(["job_id", "event_id"]).withColumn("seq", seq)
 
@@ -103,6 +106,38 @@ def evidence_counts(found: DataFrame) -> DataFrame:
     return found.agg(F.count_if(sure).alias("updated"), F.count_if(~sure).alias("review"), F.lit(0).cast("long").alias("pruned"))
 
 
+def _after_call(row: list, at: float, outcome: str, failures: int, cooldown: float, limited: float) -> None:
+    """What a call does to a key's failures in a row, cooldown_until and last_seen."""
+    row[2] = at
+    if outcome == "ok" or row[1] and at >= row[1]:
+        row[:2] = [0, 0.0]
+    if outcome != "ok":
+        row[0] += 1
+        if outcome == "limited":
+            row[1] = at + limited
+        elif row[0] >= failures:
+            row[1] = at + cooldown
+
+
+def key_states_stream(calls: DataFrame, failures: int = 3, cooldown: float = 60.0, limited: float = 120.0) -> DataFrame:
+    """``key_states`` over a stream of calls: the states of the keys called in each micro-batch, in update mode.
+
+    The state of a key is three numbers; calls of one micro-batch are taken in the order of at and seq.
+    """
+
+    def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        row = list(state.get) if state.exists else [0, 0.0, 0.0]
+        for at, outcome in pd.concat(list(batches)).sort_values(["at", "seq"])[["at", "outcome"]].itertuples(index=False):
+            _after_call(row, at, outcome, failures, cooldown, limited)
+        state.update(tuple(row))
+        yield pd.DataFrame([(*key, *row)], columns=["provider", "key", "failures", "cooldown_until", "last_seen"])
+
+    c = calls.select("provider", "key", F.col("at").cast("double").alias("at"), "seq", "outcome")
+    kinds = {f.name: f.dataType.simpleString() for f in c.schema}
+    state = "failures long, cooldown_until double, last_seen double"
+    return c.groupBy("provider", "key").applyInPandasWithState(walk, f"provider {kinds['provider']}, key {kinds['key']}, {state}", state, "update", GroupStateTimeout.NoTimeout)
+
+
 def key_states(calls: DataFrame, failures: int = 3, cooldown: float = 60.0, limited: float = 120.0) -> DataFrame:
     """Per key after its last call: failures in a row, cooldown_until and last_seen, in seconds.
 
@@ -121,17 +156,7 @@ def key_states(calls: DataFrame, failures: int = 3, cooldown: float = 60.0, limi
                     if now is not None:
                         done.append((*now, *row))
                     now, row = (provider, key), [0, 0.0, at]
-                row[2] = at
-                if row[1] and at >= row[1]:
-                    row[:2] = [0, 0.0]
-                if outcome == "ok":
-                    row[:2] = [0, 0.0]
-                else:
-                    row[0] += 1
-                    if outcome == "limited":
-                        row[1] = at + limited
-                    elif row[0] >= failures:
-                        row[1] = at + cooldown
+                _after_call(row, at, outcome, failures, cooldown, limited)
             yield pd.DataFrame(done, columns=["provider", "key", "failures", "cooldown_until", "last_seen"])
         if now is not None:
             yield pd.DataFrame([(*now, *row)], columns=["provider", "key", "failures", "cooldown_until", "last_seen"])

@@ -14,6 +14,9 @@ query("a1_read_snapshot", f"SELECT page_id, row_number() OVER (PARTITION BY page
     lambda t: exchange.read_snapshot(exchange.snapshot(t.v_blocks)))
 query("a3_document", f"""SELECT page_id, '[' || string_agg(concat('{{"block_index":', block_index, ',"block_id":"', block_id, '","x":', x, CASE WHEN block_index <> 2 THEN concat(',"width":', width) ELSE '' END, ',"translation":"', translation, '"}}'), ',' {_ORDER}) || ']' AS document FROM v_blocks GROUP BY 1""")(
     lambda t: exchange.document(_partial(t)))
+query("a3_projects", f"""WITH b AS (SELECT page_id, string_agg(concat('{{"id":"', block_id, '","block_index":', block_index, ',"x":', x, ',"y":', y, ',"width":', width, ',"height":', height, ',"source_text":"', source_text, '","translation":', CASE WHEN translation = '' THEN 'null' ELSE concat('"', translation, '"') END, ',"balloon_type":"', balloon_type, '","confidence":', confidence, ',"extra_metadata":{{', CASE WHEN block_index = 1 THEN '"k":"v"' ELSE '' END, '}}}}'), ',' {_ORDER}) AS t FROM v_blocks GROUP BY 1)
+  SELECT project_id, concat('{{"id":', project_id, ',"pages":[', string_agg(concat('{{"id":', page_id, ',"width":', width, ',"height":', height, ',"inpainted_image_path":', coalesce('"' || inpainted_image_path || '"', 'null'), ',"text_blocks":[', coalesce(t, ''), ']}}'), ',' ORDER BY page_id), ']}}') AS document FROM v_pages LEFT JOIN b USING (page_id) GROUP BY 1""")(
+    lambda t: exchange.project_documents(t.v_blocks.withColumns({"translation": F.nullif("translation", F.lit("")), "extra_metadata": F.when(F.col("block_index") == 1, F.create_map(F.lit("k"), F.lit("v")))}), t.v_pages))
 query("a4_restore", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY page_id {_ORDER}) - 1 AS idx FROM v_blocks)
   SELECT CASE WHEN block_index = 3 THEN md5(concat_ws('/', page_id, idx, block_id)) ELSE block_id END AS block_id, page_id, block_index, x, 0::DOUBLE AS y, CASE WHEN block_index = 2 THEN 100 ELSE width END AS width, 50::DOUBLE AS height, 'NotoSansThai' AS font_family, 'bubble' AS balloon_type, '' AS source_text, translation FROM r""")(
     lambda t: exchange.restore(exchange.document(_partial(t)), t.v_blocks.where("block_index = 3"))

@@ -167,3 +167,17 @@ def test_import_in_order_against_a_plain_loop(spark):
     b = spark.createDataFrame(blocks, "project_id int, block_id string, bubble int, source_text string")
     got = {(x.project_id, x.record_no): (x.block_id, x.status, x.will_import) for x in intake.resolved_in_order(r, b).collect()}
     assert got == want
+
+
+def test_snapshot_files(spark, tmp_path):
+    def put(project, text):
+        (tmp_path / project / "training").mkdir(parents=True)
+        (tmp_path / project / "training" / "balloons.json").write_text(text)
+
+    box = '{"block_id": "b", "bbox": [1, 2, 3, 4.5], "type": "sfx", "confidence": 0.5}'
+    put("one", '{\n"pages": [{"page_id": "p1", "image": "a.png", "balloons": [%s]},\n {"page_id": "p2", "image": "", "balloons": [%s]}, {"page_id": "p3", "image": "c.png", "balloons": []}]}' % (box, box))
+    put("two", '{"project_id": "named", "pages": [{"page_id": "p4", "image": "d.png", "balloons": [%s, %s]}]}' % (box, box))
+    put("cut", '{"pages": [')
+    found = exchange.read_snapshot_files(spark, str(tmp_path / "*" / "training" / "balloons.json"))
+    assert sorted((r.project_id, r.page_id, r.image) for r in found.collect()) == [("named", "p4", "d.png"), ("one", "p1", "a.png")]
+    assert sorted((r.page_id, r.idx, r.x, r.height, r.balloon_type) for r in exchange.read_snapshot(found).collect()) == [("p1", 0, 1.0, 4.5, "sfx"), ("p4", 0, 1.0, 4.5, "sfx"), ("p4", 1, 1.0, 4.5, "sfx")]

@@ -2,7 +2,9 @@
 
 import tempfile
 
-from boxloom.operators import memory
+from pyspark.sql import functions as F
+
+from boxloom.operators import ledger, memory
 from boxloom.sources.views import view
 from boxloom.streaming import telemetry
 
@@ -30,3 +32,29 @@ def test_memory_snapshots(spark):
     last = q.lastProgress["batchId"]
     got = spark.read.parquet(f"{folder}/memory/v{last}").select(memory.merge(rows).columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, memory.merge(rows).collect()))
+
+
+def test_ordered_events_lose_repeats(spark):
+    events = view(spark, DATA, "v_events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder, s = stream(spark, events.union(events.where("event_id % 3 = 0")))
+    ledger.ordered_events(s).writeStream.format("memory").queryName("ordered").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.event_id for r in spark.table("ordered").collect()) == sorted(r.event_id for r in events.collect())
+
+
+def test_key_states(spark):
+    outcome = F.element_at(F.array(*map(F.lit, ("ok", "failed", "failed", "failed", "limited"))), (F.col("event_id") * 7 % 5 + 1).cast("int"))
+    calls = view(spark, DATA, "v_events").select((F.col("job_id") % 2).alias("provider"), F.col("job_id").alias("key"), (F.col("event_id") * 11.0).alias("at"), F.col("event_id").alias("seq"), outcome.alias("outcome"))
+    folder = tempfile.mkdtemp(prefix="spark-stream-")
+    # one batch after the other, as calls come
+    for k in range(3):
+        calls.where((F.col("seq") >= k * 350) & (F.col("seq") < (k + 1) * 350)).coalesce(1).write.parquet(f"{folder}/in/{k}")
+    last = {}
+
+    def keep(df, _):
+        last.update({r.key: (r.failures, r.cooldown_until, r.last_seen) for r in df.collect()})
+
+    for k in range(3):
+        s = spark.readStream.schema(calls.schema).parquet(f"{folder}/in/[0-{k}]")
+        ledger.key_states_stream(s).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+    want = {r.key: (r.failures, r.cooldown_until, r.last_seen) for r in ledger.key_states(calls.where("seq < 1050")).collect()}
+    assert want and last == want
