@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import html
 import re
 import tempfile
 from collections import defaultdict
@@ -352,6 +353,21 @@ def test_html_table(spark, odd):
     assert len(got) == len(ODD) and all(r.main is not None for r in got)
 
 
+def article_blocks(page):
+    """The blocks inside a page's article element; tags, but for those that end a block, are left out."""
+    inside = re.search(r"(?s)<article\b[^>]*>(.*?)</article>", page)[1]
+    parts = re.split(r"(?i)</?(?:h[1-6]|p|ul|ol|li|div|table|tr|td|blockquote|section)\b[^>]*>", inside)
+    texts = (" ".join(html.unescape(re.sub(r"(?s)<[^>]*>", "", re.sub(r"(?i)<br\s*/?>", " ", p))).split()) for p in parts)
+    return [t for t in texts if t]
+
+
+def test_html_of_supplied_pages(spark):
+    pages = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/pages.parquet")
+    want = {r.page_id: "\n".join(article_blocks(r.html)) for r in pages.collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op6_html(spark, DATA.replace("0.001", "0.01")).collect()}
+    assert got == {k: (t, len(t)) for k, t in want.items()}
+
+
 def nearest_by_force(data, k=20):
     x = [(r.vec_id, np.array(r.embedding, float)) for r in data.collect()]
     return {i: sorted(((-float(v @ w), j) for j, w in x if j != i))[:k] for i, v in x if i % 20 == 0}
