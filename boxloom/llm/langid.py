@@ -28,8 +28,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 96 << 10
-#: Parts of a language in which the first documents are found by themselves.
-PARTS = 16
 LEVEL = 5
 #: Bytes that one fresh dictionary serves.
 BLOCK = 1 << 14
@@ -44,9 +42,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     key = F.md5(F.concat_ws("-", F.lit("sample"), F.col("id").cast("string")))
     ids = labelled.groupBy("lang", "id").agg(F.count("*").alias("n")).withColumn("key", key)
-    # the first of each part, and of these the first, so that no task sees more of a language than PARTS such lists
-    part = F.pmod(F.xxhash64("id"), F.lit(PARTS))
-    few = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang", part).orderBy("key"))).where(F.col("k") <= docs_per_lang)
+    few = ids
+    for digits in (2, 4):
+        few = _near_first(few, docs_per_lang, digits)
     few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("k") <= docs_per_lang)
     # docs_per_lang rows of a language at most
     few = F.broadcast(few.select(F.col("lang").alias("of"), F.col("id").alias("one"), "key"))
@@ -64,6 +62,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return {k: " ".join(v).encode("utf-8", "surrogatepass") for k, v in sorted(by_lang.items(), key=lambda x: (-n[x[0]], x[0]))}
 
 
+def _near_first(ids: DataFrame, n: int, digits: int) -> DataFrame:
+    """The rows up to the first leading digits of the key at which a language has n rows, or all of them.
+
+    Rows are counted by these digits, so a language's rows are never brought together; what is broadcast is a row
+    for each language, as is the model itself.
+    """
+    per = ids.groupBy("lang", F.substring("key", 1, digits).alias("lead")).agg(F.count("*").alias("held"))
+    upto = F.sum("held").over(Window.partitionBy("lang").orderBy("lead"))
+    cut = per.withColumn("upto", upto).where(F.col("upto") >= n).groupBy(F.col("lang").alias("of")).agg(F.min("lead").alias("cut"))
+    near = ids.join(F.broadcast(cut), F.col("lang") == F.col("of"), "left")
+    return near.where(F.col("cut").isNull() | (F.substring("key", 1, digits) <= F.col("cut"))).drop("of", "cut")
+
+
 def letters(text: str) -> str:
     return _OTHER.sub(" ", text.lower())
 
