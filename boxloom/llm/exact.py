@@ -5,7 +5,8 @@ then merges each (digest, salt) group, then the few salt winners of a digest.  T
 keys hold the whole normalised text at every step, so rows meet only when their full contents
 are equal; the digest in front of it keeps comparisons short.  Documents then find their group
 by digest alone, which is exact for every digest that stands for one content.  Digests that
-stand for several (collisions) are joined on the whole content instead.
+stand for several (collisions) are joined on the whole content instead.  A digest that more than
+one in ``HOT`` of all rows share (there are fewer than ``HOT`` such) is joined in ``SALTS`` parts.
 
 Null texts count as empty.  Ties go to the smallest doc_id.  Rows whose doc_id is null lose
 every tie and report a null keep_id only if nobody else is in their group.  Repeated rows are
@@ -20,6 +21,8 @@ from .common import SPACE, checkpoint, text_or_empty
 
 #: Copies of one content are merged in so many independent parts before they meet.
 SALTS = 64
+#: The share of all rows, as one in so many, from which a digest's rows are dealt to several tasks.
+HOT = 1000
 
 
 def normalised(col: Column) -> Column:
@@ -66,7 +69,13 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     contents = winners.groupBy("digest").agg(F.count("*").alias("contents"), F.first("keep_id").alias("keep_id"), F.first("keep_len").alias("keep_len"), F.first("group_size").alias("group_size"))
     shared = contents.where("contents > 1")
     rows = _keyed(docs, id_col, text_col, digest)
-    single = rows.select("id", "len", "digest").join(contents.where("contents = 1").drop("contents"), "digest")
+    total = contents.agg(F.sum("group_size")).first()[0] or 0
+    hot = F.broadcast(contents.where((F.col("contents") == 1) & (F.col("group_size") * HOT > total)).select(F.col("digest").alias("hot")))
+    # which part a row falls in is of no account, since each part has the winner
+    salt = F.when(F.col("hot").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = rows.select("id", "len", "digest").join(hot, F.col("digest") == F.col("hot"), "left").withColumn("salt", salt).drop("hot")
+    parts = F.when(F.col("group_size") * HOT > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    single = dealt.join(contents.where("contents = 1").drop("contents").withColumn("salt", F.explode(parts)), ["digest", "salt"]).drop("salt")
     if not shared.isEmpty():
         several = groups.join(shared.select("digest"), "digest", "left_semi").select(
             "digest", "norm", (-F.col("best.neg_id")).alias("keep_id"), F.col("best.len").alias("keep_len"), F.col("n").alias("group_size")
