@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, exact, htmltext, langid, mixing, pii, repeats, simhash, toolcalls
+from . import ann, bpe, exact, hmm, htmltext, langid, mixing, pii, repeats, simhash, toolcalls
 from .common import read
 
 
@@ -52,7 +52,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_toolcalls, op4_bpe, op5_repeats, op6_html, op7_neighbours, op8_pii, op9_exact, op10_mixing)}
+def op11_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_toolcalls, op4_bpe, op5_repeats, op6_html, op7_neighbours, op8_pii, op9_exact, op10_mixing, op11_hmm)}
 
 _EXACT = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),
