@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, exact, hmm, htmltext, langid, mixing, pii, repeats, simhash, toolcalls
+from . import ann, bpe, exact, hmm, htmltext, langid, mixing, periods, pii, repeats, simhash, toolcalls, trie
 from .common import read
 
 
@@ -56,7 +56,16 @@ def op11_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_texts(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_toolcalls, op4_bpe, op5_repeats, op6_html, op7_neighbours, op8_pii, op9_exact, op10_mixing, op11_hmm)}
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
+    return periods.find(read(spark, sf_dir, "documents").select("doc_id", "text"), mark=mark, change=periods.with_tail)
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"), rebuild=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_toolcalls, op4_bpe, op5_repeats, op6_html, op7_neighbours, op8_pii, op9_exact, op10_mixing, op11_hmm, op12_periods, op13_trie)}
 
 _EXACT = r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents),
@@ -100,4 +109,23 @@ SELECT conv_id, turn, role, CAST(call AS VARCHAR) AS call_id, state, level, CASE
 FROM j
 """
 
-ORACLES = {"op3_toolcalls": _TOOLCALLS, "op9_exact": _EXACT, "op10_mixing": _MIXING}
+#: CRC-32 of an id's decimal form, bit by bit.
+_CRC32 = "xor(list_reduce([4294967295::BIGINT] || flatten([[(ascii(ch) >> j) & 1 for j in range(8)] for ch in string_split(CAST({0} AS VARCHAR), '')]), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+_TRIE = f"""
+WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS r FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, max(r) AS n, {_CRC32.format("c")} % {trie.MOST} AS h FROM o GROUP BY c),
+m AS (SELECT h.*, least(h.h, coalesce(b.n, 0)) AS m FROM h LEFT JOIN h b ON b.c = h.c - h.c % {trie.HUNDRED}),
+t AS (SELECT m.c, r AS pos, role, text FROM m JOIN o ON o.c = m.c - m.c % {trie.HUNDRED} AND r <= h
+      UNION ALL SELECT m.c, r - h + m, role, text FROM m JOIN o ON o.c = m.c AND r > h),
+s AS (SELECT m.c, coalesce(list({{'role': role, 'text': text}} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS s FROM m LEFT JOIN t ON m.c = t.c GROUP BY m.c),
+p AS (SELECT c, d, len(s) AS len, md5(CAST(to_json(s[1:d]) AS VARCHAR)) AS k, CASE WHEN d > 0 THEN md5(CAST(to_json(s[1:d - 1]) AS VARCHAR)) END AS up, CASE WHEN d > 0 THEN length(s[d].text) ELSE 0 END AS chars
+      FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM s)),
+n AS (SELECT d, k, min(c) AS conv_id, count(*) AS n, max(chars) * (count(*) - 1) AS saved, max(up) AS up, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = len), '') AS ends FROM p GROUP BY d, k),
+q AS (SELECT n.*, coalesce(f.children, 0) AS children FROM n LEFT JOIN (SELECT d - 1 AS d, up AS k, count(*) AS children FROM n GROUP BY ALL) f USING (d, k)),
+a AS (SELECT p.d, p.k, sum(CASE WHEN children = 0 THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved FROM q JOIN p ON p.c = q.conv_id AND p.d <= q.d GROUP BY p.d, p.k)
+SELECT q.conv_id, q.d AS depth, u.conv_id AS parent_conv_id, q.n AS n_convs, children AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(q.ends) AS ends_sha256
+FROM q JOIN a USING (d, k) LEFT JOIN n u ON u.d = q.d - 1 AND u.k = q.up
+"""
+
+ORACLES = {"op13_trie": _TRIE, "op3_toolcalls": _TOOLCALLS, "op9_exact": _EXACT, "op10_mixing": _MIXING}
