@@ -16,7 +16,7 @@ Unseen words: each class holds, besides its words, one unseen word with the coun
 where n1 is the number of words seen once.  So the words of all classes, with one unseen word each, share
 probability one in every state.
 
-Long texts are cut into segments of ``SEGMENT`` tokens.  A segment's transfer matrix says how it maps the
+Long texts are cut into segments.  A segment's transfer matrix says how it maps the
 distribution before it to that behind it; products of these matrices give the exact distributions at every
 cut, so that segments of one text are worked on side by side and memory does not grow with the text.
 
@@ -34,16 +34,18 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stored, text_or_empty
 
 #: Word classes; those of words are numbered from 0, the end of a text is class number CLASSES.
 CLASSES = 1 << 16
 #: Latent states, rounds of Baum-Welch, and the weight of the corpus-wide distribution in a state's.
-STATES, ROUNDS, PRIOR = 6, 4, 50.0
-#: Tokens of a block, of a segment, and of the segments that are worked on together.
-BLOCK, SEGMENT, GROUP = 1 << 19, 1024, 1 << 19
+STATES, ROUNDS, PRIOR = 6, 4, 500.0
+#: Tokens of a block, of a segment (at least), and of the segments that are worked on together.
+BLOCK, SEGMENT, GROUP = 1 << 21, 512, 1 << 20
+#: So many texts at least go on side by side without being cut.
+WIDE = 48
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -68,7 +70,7 @@ def first_model(share: np.ndarray, states: int) -> Model:
     return Model(np.full(states, 1 / states), move if states > 1 else np.ones((1, 1)), emit / emit.sum(0))
 
 
-def next_model(old: Model, starts: np.ndarray, moves: np.ndarray, counts: np.ndarray, share: np.ndarray, unseen: float, total: float) -> Model:
+def next_model(starts: np.ndarray, moves: np.ndarray, counts: np.ndarray, share: np.ndarray, unseen: float, total: float) -> Model:
     """The M step.  ``counts`` (CLASSES + 1, K) are expected; every class of words also gets its unseen word's part."""
     mass = counts.sum(0)
     emit = counts + PRIOR * share[:, None]
@@ -76,12 +78,34 @@ def next_model(old: Model, starts: np.ndarray, moves: np.ndarray, counts: np.nda
     return Model((starts + 1) / (starts + 1).sum(), (moves + 1) / (moves + 1).sum(1, keepdims=True), emit / emit.sum(0))
 
 
+class Steps:
+    """Segments side by side, longest first: their tokens step by step, all first tokens before all second ones.
+
+    ``rows[t]`` is where step t begins; in each step, segments stand in the same order, those that ended left out.
+    """
+
+    def __init__(self, model: Model, codes: np.ndarray, start: np.ndarray, length: np.ndarray):
+        self.active = np.searchsorted(-length, -np.arange(length[0]), side="left")
+        self.rows = np.append(0, np.cumsum(self.active))
+        self.column = np.arange(self.rows[-1]) - np.repeat(self.rows[:-1], self.active)
+        self.code = codes[start[self.column] + np.repeat(np.arange(length[0]), self.active)]
+        self.emit = model.emit[self.code]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of the values of each segment's tokens."""
+        return np.bincount(self.column, values)
+
+
 def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and number within its sequence of every segment; sequences lie end to end."""
-    pieces = -(-lengths // SEGMENT)
+    """Start, length and number within its sequence of every segment; sequences lie end to end.
+
+    Only texts so long that fewer than WIDE are as long are cut: the others keep every step busy.
+    """
+    most = max(SEGMENT, int(np.partition(lengths, -WIDE)[-WIDE])) if len(lengths) >= WIDE else SEGMENT
+    pieces = np.where(lengths > most, -(-lengths // SEGMENT), 1)
     number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = np.repeat(np.cumsum(lengths) - lengths, pieces) + number * SEGMENT
-    return start, np.minimum(np.repeat(lengths, pieces) - number * SEGMENT, SEGMENT), number
+    return start, np.minimum(np.repeat(lengths, pieces) - number * SEGMENT, np.where(np.repeat(pieces, pieces) > 1, SEGMENT, most)), number
 
 
 def groups(length: np.ndarray, most: int) -> Iterator[np.ndarray]:
@@ -91,45 +115,58 @@ def groups(length: np.ndarray, most: int) -> Iterator[np.ndarray]:
     yield from np.split(order, np.flatnonzero(np.diff(part)) + 1) if len(order) else []
 
 
-def forward(model: Model, codes: np.ndarray, start: np.ndarray, length: np.ndarray, before: np.ndarray) -> tuple[list, list, np.ndarray]:
-    """Scaled forward recursion, longest segment first: (state distributions, scales) by step, and log likelihoods.
+def forward(model: Model, steps: Steps, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward recursion: distributions over states and scales, by token.
 
     ``before`` holds the distribution over states of each segment's first token, before that token is seen.
     """
-    active = np.searchsorted(-length, -np.arange(length[0]), side="left")
-    seen, scales, log = [], [], np.zeros(len(length))
-    for t, n in enumerate(active):
-        now = (before if t == 0 else seen[-1][:n] @ model.move) * model.emit[codes[start[:n] + t]]
-        scale = now @ np.ones(now.shape[1])
-        now /= scale[:, None]
-        log[:n] += np.log(scale)
-        seen.append(now)
-        scales.append(scale)
-    return seen, scales, log
-
-
-def transfer(model: Model, codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n, K, K) matrices, from the first token's states to those of the token behind the segment, and their log scales."""
-    k = len(model.start)
-    active = np.searchsorted(-length, -np.arange(length[0]), side="left")
-    out, log = np.empty((len(length), k, k)), np.zeros(len(length))
-    now = np.repeat(np.eye(k)[None], len(length), 0)
-    for t, n in enumerate(active):
-        out[n : len(now)] = now[n:]
-        now = now[:n] * model.emit[codes[start[:n] + t]][:, None, :]
-        scale = now.reshape(n, -1).sum(1)
-        now = (now.reshape(n * k, k) @ model.move).reshape(n, k, k) / scale[:, None, None]
-        log[:n] += np.log(scale)
-    out[: len(now)] = now
-    return out, log
+    seen, scales, ones = np.empty_like(steps.emit), np.empty(len(steps.emit), steps.emit.dtype), np.ones(len(model.start), steps.emit.dtype)
+    for t, n in enumerate(steps.active):
+        at = slice(steps.rows[t], steps.rows[t] + n)
+        now = seen[at]
+        if t:
+            np.matmul(seen[steps.rows[t - 1] : steps.rows[t - 1] + n], model.move, out=now)
+        else:
+            now[:] = before
+        now *= steps.emit[at]
+        np.matmul(now, ones, out=scales[at])
+        now /= scales[at][:, None]
+    return seen, scales
+
+
+def backward(model: Model, steps: Steps, scales: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled backward recursion: by token, the weights of states, and those of the next token's states times what these emit.
+
+    ``last`` has a row for each segment: the weights at its last token.
+    """
+    weights, ahead = np.empty_like(steps.emit), steps.emit / scales[:, None]
+    back = np.ascontiguousarray(model.move.T)
+    weights[steps.rows[-2] :] = last[: steps.active[-1]]
+    for t in range(len(steps.active) - 1, 0, -1):
+        n, low = steps.active[t], steps.rows[t - 1]
+        at = slice(steps.rows[t], steps.rows[t] + n)
+        ahead[at] *= weights[at]
+        np.matmul(ahead[at], back, out=weights[low : low + n])
+        weights[low + n : steps.rows[t]] = last[n : steps.active[t - 1]]
+    return weights, ahead
 
 
 def transfers(model: Model, codes: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the segments ``which``, in groups."""
+    """For the segments ``which``: (n, K, K) matrices, from the first token's states to those of the token behind, and their log scales."""
     k = len(model.start)
-    out, log = np.empty((len(which), k, k)), np.empty(len(which))
-    for g in groups(length[which], GROUP // k):
-        out[g], log[g] = transfer(model, codes, start[which[g]], length[which[g]])
+    out, log = np.empty((len(which), k, k), model.emit.dtype), np.empty(len(which))
+    for g in groups(length[which], max(GROUP // k, 1)):
+        steps = Steps(model, codes, start[which[g]], length[which[g]])
+        now, scales = np.repeat(np.eye(k, dtype=model.emit.dtype)[None], len(g), 0), np.empty(len(steps.emit))
+        for t, n in enumerate(steps.active):
+            out[g[n : len(now)]] = now[n:]
+            at = slice(steps.rows[t], steps.rows[t] + n)
+            now = now[:n] * steps.emit[at][:, None, :]
+            scales[at] = now.reshape(n, -1) @ np.ones(k * k, now.dtype)
+            now = (now.reshape(n * k, k) @ model.move).reshape(n, k, k)
+            now /= scales[at].astype(now.dtype)[:, None, None]
+        out[g[: len(now)]] = now
+        log[g] = steps.sums(np.log(scales))
     return out, log
 
 
@@ -164,13 +201,14 @@ def log_likelihoods(model: Model, codes: np.ndarray, lengths: np.ndarray) -> np.
     """Natural logarithm of each sequence's probability."""
     start, length, number = segments(lengths)
     first = np.flatnonzero(number == 0)
-    single = lengths <= SEGMENT
+    single = np.append(number[1:] == 0, True)[first]
     found = np.empty(len(lengths))
     short, docs = first[single], np.flatnonzero(single)
     for g in groups(length[short], GROUP):
-        at = short[g]
-        found[docs[g]] = forward(model, codes, start[at], length[at], np.broadcast_to(model.start, (len(at), len(model.start))))[2]
-    long = np.flatnonzero(~np.repeat(single, -(-lengths // SEGMENT)))
+        steps = Steps(model, codes, start[short[g]], length[short[g]])
+        found[docs[g]] = steps.sums(np.log(forward(model, steps, np.broadcast_to(model.start, (len(g), len(model.start))))[1]))
+    pieces = np.diff(np.append(first, len(number)))
+    long = np.flatnonzero(np.repeat(pieces > 1, pieces))
     if len(long):
         log = chained(model, *transfers(model, codes, start, length, long), number[long])[2]
         found[~single] = log[np.append(number[long][1:] == 0, True)]
@@ -183,50 +221,43 @@ def expected_counts(model: Model, codes: np.ndarray, lengths: np.ndarray, counts
     start, length, number = segments(lengths)
     before, after = np.empty((len(start), k)), np.ones((len(start), k))
     before[number == 0] = model.start
+    first = np.flatnonzero(number == 0)
+    pieces = np.diff(np.append(first, len(number)))
+    long = np.flatnonzero(np.repeat(pieces > 1, pieces))
     cut = np.zeros(len(start), bool)  # segments that another of the same text follows
-    long = np.flatnonzero(~np.repeat(lengths <= SEGMENT, -(-lengths // SEGMENT)))
     if len(long):
-        matrices, logs = transfers(model, codes, start, length, long)
-        before[long], after[long], _ = chained(model, matrices, logs, number[long])
+        before[long], after[long], _ = chained(model, *transfers(model, codes, start, length, long), number[long])
         cut[long] = np.append(number[long][1:] > 0, False)
     starts, moves = np.zeros(k), np.zeros((k, k))
     for g in groups(length, GROUP):
-        seen, scales, _ = forward(model, codes, start[g], length[g], before[g])
-        behind = cut[g]
-        active = [len(s) for s in seen] + [0]
-        beta = np.empty((0, k))
-        ones = np.ones(k)
-        weights, where = [], []
-        for t in range(len(seen) - 1, -1, -1):
-            n, ends = active[t], slice(active[t + 1], active[t])  # the last segments end here
-            now = np.ones((n, k))
-            if active[t + 1]:
-                m = active[t + 1]
-                ahead = beta * model.emit[codes[start[g][:m] + t + 1]] / scales[t + 1][:, None]
-                moves += seen[t][:m].T @ ahead
-                now[:m] = ahead @ model.move.T
-            if behind[ends].any():
-                rows = np.flatnonzero(behind[ends]) + active[t + 1]
-                tail = after[g][rows]
-                value = tail @ model.move.T
-                norm = (seen[t][rows] * value) @ ones
-                now[rows] = value / norm[:, None]
-                moves += seen[t][rows].T @ (tail / norm[:, None])
-            beta = now
-            weights.append(seen[t] * now)
-            where.append(codes[start[g][:n] + t])
-        first = number[g] == 0
-        starts += weights[-1][first].sum(0)
-        gamma, at = np.concatenate(weights), np.concatenate(where)
+        steps = Steps(model, codes, start[g], length[g])
+        seen, scales = forward(model, steps, before[g].astype(model.emit.dtype))
+        # a segment ends with weight one, or with what the next one says, scaled to the distribution there
+        last, rows = np.ones((len(g), k)), np.flatnonzero(cut[g])
+        if len(rows):
+            here = seen[steps.rows[length[g][rows] - 1] + rows]
+            tail = after[g][rows]
+            value = tail @ model.move.T
+            norm = (here * value).sum(1, keepdims=True)
+            last[rows] = value / norm
+            moves += here.T @ (tail / norm)
+        weights, ahead = backward(model, steps, scales, last.astype(model.emit.dtype))
+        # the token before row r of step t stands in row r of step t - 1
+        inner = np.arange(steps.rows[1], steps.rows[-1])
+        moves += seen[inner - np.repeat(steps.active[:-1], steps.active[1:])].T @ ahead[steps.rows[1] :]
+        seen *= weights
+        starts += seen[: steps.rows[1]][number[g] == 0].sum(0)
         for j in range(k):
-            counts[:, j] += np.bincount(at, gamma[:, j], minlength=len(counts))
+            counts[:, j] += np.bincount(steps.code, seen[:, j], minlength=len(counts))
     return starts, moves * model.move
 
 
 # ---- blocks
 
 
-_BLOCK = "ids array<string>, held array<boolean>, lengths array<int>, words array<binary>, trained array<bigint>, tokens binary, block string"
+_BLOCK = "block bigint, ids array<string>, held array<boolean>, lengths array<int>, words array<binary>, trained array<bigint>, classes binary, tokens binary"
+_NAMES = [c.split()[0] for c in _BLOCK.split(", ")]
+_TYPES = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +265,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     import zstandard
 
-    part, number = TaskContext.get().partitionId(), count()
+    number = count(TaskContext.get().partitionId() << 33)
     rows: list[tuple] = []
     size = 0
 
@@ -244,10 +275,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trained = np.zeros(len(numbers), np.int64)
         if learn := [t for t, (_, held, _) in zip(tokens, rows) if not held]:
             trained += np.bincount(np.concatenate(learn), minlength=len(numbers))
-        cells = [
-            [i for i, _, _ in rows], [h for _, h, _ in rows], [len(w) for _, _, w in rows], list(numbers), trained,
-            zstandard.ZstdCompressor(level=1).compress(np.concatenate([*tokens, np.empty(0, np.int32)]).tobytes()), f"{part}-{next(number)}",
-        ]
+        classes = np.fromiter((zlib.crc32(w) % CLASSES for w in numbers), np.int32, len(numbers))
+        packed = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in (classes, np.concatenate([*tokens, np.empty(0, np.int32)]))]
+        cells = [next(number), [i for i, _, _ in rows], [h for _, h, _ in rows], [len(w) for _, _, w in rows], list(numbers), trained, *packed]
         return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, _TYPES)], names=_NAMES)
 
     for batch in batches:
@@ -262,37 +292,34 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-_TYPES = [pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.string()]
-_NAMES = ["ids", "held", "lengths", "words", "trained", "tokens", "block"]
-
-
-def _opened(tokens: bytes, lengths: list[int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _opened(tokens: bytes, lengths: list[int], classes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions in the word list, document by document; lengths; classes of the words; codes with the ends."""
     import zstandard
 
-    at = np.frombuffer(zstandard.ZstdDecompressor().decompress(tokens), np.int32)
-    classes = np.fromiter((zlib.crc32(w) % CLASSES for w in words), np.int32, len(words))
+    at, of = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int32) for x in (tokens, classes))
     n = np.array(lengths, np.int64)
     codes = np.full(len(at) + len(n), CLASSES, np.int32)
     inside = np.ones(len(codes), bool)
     inside[np.cumsum(n + 1) - 1] = False
-    codes[inside] = classes[at]
-    return at, n, classes, codes
+    codes[inside] = of[at]
+    return at, n, of, codes
 
 
 # ---- training and scoring
 
 
 class Trained:
-    """The model, the counts of all words (table: word, n) and what follows from them."""
+    """The model, the counts of all words in the blocks (table: block, at, n) and what follows from them.
 
-    def __init__(self, model: Model, lexicon: DataFrame, held: np.ndarray, total: int, distinct: int, once: int):
-        self.model, self.lexicon, self.held = model, lexicon, held
-        self.total, self.distinct, self.unseen = total, distinct, (once + 1) / CLASSES
+    ``size`` has the tokens of each class, ``total`` all tokens, ``distinct`` the different ones, ``unseen`` an unseen word's count.
+    """
+
+    def __init__(self, model: Model, counted: DataFrame, size: np.ndarray, total: int, distinct: int, unseen: float):
+        self.model, self.counted, self.size, self.total, self.distinct, self.unseen = model, counted, size, total, distinct, unseen
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> DataFrame:
-    """Blocks of documents (ids as strings), written to the shared folder.
+    """Blocks of documents (ids as strings), those to learn from and those to score only, written to the shared folder.
 
     Where the input comes in fewer parts than there are cores, the blocks are dealt out, for later steps take longer than this.
     """
@@ -304,94 +331,89 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
 
 def train(blocks: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Trained:
     spark = blocks.sparkSession
-    pairs = blocks.select(F.explode(F.arrays_zip("words", "trained")).alias("w")).select("w.*").where("trained > 0")
-    lexicon = stored(pairs.groupBy(F.col("words").alias("word")).agg(F.sum("trained").alias("n")))
-    by_class = lexicon.groupBy((F.crc32("word") % CLASSES).cast("int").alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).collect()
+    # each word's count in all blocks, at every block that has it; a word's first block stands for the word
+    occurrences = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.trained").alias("own"))
+    whole = Window.partitionBy("word")
+    counted = occurrences.select("block", "at", F.sum("own").over(whole).alias("n"), (F.row_number().over(whole.orderBy("block")) == 1).alias("first"), (F.crc32("word") % CLASSES).cast("int").alias("class"))
+    counted = stored(counted.where("n > 0"))
+    by_class = counted.where("first").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).collect()
     size = np.zeros(CLASSES + 1)
     for r in by_class:
-        size[r.c] = r.n
-    ends = blocks.select(F.explode("held").alias("h")).where("not h").count()
+        size[r["class"]] = r.n
+    ends, number = blocks.select(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)), F.count("*")).first()
     words, distinct, once = (sum(r[k] for r in by_class) for k in ("n", "v", "once"))
     size[CLASSES] = ends
     total = words + ends
-    got = Trained(None, lexicon, size, total, distinct + (ends > 0), once)
-    share = size + got.unseen
+    unseen = (once + 1) / CLASSES
+    share = size + unseen
     share[CLASSES] = max(ends, 1)
     share /= share.sum()
     model = first_model(share, states)
+    # a task's table of counts is as large as a block, so where there are enough tasks each takes several blocks
+    read = blocks.where(F.exists("held", lambda h: ~h)).select("held", "lengths", "classes", "tokens")
+    read = read.coalesce(max(2 * spark.sparkContext.defaultParallelism, number // 8))
     for _ in range(rounds if ends else 0):
         shared = spark.sparkContext.broadcast(model)
-        summed = blocks.select("held", "lengths", "words", "tokens").mapInArrow(_e_step(shared), "code int, n array<float>").groupBy("code").agg(*[F.sum(F.col("n")[j].cast("double")).alias(f"n{j}") for j in range(states)])
-        table = _dense(summed.collect(), CLASSES + 2 + states, states)
-        counts, starts, moves = table[: CLASSES + 1], table[CLASSES + 1], table[CLASSES + 2 :]
-        model = next_model(model, starts, moves, counts, share, got.unseen, float(total))
+        summed = read.mapInArrow(_e_step(shared), "code int, n array<float>").groupBy("code").agg(*[F.sum(F.col("n")[j].cast("double")).alias(f"n{j}") for j in range(states)])
+        table = np.zeros((CLASSES + 2 + states, states))
+        for r in summed.collect():  # one row for each class
+            table[r[0]] = r[1:]
+        model = next_model(table[CLASSES + 1], table[CLASSES + 2 :], table[: CLASSES + 1], share, unseen, float(total))
         shared.unpersist()
-    got.model = model
-    return got
-
-
-def _dense(rows: list, height: int, width: int) -> np.ndarray:
-    table = np.zeros((height, width))
-    for r in rows:
-        table[r[0]] = r[1:]
-    return table
+    return Trained(model, counted.select("block", "at", "n"), size, total, distinct + (ends > 0), unseen)
 
 
 def _e_step(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        full = shared.value
+        # single precision is enough for counts; scores are computed in double precision
+        model = Model(*(x.astype(np.float32) for x in (full.start, full.move, full.emit)))
         k = len(model.start)
         counts, rest = np.zeros((CLASSES + 1, k)), np.zeros((1 + k, k))
-        any_rows = False
         for batch in batches:
-            for held, lengths, words, tokens in zip(*(c.to_pylist() for c in batch.columns)):
-                _, n, _, codes = _opened(tokens, lengths, words)
+            for b in range(batch.num_rows):
+                held, lengths, classes, tokens = (c[b].as_py() for c in batch.columns)
+                _, n, _, codes = _opened(tokens, lengths, classes)
                 learn = ~np.array(held, bool)
-                if learn.any():
-                    starts, moves = expected_counts(model, codes[np.repeat(learn, n + 1)], (n + 1)[learn], counts)
-                    rest += np.vstack([starts, moves])
-                    any_rows = True
-        if any_rows:
-            table = np.vstack([counts, rest])
-            at = np.flatnonzero(table.any(1)).astype(np.int32)
-            for part in np.array_split(at, -(-len(at) // 10_000)):
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(table[part].astype(np.float32).tolist(), pa.list_(pa.float32()))], names=["code", "n"])
+                starts, moves = expected_counts(model, codes[np.repeat(learn, n + 1)], (n + 1)[learn], counts)
+                rest += np.vstack([starts, moves])
+        table = np.vstack([counts, rest])
+        at = np.flatnonzero(table.any(1)).astype(np.int32)
+        for part in np.array_split(at, -(-len(at) // 10_000)) if len(at) else []:
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(table[part].astype(np.float32).tolist(), pa.list_(pa.float32()))], names=["code", "n"])
 
     return run
 
 
 _SCORE = "id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+_SCORED = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
 
 def score(blocks: DataFrame, got: Trained) -> DataFrame:
     """One row per document: id (as text), held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = blocks.sparkSession
-    pairs = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    known = pairs.join(got.lexicon, "word").groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("known"))
-    rows = blocks.select("block", "ids", "held", "lengths", "words", "tokens").join(known, "block", "left").drop("block")
-    shared = spark.sparkContext.broadcast((got.model, got.held, got.total, got.distinct, got.unseen))
+    known = got.counted.groupBy("block").agg(F.collect_list(F.struct("at", "n")).alias("known"))
+    rows = blocks.select("block", "ids", "held", "lengths", "classes", "tokens").join(known, "block", "left").drop("block")
+    shared = blocks.sparkSession.sparkContext.broadcast((got.model, got.size, got.total, got.distinct, got.unseen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, size, total, distinct, unseen = shared.value
+        ends, least = int(size[CLASSES]), np.log10(total + distinct + 1.0)
         for batch in batches:
             for b in range(batch.num_rows):
-                ids, held, lengths, words, tokens = (batch.column(j)[b].as_py() for j in range(5))
-                at, n, classes, codes = _opened(tokens, lengths, words)
-                c = np.zeros(len(words), np.int64)
+                ids, held, lengths, classes, tokens = (batch.column(j)[b].as_py() for j in range(5))
+                at, n, of, codes = _opened(tokens, lengths, classes)
+                c = np.zeros(len(of), np.int64)
                 if batch.column(5)[b].is_valid:
                     pairs = batch.column(5)[b].values
                     c[pairs.field("at").to_numpy()] = pairs.field("n").to_numpy()
-                inside = np.log10(np.where(c > 0, c, unseen)) - np.log10(size[classes] + unseen)
-                base = np.log10(c + 1.0)
+                inside = np.log10(np.where(c > 0, c, unseen)) - np.log10(size[of] + unseen)
                 doc = np.repeat(np.arange(len(n)), n)
                 per = lambda w: np.bincount(doc, w[at], minlength=len(n))
-                ends = int(size[CLASSES])
-                least = np.log10(total + distinct + 1.0)
                 cells = [
                     ids, held, n + 1, per((c > 0).astype(float)).astype(np.int64) + (ends > 0), np.full(len(n), total),
-                    per(base) + np.log10(ends + 1.0) - (n + 1) * least, log_likelihoods(model, codes, n + 1) / np.log(10) + per(inside),
+                    per(np.log10(c + 1.0)) + np.log10(ends + 1.0) - (n + 1) * least, log_likelihoods(model, codes, n + 1) / np.log(10) + per(inside),
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, _SCORED)], names=[c.split()[0] for c in _SCORE.split(", ")])
 
     return rows.mapInArrow(run, _SCORE)
 
