@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 #: Why a user changed a layout.
 REASONS = ("accepted", "system_wrong", "user_preference", "suggested", "auto_applied", "defaulted", "needs_review")
@@ -93,9 +94,7 @@ def decision_counts(events: DataFrame) -> DataFrame:
 
 
 def ordered_events(events: DataFrame) -> DataFrame:
-    """Each event of a job once, numbered in order; on a stream only the repeats within ten minutes go, and readers number."""
-    if events.isStreaming:
-        return events.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["job_id", "event_id"])
+    """Each event of a job once, numbered in order; ``streaming.stateful.ordered_events`` is the form for streams."""
     seq = F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "event_id")) - 1
     return events.dropDuplicates(["job_id", "event_id"]).withColumn("seq", seq)
 
@@ -106,64 +105,91 @@ def evidence_counts(found: DataFrame) -> DataFrame:
     return found.agg(F.count_if(sure).alias("updated"), F.count_if(~sure).alias("review"), F.lit(0).cast("long").alias("pruned"))
 
 
-def _after_call(row: list, at: float, outcome: str, failures: int, cooldown: float, limited: float) -> None:
-    """What a call does to a key's failures in a row, cooldown_until and last_seen."""
-    row[2] = at
-    if outcome == "ok" or row[1] and at >= row[1]:
-        row[:2] = [0, 0.0]
-    if outcome != "ok":
-        row[0] += 1
-        if outcome == "limited":
-            row[1] = at + limited
-        elif row[0] >= failures:
-            row[1] = at + cooldown
+def _call(state: tuple, number: int, at: float, outcome: str, duration: float, failures: int) -> tuple:
+    """What a call does to (over, n, kept, until): failures in a row and the end of a cooldown, 0 for none.
 
-
-def key_states_stream(calls: DataFrame, failures: int = 3, cooldown: float = 60.0, limited: float = 120.0) -> DataFrame:
-    """``key_states`` over a stream of calls: the states of the keys called in each micro-batch, in update mode.
-
-    The state of a key is three numbers; calls of one micro-batch are taken in the order of at and seq.
+    With ``over``, n counts on from failures before this piece, which were at the limit or above.  With ``kept`` the cooldown is
+    the one from before, which lapses at the piece's call of that number.
     """
-
-    def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        row = list(state.get) if state.exists else [0, 0.0, 0.0]
-        for at, outcome in pd.concat(list(batches)).sort_values(["at", "seq"])[["at", "outcome"]].itertuples(index=False):
-            _after_call(row, at, outcome, failures, cooldown, limited)
-        state.update(tuple(row))
-        yield pd.DataFrame([(*key, *row)], columns=["provider", "key", "failures", "cooldown_until", "last_seen"])
-
-    c = calls.select("provider", "key", F.col("at").cast("double").alias("at"), "seq", "outcome")
-    kinds = {f.name: f.dataType.simpleString() for f in c.schema}
-    state = "failures long, cooldown_until double, last_seen double"
-    return c.groupBy("provider", "key").applyInPandasWithState(walk, f"provider {kinds['provider']}, key {kinds['key']}, {state}", state, "update", GroupStateTimeout.NoTimeout)
+    over, n, kept, until = state
+    if outcome == "ok":
+        return False, 0, 0, 0.0
+    if 0 < kept <= number or not kept and 0 < until <= at:
+        over, n, kept, until = False, 0, 0, 0.0
+    if outcome == "limited" or over or n + 1 >= failures:
+        kept, until = 0, at + duration
+    return over, n + 1, kept, until
 
 
 def key_states(calls: DataFrame, failures: int = 3, cooldown: float = 60.0, limited: float = 120.0) -> DataFrame:
     """Per key after its last call: failures in a row, cooldown_until and last_seen, in seconds.
 
-    ``calls`` has provider, key, at (seconds), seq and outcome (ok, failed or limited).  A rate limit
-    or the third failure in a row starts a cooldown, a success ends it, and a cooldown that has
-    passed clears the failures.  Calls come sorted by key, and a task holds one batch and the
-    state of the key at hand, however many calls it has.
+    ``calls`` has provider, key, at (seconds), seq and outcome (ok, failed or limited); with a column ``custom``, a call's own
+    cooldown where that is neither null nor 0.  A rate limit or the third failure in a row starts a cooldown, a success ends it,
+    and a cooldown that has passed clears the failures.
+
+    Calls are sorted in ranges, so that a hot key spreads over tasks.  What a task has of a key is a function from the state
+    before to the state behind it.  It has few cases: the failures before count up to the limit, and the cooldown before
+    only matters at the first calls, for then a new one takes its place.  A key's functions, one a task at most, are then applied in turn.
     """
+    cases = [(n, k) for n in range(failures + 1) for k in range(failures + 2)]
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, row = None, None
-        for batch in batches:
-            done = []
-            for provider, key, at, outcome in zip(batch["provider"], batch["key"], batch["at"], batch["outcome"]):
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, now, out = TaskContext.get().partitionId(), None, []
+
+        def done() -> tuple:
+            ends = [states[j] for j in case]
+            return (*now, part, last, times, *([e[k] for e in ends] for k in range(4)))
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
+
+        for b in batches:
+            for provider, key, at, outcome, custom in zip(*(c.to_pylist() for c in b.columns)):
                 if (provider, key) != now:
                     if now is not None:
-                        done.append((*now, *row))
-                    now, row = (provider, key), [0, 0.0, at]
-                _after_call(row, at, outcome, failures, cooldown, limited)
-            yield pd.DataFrame(done, columns=["provider", "key", "failures", "cooldown_until", "last_seen"])
+                        out.append(done())
+                    # only a task's first key may have calls before
+                    first = [(n == failures, n % failures if failures else 0, k, 0.0) for n, k in cases] if now is None else [(False, 0, 0, 0.0)]
+                    now, times, number = (provider, key), [], 0
+                    states, case = first, list(range(len(first)))
+                number, last = number + 1, at
+                if number <= failures:
+                    times.append(at)
+                duration = custom or (limited if outcome == "limited" else cooldown)
+                after = [_call(s, number, at, outcome, duration, failures) for s in states]
+                states = list(dict.fromkeys(after))
+                if len(states) < len(after):
+                    place = {s: j for j, s in enumerate(states)}
+                    case = [place[after[j]] for j in case]
+            if len(out) > 10_000:
+                yield batch()
+                out = []
         if now is not None:
-            yield pd.DataFrame([(*now, *row)], columns=["provider", "key", "failures", "cooldown_until", "last_seen"])
-
-    at_hand = calls.select("provider", "key", F.col("at").cast("double").alias("at"), "seq", "outcome").repartition("provider", "key").sortWithinPartitions("provider", "key", "at", "seq")
-    kinds = {f.name: f.dataType.simpleString() for f in at_hand.schema}
-    return at_hand.mapInPandas(walk, f"provider {kinds['provider']}, key {kinds['key']}, failures long, cooldown_until double, last_seen double")
+            out.append(done())
+        if out:
+            yield batch()
+
+    custom = F.col("custom").cast("double") if "custom" in calls.columns else F.lit(None).cast("double")
+    order = ["provider", "key", "at", "seq"]
+    sorted_ = calls.select("provider", "key", F.col("at").cast("double").alias("at"), "seq", "outcome", custom.alias("custom")).repartitionByRange(*order).sortWithinPartitions(*order).drop("seq")
+    schema = ", ".join(f"{c} {calls.schema[c].dataType.simpleString()}" for c in ("provider", "key")) + ", part int, last double, times array<double>, over array<boolean>, n array<bigint>, kept array<int>, until array<double>"
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    found = sorted_.mapInArrow(pieces, schema)
+    one = F.struct("part", "last", "times", "over", "n", "kept", "until")
+    per = found.groupBy("provider", "key").agg(F.array_sort(F.collect_list(one)).alias("p"))
+
+    def apply(state: Column, piece: Column) -> Column:
+        # the case: failures up to the limit, and before which of the first calls the cooldown ends
+        ahead = F.when(state["until"] == 0, 0).otherwise(F.size(F.filter(piece["times"], lambda t: t < state["until"])) + 1)
+        k = F.when(F.size(piece["n"]) == 1, 0).otherwise(F.least(state["n"], F.lit(failures)) * (failures + 2) + ahead).cast("int")
+        n = F.get(piece["n"], k) + F.when(F.get(piece["over"], k), state["n"]).otherwise(0)
+        return F.struct(n.alias("n"), F.when(F.get(piece["kept"], k) > 0, state["until"]).otherwise(F.get(piece["until"], k)).alias("until"))
+
+    end = F.aggregate("p", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("until")), apply)
+    return per.select("provider", "key", end.alias("e"), F.element_at("p", -1)["last"].alias("last_seen")).select("provider", "key", F.col("e.n").alias("failures"), F.col("e.until").alias("cooldown_until"), "last_seen")
 
 
 def pool_health(states: DataFrame, now: float) -> DataFrame:

@@ -84,5 +84,7 @@ def with_views(sql: str) -> str:
     used = [f"{n} AS ({v})" for n, v in VIEWS.items() if re.search(rf"\b{n}\b", sql)]
     if not used:
         return sql
-    body = sql.strip()
-    return "WITH " + ", ".join(used) + (f", {body[5:]}" if body[:5].upper() == "WITH " else f" {body}")
+    body, start = sql.strip(), "WITH "
+    if body[:15].upper() == "WITH RECURSIVE ":
+        body, start = "WITH " + body[15:], "WITH RECURSIVE "
+    return start + ", ".join(used) + (f", {body[5:]}" if body[:5].upper() == "WITH " else f" {body}")

@@ -66,6 +66,19 @@ def lost_workers(jobs: DataFrame, now: str, max_attempts: int = 3, silence: int
     return e.where(F.col("kind").isin("started", "heartbeat") & lost).select("job_id", "attempts", F.when(F.col("attempts") >= max_attempts, "failed").otherwise("queued").alias("status"))
 
 
+def lost_spells(events: DataFrame, now: str, max_attempts: int = 3, silence: int = 45, lease: int = 60) -> DataFrame:
+    """Each time up to ``now`` that a job in work was lost: job_id, attempts so far, at (a microsecond after its lease and
+    silence have passed) and the status it got; jobs that were heard of again may be lost again."""
+    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = events.select("job_id", "kind", micros.alias("us"), F.count_if(F.col("kind") == "started").over(past).alias("attempts"), F.max(F.when(F.col("kind") == "heartbeat", micros)).over(past).alias("beat"), F.lead(micros).over(w).alias("next"))
+    at = F.greatest(F.col("us") + lease * 1_000_000, F.coalesce(F.col("beat") + silence * 1_000_000, F.lit(0))) + 1
+    lost = e.where(F.col("kind").isin("started", "heartbeat")).withColumn("at", at).where((F.col("at") < F.col("next")) | F.col("next").isNull() & (F.col("at") <= F.unix_micros(F.to_timestamp(F.lit(now)))))
+    status = F.when(F.col("attempts") >= max_attempts, "failed").otherwise("queued")
+    return lost.select("job_id", "attempts", F.timestamp_micros("at").cast("timestamp_ntz").alias("at"), status.alias("status"))
+
+
 def first_use(events: DataFrame, key: str) -> DataFrame:
     """The first good use of each one-time ticket; on a stream, later ones within the watermark go.
 
