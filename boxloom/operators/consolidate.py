@@ -1,84 +1,171 @@
-"""Order-dependent box consolidation, page by page.
+"""Order-dependent box consolidation.
 
-The greedy rules depend on what was kept before, so they have no join form.  Spark brings each
-page's boxes together in order; a task streams over its pages and runs the rule on the arrays
-of one page at a time, whose boxes are few.
+The greedy rules depend on what was kept before, so they have no join form.  But boxes act on each other only where they
+come near, whatever grows meanwhile: where a stripe across the page is free of boxes, those on both sides never
+meet.  Pages with more than ``PAGE`` boxes are cut along such stripes, across and along in turn (``scan.parted``), and each
+piece is worked on by itself, so that no task needs a page.  How finely a page is cut changes no result.
+
+Spark brings each piece's boxes together in order; a task streams over its pieces.  Within a piece, boxes find each other in
+the cells of a grid.  Null pages are one page; a box with a null side stays as it is and meets none, a null confidence is the least.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.shared import stored
+from .scan import parted, running
+
 BOX = ["x", "y", "width", "height"]
+#: Boxes of a page, from which it is cut, and of a piece, from which a grid pays.
+PAGE, GRID = 2_000, 24
+#: Cuts: across the page, along it, and again.
+CUTS = ("y", "x", "y", "x")
+
+#: Works on lists of boxes [x, y, width, height], confidences and types, which it may change; gives the rows that stay, in order.
+Rule = Callable[[list, list, list], list]
+
+
+def pieces(blocks: DataFrame, margin: float, cuts: tuple[str, ...] = CUTS, most: int | None = None) -> DataFrame:
+    """Adds ``__piece`` (null on pages that are whole), such that boxes of different pieces lie more than ``margin`` apart."""
+    large = blocks.groupBy("page_id").agg(F.count("*").alias("n")).where(F.col("n") > (PAGE if most is None else most)).select(F.col("page_id").alias("__page"))
+    whole = blocks.withColumn("__piece", F.lit(None).cast("string"))
+    if large.isEmpty():
+        return whole
+    same = F.col("page_id").eqNullSafe(F.col("__page"))
+    cut = whole.join(large, same, "left_semi")
+    for axis in cuts:
+        side = F.greatest(F.lit(0.0), F.col({"x": "width", "y": "height"}[axis]))
+        cut = parted(cut, ["page_id", "__piece"], F.col(axis), F.col(axis) + side, margin, "__part")
+        cut = cut.withColumn("__piece", F.concat_ws("/", F.coalesce("__piece", F.lit("")), F.col("__part").cast("string"))).drop("__part")
+        # each cut reads its rows several times
+        cut = stored(cut)
+    return whole.join(large, same, "left_anti").unionByName(cut)
+
+
+def per_piece(blocks: DataFrame, order: list[str | Column], rule: Rule) -> DataFrame:
+    """Runs a rule on the boxes of each (page_id, __piece), in the given order; adds ``order``, the place among those that stay."""
+    schema = blocks.withColumn("order", F.lit(0)).schema
+    names = blocks.columns
+
+    def worked(rows: pa.Table) -> pa.RecordBatch:
+        column = lambda c, none: rows[c].to_pylist() if c in names else [none] * rows.num_rows
+        boxes = [list(b) for b in zip(*(rows[c].cast(pa.float64()).to_pylist() for c in BOX))]
+        conf, types, ends = column("confidence", 0.0), column("balloon_type", None), [*_ends(rows), rows.num_rows]
+        stay, places = [], []
+        for a, b in zip([0, *ends[:-1]], ends):
+            full = [k for k in range(a, b) if None not in boxes[k]]
+            part, c, t = [boxes[k] for k in full], [-1.0 if conf[k] is None else conf[k] for k in full], [types[k] for k in full]
+            kept = rule(part, c, t)
+            for k, *changed in zip(full, part, c, t):
+                boxes[k], conf[k], types[k] = changed[0], conf[k] if conf[k] is None and changed[1] < 0 else changed[1], changed[2]
+            kept = [full[k] for k in kept] + [k for k in range(a, b) if None in boxes[k]]
+            stay += kept
+            places += range(len(kept))
+        out = rows.take(stay)
+        changed = {c: [boxes[k][j] for k in stay] for j, c in enumerate(BOX)} | {"confidence": [conf[k] for k in stay], "balloon_type": [types[k] for k in stay]}
+        for c, v in changed.items():
+            if c in names:
+                out = out.set_column(names.index(c), c, pa.array(v, pa.float64() if c in BOX else None).cast(rows.schema.field(c).type))
+        return out.append_column("order", pa.array(places, pa.int32())).combine_chunks().to_batches() or []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if parts and _key(parts[-1], -1) != _key(b, 0):
+                yield from worked(pa.Table.from_batches(parts))
+                parts = []
+            ends = _ends(b)
+            if len(ends):
+                yield from worked(pa.Table.from_batches([*parts, b.slice(0, ends[-1])]))
+                b, parts = b.slice(ends[-1]), []
+            if b.num_rows:
+                parts.append(b)
+        if parts:
+            yield from worked(pa.Table.from_batches(parts))
 
+    return blocks.repartition("page_id", "__piece").sortWithinPartitions("page_id", "__piece", *order).mapInArrow(run, schema)
 
-def per_page(blocks: DataFrame, order: list[str | Column], rule: Callable[[np.ndarray, dict], list[int]], schema: str | None = None) -> DataFrame:
-    """Runs ``rule(boxes, columns)`` on the rows of each page_id, in the given order.
 
-    A rule may change boxes and columns in place, and returns the rows that stay, in order.
-    """
+def _key(b: pa.RecordBatch, at: int) -> tuple:
+    at = at % b.num_rows
+    return b["page_id"][at].as_py(), b["__piece"][at].as_py()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            ends = np.flatnonzero(b.page_id.to_numpy()[1:] != b.page_id.to_numpy()[:-1]) + 1
-            if len(ends):
-                yield _each(b.iloc[: ends[-1]], rule)
-                b = b.iloc[ends[-1] :].reset_index(drop=True)
-            rest = b
-        if rest is not None and len(rest):
-            yield _each(rest, rule)
-
-    columns = ", ".join(f"`{n}` {t}" for n, t in blocks.dtypes)
-    return blocks.repartition("page_id").sortWithinPartitions("page_id", *order).mapInPandas(run, schema or columns)
-
-
-def _each(rows: pd.DataFrame, rule) -> pd.DataFrame:
-    page = rows.page_id.to_numpy()
-    cuts = [0, *(np.flatnonzero(page[1:] != page[:-1]) + 1), len(page)]
-    boxes, own = rows[BOX].to_numpy(float), {c: rows[c].to_numpy().copy() for c in ("confidence", "balloon_type") if c in rows}
-    stay, extra = [], []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        kept = rule(boxes[a:b], {c: v[a:b] for c, v in own.items()})
-        stay += [a + k for k in kept]
-        extra += range(len(kept))
-    out = rows.assign(**own)
-    out[BOX] = boxes
-    out = out.iloc[stay]
-    return out.assign(order=np.array(extra, np.int32))
-
-
-def _shared(b: np.ndarray, others: np.ndarray) -> np.ndarray:
-    w = np.minimum(b[0] + b[2], others[:, 0] + others[:, 2]) - np.maximum(b[0], others[:, 0])
-    h = np.minimum(b[1] + b[3], others[:, 1] + others[:, 3]) - np.maximum(b[1], others[:, 1])
-    return np.maximum(0, w) * np.maximum(0, h)
-
-
-def _union(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float, float]:
+
+def _ends(rows) -> list[int]:
+    """Where a new page or piece begins."""
+    keys = list(zip(rows["page_id"].to_pylist(), rows["__piece"].to_pylist()))
+    return [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
+
+
+def _applied(blocks: DataFrame, order: list[str | Column], rule: Rule, margin: float) -> DataFrame:
+    return per_piece(pieces(blocks, margin), order, rule).drop("__piece", "order")
+
+
+class Near:
+    """Finds the boxes that may meet one, by the cells of a grid; of few boxes, all."""
+
+    def __init__(self, boxes: list, margin: float = 0.0):
+        self.margin, self.all = margin, range(len(boxes)) if len(boxes) < GRID else None
+        self.side = max(1.0, 2 * sum(b[2] + b[3] for b in boxes) / max(2 * len(boxes), 1) + margin)
+        self.cells: dict = defaultdict(list)
+
+    def span(self, b: list, margin: float = 0.0) -> tuple:
+        return tuple(int(v // self.side) for v in (b[0] - margin, b[0] + max(b[2], 0) + margin, b[1] - margin, b[1] + max(b[3], 0) + margin))
+
+    def over(self, b: list, old: tuple | None = None, margin: float = 0.0) -> Iterator[tuple]:
+        """The cells that a box covers, without those of a smaller span."""
+        x0, x1, y0, y1 = self.span(b, margin)
+        for y in range(y0, y1 + 1):
+            if old and old[2] <= y <= old[3]:
+                yield from ((x, y) for x in range(x0, old[0]))
+                yield from ((x, y) for x in range(old[1] + 1, x1 + 1))
+            else:
+                yield from ((x, y) for x in range(x0, x1 + 1))
+
+    def add(self, k: int, b: list, old: tuple | None = None) -> None:
+        if self.all is None:
+            for cell in self.over(b, old):
+                self.cells[cell].append(k)
+
+    def found(self, b: list, old: tuple | None = None) -> set:
+        return {k for cell in self.over(b, old, self.margin) if cell in self.cells for k in self.cells[cell]}
+
+
+def _shared(a: list, b: list) -> float:
+    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
+    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+    return w * h if w > 0 and h > 0 else 0.0
+
+
+def _union(a: list, b: list) -> list:
     x, y = min(a[0], b[0]), min(a[1], b[1])
-    return x, y, max(a[0] + a[2], b[0] + b[2]) - x, max(a[1] + a[3], b[1] + b[3]) - y
+    return [x, y, max(a[0] + a[2], b[0] + b[2]) - x, max(a[1] + a[3], b[1] + b[3]) - y]
 
 
 def first_wins(blocks: DataFrame, limit: float = 0.82) -> DataFrame:
-    """Drops a box whose intersection over union with a kept earlier one reaches ``limit``."""
+    """Drops a box whose intersection over union with a kept earlier one reaches ``limit`` (above 0)."""
 
-    def rule(boxes: np.ndarray, own) -> list[int]:
-        kept: list[int] = []
+    def rule(boxes: list, conf: list, types: list) -> list:
+        near, kept = Near(boxes), []
         for k, b in enumerate(boxes):
-            if kept:
-                o = boxes[kept]
-                s = _shared(b, o)
-                if (s / np.maximum(1, b[2] * b[3] + o[:, 2] * o[:, 3] - s) >= limit).any():
-                    continue
-            kept.append(k)
+            for j in kept if near.all else near.found(b):
+                s = _shared(b, boxes[j])
+                if s and s / max(1.0, b[2] * b[3] + boxes[j][2] * boxes[j][3] - s) >= limit:
+                    break
+            else:
+                kept.append(k)
+                near.add(k, b)
         return kept
 
-    return per_page(blocks, ["block_index", "block_id"], rule)
+    return _applied(blocks, ["block_index", "block_id"], rule, 0.0)
 
 
 def suppress(blocks: DataFrame, limit: float = 0.5) -> DataFrame:
@@ -88,91 +175,94 @@ def suppress(blocks: DataFrame, limit: float = 0.5) -> DataFrame:
     boxes are measured against the grown one.
     """
 
-    def rule(boxes: np.ndarray, own) -> list[int]:
-        types, conf, kept = own["balloon_type"], own["confidence"], []
+    def rule(boxes: list, conf: list, types: list) -> list:
+        near, kept, place = Near(boxes), [], {}
         for k, b in enumerate(boxes):
-            same = [j for j in kept if types[j] == types[k]]
-            if same:
-                o = boxes[same]
-                s = _shared(b, o)
-                mine, other = max(1.0, b[2] * b[3]), np.maximum(1, o[:, 2] * o[:, 3])
-                hit = (s / np.maximum(1, mine + other - s) > limit) | (s / np.minimum(mine, other) > 0.30)
-                if hit.any():
-                    j = same[int(np.argmax(hit))]
-                    a = boxes[j]
+            mine = max(1.0, b[2] * b[3])
+            for j in kept if near.all else sorted(near.found(b), key=place.__getitem__):
+                a = boxes[j]
+                if types[j] != types[k] or not (s := _shared(a, b)):
+                    continue
+                other = max(1.0, a[2] * a[3])
+                if s / max(1.0, mine + other - s) > limit or s / min(mine, other) > 0.30:
                     along = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
                     if types[k] in ("balloon", "bubble") and along / max(1e-9, min(a[2], b[2])) > 0.75 and min(conf[j], conf[k]) >= 0.25:
                         boxes[j] = _union(a, b)
-                    continue
-            kept.append(k)
+                        near.add(j, boxes[j], near.span(a))
+                    break
+            else:
+                place[k] = len(kept)
+                kept.append(k)
+                near.add(k, b)
         return kept
 
-    return per_page(blocks, [F.desc("confidence"), "block_index", "block_id"], rule)
+    return _applied(blocks, [F.desc("confidence"), "block_index", "block_id"], rule, 0.0)
 
 
-def _merged(blocks: DataFrame, meets) -> DataFrame:
-    def rule(boxes: np.ndarray, own) -> list[int]:
-        types, conf = own["balloon_type"], own["confidence"]
-        free, out = np.ones(len(boxes), bool), []
-        for k in range(len(boxes)):
-            if not free[k]:
+def _absorb(k: int, boxes: list, free: list, near: Near, meets, taken) -> None:
+    """Box k grows over free boxes that it meets, in their order, once through; again while it grows, if ``taken`` says so."""
+    waiting = set(near.all[k + 1 :]) if near.all else near.found(boxes[k])
+    again = True
+    while again:
+        heap, again, at = sorted(j for j in waiting if free[j]), False, -1
+        while heap:
+            j = heapq.heappop(heap)
+            if j <= at or not free[j]:
                 continue
-            free[k] = False
-            grown = True
-            while grown:
-                grown = False
-                for j in np.flatnonzero(free):
-                    if meets(boxes[k], boxes[j]):
-                        boxes[k] = _union(boxes[k], boxes[j])
-                        if conf[j] > conf[k]:
-                            conf[k], types[k] = conf[j], types[j]
-                        free[j], grown = False, True
-            out.append(k)
+            at = j
+            if meets(boxes[k], boxes[j]):
+                old = near.span(boxes[k], near.margin)
+                boxes[k] = _union(boxes[k], boxes[j])
+                free[j] = False
+                again = taken(k, j)
+                if not near.all:
+                    for n in near.found(boxes[k], old) - waiting:
+                        if free[n]:
+                            waiting.add(n)
+                            if n > j:
+                                heapq.heappush(heap, n)
+
+
+def _merged(blocks: DataFrame, meets, margin: float) -> DataFrame:
+    def rule(boxes: list, conf: list, types: list) -> list:
+        free, near, out = [True] * len(boxes), Near(boxes, margin), []
+        for k, b in enumerate(boxes):
+            near.add(k, b)
+
+        def taken(k: int, j: int) -> bool:
+            if conf[j] > conf[k]:
+                conf[k], types[k] = conf[j], types[j]
+            return True
+
+        for k in range(len(boxes)):
+            if free[k]:
+                free[k] = False
+                _absorb(k, boxes, free, near, meets, taken)
+                out.append(k)
         return out
 
-    return per_page(blocks, ["y", "x", "block_index", "block_id"], rule)
+    return _applied(blocks, ["y", "x", "block_index", "block_id"], rule, margin)
 
 
 def merge_near(blocks: DataFrame, distance: float = 20) -> DataFrame:
     """Absorbs boxes within ``distance`` of the growing hull on both axes, until none is left."""
 
-    def meets(a, b) -> bool:
-        gap_x = max(a[0], b[0]) - min(a[0] + a[2], b[0] + b[2])
-        gap_y = max(a[1], b[1]) - min(a[1] + a[3], b[1] + b[3])
-        return gap_x <= distance and gap_y <= distance
+    def meets(a: list, b: list) -> bool:
+        return max(a[0], b[0]) - min(a[0] + a[2], b[0] + b[2]) <= distance and max(a[1], b[1]) - min(a[1] + a[3], b[1] + b[3]) <= distance
 
-    return _merged(blocks, meets)
+    return _merged(blocks, meets, distance)
 
 
 def merge_overlapping(blocks: DataFrame, limit: float = 0.25) -> DataFrame:
     """As ``merge_near``, for boxes that share ``limit`` of the smaller one or of their union."""
     limit = max(0.25, limit)
 
-    def meets(a, b) -> bool:
-        s = float(_shared(a, b[None, :])[0])
+    def meets(a: list, b: list) -> bool:
+        s = _shared(a, b)
         mine, other = max(1.0, a[2] * a[3]), max(1.0, b[2] * b[3])
         return s / min(mine, other) >= limit or s / max(1.0, mine + other - s) >= limit
 
-    return _merged(blocks, meets)
-
-
-def row_clusters(blocks: DataFrame, near: float = 60, right_to_left: bool = True) -> DataFrame:
-    """Adds order, from 0: boxes by y join the first row whose running mean y is near."""
-
-    def rule(boxes: np.ndarray, own) -> list[int]:
-        rows: list[list[int]] = []
-        for k, y in enumerate(boxes[:, 1]):
-            for r in rows:
-                if abs(boxes[r, 1].mean() - y) <= near:
-                    r.append(k)
-                    break
-            else:
-                rows.append([k])
-        sign = -1 if right_to_left else 1
-        return [k for r in rows for k in sorted(r, key=lambda k: sign * boxes[k, 0])]
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in blocks.dtypes if n != "order") + ", `order` int"
-    return per_page(blocks.drop("order"), ["y", "x", "block_index", "block_id"], rule, schema)
+    return _merged(blocks, meets, 0.0)
 
 
 def merge_padded(blocks: DataFrame, margin: int = 35) -> DataFrame:
@@ -181,23 +271,60 @@ def merge_padded(blocks: DataFrame, margin: int = 35) -> DataFrame:
     In a pass a box grows over all later ones that it meets on the way.  Sides are whole numbers.
     """
 
-    def rule(boxes: np.ndarray, own) -> list[int]:
-        boxes[:] = np.trunc(boxes)
+    def meets(a: list, b: list) -> bool:
+        return all(max(0, a[d] - margin) <= b[d] + b[d + 2] + margin and max(0, b[d] - margin) <= a[d] + a[d + 2] + margin for d in (0, 1))
+
+    def rule(boxes: list, conf: list, types: list) -> list:
+        boxes[:] = [[float(int(v)) for v in b] for b in boxes]
         rows = list(range(len(boxes)))
         while True:
-            stay, free = [], dict.fromkeys(rows)
-            for k in rows:
-                if k not in free:
-                    continue
-                del free[k]
-                stay.append(k)
-                for j in [j for j in free if j > k]:
-                    a, b = boxes[k], boxes[j]
-                    if all(max(0, a[d] - margin) <= b[d] + b[d + 2] + margin and max(0, b[d] - margin) <= a[d] + a[d + 2] + margin for d in (0, 1)):
-                        boxes[k] = _union(a, b)
-                        del free[j]
+            now = [boxes[k] for k in rows]
+            # the clamp at zero only makes boxes meet less
+            free, near, stay = [True] * len(now), Near(now, 2 * margin), []
+            for k, b in enumerate(now):
+                near.add(k, b)
+            for k in range(len(now)):
+                if free[k]:
+                    free[k] = False
+                    _absorb(k, now, free, near, meets, lambda k, j: False)
+                    stay.append(k)
+            for k, b in zip(rows, now):
+                boxes[k] = b
             if len(stay) == len(rows):
-                return stay
-            rows = stay
+                return stay if rows == list(range(len(boxes))) else rows
+            rows = [rows[k] for k in stay]
 
-    return per_page(blocks, ["block_index", "block_id"], rule)
+    # whole numbers are up to one below
+    return _applied(blocks, ["block_index", "block_id"], rule, 2 * margin + 2)
+
+
+def row_clusters(blocks: DataFrame, near: float = 60, right_to_left: bool = True) -> DataFrame:
+    """Adds order, from 0: boxes by y join the first row whose running mean y is near.
+
+    A row's mean never lies below its last box, so a page is cut wherever the next y is more than ``near`` away.
+    """
+
+    def rule(boxes: list, conf: list, types: list) -> list:
+        rows, active = [], []
+        for k, b in enumerate(boxes):
+            # a row that has fallen behind is never joined again
+            active = [r for r in active if b[1] - r[0] / len(r[1]) <= near]
+            if active:
+                active[0][0] += b[1]
+                active[0][1].append(k)
+            else:
+                rows.append([b[1], [k]])
+                active.append(rows[-1])
+        sign = -1 if right_to_left else 1
+        return [k for _, r in rows for k in sorted(r, key=lambda k: sign * boxes[k][0])]
+
+    # heights do not matter: pieces are cut by y alone
+    flat = blocks.drop("order").withColumn("__height", F.col("height")).withColumn("height", F.lit(0.0))
+    cut = pieces(flat, near, ("y",)).withColumn("height", F.col("__height")).drop("__height")
+    done = per_piece(cut, ["y", "x", "block_index", "block_id"], rule)
+    large = done.where("__piece IS NOT NULL")
+    each = large.groupBy("page_id", "__piece").agg(F.count("*").alias("__n"), F.min("y").alias("__y"))
+    before = running(each, ["page_id"], F.floor(F.col("__y") / 1024), ["__y"], {"__before": ("sum", F.col("__n"))}, inclusive=False)
+    before = before.select(F.col("page_id").alias("__page"), F.col("__piece").alias("__name"), F.coalesce("__before", F.lit(0)).alias("__before"))
+    out = done.join(before, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("__piece") == F.col("__name")), "left")
+    return out.withColumn("order", (F.col("order") + F.coalesce("__before", F.lit(0))).cast("int")).drop("__page", "__name", "__before", "__piece")

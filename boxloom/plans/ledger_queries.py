@@ -68,13 +68,13 @@ def _calls(t):
     return t.v_events.select((F.col("job_id") % 4).alias("provider"), F.col("job_id").alias("key"), (at / 10_000).alias("at"), F.col("event_id").alias("seq"), outcome.alias("outcome"), F.when(F.col("event_id") % 11 == 0, 15.5).alias("custom"))
 
 
-_WALK = """WITH RECURSIVE c AS (SELECT job_id AS key, epoch_us(ts) / 1e6 / 10000 AS at, CASE WHEN kind = 'failed' THEN 'failed' WHEN kind = 'started' AND latency_ms > 90 THEN 'limited' WHEN kind = 'started' THEN 'failed' ELSE 'ok' END AS outcome,
+_WALK = """WITH RECURSIVE c AS (SELECT job_id AS key, epoch_us(ts) / 1e6 / 10000 AS s, CASE WHEN kind = 'failed' THEN 'failed' WHEN kind = 'started' AND latency_ms > 90 THEN 'limited' WHEN kind = 'started' THEN 'failed' ELSE 'ok' END AS outcome,
     CASE WHEN event_id % 11 = 0 THEN 15.5::DOUBLE END AS custom, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY job_id) AS total FROM v_events),
-  w AS (SELECT key, at, k, total, CASE WHEN outcome = 'ok' THEN 0 ELSE 1 END AS n, CASE WHEN outcome = 'limited' THEN at + coalesce(custom, 120) ELSE 0::DOUBLE END AS until FROM c WHERE k = 1
-    UNION ALL SELECT c.key, c.at, c.k, c.total, CASE WHEN outcome = 'ok' THEN 0 WHEN until > 0 AND c.at >= until THEN 1 ELSE n + 1 END,
-      CASE WHEN outcome = 'ok' THEN 0 WHEN outcome = 'limited' THEN c.at + coalesce(custom, 120) WHEN until > 0 AND c.at >= until THEN 0 WHEN n + 1 >= 3 THEN c.at + coalesce(custom, 60) ELSE until END
+  w AS (SELECT key, s, k, total, CASE WHEN outcome = 'ok' THEN 0 ELSE 1 END AS n, CASE WHEN outcome = 'limited' THEN s + coalesce(custom, 120) ELSE 0::DOUBLE END AS until FROM c WHERE k = 1
+    UNION ALL SELECT c.key, c.s, c.k, c.total, CASE WHEN outcome = 'ok' THEN 0 WHEN until > 0 AND c.s >= until THEN 1 ELSE n + 1 END,
+      CASE WHEN outcome = 'ok' THEN 0 WHEN outcome = 'limited' THEN c.s + coalesce(custom, 120) WHEN until > 0 AND c.s >= until THEN 0 WHEN n + 1 >= 3 THEN c.s + coalesce(custom, 60) ELSE until END
     FROM w JOIN c ON c.key = w.key AND c.k = w.k + 1)"""
-query("l5_key_states", f"{_WALK} SELECT key % 4 AS provider, key, n::BIGINT AS failures, until AS cooldown_until, at AS last_seen FROM w WHERE k = total")(lambda t: ledger.key_states(_calls(t)))
+query("l5_key_states", f"{_WALK} SELECT key % 4 AS provider, key, n::BIGINT AS failures, until AS cooldown_until, s AS last_seen FROM w WHERE k = total")(lambda t: ledger.key_states(_calls(t)))
 query("e16_pool_health", f"{_WALK} SELECT key % 4 AS provider, count(*) AS total, count(*) FILTER (until <= 170665.7) AS active, count(*) FILTER (until > 170665.7) AS cooling, count(*) FILTER (until <= 170665.7) = count(*) AS all_healthy FROM w WHERE k = total GROUP BY 1")(
     lambda t: ledger.pool_health(ledger.key_states(_calls(t)), 170665.7))
 query("l4_lost_spells", """WITH e AS (SELECT job_id, kind, ts, count(*) FILTER (kind = 'started') OVER w AS attempts, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS next FROM v_events WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
