@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import accounts, audit, benchmark, boxes, consolidate, corpus, lines, memory, planning
+from ..operators import accounts, audit, benchmark, boxes, corpus, lines, memory, planning
 from ..streaming import telemetry
-from . import exchange_queries, intake_queries, layout_queries, ledger_queries, style_queries  # noqa: F401  (they register their queries)
+from . import exchange_queries, greedy_queries, intake_queries, layout_queries, ledger_queries, style_queries  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, query, split_list  # noqa: F401
 
 
@@ -199,11 +199,6 @@ query("f16_pending", """WITH s AS (SELECT *, sum(CASE WHEN kind = 'started' THEN
 
 # --- grouped maps per page: no SQL form
 
-query("g1_suppress")(lambda t: consolidate.suppress(t.v_blocks.select("page_id", "block_id", "block_index", "balloon_type", "confidence", *boxes.BOX)))
-query("g2_merge_near")(lambda t: consolidate.merge_near(t.v_blocks.select("page_id", "block_id", "block_index", "balloon_type", "confidence", *boxes.BOX)))
-query("g3_merge_overlapping")(lambda t: consolidate.merge_overlapping(t.v_blocks.select("page_id", "block_id", "block_index", "balloon_type", "confidence", *boxes.BOX)))
-query("g5_first_wins")(lambda t: consolidate.first_wins(t.v_blocks.select("page_id", "block_id", "block_index", *boxes.BOX)))
-query("f3_row_clusters")(lambda t: consolidate.row_clusters(t.v_blocks.select("page_id", "block_id", "block_index", *boxes.BOX)))
 
 # --- sets
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import consolidate, intake, templates
+from ..operators import intake, templates
 from . import exchange_queries
 from .registry import query, split_list
 
@@ -111,7 +111,6 @@ query("k6_metadata", f"""WITH u AS (SELECT {_UPDATE} FROM v_blocks), m AS (SELEC
 query("c10_likeness")(lambda t: intake.match_by_likeness(_imported(t), _wordings(t)))
 query("c11_in_order")(lambda t: exchange_queries.found_in_order(t))
 query("d10_cuts")(lambda t: intake.cut_plan(t.v_pages, t.v_blocks, 1000, 400))
-query("g4_padded")(lambda t: consolidate.merge_padded(t.v_blocks))
 
 
 def _wordings(t):
