@@ -43,7 +43,7 @@ CLASSES = 1 << 16
 #: Latent states, rounds of Baum-Welch, and the weight of the corpus-wide distribution in a state's.
 STATES, ROUNDS, PRIOR = 6, 4, 500.0
 #: Tokens of a block, of a segment (at least), and of the segments that are worked on together.
-BLOCK, SEGMENT, GROUP = 1 << 21, 512, 1 << 20
+BLOCK, SEGMENT, GROUP = 1 << 20, 512, 1 << 19
 #: So many texts at least go on side by side without being cut.
 WIDE = 48
 
