@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import text_or_empty
 
-PAGES = 400
-EPOCHS = 4
+PAGES = 800
+EPOCHS = 6
 SEED = 11
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:(script|style|textarea)(?=[\s/>]).*?(?:</\1\s*>|\Z)"
+    r"<!---?>|<!--.*?(?:-->|--!>|\Z)|<(?:(script|style|textarea)(?=[\s/>]).*?(?:</\1\s*>|\Z)"
     # without an end tag the next ones are elements like others, but a select takes its options along
     r"|(template|svg(?![^<>]*/>))(?=[\s/>]).*?</\2\s*>|(noscript|iframe|select|title)(?=[\s/>])(?:(?!<\3\b).)*?</\3\s*>"
     r"|(select)(?=[\s/>])[^>]*>(?:[^<]|<(?=/?(?:option|optgroup)\b))*)"
@@ -42,7 +42,8 @@ _WORD = re.compile(r"[a-z]+")
 #: Elements that leave a head open.
 _HEAD = frozenset("html head title base basefont bgsound link meta noscript noframes template".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr output q rb rp rt rtc ruby s samp slot small span strike strong sub sup time tt u var wbr".split())
+_PLAIN = frozenset("html body div section p blockquote center h1 h2 h3 h4 h5 h6 li ul ol pre table tbody tr td th main article".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
@@ -123,6 +124,14 @@ def _above(chain) -> list[str]:
     f = {f"tag={t}" for t, _ in chain} | {f"name={w}" for _, n in chain if n for w in _WORD.findall(n)}
     if chain:
         f.add(f"leaf={chain[-1][0]}")
+    # the nearest name says most
+    if near := next((n for _, n in reversed(chain) if n), ""):
+        f |= {f"near={w}" for w in _WORD.findall(near)}
+    # page parts that say nothing of what they are
+    if not any(n for _, n in chain):
+        f.add("unnamed")
+        if all(t in _PLAIN for t, _ in chain):
+            f.add("plain")
     return sorted(f)
 
 
@@ -223,27 +232,34 @@ def labelled_page(rng: random.Random) -> tuple[str, set[str]]:
             inner = "".join(rng.choice(["<p>", "<div>", "<h3>", ""]) + _prose(rng, 2, 30) for _ in range(rng.randint(1, 3)))
         return wrap(tag, names, inner)
 
+    def plain(inner: str) -> str:
+        return f"<div>{inner}</div>" if rng.random() < 0.2 else inner
+
     def story() -> str:
         out = []
         for k in range(rng.randint(1, 14)):
-            tag = "h1" if not k and rng.random() < 0.8 else rng.choice(["p"] * 8 + ["h2", "blockquote", "li", "pre", "td"])
+            tag = "h1" if not k and rng.random() < 0.8 else rng.choice(["p"] * 8 + ["h2", "blockquote", "li", "pre", "td", "div"])
             text = _prose(rng, *((2, 10) if tag[0] == "h" else (1, 90)))
+            if tag == "p" and rng.random() < 0.03:
+                text = f"\u00a9 {rng.randint(1950, 2030)} {text}"
             wanted.add(text)
             inner = rng.choice([text, text, f"<b>{text}"])
             inner = f"<ul><li>{inner}</ul>" if tag == "li" else f"<table><tr><td>{inner}</table>" if tag == "td" else f"<{tag}>{inner}</{tag}>"
             out.append(inner)
-            if rng.random() < 0.06:
+            if rng.random() < 0.12:
                 out.append(junk(rng.choice(["advert", "share", "notice", "sidebar", "menu"])))
         if rng.random() < 0.15:
             out.append(junk(rng.choice(["comments", "share", "form"])))
         return "".join(out)
 
-    before = [junk(k) for k in ("notice", "header", "menu", "advert") if rng.random() < 0.55]
-    after = [junk(k) for k in ("comments", "form", "sidebar", "menu", "advert", "footer") if rng.random() < 0.5]
+    bare = rng.random() < 0.2
+    before = [] if bare else [plain(junk(k)) for k in ("notice", "header", "menu", "advert") if rng.random() < 0.55]
+    after = [] if bare else [plain(junk(k)) for k in ("comments", "form", "sidebar", "menu", "advert", "footer") if rng.random() < 0.5]
     rng.shuffle(before)
-    body = wrap(*rng.choice(CONTENT), story())
-    if rng.random() < 0.3:
-        body = wrap("div", rng.choice(["wrapper", "container", "page", "layout row"]), body + (after.pop(0) if after else ""))
+    kind = rng.random()
+    body = story() if kind < 0.12 else wrap("div", "", story()) if kind < 0.35 else wrap(*rng.choice(CONTENT), story())
+    for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+        body = wrap(rng.choice(["div", "div", "section"]), rng.choice(["", "", "wrapper", "container", "page", "layout row", "inner", "col"]), body + (after.pop(0) if after and rng.random() < 0.4 else ""))
     return f"<html><head><title>{_prose(rng, 2, 6)}</title></head><body>{''.join(before)}{body}{''.join(after)}</body></html>", wanted
 
 

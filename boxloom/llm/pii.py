@@ -86,10 +86,10 @@ def _anchors() -> ahocorasick.Automaton:
         a.add_word(d, ("d", 1))
     for words, kind in ((SCHEMES, "s"), (CUES, "c"), (SECRETS, "k"), (PASSWORDS, "p")):
         for w in words:
-            for form in {w, w.upper(), w.title(), w.capitalize()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(w.lower(), (kind, len(w)))
+    # these are found in small letters too, then compared as written
     for w in PREFIXES:
-        a.add_word(w, ("x", len(w)))
+        a.add_word(w.lower(), ("x", len(w)))
     a.make_automaton()
     return a
 
@@ -115,7 +115,10 @@ class Finder:
         out: dict[str, list[tuple[int, int]]] = {k: [] for k in BASE + ADDED}
         email_end = ip_end = run_end = digit_end = phone_end = url_end = iban_end = secret_end = 0
         size = len(text)
-        for last, (kind, length) in self.anchors.iter(text):
+        low = text.lower()
+        if len(low) != size:  # some capitals have two small letters
+            low = "".join(c if len(c.lower()) > 1 else c.lower() for c in text)
+        for last, (kind, length) in self.anchors.iter(low):
             at = last - length + 1
             if kind == "d":
                 if at >= digit_end:  # the first digit of a run of digits
@@ -155,7 +158,7 @@ class Finder:
             elif kind in "kpx":
                 # a cue may end a longer name, such as access_token; a prefix begins a word
                 m = None
-                if at >= secret_end and kind == "x" and (at == 0 or not text[at - 1].isalnum()):
+                if at >= secret_end and kind == "x" and text[at : last + 1] in PREFIXES and (at == 0 or not text[at - 1].isalnum()):
                     m = _TAIL.match(text, last + 1)
                 elif at >= secret_end and kind != "x" and (at == 0 or not text[at - 1].isalpha()):
                     m = _PASSWORD.match(text, last + 1) if kind == "p" else _SECRET.match(text, last + 1) or (_BEARER.match(text, last + 1) if text[at : last + 1].lower() == "bearer" else None)

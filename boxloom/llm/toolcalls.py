@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import checkpoint, join_nulls
 
-#: Turns, and levels, of one bucket, for positions within a conversation.
+#: Turns of one bucket, for positions within a conversation.
 BUCKET = 256
 #: What a variant's type may be for each type of a schema.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*"}
@@ -175,7 +175,7 @@ def ordered(messages: DataFrame) -> DataFrame:
     """Adds pos to messages (conv_id, turn, is_result, level, ready, fate): turns, but needs first."""
     late = F.col("fate").isNotNull()
     m = messages.withColumns({"__late": late, "__at": F.greatest("turn", "ready"), "__level": F.coalesce("level", F.lit(-1)), "__result": F.coalesce("is_result", F.lit(False))})
-    m = positions(m, "conv_id", ["__late", "__at", "__level", "__result", "turn"], [F.col("__late"), F.floor(F.col("__at") / BUCKET), F.floor(F.col("__level") / BUCKET)])
+    m = positions(m, "conv_id", ["__late", "__at", "__level", "__result", "turn"], [F.col("__late"), F.floor(F.col("__at") / BUCKET)])
     return m.drop("__late", "__at", "__level", "__result")
 
 
