@@ -103,13 +103,13 @@ def kept_wording(existing: Column, new: Column) -> Column:
 
 def dictionary(words: DataFrame) -> DataFrame:
     """word, letters: trimmed words of two letters or more, once each; readers order by letters, then word."""
-    return words.select(F.trim("word").alias("word")).where(F.length("word") >= 2).distinct().withColumn("letters", F.length("word"))
+    return words.select(strip(F.col("word")).alias("word")).where(F.length("word") >= 2).distinct().withColumn("letters", F.length("word"))
 
 
 def quota_reason(log: Column) -> Column:
     """Why a log line tells of a spent quota, or null."""
     told = F.regexp_like(log, F.lit("Individual quota reached|429 Too Many Requests|Quota exceeded|RESOURCE_EXHAUSTED"))
-    wait = F.trim(F.regexp_extract(log, r"(?i)Resets in\s+([^.\n]+)", 1))
+    wait = strip(F.regexp_extract(log, r"(?i)Resets in\s+([^.\n]+)", 1))
     reason = F.when(wait != "", F.concat(F.lit("Individual quota reached (Resets in "), wait, F.lit(")"))).when(F.contains(log, F.lit("429")), "HTTP 429 Rate Limit Exceeded").otherwise("Individual quota reached")
     return F.when(told, reason)
 

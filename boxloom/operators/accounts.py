@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from .scan import running
 
 
 def valid_uses(attempts: DataFrame) -> DataFrame:
-    """The uses of each code that count, in order: the code is not revoked, has not expired on that day,
-    and fewer uses than ``allowed`` came before.  Columns revoked, expires_on and allowed are the code's.
+    """The uses of each code that count, in order: the code is not revoked, has not expired at that moment,
+    and fewer uses than ``allowed`` came before (dates or timestamps; what ends at the moment of use has expired).  Columns revoked, expires_on and allowed are the code's.
     """
-    good = attempts.where(~F.coalesce("revoked", F.lit(False)) & (F.col("expires_on").isNull() | (F.col("expires_on") >= F.col("redeemed_on"))))
-    use = F.row_number().over(Window.partitionBy("code_id").orderBy("redeemed_on", "redemption_id"))
-    return good.withColumn("use", use).where("use <= allowed")
+    good = attempts.where(~F.coalesce("revoked", F.lit(False)) & (F.col("expires_on").isNull() | (F.col("expires_on") > F.col("redeemed_on"))))
+    used = running(good, ["code_id"], F.date_trunc("month", "redeemed_on"), ["redeemed_on", "redemption_id"], {"use": ("count", F.lit(1))})
+    return used.where("use <= allowed")
 
 
 def stacked_expiry(redemptions: DataFrame) -> DataFrame:
@@ -19,11 +21,11 @@ def stacked_expiry(redemptions: DataFrame) -> DataFrame:
 
     With S the running sum of days, E_t = S_t + max over i <= t of (day_i - S_(i-1)).
     """
-    w = Window.partitionBy("user_id").orderBy("redeemed_on", "redemption_id").rowsBetween(Window.unboundedPreceding, 0)
-    day = F.datediff("redeemed_on", F.lit("1970-01-01"))
-    r = redemptions.withColumn("sum", F.sum("duration_days").over(w)).withColumn("lead", day - (F.col("sum") - F.col("duration_days")))
-    expiry = F.col("sum") + F.max("lead").over(w)
-    return r.select("redemption_id", "user_id", F.date_add(F.lit("1970-01-01").cast("date"), expiry.cast("int")).alias("expires_on"))
+    at = [["user_id"], F.date_trunc("month", "redeemed_on"), ["redeemed_on", "redemption_id"]]
+    r = running(redemptions, *at, {"sum": ("sum", F.col("duration_days"))})
+    lead = F.datediff("redeemed_on", F.lit("1970-01-01")) - (F.col("sum") - F.col("duration_days"))
+    r = running(r, *at, {"best": ("max", lead)})
+    return r.select("redemption_id", "user_id", F.date_add(F.lit("1970-01-01").cast("date"), (F.col("sum") + F.col("best")).cast("int")).alias("expires_on"))
 
 
 def storage(assets: DataFrame, incoming: DataFrame | None = None, quota: int = 10 * 1024**3) -> DataFrame:
@@ -62,8 +64,9 @@ def first_per_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFram
     return rows.withColumn("__rank", rank).where((F.col("__rank") == 1) | nulls).drop("__rank")
 
 
-def sequenced(events: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return events.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+def sequenced(events: DataFrame, key: str, order: list[str], bucket: Column) -> DataFrame:
+    """Adds seq, from 0 within the key; ``bucket`` parts a key's rows and never falls in their order."""
+    return running(events, [key], bucket, order, {"seq": ("count", F.lit(1))}).withColumn("seq", F.col("seq") - 1)
 
 
 def counters(users: DataFrame, sessions: DataFrame, codes: DataFrame, now: str) -> DataFrame:

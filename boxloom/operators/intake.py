@@ -69,34 +69,67 @@ def checked_assets(files: DataFrame) -> DataFrame:
     return f.select("path", "media_type", "byte_size", F.sha2("content", 256).alias("sha256"), reason.alias("reason"))
 
 
+def _truth(v: Column) -> Column:
+    """Whether a JSON value is one that counts: not null, false, zero or empty."""
+    kind = F.schema_of_variant(v)
+    number = F.try_variant_get(v, "$", "double")
+    return (
+        F.when(v.isNull() | (kind == "VOID"), False).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(kind == "STRING", F.try_variant_get(v, "$", "string") != "")
+        .when(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), ~F.to_json(v).isin("{}", "[]")).otherwise(number != 0)
+    )
+
+
+#: What an answer says of a box besides its text and type, as JSON or as a value.
+SAID = ("color_hex", "stroke_color_hex", "stroke_width_px", "gradient_colors", "gradient", "drop_shadow", "outer_glow", "inner_shadow", "bold", "italic")
+
+
+def _said(item: Column) -> dict[str, Column]:
+    of = lambda key: F.try_variant_get(item, f"$.{key}", "variant")
+    either = lambda a, b: F.when(_truth(of(a)), of(a)).otherwise(of(b))
+    word = lambda v: F.try_variant_get(v, "$", "string")
+    record = lambda key: F.when(F.startswith(F.schema_of_variant(of(key)), F.lit("OBJECT")), F.to_json(of(key)))
+    return {
+        "color_hex": word(of("color_hex")), "stroke_color_hex": word(either("stroke_color_hex", "stroke_color")), "stroke_width_px": F.try_variant_get(either("stroke_width_px", "stroke_width"), "$", "double"),
+        "gradient_colors": F.when(F.schema_of_variant(of("gradient_colors")) != "VOID", F.to_json(of("gradient_colors"))), **{k: record(k) for k in ("gradient", "drop_shadow", "outer_glow", "inner_shadow")},
+        "bold": F.coalesce(_truth(of("bold")), F.lit(False)), "italic": F.coalesce(_truth(of("italic")), F.lit(False)),
+    }
+
+
 def matched_boxes(answers: DataFrame) -> DataFrame:
-    """answer_id, box_id, text, balloon_type: what answers of models say of the boxes that were asked for.
+    """answer_id, box_id, text, balloon_type and the fields of ``SAID``: what answers of models say of the boxes that were asked for.
 
-    ``answers`` has answer_id, raw and expected (the ids).  An answer is JSON, in whole or between fences, or else
-    lines of id and text; the first of these that gives a box counts.  Boxes are found by id and never by place:
-    the same id, an id within the other either way, or the first two parts of one; the smallest id of several.
-    The last item of a box counts.
+    ``answers`` has answer_id, raw and expected (the ids).  An answer is JSON (one item or a list), in whole or between
+    fences, or else lines of id and text; the first of these that gives a box counts.  Items that are no objects, or whose text
+    is none, are passed over.  Boxes are found by id and never by place: the same id, an id within the other either way, or
+    the first two parts of one; the smallest id of several.  The last item of a box counts.  Lines give text alone.
     """
-    item = "array<struct<box_id:string,id:string,text:string,ocr:string,balloon_type:string>>"
     raw = strip(F.col("raw"))
     fences = F.regexp_extract_all(raw, F.lit(r"(?is)```(?:json)?\s*(.*?)```"), F.lit(1))
-    tries = answers.select("answer_id", "expected", F.posexplode(F.concat(F.array(raw), fences)).alias("way", "body"))
-    items = tries.select("answer_id", "expected", "way", F.posexplode(F.from_json(strip(F.col("body")), item)).alias("at", "i"))
-    items = items.select("answer_id", "expected", "way", "at", F.coalesce(F.nullif("i.box_id", F.lit("")), "i.id").alias("named"), F.coalesce("i.text", "i.ocr").alias("text"), F.lower(F.coalesce(F.nullif("i.balloon_type", F.lit("")), F.lit("bubble"))).alias("balloon_type"))
+    tries = answers.select("answer_id", "expected", F.posexplode(F.concat(F.array(raw), fences)).alias("way", "body")).withColumn("v", F.try_parse_json(strip(F.col("body"))))
+    many = F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))
+    every = F.when(many, F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
+    items = tries.where("v is not null").select("answer_id", "expected", "way", F.posexplode(every).alias("at", "i")).where(F.startswith(F.schema_of_variant("i"), F.lit("OBJECT")))
+    of = lambda key: F.try_variant_get("i", f"$.{key}", "variant")
+    word = lambda v: F.try_variant_get(v, "$", "string")
+    text = F.coalesce(of("text"), of("ocr"))
+    items = items.where(F.schema_of_variant(text) == "STRING").select(
+        "answer_id", "expected", "way", "at", F.when(_truth(of("box_id")), word(of("box_id"))).otherwise(word(of("id"))).alias("named"), word(text).alias("text"),
+        F.lower(F.when(_truth(of("balloon_type")), word(of("balloon_type"))).otherwise("bubble")).alias("balloon_type"), *[c.alias(k) for k, c in _said(F.col("i")).items()],
+    )
     lines = answers.select("answer_id", "expected", F.lit(1 << 20).alias("way"), F.posexplode(F.split(raw, r"\r\n|\r|\n")).alias("at", "line"))
     form = r"(?i)(?:[a-z]+_BOX:|box_id\s*[:=]\s*)([A-Za-z0-9_-]+)\s*(?:\||\t|:|-)+\s*(.*)$"
     lines = lines.select("answer_id", "expected", "way", "at", F.regexp_extract("line", form, 1).alias("named"), F.regexp_replace(strip(F.regexp_extract("line", form, 2)), "^[`\"]+|[`\"]+$", "").alias("text"), F.lit("bubble").alias("balloon_type"))
-    every = items.unionByName(lines.where("named <> ''")).where(strip(F.col("text")) != "")
+    found = items.unionByName(lines.where("named <> ''"), allowMissingColumns=True).where(strip(F.col("text")) != "")
     name = F.upper(strip(F.regexp_replace(F.regexp_replace(strip(F.coalesce("named", F.lit(""))), "^[`\"']+|[`\"']+$", ""), "(?i)[a-z]+_BOX:", "")))
-    every = every.withColumn("name", name)
+    found = found.withColumn("name", name)
     ids = F.array_sort("expected")
     two = lambda x: F.array_join(F.slice(F.split(F.upper(x), "_"), 1, 2), "_")
     same = F.filter(ids, lambda x: F.upper(x) == F.col("name"))
     close = F.filter(ids, lambda x: F.contains(F.col("name"), F.upper(x)) | F.contains(F.upper(x), F.col("name")) | (F.contains(x, F.lit("_")) & F.contains(F.col("name"), two(x))))
-    found = every.withColumn("box_id", F.coalesce(F.get(same, F.lit(0)), F.get(close, F.lit(0)))).where("box_id is not null and name <> ''")
+    found = found.withColumn("box_id", F.coalesce(F.get(same, F.lit(0)), F.get(close, F.lit(0)))).where("box_id is not null and name <> ''")
     # an answer's first way that gives anything
     first = found.groupBy("answer_id").agg(F.min("way").alias("way"))
-    last = F.max_by(F.struct(strip(F.col("text")).alias("text"), "balloon_type"), "at")
+    last = F.max_by(F.struct(strip(F.col("text")).alias("text"), "balloon_type", *SAID), "at")
     return found.join(first, ["answer_id", "way"]).groupBy("answer_id", "box_id").agg(last.alias("r")).select("answer_id", "box_id", "r.*")
 
 

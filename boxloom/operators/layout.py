@@ -82,7 +82,7 @@ FAMILIES = {
 def font_style(blocks: DataFrame, script: str = "th") -> DataFrame:
     """Family, weight, slant, line height, spacing and size by kind of box; unknown kinds count as bubbles,
     other scripts as Thai where the text has Thai letters, else as Latin."""
-    kind = F.lower(F.trim(F.coalesce("balloon_type", F.lit("bubble"))))
+    kind = F.lower(strip(F.coalesce("balloon_type", F.lit("bubble"))))
     thai = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(THAI)) if script not in FAMILIES else F.lit(script == "th")
     used = F.lit(script) if script in FAMILIES else F.when(thai, "th").otherwise("en")
     families = F.create_map(*[F.lit(x) for s, own in FAMILIES.items() for k, f in own.items() for x in (f"{s}/{k}", f)])
@@ -202,25 +202,40 @@ def clamped_tile_labels(held: DataFrame, least: float = 15.0) -> DataFrame:
     )
 
 
-#: Fields of a typesetting spec that are compared within 0.01, exactly, and as colours.
-NEAR, EXACT, COLOURS = ("font_size", "line_height"), ("bold", "text_align"), ("color_hex",)
-
-
 def spec_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per block of either side: the names of the fields that differ, comma-joined; missing: ``block``.
 
-    Centres may be apart by 2 pixels or 1 % of the first spec's larger side.
+    Numbers may be 0.01 apart, centres 2 pixels or 1 % of the first spec's larger side.  Fields that a side has not got are null.
+    Null is false for ``bold`` and ``italic``, zero for tracking, stroke width and rotation, empty for the stroke's colour and
+    no line for ``explicit_lines``; colours are compared where both sides have one, font and line heights must be there.
     """
-    left, right = (d.select("block_id", F.struct(*[c for c in d.columns if c != "block_id"]).alias(n)) for d, n in ((a, "a"), (b, "b")))
-    bare = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "^#+", ""))
-    differs = [(f, F.coalesce(F.abs(F.col(f"a.{f}") - F.col(f"b.{f}")) > 0.01, F.lit(True))) for f in NEAR]
-    differs += [(f, ~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))) for f in EXACT]
-    differs += [(f, (bare(F.col(f"a.{f}")) != "") & (bare(F.col(f"b.{f}")) != "") & (bare(F.col(f"a.{f}")) != bare(F.col(f"b.{f}")))) for f in COLOURS]
+
+    def named(d: DataFrame, n: str) -> DataFrame:
+        has = lambda c: F.col(c) if c in d.columns else F.lit(None)
+        number = lambda c: F.coalesce(has(c).cast("double"), F.lit(0.0))
+        word = lambda c, other=None: F.coalesce(F.nullif(has(c).cast("string"), F.lit("")), has(other).cast("string") if other else F.lit(None).cast("string"))
+        lines = F.coalesce(has("explicit_lines").cast("array<string>"), F.array().cast("array<string>"))
+        exact = {
+            "explicit_lines": lines, "line_count": F.size(lines), "font_postscript": word("font_postscript_name", "resolved_postscript_name"), "bold": F.coalesce(has("bold").cast("boolean"), F.lit(False)), "italic": F.coalesce(has("italic").cast("boolean"), F.lit(False)),
+            "stroke_color": F.lower(F.coalesce(has("stroke_color").cast("string"), F.lit(""))), "text_align": word("text_align", "horizontal_align"), "vertical_align": has("vertical_align").cast("string"), "writing_direction": has("writing_direction").cast("string"),
+        }
+        close = {"font_size": has("font_size").cast("double"), "line_height": has("line_height").cast("double"), **{c: number(c) for c in ("tracking", "stroke_width", "rotation_deg")}}
+        colour = {"color_hex": F.lower(F.regexp_replace(F.coalesce(has("color_hex"), F.lit("")), "^#+", ""))}
+        place = {c: number(c) for c in ("x", "y", "width", "height")}
+        return d.select("block_id", F.struct(*[v.alias(k) for k, v in (exact | close | colour | place).items()]).alias(n))
+
+    both = named(a, "a").join(named(b, "b"), "block_id", "full")
+    far = lambda f: (f, F.coalesce(F.abs(F.col(f"a.{f}") - F.col(f"b.{f}")) > 0.01, F.lit(True)))
+    other = lambda f: (f, ~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")))
+    differs = [
+        *map(other, ("explicit_lines", "line_count", "font_postscript")), *map(far, ("font_size", "line_height", "tracking")), *map(other, ("bold", "italic")),
+        ("color_hex", (F.col("a.color_hex") != "") & (F.col("b.color_hex") != "") & (F.col("a.color_hex") != F.col("b.color_hex"))),
+        far("stroke_width"), *map(other, ("stroke_color", "text_align", "vertical_align", "writing_direction")), far("rotation_deg"),
+    ]
     apart = lambda at, side: F.abs((F.col(f"a.{at}") + F.col(f"a.{side}") / 2) - (F.col(f"b.{at}") + F.col(f"b.{side}") / 2))
     allowed = F.greatest(F.lit(2.0), F.greatest(F.col("a.width"), F.col("a.height"), F.lit(1.0)) * 0.01)
     differs.append(("center", (apart("x", "width") > allowed) | (apart("y", "height") > allowed)))
     names = F.array_join(F.filter(F.array(*[F.when(c, F.lit(f)) for f, c in differs]), lambda x: x.isNotNull()), ",")
-    both = left.join(right, "block_id", "full")
     return both.select("block_id", F.when(F.col("a").isNull() | F.col("b").isNull(), "block").otherwise(names).alias("mismatches"))
 
 #: Findings that a person has to look at.

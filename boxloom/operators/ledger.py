@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from .scan import running
+
 #: Why a user changed a layout.
 REASONS = ("accepted", "system_wrong", "user_preference", "suggested", "auto_applied", "defaulted", "needs_review")
 
@@ -95,8 +97,8 @@ def decision_counts(events: DataFrame) -> DataFrame:
 
 def ordered_events(events: DataFrame) -> DataFrame:
     """Each event of a job once, numbered in order; ``streaming.stateful.ordered_events`` is the form for streams."""
-    seq = F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "event_id")) - 1
-    return events.dropDuplicates(["job_id", "event_id"]).withColumn("seq", seq)
+    once = events.dropDuplicates(["job_id", "event_id"])
+    return running(once, ["job_id"], F.date_trunc("day", "ts"), ["ts", "event_id"], {"seq": ("count", F.lit(1))}).withColumn("seq", F.col("seq") - 1)
 
 
 def evidence_counts(found: DataFrame) -> DataFrame:

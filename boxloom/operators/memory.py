@@ -11,9 +11,9 @@ KEY = ("source_text", "source_language", "target_language")
 
 def merge(rows: DataFrame) -> DataFrame:
     """One entry per (trimmed source, languages): frequency, the last translation by seq, and the last
-    project that is given (``project_id``, if rows have it)."""
+    project that is given (``project_id``, if rows have it).  Null and empty languages are Japanese and Thai."""
     r = rows.where(~blank(F.col("source_text")) & ~blank(F.col("translation"))).withColumns({"source_text": strip(F.col("source_text")), "translation": strip(F.col("translation"))})
-    r = r.withColumns({"source_language": F.coalesce("source_language", F.lit("ja")), "target_language": F.coalesce("target_language", F.lit("th"))})
+    r = r.withColumns({"source_language": F.coalesce(F.nullif("source_language", F.lit("")), F.lit("ja")), "target_language": F.coalesce(F.nullif("target_language", F.lit("")), F.lit("th"))})
     project = [F.max_by("project_id", F.when(F.col("project_id").isNotNull(), F.struct("seq", "project_id"))).alias("project_id")] if "project_id" in rows.columns else []
     return r.groupBy(*KEY).agg(F.count("*").alias("frequency"), F.max_by("translation", F.struct("seq", "translation")).alias("translation"), F.max("seq").alias("last_seq"), *project)
 

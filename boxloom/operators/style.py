@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import luminance, saturation
+from ..functions.text import luminance, saturation, strip
 
 #: The roles in order, what each starts from, and which type of box speaks for which.
 BASE = {"dialogue": 0.35, "narration": 0.15, "emphasis": 0.10, "sfx": 0.10}
@@ -43,14 +43,14 @@ def judged(blocks: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     kind = F.lower(F.coalesce(F.nullif("detected_type", F.lit("")), F.nullif("balloon_type", F.lit("")), F.lit("bubble")))
     mapped = F.create_map(*[F.lit(x) for p in ROLE_OF.items() for x in p])[kind]
     seen = F.coalesce(F.col("detected_type") != "", F.lit(False))
-    loud, short = count(text, "[!！]"), F.length(F.trim(text)) <= 6
+    loud, short = count(text, "[!！]"), F.length(strip(text)) <= 6
     aspect = F.round(F.col("width") / F.greatest("height", F.lit(1.0)), 4)
     dark = F.coalesce((saturation(F.col("source_color")) > 0.45) & (luminance(F.col("source_color")) < 0.55), F.lit(False))
     light = F.coalesce(luminance(F.col("source_color")) > 0.85, F.lit(False)) & (short | (kind == "sfx"))
     several = loud >= 2
     outline = F.coalesce(F.col("source_stroke_width") > 0.5, F.lit(False))
     top = F.coalesce((F.col("page_height") > 0) & (F.round(F.col("y") / F.col("page_height"), 4) < 0.12), F.lit(False)) & (aspect > 1.8)
-    katakana = (count(source, r"[\u30A0-\u30FF]") >= 2) & (short | (F.length(F.trim(source)) <= 6))
+    katakana = (count(source, r"[\u30A0-\u30FF]") >= 2) & (short | (F.length(strip(source)) <= 6))
     fallback = F.coalesce(F.col("region_source") == "fallback_bbox", F.lit(False))
     vertical = F.startswith(F.lower(F.coalesce("text_direction", F.lit(""))), F.lit("vertical"))
     # condition, what it adds to which roles, its reason; in order

@@ -166,7 +166,7 @@ query("e13_counters", """SELECT (SELECT count(DISTINCT user_id) FROM v_redemptio
 query("e15_purge_totals", f"WITH {_GONE} SELECT count(*) AS purged, coalesce(sum(byte_size), 0)::BIGINT AS bytes FROM gone")(
     lambda t: accounts.purge_totals(t.v_stored, t.v_paths, t.v_results, "1996-06-15"))
 query("e18_reorder_summary", "SELECT count(DISTINCT page_id) AS pages, count(*) AS blocks FROM v_blocks")(lambda t: t.v_blocks.agg(F.countDistinct("page_id").alias("pages"), F.count("*").alias("blocks")))
-query("f10_valid_uses", "SELECT redemption_id, code_id, use FROM (SELECT *, row_number() OVER (PARTITION BY code_id ORDER BY redeemed_on, redemption_id) AS use FROM v_attempts WHERE NOT revoked AND (expires_on IS NULL OR expires_on >= redeemed_on)) WHERE use <= allowed")(
+query("f10_valid_uses", "SELECT redemption_id, code_id, use FROM (SELECT *, row_number() OVER (PARTITION BY code_id ORDER BY redeemed_on, redemption_id) AS use FROM v_attempts WHERE NOT revoked AND (expires_on IS NULL OR expires_on > redeemed_on)) WHERE use <= allowed")(
     lambda t: accounts.valid_uses(t.v_attempts).select("redemption_id", "code_id", "use"))
 query("f9_stacked_expiry", """WITH s AS (SELECT *, sum(duration_days) OVER (PARTITION BY user_id ORDER BY redeemed_on, redemption_id ROWS UNBOUNDED PRECEDING) AS s, redeemed_on - DATE '1970-01-01' AS d FROM v_redemptions)
   SELECT redemption_id, user_id, DATE '1970-01-01' + CAST(s + max(d - (s - duration_days)) OVER (PARTITION BY user_id ORDER BY redeemed_on, redemption_id ROWS UNBOUNDED PRECEDING) AS INT) AS expires_on FROM s""")(
@@ -187,9 +187,9 @@ query("f4_flow_lines", f"""WITH o AS (SELECT page_id, row_number() OVER (PARTITI
   SELECT page_id, from_order, round(cx, 1) AS x1, round(cy, 1) AS y1, round(nx, 1) AS x2, round(ny, 1) AS y2 FROM l WHERE nx IS NOT NULL""")(
     lambda t: boxes.flow_lines(boxes.scroll_order(t.v_blocks)))
 query("f6_bubble_numbers", "SELECT block_id, row_number() OVER (PARTITION BY project_id ORDER BY page_id, block_index, block_id) AS bubble FROM v_blocks JOIN v_pages USING (page_id)")(
-    lambda t: accounts.sequenced(t.placed, "project_id", ["page_id", "block_index", "block_id"]).select("block_id", (F.col("seq") + 1).alias("bubble")))
+    lambda t: accounts.sequenced(t.placed, "project_id", ["page_id", "block_index", "block_id"], F.col("page_id")).select("block_id", (F.col("seq") + 1).alias("bubble")))
 query("f7_event_sequence", "SELECT event_id, job_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) - 1 AS seq FROM v_events")(
-    lambda t: accounts.sequenced(t.v_events, "job_id", ["ts", "event_id"]).select("event_id", "job_id", "seq"))
+    lambda t: accounts.sequenced(t.v_events, "job_id", ["ts", "event_id"], F.date_trunc("day", "ts")).select("event_id", "job_id", "seq"))
 query("f8_first_per_key", "SELECT event_id, job_id, kind FROM v_events QUALIFY row_number() OVER (PARTITION BY job_id, kind ORDER BY ts, event_id) = 1")(
     lambda t: accounts.first_per_key(t.v_events, ["job_id", "kind"], ["ts", "event_id"]).select("event_id", "job_id", "kind"))
 query("f15_moving_latency", "SELECT event_id, job_id, round(avg(latency_ms) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS 49 PRECEDING), 6) AS mean FROM v_events WHERE kind = 'completed'")(

@@ -84,16 +84,23 @@ def _locked(t):
     return t.placed.selectExpr("project_id", *split_list(_LOCKED))
 
 
-query("c17_boxes", """SELECT page_id AS answer_id, concat('box_', block_index, '_', replace(block_id, '-', 'x')) AS box_id, concat('t ', balloon_type) AS text, CASE WHEN page_id % 3 = 0 THEN 'bubble' ELSE balloon_type END AS balloon_type FROM v_blocks""")(
+_IN_LIST = {
+    "color_hex": "'#a0'", "stroke_color_hex": "'red'", "stroke_width_px": "block_index * 1.5::DOUBLE", "gradient_colors": """'["#1","#2"]'""", "gradient": """'{"angle":90}'""", "drop_shadow": "NULL::VARCHAR", "outer_glow": "NULL::VARCHAR",
+    "inner_shadow": "NULL::VARCHAR", "bold": "block_index % 2 = 1", "italic": "page_id % 2 = 0",
+}
+query("c17_boxes", f"""SELECT page_id AS answer_id, concat('box_', block_index, '_', replace(block_id, '-', 'x')) AS box_id, concat('t ', balloon_type) AS text, CASE WHEN page_id % 3 = 0 THEN 'bubble' ELSE balloon_type END AS balloon_type,
+  {", ".join(f"CASE WHEN page_id % 3 <> 0 THEN {v} END AS {k}" for k, v in _IN_LIST.items())} FROM v_blocks""")(
     lambda t: intake.matched_boxes(_answers(t)))
 
 
 def _answers(t):
-    """For each page an answer: a list, a list between fences, or lines; ids with a mark in front, and in capitals."""
-    b = t.v_blocks.select("page_id", F.concat(F.lit("box_"), F.col("block_index").cast("string"), F.lit("_"), F.replace("block_id", F.lit("-"), F.lit("x"))).alias("box"), F.concat(F.lit("t "), "balloon_type").alias("text"), F.initcap("balloon_type").alias("balloon_type"))
-    item = F.struct(F.concat(F.lit("`SOME_BOX:"), F.upper("box"), F.lit("`")).alias("box_id"), "text", "balloon_type")
+    """For each page an answer: a list, a list between fences, or lines; ids with a mark in front, and in capitals.  Lists have odd items too."""
+    b = t.v_blocks.select("page_id", "block_index", F.concat(F.lit("box_"), F.col("block_index").cast("string"), F.lit("_"), F.replace("block_id", F.lit("-"), F.lit("x"))).alias("box"), F.concat(F.lit("t "), "balloon_type").alias("text"), F.initcap("balloon_type").alias("balloon_type"))
+    more = {"color_hex": F.lit("#a0"), "stroke_color_hex": F.lit(""), "stroke_color": F.lit("red"), "stroke_width_px": F.lit(0), "stroke_width": F.col("block_index") * F.lit(1.5), "gradient_colors": F.array(F.lit("#1"), F.lit("#2")), "gradient": F.struct(F.lit(90).alias("angle"))}
+    more |= {"drop_shadow": F.lit("none"), "bold": F.col("block_index") % 2, "italic": F.when(F.col("page_id") % 2 == 0, "no").otherwise("")}
+    item = F.struct(F.concat(F.lit("`SOME_BOX:"), F.upper("box"), F.lit("`")).alias("box_id"), "text", "balloon_type", *[v.alias(k) for k, v in more.items()])
     line = F.concat(F.lit("box_id: "), "box", F.lit(" | "), "text")
-    per = b.groupBy("page_id").agg(F.to_json(F.collect_list(item)).alias("list"), F.array_join(F.collect_list(line), "\n").alias("lines"), F.collect_set("box").alias("expected"))
+    per = b.groupBy("page_id").agg(F.regexp_replace(F.to_json(F.collect_list(item)), r"\]$", F.lit(', "note", 3, null, {"box_id": "x", "text": 5}]')).alias("list"), F.array_join(F.collect_list(line), "\n").alias("lines"), F.collect_set("box").alias("expected"))
     k = F.col("page_id") % 3
     raw = F.when(k == 0, F.concat(F.lit("Here they are:\n"), "lines")).when(k == 1, F.col("list")).otherwise(F.concat(F.lit("Sure!\n```json\n"), "list", F.lit("\n```")))
     return per.select(F.col("page_id").alias("answer_id"), raw.alias("raw"), "expected")

@@ -115,13 +115,27 @@ query("d9_manifest", f"WITH {_RECORDS} SELECT record_id, balloon_type, rivals, s
 query("d9_first", f"WITH {_RECORDS} SELECT record_id, split FROM m ORDER BY project_id, page_id, idx LIMIT 500")(lambda t: _records(t, 500).select("record_id", "split"))
 query("d9_counts", f"WITH {_RECORDS} SELECT 'split' AS kind, split AS value, count(*) AS records FROM m GROUP BY 2 UNION ALL SELECT 'type', balloon_type, count(*) FROM m GROUP BY 2")(lambda t: corpus.manifest_counts(_records(t)))
 
-_SPEC_A = "block_id, x, y, width, height, height / 3 AS font_size, CAST(1.25 AS DOUBLE) AS line_height, balloon_type = 'sfx' AS bold, CASE WHEN page_id % 2 = 0 THEN 'center' END AS text_align, CASE WHEN page_id % 3 > 0 THEN '#AABB0C' END AS color_hex"
-_SPEC_B = "block_id, x + block_index AS x, y, width, height, height / 3 + CAST(page_id % 4 AS DOUBLE) / 200 AS font_size, CAST(1.25 AS DOUBLE) AS line_height, page_id % 7 = 0 AS bold, CASE WHEN page_id % 4 = 0 THEN 'center' END AS text_align, CASE WHEN page_id % 5 = 0 THEN 'aabb0d' ELSE 'aabb0c' END AS color_hex"
+_SPEC_A = """block_id, x, y, width, height, height / 3 AS font_size, CAST(1.25 AS DOUBLE) AS line_height, CASE WHEN balloon_type = 'sfx' THEN true END AS bold, CASE WHEN page_id % 2 = 0 THEN 'center' END AS text_align,
+  CASE WHEN page_id % 3 > 0 THEN '#AABB0C' END AS color_hex, split(translation, ' ') AS explicit_lines, balloon_type AS resolved_postscript_name, CAST(0.005 AS DOUBLE) AS tracking, CASE WHEN page_id % 2 = 0 THEN false END AS italic,
+  CASE WHEN block_index % 2 = 0 THEN CAST(0.5 AS DOUBLE) END AS stroke_width, CASE WHEN page_id % 4 = 1 THEN '#FF0000' END AS stroke_color, CASE WHEN page_id % 4 = 2 THEN 'left' END AS horizontal_align, 'top' AS vertical_align, CASE WHEN page_id % 10 > 0 THEN 'ltr' END AS writing_direction"""
+_SPEC_B = """block_id, x + block_index AS x, y, width, height, height / 3 + CAST(page_id % 4 AS DOUBLE) / 200 AS font_size, CAST(1.25 AS DOUBLE) AS line_height, page_id % 7 = 0 AS bold, CASE WHEN page_id % 4 = 0 THEN 'center' ELSE '' END AS text_align,
+  CASE WHEN page_id % 5 = 0 THEN 'aabb0d' ELSE 'aabb0c' END AS color_hex, split(CASE WHEN page_id % 6 = 0 THEN concat(translation, ' x') WHEN page_id % 6 = 1 THEN concat(translation, 'x') ELSE translation END, ' ') AS explicit_lines,
+  CASE WHEN page_id % 5 = 1 THEN '' ELSE balloon_type END AS font_postscript_name, page_id % 9 = 0 AS italic, CAST(page_id % 2 AS DOUBLE) / 2 AS stroke_width, CASE WHEN page_id % 2 = 1 THEN '#ff0000' ELSE '' END AS stroke_color,
+  CASE WHEN page_id % 4 = 2 THEN 'center' END AS horizontal_align, CASE WHEN page_id % 8 = 0 THEN 'middle' ELSE 'top' END AS vertical_align, CASE WHEN page_id % 10 > 1 THEN 'ltr' END AS writing_direction, CASE WHEN page_id % 11 = 0 THEN CAST(2.5 AS DOUBLE) END AS rotation_deg"""
+_EXACT = {
+    "explicit_lines": ("a.explicit_lines", "b.explicit_lines"), "line_count": ("len(a.explicit_lines)", "len(b.explicit_lines)"), "font_postscript": ("nullif(a.resolved_postscript_name, '')", "nullif(b.font_postscript_name, '')"),
+    "bold": ("coalesce(a.bold, false)", "b.bold"), "italic": ("coalesce(a.italic, false)", "b.italic"), "stroke_color": ("lower(coalesce(a.stroke_color, ''))", "b.stroke_color"),
+    "text_align": ("coalesce(a.text_align, a.horizontal_align)", "coalesce(nullif(b.text_align, ''), b.horizontal_align)"), "vertical_align": ("a.vertical_align", "b.vertical_align"), "writing_direction": ("a.writing_direction", "b.writing_direction"),
+}
+_DIFFERS = {f: f"{x} IS DISTINCT FROM {y}" for f, (x, y) in _EXACT.items()} | {
+    "font_size": "abs(a.font_size - b.font_size) > 0.01::DOUBLE", "line_height": "abs(a.line_height - b.line_height) > 0.01", "tracking": "false", "color_hex": "lower(replace(a.color_hex, '#', '')) <> b.color_hex",
+    "stroke_width": "abs(coalesce(a.stroke_width, 0) - b.stroke_width) > 0.01", "rotation_deg": "b.rotation_deg IS NOT NULL",
+    "center": "greatest(abs(a.x + a.width / 2 - (b.x + b.width / 2)), abs(a.y + a.height / 2 - (b.y + b.height / 2))) > greatest(2, 0.01::DOUBLE * greatest(a.width, a.height, 1))",
+}
+_IN_TURN = ("explicit_lines", "line_count", "font_postscript", "font_size", "line_height", "tracking", "bold", "italic", "color_hex", "stroke_width", "stroke_color", "text_align", "vertical_align", "writing_direction", "rotation_deg", "center")
 query("c18_spec_differences", f"""WITH a AS (SELECT {_SPEC_A} FROM v_blocks WHERE block_index <> 3), b AS (SELECT {_SPEC_B} FROM v_blocks WHERE block_index <> 4)
-  SELECT coalesce(a.block_id, b.block_id) AS block_id, CASE WHEN a.block_id IS NULL OR b.block_id IS NULL THEN 'block' ELSE concat_ws(',', CASE WHEN abs(a.font_size - b.font_size) > 0.01::DOUBLE THEN 'font_size' END, CASE WHEN abs(a.line_height - b.line_height) > 0.01 THEN 'line_height' END,
-    CASE WHEN a.bold IS DISTINCT FROM b.bold THEN 'bold' END, CASE WHEN a.text_align IS DISTINCT FROM b.text_align THEN 'text_align' END, CASE WHEN lower(replace(a.color_hex, '#', '')) <> b.color_hex THEN 'color_hex' END,
-    CASE WHEN greatest(abs(a.x + a.width / 2 - (b.x + b.width / 2)), abs(a.y + a.height / 2 - (b.y + b.height / 2))) > greatest(2, 0.01::DOUBLE * greatest(a.width, a.height, 1)) THEN 'center' END) END AS mismatches FROM a FULL JOIN b ON a.block_id = b.block_id""")(
-    lambda t: layout.spec_differences(t.v_blocks.where("block_index <> 3").selectExpr(*split_list(_SPEC_A)), t.v_blocks.where("block_index <> 4").selectExpr(*split_list(_SPEC_B))))
+  SELECT coalesce(a.block_id, b.block_id) AS block_id, CASE WHEN a.block_id IS NULL OR b.block_id IS NULL THEN 'block' ELSE concat_ws(',', {", ".join(f"CASE WHEN {_DIFFERS[f]} THEN '{f}' END" for f in _IN_TURN)}) END AS mismatches FROM a FULL JOIN b ON a.block_id = b.block_id""")(
+    lambda t: layout.spec_differences(t.v_blocks.where("block_index <> 3").selectExpr(*map(str.strip, split_list(_SPEC_A))), t.v_blocks.where("block_index <> 4").selectExpr(*map(str.strip, split_list(_SPEC_B)))))
 
 # --- wording
 

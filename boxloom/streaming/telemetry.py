@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.scan import running
+
 LATE = "10 minutes"
 
 
@@ -42,18 +44,31 @@ def latest_state(events: DataFrame, now: str | None = None) -> DataFrame:
     return s.select("job_id", F.col("s.kind").alias("kind"), F.col("s.event_id").alias("event_id"), *cols)
 
 
+#: Completions of a job that a window holds besides those before them.
+STRETCH = 1024
+
+
 def moving_latency(events: DataFrame, n: int = 50) -> DataFrame:
-    """Mean of the last n completions of a job."""
-    w = Window.partitionBy("job_id").orderBy("ts", "event_id").rowsBetween(-(n - 1), 0)
-    return events.where("kind = 'completed'").select("event_id", "job_id", F.round(F.avg("latency_ms").over(w), 6).alias("mean"))
+    """Mean of the last n completions of a job.
+
+    A job's completions are numbered and cut in stretches; each stretch also gets the n - 1 before it.
+    """
+    done = events.where("kind = 'completed'").select("event_id", "job_id", "ts", "latency_ms")
+    done = running(done, ["job_id"], F.date_trunc("day", "ts"), ["ts", "event_id"], {"k": ("count", F.lit(1))})
+    stretch = max(STRETCH, n)
+    own = F.floor(F.col("k") / stretch)
+    both = F.when(F.col("k") % stretch > stretch - n, F.array(own, own + 1)).otherwise(F.array(own))
+    w = Window.partitionBy("job_id", "stretch").orderBy("k").rowsBetween(-(n - 1), 0)
+    e = done.withColumn("stretch", F.explode(both)).withColumn("mean", F.round(F.avg("latency_ms").over(w), 6))
+    return e.where(F.col("stretch") == own).select("event_id", "job_id", "mean")
 
 
 def pending(events: DataFrame) -> DataFrame:
     """Started less finished, never below zero: x_t = s_t - min(0, min over i <= t of s_i)."""
     step = F.when(F.col("kind") == "started", 1).when(F.col("kind").isin("completed", "failed"), -1).otherwise(0)
-    w = Window.partitionBy("job_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = events.withColumn("s", F.sum(step).over(w))
-    return e.select("event_id", "job_id", (F.col("s") - F.least(F.lit(0), F.min("s").over(w))).alias("pending"))
+    at = [["job_id"], F.date_trunc("day", "ts"), ["ts", "event_id"]]
+    e = running(running(events.select("event_id", "job_id", "ts", "kind"), *at, {"s": ("sum", step)}), *at, {"low": ("min", F.col("s"))})
+    return e.select("event_id", "job_id", (F.col("s") - F.least(F.lit(0), F.col("low"))).alias("pending"))
 
 
 def lost_workers(jobs: DataFrame, now: str, max_attempts: int = 3, silence: int = 45, lease: int = 60) -> DataFrame:

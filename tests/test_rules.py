@@ -5,7 +5,8 @@ from difflib import SequenceMatcher
 
 import pytest
 
-from boxloom.operators import benchmark, boxes, exchange, intake, layout, ledger, memory, style
+from boxloom.functions import text
+from boxloom.operators import accounts, benchmark, boxes, exchange, intake, layout, ledger, memory, style
 from boxloom.streaming import telemetry
 
 HINT = "[[SMART_BALLOON_SPATIAL shape=ellipse aspect=1.5 w=30 h=20 target_lines=2 max_lines=4]]"
@@ -181,3 +182,32 @@ def test_snapshot_files(spark, tmp_path):
     found = exchange.read_snapshot_files(spark, str(tmp_path / "*" / "training" / "balloons.json"))
     assert sorted((r.project_id, r.page_id, r.image) for r in found.collect()) == [("named", "p4", "d.png"), ("one", "p1", "a.png")]
     assert sorted((r.page_id, r.idx, r.x, r.height, r.balloon_type) for r in exchange.read_snapshot(found).collect()) == [("p1", 0, 1.0, 4.5, "sfx"), ("p4", 0, 1.0, 4.5, "sfx"), ("p4", 1, 1.0, 4.5, "sfx")]
+
+
+def test_answers_with_odd_items_and_looks(spark):
+    raw = '[{"box_id":"A_1","text":"x","bold":1,"italic":"no","stroke_color":"red","stroke_width":"2.5","gradient":{"angle":9},"drop_shadow":"none","gradient_colors":[]}, "note", null, 3, {"id":"b_2","text":null,"ocr":"lost"}, {"id":"b_2","text":5}, {"id":"c_3","ocr":" kept ","color_hex":"#1","bold":0,"balloon_type":""}]'
+    got = {r.box_id: r for r in intake.matched_boxes(spark.createDataFrame([(1, raw, ["a_1", "b_2", "c_3"])], "answer_id long, raw string, expected array<string>")).collect()}
+    assert set(got) == {"a_1", "c_3"}
+    a, c = got["a_1"], got["c_3"]
+    assert (a.text, a.balloon_type, a.bold, a.italic, a.stroke_color_hex, a.stroke_width_px, a.gradient, a.drop_shadow, a.gradient_colors) == ("x", "bubble", True, True, "red", 2.5, '{"angle":9}', None, "[]")
+    assert (c.text, c.color_hex, c.bold, c.balloon_type, c.gradient) == ("kept", "#1", False, "bubble", None)
+
+
+def test_specs_take_null_for_false_and_zero(spark):
+    a = spark.createDataFrame([("s", 12.0, 1.2, None, None, None, None), ("t", None, 1.2, True, ["a"], "#FF", "")], "block_id string, font_size double, line_height double, bold boolean, explicit_lines array<string>, stroke_color string, text_align string")
+    b = spark.createDataFrame([("s", 12.01, 1.2, False, [], "", 0.0, 0.0, None), ("t", None, 1.3, False, ["a", "b"], "#ff", 1.0, 0.5, "left")], "block_id string, font_size double, line_height double, bold boolean, explicit_lines array<string>, stroke_color string, stroke_width double, rotation_deg double, horizontal_align string")
+    got = {r.block_id: r.mismatches for r in layout.spec_differences(a, b).collect()}
+    assert got == {"s": "", "t": "explicit_lines,line_count,font_size,line_height,bold,stroke_width,text_align,rotation_deg"}
+
+
+def test_a_code_ends_at_its_moment(spark):
+    rows = [(k, 1, f"2024-05-01 {at}", "2024-05-01 12:00:00", 9, False) for k, at in enumerate(("11:59:59", "12:00:00", "12:00:01"))]
+    uses = spark.createDataFrame(rows, "redemption_id long, code_id long, redeemed_on string, expires_on string, allowed int, revoked boolean").selectExpr("redemption_id", "code_id", "CAST(redeemed_on AS TIMESTAMP) AS redeemed_on", "CAST(expires_on AS TIMESTAMP) AS expires_on", "allowed", "revoked")
+    assert [r.redemption_id for r in accounts.valid_uses(uses).collect()] == [0]
+
+
+def test_all_white_space_is_trimmed(spark):
+    words = spark.createDataFrame([("　ab\n",), ("\tc ",), ("ab",)], "word string")
+    assert [(r.word, r.letters) for r in text.dictionary(words).collect()] == [("ab", 2)]
+    entries = spark.createDataFrame([("a", "b", "", None, 1), ("a", "c", "ja", "", 2)], "source_text string, translation string, source_language string, target_language string, seq long")
+    assert [tuple(r)[:5] for r in memory.merge(entries).collect()] == [("a", "ja", "th", 2, "c")]
