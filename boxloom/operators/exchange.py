@@ -169,31 +169,6 @@ def read_labelled(lines: DataFrame) -> DataFrame:
     return per.select("file_id", "line_no", "block_id", "bubble", F.nullif("source", F.lit("")).alias("source"), text.alias("translation"), "layout")
 
 
-def resolved(records: DataFrame, blocks: DataFrame, strict: bool = False) -> DataFrame:
-    """Records with the block they are for, status (ok, warning, error, skip) and will_import.
-
-    A record names its block by block_id, else by source (the k-th record of a wording takes the
-    project's k-th block of that wording), else by bubble.  Of several records for one block the
-    first counts.  ``records`` has project_id, record_no, block_id, source, bubble, translation and
-    target; ``blocks`` has project_id, block_id, bubble, source_text.  A source that differs is a
-    warning, or with ``strict`` an error.
-    """
-    way = F.when(F.col("block_id").isNotNull(), "id").when(F.col("source").isNotNull(), "source").otherwise("bubble")
-    r = records.withColumns({"way": way, "norm": squeezed(F.col("source"))})
-    r = r.withColumn("k", F.row_number().over(Window.partitionBy("project_id", "way", "norm").orderBy("record_no")))
-    b = blocks.select("project_id", F.col("block_id").alias("found"), F.col("bubble").alias("at"), F.col("source_text").alias("now"), squeezed(F.col("source_text")).alias("now_norm"))
-    b = b.withColumn("now_k", F.row_number().over(Window.partitionBy("project_id", "now_norm").orderBy("at")))
-    named = r.withColumnRenamed("block_id", "asked")
-    # each way has a join of its own on equal keys, so that none turns into a search through a project
-    one = named.where("way = 'id'").join(b.withColumn("asked", F.col("found")), ["project_id", "asked"], "left")
-    two = named.where("way = 'source'").join(b.withColumnsRenamed({"now_k": "k"}).withColumn("norm", F.col("now_norm")), ["project_id", "norm", "k"], "left")
-    three = named.where("way = 'bubble'").join(b.withColumn("bubble", F.col("at")), ["project_id", "bubble"], "left")
-    cols = ["project_id", "record_no", "way", "norm", "translation", "target", "found", "at", "now_norm"]
-    every = one.select(cols).unionByName(two.select(cols)).unionByName(three.select(cols))
-    again = F.row_number().over(Window.partitionBy("project_id", F.coalesce("found", F.concat(F.lit("?"), F.col("record_no").cast("string")))).orderBy("record_no")) > 1
-    return judged_records(every.withColumn("again", again), strict)
-
-
 def judged_records(every: DataFrame, strict: bool = False) -> DataFrame:
     """Status and will_import of records with what they found.
 

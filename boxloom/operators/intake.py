@@ -231,9 +231,11 @@ def _wording(c: Column) -> Column:
 
 
 def resolved_in_order(records: DataFrame, blocks: DataFrame, strict: bool = False) -> DataFrame:
-    """``exchange.resolved``, but record by record in file order, and with likeness.
+    """Records with the block they are for, status (ok, warning, error, skip) and will_import, record by record in file order.
 
-    A wording goes to its first block that no earlier record took in any way, else to a free block that is much
+    A record names its block by block_id, else by source, else by bubble.  ``records`` has project_id, record_no, block_id,
+    source, bubble, translation and target; ``blocks`` has project_id, block_id, bubble, source_text.  A source that differs is
+    a warning, or with ``strict`` an error.  A wording goes to its first block that no earlier record took in any way, else to a free block that is much
     alike; a record without id and source means the block at its bubble, or at its own number.  As records of a
     project depend on each other, one task handles one project, with its blocks' texts.
     """

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import accounts, audit, benchmark, boxes, corpus, lines, memory, planning
-from ..streaming import telemetry
+from ..sources.shared import shared_folder
+from ..streaming import telemetry, upserts
 from . import exchange_queries, greedy_queries, intake_queries, layout_queries, ledger_queries, style_queries  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, query, split_list  # noqa: F401
 
@@ -152,6 +155,7 @@ query("e8_project_audit", f"""WITH {_PAGE} SELECT project_id, count(*) AS pages,
 _MERGED = "m AS (SELECT source_text, source_language, target_language, count(*) AS frequency, max_by(translation, seq) AS translation, max(seq) AS last_seq FROM v_tm GROUP BY ALL)"
 query("e9_memory_merge", f"WITH {_MERGED} SELECT * FROM m")(lambda t: memory.merge(t.v_tm))
 query("e9_memory_upsert", f"WITH {_MERGED} SELECT * FROM m")(lambda t: memory.upsert(memory.merge(t.v_tm.where("seq % 2 = 0")), t.v_tm.where("seq % 2 = 1")))
+query("l9_memory_batches", f"WITH {_MERGED} SELECT * FROM m")(lambda t: _in_batches(t.v_tm))
 query("e9_memory_project", """SELECT source_text, source_language, target_language, count(*) AS frequency, arg_max(translation, seq) AS translation, max(seq) AS last_seq, arg_max(p, seq) FILTER (p IS NOT NULL) AS project_id
   FROM (SELECT *, CASE WHEN seq % 3 = 1 THEN seq % 50 END AS p FROM v_tm) GROUP BY 1, 2, 3""")(
     lambda t: (lambda r: memory.upsert(memory.merge(r.where("seq <= 90")), r.where("seq > 90")))(t.v_tm.withColumn("project_id", F.when(F.col("seq") % 3 == 1, F.col("seq") % 50))))
@@ -279,3 +283,12 @@ query("m1_stage_plan", f"""WITH b AS (SELECT page_id, bool_or({_blank('source_te
     lambda t: planning.stage_plan(t.v_blocks, t.v_pages))
 query("m3_ocr_targets", f"SELECT page_id, block_id FROM (SELECT *, {_blank('source_text')} AS open, count(*) FILTER ({_blank('source_text')}) OVER (PARTITION BY page_id) AS n FROM v_blocks) WHERE n = 0 OR open")(
     lambda t: planning.ocr_targets(t.v_blocks))
+
+
+def _in_batches(rows):
+    """A memory that takes its rows in three batches, the second of them twice."""
+    path = f"{shared_folder(rows.sparkSession).rstrip('/')}/memory-{uuid.uuid4().hex}"
+    for version in (0, 1, 1, 2):
+        upserts.upsert_batch(rows.where(F.col("seq") % 3 == version), path, version)
+    found = upserts.read_memory(rows.sparkSession, path)
+    return rows.sparkSession.createDataFrame([], memory.merge(rows).schema) if found is None else found.select(memory.merge(rows).columns)

@@ -63,18 +63,20 @@ query("k1_labelled", f"WITH {_BUBBLE} SELECT project_id AS file_id, bubble * 10
 _RECORD = """project_id, CAST(bubble AS BIGINT) AS record_no, CASE bubble % 3 WHEN 0 THEN CASE WHEN bubble % 9 = 0 THEN 'gone' ELSE block_id END END AS block_id,
   CASE WHEN bubble % 3 = 1 THEN CASE WHEN bubble % 7 = 0 THEN 'else' ELSE nullif(trim(source_text), '') END WHEN bubble % 6 = 3 THEN 'other words' END AS source,
   CAST(CASE WHEN bubble % 11 = 0 THEN bubble - 1 WHEN bubble % 13 = 0 THEN 1000000 ELSE bubble END AS INT) AS bubble, CASE WHEN bubble % 5 = 0 THEN ' ' ELSE concat('ก ', translation) END AS translation, 'th' AS target"""
+# record by record: the blocks of a project as a list, and the places in it that were taken
 _FOUND = f"""{_BUBBLE}, r AS (SELECT *, CASE WHEN block_id IS NOT NULL THEN 'id' WHEN source IS NOT NULL THEN 'source' ELSE 'bubble' END AS way, replace(coalesce(source, ''), ' ', '') AS norm FROM (SELECT {_RECORD} FROM b)),
-  r2 AS (SELECT *, row_number() OVER (PARTITION BY project_id, way, norm ORDER BY record_no) AS k FROM r), b2 AS (SELECT project_id, block_id, bubble, replace(source_text, ' ', '') AS norm, row_number() OVER (PARTITION BY project_id, replace(source_text, ' ', '') ORDER BY bubble) AS k FROM b),
-  j AS (SELECT r2.project_id, record_no, way, r2.norm, translation, b2.block_id AS found, b2.bubble AS pos, b2.norm AS now_norm FROM r2 LEFT JOIN b2 ON r2.project_id = b2.project_id AND r2.block_id = b2.block_id WHERE way = 'id'
-    UNION ALL SELECT r2.project_id, record_no, way, r2.norm, translation, b2.block_id, b2.bubble, b2.norm FROM r2 LEFT JOIN b2 ON r2.project_id = b2.project_id AND r2.norm = b2.norm AND r2.k = b2.k WHERE way = 'source'
-    UNION ALL SELECT r2.project_id, record_no, way, r2.norm, translation, b2.block_id, b2.bubble, b2.norm FROM r2 LEFT JOIN b2 ON r2.project_id = b2.project_id AND r2.bubble = b2.bubble WHERE way = 'bubble'),
-  a AS (SELECT *, found IS NOT NULL AND row_number() OVER (PARTITION BY project_id, found ORDER BY record_no) > 1 AS again FROM j),
+  p AS (SELECT project_id, list(struct_pack(id := block_id, norm := replace(source_text, ' ', '')) ORDER BY bubble) AS own FROM b GROUP BY project_id),
+  w AS (SELECT project_id, own, 0::BIGINT AS k, [0::BIGINT] AS taken, 0::BIGINT AS pos, false AS again FROM p
+    UNION ALL SELECT project_id, own, record_no, list_append(taken, pos), pos, way <> 'source' AND pos > 0 AND list_contains(taken, pos)
+    FROM (SELECT w.project_id, own, taken, record_no, way, CASE way WHEN 'id' THEN coalesce(list_position(list_transform(own, lambda x: x.id), r.block_id), 0) WHEN 'bubble' THEN CASE WHEN r.bubble <= len(own) THEN r.bubble ELSE 0 END
+      ELSE coalesce(list_position(list_transform(own, lambda x, i: x.norm = r.norm AND NOT list_contains(taken, i)), true), 0) END::BIGINT AS pos FROM w JOIN r ON r.project_id = w.project_id AND r.record_no = w.k + 1)),
+  a AS (SELECT r.project_id, record_no, way, norm, translation, again, CASE WHEN pos > 0 THEN own[pos].id END AS found, CASE WHEN pos > 0 THEN pos END AS pos, CASE WHEN pos > 0 THEN own[pos].norm END AS now_norm FROM w JOIN r ON r.project_id = w.project_id AND r.record_no = w.k),
   found AS (SELECT project_id, record_no, found AS block_id, pos AS bubble, translation, CASE WHEN found IS NULL THEN CASE way WHEN 'source' THEN 'warning' ELSE 'error' END WHEN again THEN 'error' WHEN trim(translation) = '' THEN 'skip' WHEN norm <> '' AND norm <> now_norm THEN 'warning' ELSE 'ok' END AS status, found IS NOT NULL AND NOT again AND trim(translation) <> '' AS will_import FROM a)"""
 
 
 def _found(t):
     b = _numbered(t)
-    return exchange.resolved(b.selectExpr(*split_list(_RECORD)), b)
+    return intake.resolved_in_order(b.selectExpr(*split_list(_RECORD)), b)
 
 
 def found_in_order(t):
@@ -84,10 +86,10 @@ def found_in_order(t):
     return intake.resolved_in_order(b.selectExpr(*split_list(_RECORD)).withColumn("source", slips), b).drop("translation")
 
 
-query("c11_resolved", f"WITH {_FOUND} SELECT project_id, record_no, block_id, bubble, status, will_import FROM found")(lambda t: _found(t).drop("translation"))
-query("c11_summary", f"WITH {_FOUND} SELECT project_id, " + ", ".join(f"count(*) FILTER (status = '{k}') AS {k}" for k in ("ok", "warning", "error", "skip")) + ", count(*) AS total, count(*) FILTER (will_import) AS importable FROM found GROUP BY 1")(
+query("c11_resolved", f"WITH RECURSIVE {_FOUND} SELECT project_id, record_no, block_id, bubble, status, will_import FROM found")(lambda t: _found(t).drop("translation"))
+query("c11_summary", f"WITH RECURSIVE {_FOUND} SELECT project_id, " + ", ".join(f"count(*) FILTER (status = '{k}') AS {k}" for k in ("ok", "warning", "error", "skip")) + ", count(*) AS total, count(*) FILTER (will_import) AS importable FROM found GROUP BY 1")(
     lambda t: exchange.import_summary(_found(t)))
-query("k5_importable", f"WITH {_FOUND} SELECT project_id, block_id, translation FROM found ANTI JOIN (SELECT DISTINCT project_id FROM found WHERE status = 'error') USING (project_id) WHERE will_import")(
+query("k5_importable", f"WITH RECURSIVE {_FOUND} SELECT project_id, block_id, translation FROM found ANTI JOIN (SELECT DISTINCT project_id FROM found WHERE status = 'error') USING (project_id) WHERE will_import")(
     lambda t: exchange.importable(_found(t)).select("project_id", "block_id", "translation"))
 
 query("b17_cleared", "SELECT block_id, '' AS translation, CASE WHEN block_index % 2 = 0 THEN 'kept,layout_region' ELSE 'layout_region' END AS keys FROM v_blocks")(

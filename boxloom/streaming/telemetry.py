@@ -108,15 +108,3 @@ def first_use(events: DataFrame, key: str) -> DataFrame:
         return timed(events).dropDuplicatesWithinWatermark([key])
     first = F.row_number().over(Window.partitionBy(key).orderBy("ts", "event_id"))
     return events.withColumn("__k", first).where("__k = 1").drop("__k")
-
-
-def upsert_memory(rows: DataFrame, path: str, seq: str = "seq"):
-    """A streaming query that keeps a translation memory in versioned snapshots under ``path``."""
-    from ..operators import memory
-
-    def batch(df: DataFrame, version: int) -> None:
-        # batches are numbered from 0 without gaps, and a repeated batch overwrites its own snapshot
-        new = memory.upsert(df.sparkSession.read.parquet(f"{path}/v{version - 1}"), df) if version else memory.merge(df)
-        new.write.mode("overwrite").parquet(f"{path}/v{version}")
-
-    return rows.writeStream.foreachBatch(batch)

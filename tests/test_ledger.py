@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxloom.functions import text as tx
-from boxloom.operators import exchange, layout, ledger, memory
+from boxloom.operators import exchange, intake, layout, ledger, memory
 
 
 def plain_state(calls):
@@ -124,14 +124,14 @@ def test_records_find_their_blocks(spark):
         (1, 5, None, None, 3, " ", "th"), (1, 6, None, None, 9, "ก", None), (1, 7, "nope", None, None, "ก", "th"), (2, 1, "d", "other", None, "text", None),
     ]
     records = spark.createDataFrame(rows, "project_id int, record_no int, block_id string, source string, bubble int, translation string, target string")
-    found = exchange.resolved(records, blocks)
+    found = intake.resolved_in_order(records, blocks)
     got = {(r["project_id"], r["record_no"]): (r["block_id"], r["status"], r["will_import"]) for r in found.collect()}
     assert got == {
         (1, 1): ("a", "ok", True), (1, 2): ("b", "warning", False), (1, 3): (None, "warning", False), (1, 4): ("a", "error", False),
         (1, 5): ("c", "skip", False), (1, 6): (None, "error", False), (1, 7): (None, "error", False), (2, 1): ("d", "warning", True),
     }
     assert [r["block_id"] for r in exchange.importable(found).collect()] == ["d"]
-    assert exchange.importable(exchange.resolved(records, blocks, strict=True)).count() == 0
+    assert exchange.importable(intake.resolved_in_order(records, blocks, strict=True)).count() == 0
 
 
 def test_decision_counts_on_a_stream(spark, tmp_path):
@@ -155,3 +155,11 @@ def test_tag_map_replaces_templates_and_labels(spark):
     own = spark.createDataFrame([(1, "p", "calm", 0), (1, "z", "loud", 1), (2, "w", None, 0)], "project_id int, template_id string, label string, ord int")
     got = {tuple(r) for r in exchange.tag_map(builtin, own).collect()}
     assert got == {(1, "calm", "p"), (1, "loud", "z"), (2, "soft", "p"), (2, "loud", "q")}
+
+
+def test_a_block_that_an_id_took_is_not_found_again(spark):
+    blocks = spark.createDataFrame([(1, "a", 1, "same"), (1, "b", 2, "same")], "project_id long, block_id string, bubble int, source_text string")
+    records = spark.createDataFrame([(1, 1, "a", None, 1, "ก one", "th"), (1, 2, None, "same", 2, "ก two", "th")], "project_id long, record_no long, block_id string, source string, bubble int, translation string, target string")
+    found = intake.resolved_in_order(records, blocks)
+    assert [(r.block_id, r.status) for r in found.orderBy("record_no").collect()] == [("a", "ok"), ("b", "ok")]
+    assert exchange.importable(found).count() == 2
