@@ -121,7 +121,8 @@ def matched_boxes(answers: DataFrame) -> DataFrame:
     lines = lines.select("answer_id", "expected", "way", "at", F.regexp_extract("line", form, 1).alias("named"), F.regexp_replace(strip(F.regexp_extract("line", form, 2)), "^[`\"]+|[`\"]+$", "").alias("text"), F.lit("bubble").alias("balloon_type"))
     found = items.unionByName(lines.where("named <> ''"), allowMissingColumns=True).where(strip(F.col("text")) != "")
     name = F.upper(strip(F.regexp_replace(F.regexp_replace(strip(F.coalesce("named", F.lit(""))), "^[`\"']+|[`\"']+$", ""), "(?i)[a-z]+_BOX:", "")))
-    found = found.withColumn("name", name)
+    # exploded, so that it is made once and not for every id that it is compared with
+    found = found.withColumn("name", F.explode(F.array(name)))
     ids = F.array_sort("expected")
     two = lambda x: F.array_join(F.slice(F.split(F.upper(x), "_"), 1, 2), "_")
     same = F.filter(ids, lambda x: F.upper(x) == F.col("name"))

@@ -179,8 +179,8 @@ def test_null_sides_meet_nothing(spark):
 
 
 def test_large_page(spark):
-    """A page of 100,000 boxes in 5,000 heaps."""
-    df = spark.range(100_000).select(
+    """A page of 30,000 boxes in 5,000 heaps."""
+    df = spark.range(30_000).select(
         F.lit(1).cast("long").alias("page_id"), F.col("id").cast("string").alias("block_id"), F.col("id").cast("int").alias("block_index"), F.lit("bubble").alias("balloon_type"), F.lit(0.5).alias("confidence"),
         (F.col("id") % 50 * 100.0).alias("x"), (F.floor(F.col("id") % 5000 / 50) * 100.0 + F.floor(F.col("id") / 5000)).alias("y"), F.lit(50.0).alias("width"), F.lit(50.0).alias("height"))
     assert c.merge_near(df).count() == c.suppress(df).count() == 5000
