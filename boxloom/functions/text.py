@@ -14,7 +14,7 @@ def strip(c: Column) -> Column:
 
 
 def blank(c: Column) -> Column:
-    return strip(F.coalesce(c, F.lit(""))) == ""
+    return ~F.regexp_like(F.coalesce(c, F.lit("")), F.lit(r"[^\s\p{Z}]"))
 
 
 def squeezed(c: Column) -> Column:

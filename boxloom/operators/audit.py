@@ -18,15 +18,21 @@ LINE, LETTER, SIZE = 1.25, 0.55, 24.0
 TOLERANCE = 0.15
 
 
+def _measured(blocks: DataFrame) -> DataFrame:
+    """Adds the lengths of the translation's lines; exploded from an array of one, so that rules do not each make them again."""
+    lengths = F.filter(F.transform(F.split("translation", "\n"), lambda x: F.length(strip(x))), lambda n: n > 0)
+    return blocks.withColumn("__lengths", F.explode(F.array(lengths)))
+
+
 def overflow() -> Column:
-    """By which share the translation's lines are taller, or its longest line wider, than the box.
+    """By which share the translation's lines are taller, or its longest line wider, than the box; for blocks as ``_measured``.
 
     A smart side of more than 10 stands for the side of the box; null where there is no text or no box.
     """
     width = F.when(F.col("smart_width") > 10, F.col("smart_width")).otherwise(F.col("width"))
     height = F.when(F.col("smart_height") > 10, F.col("smart_height")).otherwise(F.col("height"))
     size = F.coalesce(F.nullif("font_size", F.lit(0.0)), F.lit(SIZE))
-    lengths = F.filter(F.transform(F.split("translation", "\n"), lambda x: F.length(strip(x))), lambda n: n > 0)
+    lengths = F.col("__lengths")
     over = F.greatest((F.array_max(lengths) * (size * LETTER) - width) / width, (F.size(lengths) * (size * LINE) - height) / height)
     return F.when((F.size(lengths) > 0) & (width > 0) & (height > 0), over)
 
@@ -47,7 +53,7 @@ def rules() -> list[tuple[Column, str, str, Column]]:
 def block_issues(blocks: DataFrame) -> DataFrame:
     """page_id, block_id, code, severity, detail of each broken rule."""
     found = F.array(*[F.when(r, F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"), d.alias("detail"))) for r, c, s, d in rules()])
-    return blocks.select("page_id", "block_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("page_id", "block_id", "i.*")
+    return _measured(blocks).select("page_id", "block_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("page_id", "block_id", "i.*")
 
 
 def _bare() -> Column:
@@ -68,7 +74,7 @@ def issues(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 def page_rollup(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Per page: blocks, issues by severity, is_clean.  Blocks are read and counted once."""
     level = lambda s: sum((F.count_if(F.coalesce(r, F.lit(False))) for r, _, severity, _ in rules() if severity == s), F.lit(0).cast("long"))
-    n = blocks.groupBy("page_id").agg(F.count("*").alias("blocks"), level("error").alias("errors"), level("warning").alias("w"), level("info").alias("infos"), F.bool_or(~blank(F.col("translation"))).alias("translated"))
+    n = _measured(blocks).groupBy("page_id").agg(F.count("*").alias("blocks"), level("error").alias("errors"), level("warning").alias("w"), level("info").alias("infos"), F.bool_or(~blank(F.col("translation"))).alias("translated"))
     out = pages.select("page_id", "project_id", _bare().alias("bare")).join(n, "page_id", "left").na.fill(0, ["blocks", "errors", "w", "infos"])
     warnings = F.col("w") + F.when(F.col("bare") & F.col("translated"), 1).otherwise(0)
     out = out.withColumn("warnings", warnings).withColumn("issues", F.col("errors") + F.col("warnings") + F.col("infos"))

@@ -117,7 +117,14 @@ query("k6_metadata", f"""WITH u AS (SELECT {_UPDATE} FROM v_blocks), m AS (SELEC
 # no SQL: order decides, or wordings are compared letter by letter
 query("c10_likeness")(lambda t: intake.match_by_likeness(_imported(t), _wordings(t)))
 query("c11_in_order")(lambda t: exchange_queries.found_in_order(t))
-query("d10_cuts")(lambda t: intake.cut_plan(t.v_pages, t.v_blocks, 1000, 400))
+# cut by cut: the nearest row outside all boxes is the target itself, an end of its window, or next to a box
+query("d10_cuts", """WITH RECURSIVE p AS (SELECT g.page_id, g.height, coalesce(list(struct_pack(lo := greatest(0, b.y::BIGINT - 30), hi := least(g.height, b.y::BIGINT + b.height::BIGINT + 30))) FILTER (b.y IS NOT NULL), []) AS boxes FROM v_pages g LEFT JOIN v_blocks b USING (page_id) GROUP BY ALL),
+  w AS (SELECT page_id, height, boxes, [0::BIGINT] AS cuts, 1000::BIGINT AS goal FROM p WHERE height > 1000
+    UNION ALL SELECT page_id, height, boxes, list_append(cuts, cut), cut + 1000 FROM (SELECT *, greatest(coalesce(near[1].c, goal), cuts[-1] + 400) AS cut
+      FROM (SELECT *, list_sort(list_transform(list_filter([goal, lo, hi - 1] || list_transform(boxes, lambda x: x.lo - 1) || list_transform(boxes, lambda x: x.hi),
+          lambda c: c >= lo AND c < hi AND len(list_filter(boxes, lambda x: x.lo <= c AND c < x.hi)) = 0), lambda c: {d: abs(c - goal), c: c})) AS near
+        FROM (SELECT *, greatest(100, goal - 250) AS lo, least(height - 100, goal + 250) AS hi FROM w WHERE goal < height - 400))))
+  SELECT page_id, CAST(list_append(cuts, height) AS INTEGER[]) AS cuts FROM w WHERE goal >= height - 400 UNION ALL SELECT page_id, CAST([0, height] AS INTEGER[]) FROM p WHERE height <= 1000""")(lambda t: intake.cut_plan(t.v_pages, t.v_blocks, 1000, 400))
 
 
 def _wordings(t):

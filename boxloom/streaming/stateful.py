@@ -124,14 +124,46 @@ class _Leases(InOrder):
         return iter(())
 
 
-def lost_workers(events: DataFrame, max_attempts: int = 3, silence: int = 45, lease: int = 60, late: str = LATE) -> DataFrame:
-    """Each time that a job in work is lost, with no further event needed: job_id, attempts, at, status.
+class _Watched(_Leases):
+    """Leases by the clock on the wall: events count from when they come in, and a timer needs no other event."""
 
-    A start and each heartbeat grant ``lease`` seconds by the events' clock; a timer at their end finds the job lost when
-    the watermark reaches it.  The batch form is ``telemetry.lost_spells``.
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.own)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = timerValues.getCurrentProcessingTimeInMs() * 1000
+        state = list(self.state.get() if self.state.exists() else self.new)
+        lost = list(self.due(key, state, now))
+        for r in sorted(rows, key=lambda r: (r.us, r.event_id)):
+            lost += self.event(key, state, now, r.event_id, r.kind)
+        self.state.update(tuple(state))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if state[1]:
+            self.handle.registerTimer(_ms(self.deadline(state)))
+        return iter(lost)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state = list(self.state.get())
+        yield from self.due(key, state, expiredTimerInfo.getExpiryTimeInMs() * 1000)
+        self.state.update(tuple(state))
+
+
+def lost_workers(events: DataFrame, max_attempts: int = 3, silence: int = 45, lease: int = 60, late: str = LATE, clock: str = "events") -> DataFrame:
+    """Each time that a job in work is lost: job_id, attempts, at, status.
+
+    A start and each heartbeat grant ``lease`` seconds.  By the events' clock, a timer at their end finds the job lost when
+    the watermark reaches it; the batch form is ``telemetry.lost_spells``.  With ``clock`` wall, leases count from when an event
+    comes in and end by the time of day, with no further event of any job; each new event of the job sets its timer anew.
     """
     job = events.schema["job_id"].dataType.simpleString()
-    out = _in_order(events, ["job_id"], _Leases(max_attempts, silence, lease), f"job_id {job}, attempts long, us long, status string", late)
+    schema = f"job_id {job}, attempts long, us long, status string"
+    if clock == "wall":
+        rows = events.select("job_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "kind")
+        out = rows.groupBy("job_id").transformWithState(_Watched(max_attempts, silence, lease), schema, "Append", "ProcessingTime")
+    else:
+        out = _in_order(events, ["job_id"], _Leases(max_attempts, silence, lease), schema, late)
     return out.select("job_id", "attempts", F.timestamp_micros("us").alias("at"), "status")
 
 

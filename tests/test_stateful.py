@@ -126,3 +126,20 @@ def test_key_states_on_a_stream(rocks):
     want = {k: (0, None) if until else (n, None) for _, k, n, until, _ in plain_pool(rows)}
     assert want and got == want
     assert any(r.cooldown_until for r in rocks.table("pool").collect())
+
+
+def test_lost_workers_by_the_clock_on_the_wall(rocks):
+    """One batch of events, then silence: the timer alone finds the lost job."""
+    folder = tempfile.mkdtemp(prefix="spark-stream-")
+    rows = rocks.createDataFrame([(1, 1, "submitted"), (1, 2, "started"), (2, 3, "started"), (2, 4, "completed")], "job_id long, event_id long, kind string").withColumn("ts", F.current_timestamp())
+    rows.coalesce(1).write.parquet(f"{folder}/in")
+    s = rocks.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    q = stateful.lost_workers(s, silence=1, lease=2, clock="wall").writeStream.format("memory").queryName("silent").option("checkpointLocation", f"{folder}/c").trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(60):
+            q.awaitTermination(1)
+            if rocks.table("silent").count():
+                break
+        assert [(r.job_id, r.attempts, r.status) for r in rocks.table("silent").collect()] == [(1, 1, "queued")]
+    finally:
+        q.stop()
