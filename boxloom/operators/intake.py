@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import squeezed, strip
@@ -164,7 +165,7 @@ def _most_alike(norm: str, texts: list[str], counts: list[Counter], free: np.nda
     best = second = (0.0, -1)
     matcher = SequenceMatcher(autojunk=False)
     matcher.set_seq2(norm)
-    for k in sorted(np.flatnonzero(free & (sizes > 0)).tolist(), key=lambda k: -bound[k]):
+    for k in sorted(np.flatnonzero(free & (sizes > 0) & (bound >= ALIKE - LEAD)).tolist(), key=lambda k: -bound[k]):
         if bound[k] < max(second[0], ALIKE - LEAD):
             break
         if 2 * sum((own & counts[k]).values()) / (n + sizes[k]) < max(second[0], ALIKE - LEAD):
@@ -184,25 +185,76 @@ class _Wordings:
     """A project's blocks in order, each of which is taken once."""
 
     def __init__(self, texts: list[str]):
-        self.texts, self.sizes, self.free = texts, np.array([len(t) for t in texts]), np.ones(len(texts), bool)
-        self.counts = [Counter(t) for t in texts]
+        self.texts, self.sizes, self.free = texts, np.array([len(t) for t in texts], int), np.ones(len(texts), bool)
+        self.counts: list[Counter] = []
+        # wordings that no free block is like; as free blocks only get fewer, none ever will be
+        self.unlike: set[str] = set()
         self.places: dict[str, list[int]] = {}
         for k in range(len(texts) - 1, -1, -1):
             self.places.setdefault(texts[k], []).append(k)
 
     def take(self, norm: str) -> tuple[int, float]:
         """The first free block of the wording, else the one that is most alike, and how much; -1 if there is none."""
-        if not norm:
+        if not norm or norm in self.unlike:
             return -1, 0.0
         same = self.places.get(norm, [])
         while same and not self.free[same[-1]]:
             same.pop()
-        k, ratio = (same[-1], 1.0) if same else _most_alike(norm, self.texts, self.counts, self.free, self.sizes)
+        if same:
+            k, ratio = same[-1], 1.0
+        else:
+            self.counts = self.counts or [Counter(t) for t in self.texts]
+            k, ratio = _most_alike(norm, self.texts, self.counts, self.free, self.sizes)
+            if ratio < ALIKE:
+                self.unlike.add(norm)
         if k >= 0:
             self.free[k] = False
         return k, ratio
 
 
+def _record_by_record(records: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Records with found, at and now_norm of the block that each is for, whether an earlier record took it (again), and ratio.
+
+    ``records`` has project_id, no, way (id, source or bubble), asked, bubble, norm and more; ``blocks`` project_id, found, at,
+    now_norm.  A task reads sorted rows, a project's blocks before its records, and holds the blocks of one project at a time.
+    """
+    rows = blocks.select("project_id", F.lit(False).alias("__record"), "found", "at", "now_norm").unionByName(records.withColumn("__record", F.lit(True)), allowMissingColumns=True)
+    rows = rows.repartition("project_id").sortWithinPartitions("project_id", "__record", F.asc_nulls_last("at"), F.asc_nulls_last("no"))
+    types, read = dict(rows.dtypes), ("project_id", "__record", "found", "at", "now_norm", "no", "way", "asked", "bubble", "norm")
+    kept, names = records.columns, ("found", "at", "now_norm", "again", "ratio")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project, words, ids, places, texts, by_id = None, None, [], [], [], {}
+        for batch in batches:
+            out = []
+            for p, is_record, i, at, text, no, way, asked, bubble, norm in zip(*[batch.column(c).to_pylist() for c in read], strict=True):
+                if p != project:
+                    project, words, ids, places, texts = p, None, [], [], []
+                if not is_record:
+                    ids.append(i), places.append(at), texts.append(text)
+                    continue
+                if words is None:
+                    words, by_id = _Wordings(texts), {}
+                    for k, i in enumerate(ids):
+                        by_id.setdefault(i, k)
+                again, ratio = False, None
+                if way == "source":
+                    k, ratio = words.take(norm)
+                else:
+                    number = bubble or no
+                    k = by_id.get(asked, -1) if way == "id" else number - 1 if 1 <= number <= len(ids) else -1
+                    if k >= 0:
+                        again = not words.free[k]
+                        words.free[k] = False
+                out.append((ids[k], places[k], texts[k], again, ratio) if k >= 0 else (None, None, None, again, ratio))
+            own = [batch.column(c).filter(batch.column("__record")) for c in kept]
+            kinds = [*[batch.schema.field(c).type for c in names[:3]], pa.bool_(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array([r[n] for r in out], t) for n, t in enumerate(kinds)]], [*kept, *names])
+
+    types |= {"again": "boolean", "ratio": "double"}
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in (*kept, *names)))
+
+
 def match_by_likeness(records: DataFrame, blocks: DataFrame) -> DataFrame:
     """project_id, record_id, block_id, ratio of the records that find a block.
 
@@ -211,20 +263,12 @@ def match_by_likeness(records: DataFrame, blocks: DataFrame) -> DataFrame:
     is used once, a project's records depend on each other: one task handles one project, with texts of its blocks.
     Both sides have project_id, source_text and seq; records record_id, blocks block_id.
     """
-
-    def one(r: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        r, b = r.sort_values("seq"), b.sort_values("seq")
-        words, out = _Wordings(b.norm.tolist()), []
-        for project, record, norm in zip(r.project_id, r.record_id, r.norm, strict=True):
-            k, ratio = words.take(norm)
-            if k >= 0:
-                out.append((project, record, b.block_id.iloc[k], ratio))
-        return pd.DataFrame(out, columns=["project_id", "record_id", "block_id", "ratio"])
-
-    side = lambda df, name: df.select(F.col("project_id").alias("project_id"), name, "seq", _wording(F.col("source_text")).alias("norm"))
-    types = {**dict(records.dtypes), **dict(blocks.select("block_id").dtypes)}
-    schema = f"project_id {types['project_id']}, record_id {types['record_id']}, block_id {types['block_id']}, ratio double"
-    return side(records, "record_id").groupBy("project_id").cogroup(side(blocks, "block_id").groupBy("project_id")).applyInPandas(one, schema)
+    none = F.lit(None)
+    norm = _wording(F.col("source_text"))
+    # an alias makes a column of its own, where both sides come from one table
+    b = blocks.select(F.col("project_id").alias("project_id"), F.col("block_id").alias("found"), F.col("seq").alias("at"), norm.alias("now_norm"))
+    r = records.select("project_id", "record_id", F.col("seq").alias("no"), F.lit("source").alias("way"), none.cast("string").alias("asked"), none.cast("int").alias("bubble"), norm.alias("norm"))
+    return _record_by_record(r, b).where("now_norm is not null").select("project_id", "record_id", F.col("found").alias("block_id"), "ratio")
 
 
 def _wording(c: Column) -> Column:
@@ -240,36 +284,11 @@ def resolved_in_order(records: DataFrame, blocks: DataFrame, strict: bool = Fals
     alike; a record without id and source means the block at its bubble, or at its own number.  As records of a
     project depend on each other, one task handles one project, with its blocks' texts.
     """
-
-    def one(r: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        r, b = r.sort_values("record_no"), b.sort_values("at")
-        words, ids, by_id = _Wordings(b.now_norm.tolist()), b.found.tolist(), {}
-        for k, i in enumerate(ids):
-            by_id.setdefault(i, k)
-        out = []
-        for project, record, asked, source, bubble, norm in zip(r.project_id, r.record_no, r.asked, r.source, r.bubble, r.norm, strict=True):
-            again = False
-            if asked is not None or not source:
-                number = record if pd.isna(bubble) or not bubble else int(bubble)
-                k = by_id.get(asked, -1) if asked is not None else number - 1 if 1 <= number <= len(ids) else -1
-                again = k >= 0 and not words.free[k]
-                if k >= 0:
-                    words.free[k] = False
-            else:
-                k, _ = words.take(norm)
-            out.append((project, record, ids[k] if k >= 0 else None, again))
-        return pd.DataFrame(out, columns=["project_id", "record_no", "found", "again"])
-
-    types = {**dict(records.dtypes), **dict(blocks.select("block_id").dtypes)}
-    schema = f"project_id {types['project_id']}, record_no {types['record_no']}, found {types['block_id']}, again boolean"
-    r = records.withColumnRenamed("block_id", "asked").withColumn("norm", F.coalesce(_wording(F.col("source")), F.lit("")))
-    # an alias makes a column of its own, where both sides come from one table
+    way = F.when(F.col("block_id").isNotNull(), "id").when(F.coalesce("source", F.lit("")) != "", "source").otherwise("bubble")
+    norm = F.coalesce(_wording(F.col("source")), F.lit(""))
+    r = records.where("project_id is not null and record_no is not null").select("project_id", F.col("record_no").alias("no"), way.alias("way"), F.col("block_id").alias("asked"), "bubble", norm.alias("norm"), "translation", "target")
     b = blocks.select(F.col("project_id").alias("project_id"), F.col("block_id").alias("found"), F.col("bubble").alias("at"), F.coalesce(_wording(F.col("source_text")), F.lit("")).alias("now_norm"))
-    asked = r.select("project_id", "record_no", "asked", "source", "bubble", "norm").groupBy("project_id")
-    took = asked.cogroup(b.groupBy("project_id")).applyInPandas(one, schema)
-    way = F.when(F.col("asked").isNotNull(), "id").when(F.coalesce("source", F.lit("")) != "", "source").otherwise("bubble")
-    every = r.withColumn("way", way).drop("bubble").join(took, ["project_id", "record_no"]).join(b, ["project_id", "found"], "left")
-    return judged_records(every, strict)
+    return judged_records(_record_by_record(r, b).withColumnRenamed("no", "record_no"), strict)
 
 
 #: Pixels kept around a box, and from the ends of a page; the smallest chunk.
