@@ -187,9 +187,10 @@ def judged_records(every: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def importable(found: DataFrame) -> DataFrame:
-    """The records to import: none of a project with any error."""
-    bad = found.where("status = 'error'").select("project_id").distinct()
-    return found.where("will_import").join(bad, "project_id", "left_anti")
+    """The records to import: none of a project with any error.  The records are made once; only what can decide is brought together."""
+    kept = found.where("will_import or status = 'error'")
+    bad = F.bool_or(F.col("status") == "error").over(Window.partitionBy("project_id"))
+    return kept.withColumn("__bad", bad).where("will_import and (project_id is null or not __bad)").drop("__bad")
 
 
 def import_summary(found: DataFrame) -> DataFrame:

@@ -163,3 +163,12 @@ def test_a_block_that_an_id_took_is_not_found_again(spark):
     found = intake.resolved_in_order(records, blocks)
     assert [(r.block_id, r.status) for r in found.orderBy("record_no").collect()] == [("a", "ok"), ("b", "ok")]
     assert exchange.importable(found).count() == 2
+
+
+def test_records_are_matched_once_and_many_projects_share_a_call(spark):
+    blocks = spark.createDataFrame([(p, f"b{p}-{k}", k, f"text {p} {k}") for p in range(30) for k in (1, 2, 3)], "project_id long, block_id string, bubble int, source_text string")
+    records = blocks.selectExpr("project_id", "CAST(bubble AS BIGINT) AS record_no", "CASE WHEN project_id % 3 = 0 AND bubble = 2 THEN 'gone' END AS block_id", "source_text AS source", "bubble", "'ก' AS translation", "'th' AS target")
+    goes = exchange.importable(intake.resolved_in_order(records, blocks))
+    plan = goes._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and plan.count("MapInArrow") == 1
+    assert sorted((r.project_id, r.block_id) for r in goes.collect()) == sorted((p, f"b{p}-{k}") for p in range(30) if p % 3 for k in (1, 2, 3))
