@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import squeezed, strip
 from .exchange import SEMANTIC_KEYS, judged_records
@@ -72,27 +72,23 @@ def checked_assets(files: DataFrame) -> DataFrame:
 
 def _truth(v: Column) -> Column:
     """Whether a JSON value is one that counts: not null, false, zero or empty."""
-    kind = F.schema_of_variant(v)
-    number = F.try_variant_get(v, "$", "double")
-    return (
-        F.when(v.isNull() | (kind == "VOID"), False).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(kind == "STRING", F.try_variant_get(v, "$", "string") != "")
-        .when(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), ~F.to_json(v).isin("{}", "[]")).otherwise(number != 0)
-    )
+    return F.coalesce(~F.regexp_like(F.to_json(v), F.lit(r'^(?:null|false|""|\{\}|\[\]|-?0+(?:\.0*)?(?:[eE][-+]?[0-9]+)?)$')), F.lit(False))
 
 
 #: What an answer says of a box besides its text and type, as JSON or as a value.
 SAID = ("color_hex", "stroke_color_hex", "stroke_width_px", "gradient_colors", "gradient", "drop_shadow", "outer_glow", "inner_shadow", "bold", "italic")
+#: The keys of an item that are read.
+_ITEM = ("box_id", "id", "text", "ocr", "balloon_type", "stroke_color", "stroke_width", *SAID)
 
 
 def _said(item: Column) -> dict[str, Column]:
-    of = lambda key: F.try_variant_get(item, f"$.{key}", "variant")
-    either = lambda a, b: F.when(_truth(of(a)), of(a)).otherwise(of(b))
+    either = lambda a, b: F.when(_truth(item[a]), item[a]).otherwise(item[b])
     word = lambda v: F.try_variant_get(v, "$", "string")
-    record = lambda key: F.when(F.startswith(F.schema_of_variant(of(key)), F.lit("OBJECT")), F.to_json(of(key)))
+    record = lambda j: F.when(F.startswith(j, F.lit("{")), j)
     return {
-        "color_hex": word(of("color_hex")), "stroke_color_hex": word(either("stroke_color_hex", "stroke_color")), "stroke_width_px": F.try_variant_get(either("stroke_width_px", "stroke_width"), "$", "double"),
-        "gradient_colors": F.when(F.schema_of_variant(of("gradient_colors")) != "VOID", F.to_json(of("gradient_colors"))), **{k: record(k) for k in ("gradient", "drop_shadow", "outer_glow", "inner_shadow")},
-        "bold": F.coalesce(_truth(of("bold")), F.lit(False)), "italic": F.coalesce(_truth(of("italic")), F.lit(False)),
+        "color_hex": word(item["color_hex"]), "stroke_color_hex": word(either("stroke_color_hex", "stroke_color")), "stroke_width_px": F.try_variant_get(either("stroke_width_px", "stroke_width"), "$", "double"),
+        "gradient_colors": F.nullif(F.to_json(item["gradient_colors"]), F.lit("null")), **{k: record(F.to_json(item[k])) for k in ("gradient", "drop_shadow", "outer_glow", "inner_shadow")},
+        "bold": _truth(item["bold"]), "italic": _truth(item["italic"]),
     }
 
 
@@ -104,35 +100,46 @@ def matched_boxes(answers: DataFrame) -> DataFrame:
     is none, are passed over.  Boxes are found by id and never by place: the same id, an id within the other either way, or
     the first two parts of one; the smallest id of several.  The last item of a box counts.  Lines give text alone.
     """
-    raw = strip(F.col("raw"))
-    fences = F.regexp_extract_all(raw, F.lit(r"(?is)```(?:json)?\s*(.*?)```"), F.lit(1))
-    tries = answers.select("answer_id", "expected", F.posexplode(F.concat(F.array(raw), fences)).alias("way", "body")).withColumn("v", F.try_parse_json(strip(F.col("body"))))
-    many = F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))
-    every = F.when(many, F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
-    items = tries.where("v is not null").select("answer_id", "expected", "way", F.posexplode(every).alias("at", "i")).where(F.startswith(F.schema_of_variant("i"), F.lit("OBJECT")))
-    of = lambda key: F.try_variant_get("i", f"$.{key}", "variant")
+    # by answer, as its boxes are brought together below; answers are small beside the work on them, so partitions are not merged
+    parts = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    answers = answers.where("answer_id is not null").repartition(parts, "answer_id").select("answer_id", "expected", strip(F.col("raw")).alias("raw"))
+    fences = F.regexp_extract_all("raw", F.lit(r"(?s)```(?i:json)?\s*(.*?)```"), F.lit(1))
+    # the last way is that by lines
+    bodies = F.concat(F.array("raw"), fences, F.array("raw"))
+    tries = answers.select("answer_id", "expected", F.posexplode(bodies).alias("way", "body"), (F.size(fences) + 1).alias("by_lines"))
+    # a run of letters is tried once, from its start
+    form = r"(?i)(?:(?<![a-z])[a-z]++_BOX:|box_id\s*[:=]\s*)([A-Za-z0-9_-]+)\s*(?:\||\t|:|-)+\s*(.*)$"
+    keys = "struct<" + ",".join(f"{k}:variant" for k in _ITEM) + ">"
+    v = F.try_parse_json(F.when(F.col("way") == 0, F.col("body")).when(F.col("way") < F.col("by_lines"), strip(F.col("body"))))
+    # an item's keys are taken out at once; what is no object gives null
+    read = lambda i: F.struct(F.try_variant_get(i, "$", keys).alias("i"), F.lit(None).cast("string").alias("line"))
+    listed = F.transform(F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v")), read)
+    lines = F.transform(F.split("body", r"\r\n|\r|\n"), lambda x: F.struct(F.lit(None).cast(keys).alias("i"), x.alias("line")))
+    entries = tries.withColumn("v", v).select("answer_id", "expected", "way", F.posexplode(F.when(F.col("way") == F.col("by_lines"), lines).otherwise(listed)).alias("at", "e"))
+    items = entries.select("answer_id", "expected", "way", "at", "e.i", "e.line").where("i is not null or line is not null")
+    of = lambda key: F.col("i")[key]
     word = lambda v: F.try_variant_get(v, "$", "string")
-    text = F.coalesce(of("text"), of("ocr"))
-    items = items.where(F.schema_of_variant(text) == "STRING").select(
-        "answer_id", "expected", "way", "at", F.when(_truth(of("box_id")), word(of("box_id"))).otherwise(word(of("id"))).alias("named"), word(text).alias("text"),
-        F.lower(F.when(_truth(of("balloon_type")), word(of("balloon_type"))).otherwise("bubble")).alias("balloon_type"), *[c.alias(k) for k, c in _said(F.col("i")).items()],
-    )
-    lines = answers.select("answer_id", "expected", F.lit(1 << 20).alias("way"), F.posexplode(F.split(raw, r"\r\n|\r|\n")).alias("at", "line"))
-    form = r"(?i)(?:[a-z]+_BOX:|box_id\s*[:=]\s*)([A-Za-z0-9_-]+)\s*(?:\||\t|:|-)+\s*(.*)$"
-    lines = lines.select("answer_id", "expected", "way", "at", F.regexp_extract("line", form, 1).alias("named"), F.regexp_replace(strip(F.regexp_extract("line", form, 2)), "^[`\"]+|[`\"]+$", "").alias("text"), F.lit("bubble").alias("balloon_type"))
-    found = items.unionByName(lines.where("named <> ''"), allowMissingColumns=True).where(strip(F.col("text")) != "")
+    either = lambda line, item: F.when(F.col("line").isNotNull(), line).otherwise(item)
+    told = F.coalesce(of("text"), of("ocr"))
+    text = either(F.regexp_replace(strip(F.regexp_extract("line", form, 2)), "^[`\"]+|[`\"]+$", ""), F.when(F.schema_of_variant(told) == "STRING", word(told)))
+    found = items.select(
+        "answer_id", "expected", "way", "at", either(F.regexp_extract("line", form, 1), F.when(_truth(of("box_id")), word(of("box_id"))).otherwise(word(of("id")))).alias("named"), F.explode(F.array(strip(text))).alias("text"), "line", "i",
+    ).where("text <> ''")
+    kind = either(F.lit("bubble"), F.lower(F.when(_truth(of("balloon_type")), word(of("balloon_type"))).otherwise("bubble")))
+    said = {k: F.when(F.col("line").isNull(), c) for k, c in _said(F.col("i")).items()}
+    found = found.select("answer_id", "expected", "way", "at", "named", "text", kind.alias("balloon_type"), *[c.alias(k) for k, c in said.items()])
     name = F.upper(strip(F.regexp_replace(F.regexp_replace(strip(F.coalesce("named", F.lit(""))), "^[`\"']+|[`\"']+$", ""), "(?i)[a-z]+_BOX:", "")))
-    # exploded, so that it is made once and not for every id that it is compared with
-    found = found.withColumn("name", F.explode(F.array(name)))
-    ids = F.array_sort("expected")
+    # exploded, so that they are made once and not for every id that the name is compared with
+    found = found.withColumn("name", F.explode(F.array(name))).where("name <> ''")
     two = lambda x: F.array_join(F.slice(F.split(F.upper(x), "_"), 1, 2), "_")
-    same = F.filter(ids, lambda x: F.upper(x) == F.col("name"))
-    close = F.filter(ids, lambda x: F.contains(F.col("name"), F.upper(x)) | F.contains(F.upper(x), F.col("name")) | (F.contains(x, F.lit("_")) & F.contains(F.col("name"), two(x))))
-    found = found.withColumn("box_id", F.coalesce(F.get(same, F.lit(0)), F.get(close, F.lit(0)))).where("box_id is not null and name <> ''")
-    # an answer's first way that gives anything
-    first = found.groupBy("answer_id").agg(F.min("way").alias("way"))
-    last = F.max_by(F.struct(strip(F.col("text")).alias("text"), "balloon_type", *SAID), "at")
-    return found.join(first, ["answer_id", "way"]).groupBy("answer_id", "box_id").agg(last.alias("r")).select("answer_id", "box_id", "r.*")
+    same = F.filter("expected", lambda x: F.upper(x) == F.col("name"))
+    close = F.filter("expected", lambda x: F.contains(F.col("name"), F.upper(x)) | F.contains(F.upper(x), F.col("name")) | (F.contains(x, F.lit("_")) & F.contains(F.col("name"), two(x))))
+    found = found.withColumn("box_id", F.explode(F.array(F.coalesce(F.array_min(same), F.array_min(close))))).where("box_id is not null")
+    # a box's first way and the last item there; of these, the boxes of the first way that gives the answer anything
+    last = F.max_by(F.struct("text", "balloon_type", *SAID), F.struct(-F.col("way"), F.col("at")))
+    per = found.groupBy("answer_id", "box_id").agg(F.min("way").alias("way"), last.alias("r"))
+    per = per.withColumn("first", F.min("way").over(Window.partitionBy("answer_id")))
+    return per.where("way = first").select("answer_id", "box_id", "r.*")
 
 
 def import_metadata(updates: DataFrame) -> DataFrame:

@@ -239,3 +239,11 @@ def test_style_ties_go_to_the_first(spark):
 @pytest.mark.parametrize("name", ["c10_likeness", "d10_cuts", "g4_padded"])
 def test_rows_only_queries_cover_their_tables(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_answers_are_read_once(spark):
+    rows = [(1, '[{"id":"a_1","text":"x","balloon_type":"SFX"}]\n', ["a_1", "a_2"]), (2, 'so:\n```json\n[]\n```\n```\n{"id":"a_2","text":" y "}\n```\nBOX_BOX: a_1 | z', ["a_2", "a_1"]), (3, "box_id: a_1 | one\nbox_id: a_1 | `two`\nnote", ["a_1"]), (4, "null", ["a_1"])]
+    got = intake.matched_boxes(spark.createDataFrame(rows, "answer_id long, raw string, expected array<string>"))
+    assert sorted((r.answer_id, r.box_id, r.text, r.balloon_type, r.bold) for r in got.collect()) == [(1, "a_1", "x", "sfx", False), (2, "a_2", "y", "bubble", False), (3, "a_1", "two", "bubble", None)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Join" not in plan and plan.count("parseJson") + plan.count("parse_json") <= 1
