@@ -55,8 +55,8 @@ def judged(blocks: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     vertical = F.startswith(F.lower(F.coalesce("text_direction", F.lit(""))), F.lit("vertical"))
     # condition, what it adds to which roles, its reason; in order
     signs: list[tuple[Column, dict[str, float], Column | str]] = [
-        *[((mapped == r) & seen, {r: 0.35}, F.concat(F.lit("DETECTOR_"), F.upper(kind))) for r in BASE],
-        *[((mapped == r) & ~seen, {r: 0.12}, F.concat(F.lit("LEGACY_OR_MANUAL_"), F.upper(kind))) for r in BASE],
+        *[((mapped == r) & seen, {r: 0.35}, F.concat(F.lit("DETECTOR_"), F.upper("kind"))) for r in BASE],
+        *[((mapped == r) & ~seen, {r: 0.12}, F.concat(F.lit("LEGACY_OR_MANUAL_"), F.upper("kind"))) for r in BASE],
         ((aspect > 2.2) & (F.col("height") < 80), {"narration": 0.25}, "WIDE_SHORT_BOX"),
         ((aspect < 0.55) & short, {"sfx": 0.2}, "TALL_SHORT_TEXT"),
         (fallback, {}, "LAYOUT_REGION_FALLBACK"),
@@ -71,12 +71,19 @@ def judged(blocks: DataFrame, templates: DataFrame | None = None) -> DataFrame:
         (top, {"narration": 0.15}, "TOP_PAGE_BANNER"),
         (vertical, {}, "VERTICAL_ORIENTATION"),
     ]
-    score = {r: F.lit(b) for r, b in BASE.items()}
-    for c, adds, _ in signs:
+    # each sign is a column of its own, so that it is looked for once and not in every score and reason
+    seen_signs = blocks.select(
+        "block_id", *[F.coalesce(c, F.lit(False)).alias(f"sign_{k}") for k, (c, _, _) in enumerate(signs)], kind.alias("kind"), mapped.isNotNull().alias("mapped"), seen.alias("seen"), several.alias("several"),
+        fallback.alias("fallback"), vertical.alias("vertical"), outline.alias("has_outline"), F.col("source_color").isNull().alias("plain"), *(["project_id", "text_template_id"] if templates is not None else []),
+    )
+    score, told = {r: F.lit(b) for r, b in BASE.items()}, []
+    for k, (_, adds, reason) in enumerate(signs):
+        sign = F.col(f"sign_{k}")
+        told.append(F.when(sign, reason if isinstance(reason, Column) else F.lit(reason)))
         for r, v in adds.items():
-            score[r] = score[r] + F.when(F.coalesce(c, F.lit(False)), v).otherwise(0.0)
-    reasons = F.filter(F.array(*[F.when(c, r if isinstance(r, Column) else F.lit(r)) for c, _, r in signs]), lambda x: x.isNotNull())
-    b = blocks.select("block_id", F.array(*[F.round(score[r], 6) for r in BASE]).alias("scores"), reasons.alias("told"), seen.alias("seen"), several.alias("several"), fallback.alias("fallback"), vertical.alias("vertical"), outline.alias("has_outline"), F.col("source_color").isNull().alias("plain"), mapped.isNotNull().alias("mapped"), *(["project_id", "text_template_id"] if templates is not None else []))
+            score[r] = score[r] + F.when(sign, v).otherwise(0.0)
+    reasons = F.filter(F.array(*told), lambda x: x.isNotNull())
+    b = seen_signs.select("block_id", F.array(*[F.round(score[r], 6) for r in BASE]).alias("scores"), reasons.alias("told"), "seen", "several", "fallback", "vertical", "has_outline", "plain", "mapped", *(["project_id", "text_template_id"] if templates is not None else []))
     best, ranked = F.array_max("scores"), F.sort_array("scores", False)
     role = F.element_at(F.array(*map(F.lit, BASE)), F.array_position("scores", best).cast("int"))
     more = []

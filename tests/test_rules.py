@@ -211,3 +211,13 @@ def test_all_white_space_is_trimmed(spark):
     assert [(r.word, r.letters) for r in text.dictionary(words).collect()] == [("ab", 2)]
     entries = spark.createDataFrame([("a", "b", "", None, 1), ("a", "c", "ja", "", 2)], "source_text string, translation string, source_language string, target_language string, seq long")
     assert [tuple(r)[:5] for r in memory.merge(entries).collect()] == [("a", "ja", "th", 2, "c")]
+
+
+def test_signs_of_a_role_are_looked_for_once(spark):
+    from boxloom.plans import catalogue
+
+    from .conftest import DATA
+
+    for name in ("j12_style", "j12_templates"):
+        plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.lower().count("regexp_count") + plan.lower().count("regexp_extract_all") <= 8
