@@ -15,7 +15,9 @@ import heapq
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.shared import stored
@@ -50,7 +52,6 @@ def pieces(blocks: DataFrame, margin: float, cuts: tuple[str, ...] = CUTS, most:
 
 def per_piece(blocks: DataFrame, order: list[str | Column], rule: Rule) -> DataFrame:
     """Runs a rule on the boxes of each (page_id, __piece), in the given order; adds ``order``, the place among those that stay."""
-    schema = blocks.withColumn("order", F.lit(0)).schema
     names = blocks.columns
 
     def worked(rows: pa.Table) -> pa.RecordBatch:
@@ -74,6 +75,13 @@ def per_piece(blocks: DataFrame, order: list[str | Column], rule: Rule) -> DataF
                 out = out.set_column(names.index(c), c, pa.array(v, pa.float64() if c in BOX else None).cast(rows.schema.field(c).type))
         return out.append_column("order", pa.array(places, pa.int32())).combine_chunks().to_batches() or []
 
+    return _streamed(blocks, order, worked)
+
+
+def _streamed(blocks: DataFrame, order: list[str | Column], worked: Callable) -> DataFrame:
+    """Brings each (page_id, __piece) together in the given order; ``worked`` adds ``order`` to a table of some of them, each whole."""
+    schema = blocks.withColumn("order", F.lit(0)).schema
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list = []
         for b in batches:
@@ -101,8 +109,18 @@ def _key(b: pa.RecordBatch, at: int) -> tuple:
 
 def _ends(rows) -> list[int]:
     """Where a new page or piece begins."""
-    keys = list(zip(rows["page_id"].to_pylist(), rows["__piece"].to_pylist()))
-    return [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
+    return (np.flatnonzero(_new_keys(rows)[1:]) + 1).tolist()
+
+
+def _new_keys(rows) -> np.ndarray:
+    """Whether the page or piece is not the one before."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in ("page_id", "__piece"):
+        now, last = rows[c].slice(1), rows[c].slice(0, max(rows.num_rows - 1, 0))
+        same = pc.or_(pc.fill_null(pc.equal(now, last), False), pc.and_(pc.is_null(now), pc.is_null(last)))
+        new[1:] |= ~same.to_numpy(zero_copy_only=False)
+    return new
 
 
 def _applied(blocks: DataFrame, order: list[str | Column], rule: Rule, margin: float) -> DataFrame:
@@ -304,27 +322,52 @@ def row_clusters(blocks: DataFrame, near: float = 60, right_to_left: bool = True
     A row's mean never lies below its last box, so a page is cut wherever the next y is more than ``near`` away.
     """
 
-    def rule(boxes: list, conf: list, types: list) -> list:
+    def rows_of(ys: list) -> Iterator[int]:
+        """The row of each box, given their y in order."""
         rows, active = [], []
-        for k, b in enumerate(boxes):
+        for y in ys:
             # a row that has fallen behind is never joined again
-            active = [r for r in active if b[1] - r[0] / len(r[1]) <= near]
-            if active:
-                active[0][0] += b[1]
-                active[0][1].append(k)
-            else:
-                rows.append([b[1], [k]])
-                active.append(rows[-1])
-        sign = -1 if right_to_left else 1
-        return [k for _, r in rows for k in sorted(r, key=lambda k: sign * boxes[k][0])]
-
+            active = [r for r in active if y - r[0] / r[1] <= near]
+            if not active:
+                active.append([0.0, 0, len(rows)])
+                rows.append(active[0])
+            active[0][0] += y
+            active[0][1] += 1
+            yield active[0][2]
+
+    def placed(rows: pa.Table) -> pa.RecordBatch:
+        n = rows.num_rows
+        x, y = (rows[c].cast(pa.float64()).to_numpy() for c in ("x", "y"))
+        none = np.any([rows[c].is_null().to_numpy() for c in ("x", "y", "width")], axis=0)
+        new = _new_keys(rows)
+        page, full = np.cumsum(new), np.flatnonzero(~none)
+        part = np.zeros(n, np.int64)
+        if len(full):
+            fy, fp = y[full], page[full]
+            # what begins far below the one before begins a row; a stretch no longer than ``near`` is one row
+            begins = np.append(True, (fp[1:] != fp[:-1]) | ~(fy[1:] - fy[:-1] <= near))
+            start = np.flatnonzero(begins)
+            stretch = np.cumsum(begins) - 1
+            row = np.zeros(len(full), np.int64)
+            for k in np.unique(stretch[~begins & ~(fy - fy[start[stretch]] <= near)]):
+                a, b = start[k], start[k + 1] if k + 1 < len(start) else len(full)
+                row[a:b] = list(rows_of(fy[a:b].tolist()))
+            # of stretches, then rows
+            part[full] = stretch * (int(row.max()) + 1) + row
+        by_x = np.where(none, 0.0, -x if right_to_left else x)
+        stay = np.lexsort((np.arange(n), by_x, part, none, page))
+        begin = np.flatnonzero(new)
+        out = rows.take(pa.array(stay))
+        return out.append_column("order", pa.array((np.arange(n) - begin[page - 1]).astype(np.int32))).combine_chunks().to_batches() or []
+
+    cut = blocks.drop("order")
     # heights do not matter: pieces are cut by y alone
-    flat = blocks.drop("order").withColumn("__height", F.col("height")).withColumn("height", F.lit(0.0))
+    flat = cut.withColumn("__height", F.col("height")).withColumn("height", F.lit(0.0))
     cut = pieces(flat, near, ("y",)).withColumn("height", F.col("__height")).drop("__height")
-    done = per_piece(cut, ["y", "x", "block_index", "block_id"], rule)
-    large = done.where("__piece IS NOT NULL")
-    each = large.groupBy("page_id", "__piece").agg(F.count("*").alias("__n"), F.min("y").alias("__y"))
+    # no box goes, so that pieces can be counted before
+    each = cut.where("__piece IS NOT NULL").groupBy("page_id", "__piece").agg(F.count("*").alias("__n"), F.min("y").alias("__y"))
     before = running(each, ["page_id"], F.floor(F.col("__y") / 1024), ["__y"], {"__before": ("sum", F.col("__n"))}, inclusive=False)
     before = before.select(F.col("page_id").alias("__page"), F.col("__piece").alias("__name"), F.coalesce("__before", F.lit(0)).alias("__before"))
+    done = _streamed(cut, ["y", "x", "block_index", "block_id"], placed)
     out = done.join(before, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("__piece") == F.col("__name")), "left")
     return out.withColumn("order", (F.col("order") + F.coalesce("__before", F.lit(0))).cast("int")).drop("__page", "__name", "__before", "__piece")

@@ -170,6 +170,18 @@ def test_row_clusters(spark, monkeypatch, page):
         assert [tuple(r)[:9] for r in mine] == plain_rows([r for r in rows if r[0] == p])
 
 
+def test_row_clusters_once(spark):
+    """Boxes go through Python once; null sides come last, a long stretch is walked, a short one is one row."""
+    ys = [0.0, 50.0, 60.0, 100.0, 125.0, 400.0, None, 460.0]
+    rows = [(page, str(k), k, "sfx", 0.5, float(k % 3), y, 9.0, 9.0) for page in (None, 1) for k, y in enumerate(ys)]
+    out = c.row_clusters(spark.createDataFrame(rows, SCHEMA))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    for page in (None, 1):
+        mine = sorted((r for r in out.collect() if r.page_id == page), key=lambda r: r.order)
+        # the mean of 0, 50 and 60 is 36.7, so 100 opens a row, which 125 joins
+        assert [(r.order, r.block_id) for r in mine] == list(enumerate(["2", "1", "0", "4", "3", "5", "7", "6"]))
+
+
 def test_null_sides_meet_nothing(spark):
     rows = [(None, "a", 0, "sfx", None, 0.0, 0.0, 9.0, 9.0), (None, "b", 1, "sfx", 0.5, 0.0, 0.0, 9.0, 9.0), (None, "c", 2, "sfx", 0.5, None, 0.0, 9.0, 9.0)]
     df = spark.createDataFrame(rows, SCHEMA)
