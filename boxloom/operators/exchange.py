@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from ..functions.text import THAI, blank, squeezed, strip, trailing_tag
 from .lines import LAYOUT
@@ -51,14 +51,21 @@ def project_documents(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     none = F.create_map().cast("map<string,string>")
     more = [F.coalesce("extra_metadata", none).alias("extra_metadata")] if "extra_metadata" in blocks.columns else []
     block = F.struct(F.col("block_id").alias("id"), *said(blocks, BLOCK_FIELDS), *more)
-    # maps have no order, so rows are ordered by index and id alone
-    in_order = lambda c: F.transform(F.array_sort(c, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)), lambda r: r["item"])
-    per_page = blocks.groupBy("page_id").agg(in_order(F.collect_list(F.struct(F.struct("block_index", "block_id").alias("at"), block.alias("item")))).alias("text_blocks"))
+    page = lambda *texts: F.struct(F.col("page_id").alias("id"), *said(pages, PAGE_FIELDS), *texts)
+    number = "page_number" if "page_number" in pages.columns else "id"
+
+    def in_order(items: Column, first: str) -> Column:
+        # maps have no order, so items are ordered by their number and id alone
+        at = lambda item: F.struct(item[first], item["id"])
+        return F.array_sort(items, lambda a, b: F.when(at(a) < at(b), -1).when(at(a) > at(b), 1).otherwise(0))
+
+    # dealt as they are: lists that each reader had gathered would be larger, and sorted by page on its disk
+    dealt = blocks.select("page_id", "block_id", *said(blocks, BLOCK_FIELDS), *[c for c in ("extra_metadata",) if more]).repartition("page_id")
+    per_page = dealt.groupBy("page_id").agg(in_order(F.collect_list(block), "block_index").alias("text_blocks"))
     p = pages.join(per_page, "page_id", "left")
     nothing = F.array().cast(per_page.schema["text_blocks"].dataType)
-    page = F.struct(F.col("page_id").alias("id"), *said(pages, PAGE_FIELDS), F.coalesce("text_blocks", nothing).alias("text_blocks"))
-    number = "page_number" if "page_number" in pages.columns else "page_id"
-    per = p.groupBy("project_id").agg(in_order(F.collect_list(F.struct(F.struct(number, "page_id").alias("at"), page.alias("item")))).alias("pages"))
+    p = p.select("project_id", page(F.coalesce("text_blocks", nothing).alias("text_blocks")).alias("page")).repartition("project_id")
+    per = p.groupBy("project_id").agg(in_order(F.collect_list("page"), number).alias("pages"))
     return per.select("project_id", F.to_json(F.struct(F.col("project_id").alias("id"), "pages"), {"ignoreNullFields": "false"}).alias("document"))
 
 
