@@ -149,30 +149,33 @@ def read_labelled(lines: DataFrame) -> DataFrame:
     translation starts at the last translation mark, or else below the first mark, and goes on with
     each further line that is neither blank, comment, mark nor layout line.  The last layout line is kept.
     """
-    s = strip(F.col("line"))
-    by_id, by_bubble = F.startswith(s, F.lit("# ID:")), F.regexp_like(s, F.lit(r"(?i)^#\s*Bubble\s+\d+"))
-    is_source, is_told = F.startswith(s, F.lit("[คำต้นฉบับ]:")), F.regexp_like(s, F.lit(r"^\[(คำแปลไทย|คำแปล)\]:"))
+    s, is_kind = F.col("s"), lambda *k: F.col("kind").isin(*k)
+    by_id, by_bubble = F.startswith(s, F.lit("# ID:")), F.startswith(s, F.lit("#")) & F.regexp_like(s, F.lit(r"(?i)^#\s*Bubble\s+\d+"))
+    is_source, is_told = F.startswith(s, F.lit("[คำต้นฉบับ]:")), F.startswith(s, F.lit("[")) & F.regexp_like(s, F.lit(r"^\[(คำแปลไทย|คำแปล)\]:"))
     kind = (
-        F.when(by_id | by_bubble, "open").when(is_source, "source").when(is_told, "translation")
-        .when(F.regexp_like(s, F.lit(LAYOUT)), "layout").when((s == "") | F.startswith(s, F.lit("#")), "none").otherwise("plain")
+        F.when(by_id, "id").when(by_bubble, "bubble").when(is_source, "source").when(is_told, "translation")
+        .when(F.startswith(s, F.lit("[[")) & F.regexp_like(s, F.lit(LAYOUT)), "layout").when((s == "") | F.startswith(s, F.lit("#")), "none").otherwise("plain")
     )
+    # each line is sorted with the one text that counts; empty lines do not count, and are told without a look at their kind
+    said = F.when(is_kind("plain"), F.col("line")).when(is_kind("bubble"), F.regexp_extract(s, r"(\d+)", 1)).when(is_kind("layout"), s).when(~is_kind("none"), strip(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)))
+    r = lines.where("line <> ''").withColumn("s", strip(F.col("line"))).withColumn("kind", kind).select("file_id", "line_no", "kind", said.alias("said"))
     before = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    r = lines.withColumns({"kind": kind, "rest": strip(F.regexp_extract("line", r"^[^:]*:(.*)$", 1))})
-    r = r.withColumn("record", F.sum(F.when(F.col("kind") == "open", 1).otherwise(0)).over(before)).where("record > 0 AND kind <> 'none'")
-    within = Window.partitionBy("file_id", "record")
-    r = r.withColumns({"first_mark": F.min(F.when(F.col("kind").isin("source", "translation"), F.col("line_no"))).over(within), "told_at": F.max(F.when(F.col("kind") == "translation", F.col("line_no"))).over(within)})
-    told = F.when(F.col("kind") == "translation", F.when(F.col("line_no") == F.col("told_at"), F.col("rest")))
-    told = told.when((F.col("kind") == "plain") & (F.col("line_no") > F.col("first_mark")) & (F.col("line_no") > F.coalesce("told_at", F.lit(-1))), F.col("line"))
-    opens = F.col("kind") == "open"
+    opens, marks = is_kind("id", "bubble"), is_kind("source", "translation")
+    # one sort: a record and whether it has had a mark are known from the lines before
+    r = r.withColumns({"record": F.count_if(opens).over(before), "opened": F.max(F.when(opens, F.col("line_no"))).over(before), "marked": F.max(F.when(marks, F.col("line_no"))).over(before)})
+    r = r.where("record > 0 AND kind <> 'none'").where(~is_kind("plain") | (F.col("marked") > F.col("opened")))
+    of = lambda *k: F.when(is_kind(*k), F.col("line_no"))
     per = r.groupBy("file_id", "record").agg(
-        F.min(F.when(opens, F.col("line_no"))).alias("line_no"),
-        F.max(F.when(opens & by_id, F.col("rest"))).alias("block_id"),
-        F.max(F.when(opens & ~by_id, F.regexp_extract(s, r"(\d+)", 1).cast("int"))).alias("bubble"),
-        F.max_by("rest", F.when(F.col("kind") == "source", F.col("line_no"))).alias("source"),
-        F.array_sort(F.collect_list(F.when(told.isNotNull(), F.struct("line_no", told.alias("t"))))).alias("told"),
-        F.max_by(s, F.when(F.col("kind") == "layout", F.col("line_no"))).alias("layout"),
+        F.min(of("id", "bubble")).alias("line_no"),
+        F.max(F.when(is_kind("id"), F.col("said"))).alias("block_id"),
+        F.max(F.when(is_kind("bubble"), F.col("said").cast("int"))).alias("bubble"),
+        F.max_by("said", of("source")).alias("source"),
+        F.max(of("translation")).alias("told_at"),
+        F.array_sort(F.collect_list(F.when(is_kind("translation", "plain"), F.struct("line_no", F.col("said").alias("t"))))).alias("told"),
+        F.max_by("said", of("layout")).alias("layout"),
     )
-    text = strip(F.array_join(F.transform("told", lambda x: x["t"]), "\n"))
+    told = F.filter("told", lambda x: F.col("told_at").isNull() | (x["line_no"] >= F.col("told_at")))
+    text = strip(F.array_join(F.transform(told, lambda x: x["t"]), "\n"))
     return per.select("file_id", "line_no", "block_id", "bubble", F.nullif("source", F.lit("")).alias("source"), text.alias("translation"), "layout")
 
 

@@ -172,3 +172,24 @@ def test_records_are_matched_once_and_many_projects_share_a_call(spark):
     plan = goes._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroup" not in plan and plan.count("MapInArrow") == 1
     assert sorted((r.project_id, r.block_id) for r in goes.collect()) == sorted((p, f"b{p}-{k}") for p in range(30) if p % 3 for k in (1, 2, 3))
+
+
+def test_labelled_lines_are_sorted_once(spark):
+    """One window tells records and marks; earlier translation marks and what stood below them go, lines before any mark too."""
+    text = ["x", "# ID: a", "early", "[คำแปล]: one", "gone", "[คำต้นฉบับ]: src", "[คำแปลไทย]: two", "more", "", "# note", None, "end", "# bubble 12 x", "[คำต้นฉบับ]: s1", "plain", "[คำต้นฉบับ]: s2"]
+    out = exchange.read_labelled(spark.createDataFrame([(f, k, t) for f in (1, None) for k, t in enumerate(text)], "file_id int, line_no int, line string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    want = [(1, "a", None, "src", "two\nmore\nend"), (12, None, 12, "s2", "plain")]
+    for f in (1, None):
+        assert sorted(tuple(r)[1:6] for r in out.collect() if r.file_id == f) == want
+
+
+def test_project_documents_are_dealt_flat(spark):
+    """Blocks are dealt as rows, not as lists gathered before; null numbers come first."""
+    blocks = spark.createDataFrame([(1, "b", 2, 1.0), (1, "a", 2, 2.0), (1, "c", None, 3.0)], "page_id int, block_id string, block_index int, x double")
+    pages = spark.createDataFrame([(1, 7, 5), (2, 7, 4)], "page_id int, project_id int, page_number int")
+    out = exchange.project_documents(blocks, pages)
+    assert out._jdf.queryExecution().sparkPlan().toString().count("REPARTITION_BY_COL") == 2
+    assert out.collect()[0].document == (
+        '{"id":7,"pages":[{"id":2,"page_number":4,"text_blocks":[]},{"id":1,"page_number":5,"text_blocks":[{"id":"c","block_index":null,"x":3.0},'
+        '{"id":"a","block_index":2,"x":2.0},{"id":"b","block_index":2,"x":1.0}]}]}')
