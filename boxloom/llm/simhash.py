@@ -48,8 +48,10 @@ NEAR_WORDS = 5
 SIMILARITY = 0.8
 #: Symbols of a signature, and of one segment of it.
 SYMBOLS, SEGMENT = 24, 6
-#: How many times more leaders of a key each round has.
-MORE = 2
+#: How many times more leaders of a key each round has, and after how many rounds keys with more than ``CROWD`` members are settled at once.
+MORE, PARTED, CROWD = 2, 2, 16
+#: Shingles that are known as common when a set is put in order, the rarest first; one of ``SPARSE`` documents is looked at for that.
+COMMON, SPARSE = 1 << 16, 16
 #: Parts into which the comparisons with one document are split.
 SALTS = 64
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -101,6 +103,22 @@ def symbol_keys(h: np.ndarray) -> np.ndarray:
     return _mixed((m.sum(axis=1, keepdims=True) - m).ravel() + place * _MIX).view(np.int64)
 
 
+def rarest(h: np.ndarray, common: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a sorted set, rarest first, and how many of them are enough beside a set that is not smaller.
+
+    Near sets A, B share at least ``t / (1 + t) * (|A| + |B|)`` shingles, so, in one order for all, the first few of each have one in common: of A
+    one more than |A| less that number, which is most for the smallest B (``t * |A|``), and less for B of the size of A.
+    ``common`` has the common ones, the rarest first.  Any order serves; this one makes few sets meet.
+    """
+    n, t = len(h), similarity
+    many, few = (n - int(np.ceil(t * (n + m) / (1 + t) - 1e-6)) + 1 for m in (t * n, n))
+    if len(common):
+        by_hash = np.argsort(common)
+        at = by_hash[np.minimum(np.searchsorted(common, h, sorter=by_hash), len(common) - 1)]
+        h = h[np.argsort(np.where(common[at] == h, at + 1, 0), kind="stable")]
+    return h[:many], few
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(31)) * _MIX
     return x ^ x >> np.uint64(29)
@@ -194,13 +212,49 @@ def near_pairs(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY
     return both.where(common >= F.lit(similarity) * (F.size("h") + F.size("g") - common) - 1e-9).select("node", "rep")
 
 
+def _crowded_pairs(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (node, rep) of the members of crowded keys that may be near, by a prefix filter: the smaller set's few rarest shingles among the other's."""
+    inside = stored(left.select("node", "order").distinct().join(sets, "node"))
+    # what is common decides only in which order shingles are taken; any order is exact
+    seen = inside.where(F.pmod(F.xxhash64("node"), F.lit(SPARSE)) == 0).select(F.explode("h").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    common = np.array([r.s for r in seen.orderBy(F.desc("n"), "s").limit(COMMON).collect()][::-1], np.int64)
+
+    @F.pandas_udf("struct<rare:array<long>,few:int>")
+    def rare(found: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([rarest(np.asarray(h, np.int64), common, similarity) for h in found], columns=["rare", "few"])
+
+    size = F.struct(F.size("h").alias("n"), "node").alias("size")
+    keys = inside.select("order", size, rare("h").alias("r")).select("order", "size", "r.few", F.posexplode("r.rare").alias("at", "key"))
+    keys = stored(keys.withColumn("few", F.col("at") < F.col("few")))
+    # most rare shingles are one document's own
+    shared = keys.groupBy("key").agg(F.count("*").alias("m"), F.bool_or("few").alias("any")).where("m > 1 AND any").select("key")
+    keys = stored(keys.join(shared, "key", "left_semi"))
+    a, b = (keys.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("order", "size", "few")]) for s in "ab")
+    met = a.where("a_few").join(b, "key").where((F.col("a_size") < F.col("b_size")) & (F.col("a_size.n") >= F.lit(similarity) * F.col("b_size.n") - 1e-6))
+    met = met.select(F.least("a_order", "b_order").alias("low"), F.greatest("a_order", "b_order").alias("high"))
+    return met.select(F.col("low.node").alias("node"), F.col("high.node").alias("rep")).distinct()
+
+
+def _led(near: DataFrame) -> DataFrame:
+    """The nodes of near pairs (node, rep) for which a rep stands for whom nobody does."""
+    covered = None
+    while not near.isEmpty():
+        free = near.select("rep").join(near.select(F.col("node").alias("rep")), "rep", "left_anti").distinct()
+        now = stored(near.join(free, "rep", "left_semi").select("node").distinct())
+        covered = now if covered is None else covered.unionByName(now)
+        near = stored(near.join(now, "node", "left_anti").join(now.withColumnRenamed("node", "rep"), "rep", "left_anti").select("node", "rep"))
+    return covered
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """id, hash (of the text), covered: whether another document that is near, and before it, stands for it.
 
     Documents that share a key are candidates.  Before others come those with more candidates, then
     smaller ids.  A round chooses leaders of each key, compares each with all later members of the key
     that nobody stands for yet, and takes the leaders out of the key.  There is one leader of a key at first, and ``MORE``
-    times as many in each round after, so few rounds are left for keys with many that are not near.  In the end
+    times as many in each round after, so few rounds are left for keys with many that are not near.  After ``PARTED`` rounds
+    the members of keys that still have more than ``CROWD`` meet under their rarest shingles instead, all at once: sets that are near share one of
+    those (prefix filter), so no near pair is lost, and documents that have only common lines in common meet no more.  In the end
     of two documents that share a key and that nobody stands for none is near the other, and a
     chain of near documents leads from every covered one to one that is not.
     """
@@ -225,6 +279,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = stored(members.join(candidates.select("node", F.struct("support", (-F.col("id")).alias("neg"), "node").alias("order")), "node").select("key", "node", "order"))
     covered, leaders = None, 1
     while True:
+        if leaders == MORE**PARTED:
+            crowded = stored(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"))
+            if not crowded.isEmpty():
+                pairs = stored(_crowded_pairs(left.join(crowded, "key", "left_semi"), sets, similarity))
+                near = _led(stored(near_pairs(pairs, sets, similarity)))
+                left = left.join(crowded, "key", "left_anti")
+                if near is not None:
+                    covered = near if covered is None else covered.unionByName(near)
+                    left = left.join(near, "node", "left_anti")
+                left = stored(left.select("key", "node", "order"))
         parted = left.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(leaders)))
         top = stored(parted.groupBy("key", "part").agg(F.max("order").alias("top")))
         # near documents share many keys: a node meets each leader once, however many keys they share
