@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import luminance, saturation, strip
@@ -109,9 +111,18 @@ def judged(blocks: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _formatted(c: str, f: str) -> Column:
+    """A number by its format; whole ones, zero apart (it has a sign), are written without a look at the format, which is slow."""
+    v, zeros = F.col(c).cast("double"), re.fullmatch(r"%\.([1-9])f", f)
+    if not zeros:
+        return F.format_string(f, v)
+    whole = (v != 0) & (F.abs(v) < 1e15) & (v == v.try_cast("long").cast("double"))
+    return F.when(whole, F.concat(v.try_cast("long").cast("string"), F.lit("." + "0" * int(zeros[1])))).otherwise(F.format_string(f, v))
+
+
 def fingerprint(fields: list[tuple[str, str | None]]) -> Column:
     """The SHA-256 of columns in order, joined by bars: numbers by their format, others as text, null as nothing."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.format_string(f, F.col(c).cast("double")) if f else F.col(c).cast("string"), F.lit("")) for c, f in fields]), 256)
+    return F.sha2(F.concat_ws("|", *[F.coalesce(_formatted(c, f) if f else F.col(c).cast("string"), F.lit("")) for c, f in fields]), 256)
 
 
 #: What a rendered text depends on, in order, with the formats of numbers.

@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from boxloom.functions import text
 from boxloom.operators import accounts, benchmark, boxes, exchange, intake, layout, ledger, memory, style
@@ -221,3 +222,12 @@ def test_signs_of_a_role_are_looked_for_once(spark):
     for name in ("j12_style", "j12_templates"):
         plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         assert 0 < plan.lower().count("regexp_count") + plan.lower().count("regexp_extract_all") <= 8
+
+
+def test_numbers_of_fingerprints(spark):
+    """Whole numbers, which are written without the slow format, look as the format writes them."""
+    values = [0.0, -0.0, 3.0, -3.0, 2.5, -0.001, 1e15, 1e20, -1e300, 123456789.0, 0.125, float("nan"), float("inf"), None]
+    for f in ("%.2f", "%.4f"):
+        c = style._formatted("v", f)
+        got = spark.createDataFrame([(v,) for v in values], "v double").select(c.alias("a"), F.format_string(f, "v").alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got] and "CASE WHEN" in c._jc.toString()
