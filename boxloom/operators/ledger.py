@@ -40,10 +40,13 @@ def revoked_families(uses: DataFrame) -> DataFrame:
 def explicit_order(blocks: DataFrame, orders: DataFrame) -> DataFrame:
     """Positions from a list of ids per page; unknown ids take up a position and are left out.
 
-    An id that is listed again keeps its last position.
+    An id that is listed again keeps its last position.  Listed ids are dealt out before that is settled, and a struct has no
+    hashed maximum: so one sort serves both the maximum and the join, and no task holds its ids in hash tables besides.
     """
-    at = orders.select("page_id", F.posexplode("ids").alias("position", "block_id")).groupBy("page_id", "block_id").agg(F.max("position").alias("position"))
-    return blocks.join(at, ["page_id", "block_id"]).select("page_id", "block_id", "position")
+    keys = ["page_id", "block_id"]
+    listed = orders.select("page_id", F.posexplode("ids").alias("position", "block_id")).repartition(*keys)
+    at = listed.groupBy(*keys).agg(F.max(F.struct("position")).alias("last"))
+    return blocks.join(at, keys).select(*keys, "last.position")
 
 
 def patched(blocks: DataFrame, patches: DataFrame, key: str = "block_id") -> DataFrame:

@@ -19,7 +19,7 @@ query("c2_recent_sessions", """WITH s AS (SELECT event_id, user_id, ts FROM even
 query("f11_revoked_families", "SELECT event_id, job_id AS family, bool_or(kind = 'failed' AND event_id % 9 = 0) OVER (PARTITION BY job_id) AS revoked FROM v_events")(
     lambda t: ledger.revoked_families(t.v_events.select("event_id", F.col("job_id").alias("family"), F.expr("kind = 'failed' AND event_id % 9 = 0").alias("spent"))).select("event_id", "family", "revoked"))
 query("f5_explicit_order", "SELECT page_id, block_id, row_number() OVER (PARTITION BY page_id ORDER BY block_id) AS position FROM v_blocks WHERE block_index <> 2")(
-    lambda t: ledger.explicit_order(t.v_blocks, t.v_blocks.where("block_index <> 2").groupBy("page_id").agg(F.concat(F.array(F.lit("gone")), F.array_sort(F.collect_list("block_id"))).alias("ids"))))
+    lambda t: ledger.explicit_order(t.v_blocks, t.v_blocks.where("block_index <> 2").repartition("page_id").groupBy("page_id").agg(F.concat(F.array(F.lit("gone")), F.array_sort(F.collect_list("block_id"))).alias("ids"))))
 query("b18_patched", "SELECT block_id, CASE WHEN block_index = 1 THEN x + 10 ELSE x END AS x, CASE WHEN block_index = 1 AND page_id % 2 = 0 THEN 'new' ELSE translation END AS translation, width FROM v_blocks")(
     lambda t: ledger.patched(t.v_blocks, t.v_blocks.where("block_index = 1").selectExpr("block_id", "x + 10 AS x", "CASE WHEN page_id % 2 = 0 THEN 'new' END AS translation")).select("block_id", "x", "translation", "width"))
 query("c12_curated", "SELECT page_id, count(*) AS boxes FROM v_blocks WHERE page_id % 3 <> block_index % 3 GROUP BY 1")(

@@ -193,3 +193,20 @@ def test_project_documents_are_dealt_flat(spark):
     assert out.collect()[0].document == (
         '{"id":7,"pages":[{"id":2,"page_number":4,"text_blocks":[]},{"id":1,"page_number":5,"text_blocks":[{"id":"c","block_index":null,"x":3.0},'
         '{"id":"a","block_index":2,"x":2.0},{"id":"b","block_index":2,"x":1.0}]}]}')
+
+
+def test_explicit_orders_are_settled_by_the_sort_that_joins_them(spark):
+    rng = random.Random(11)
+    blocks = [(p, f"b{k}") for p in range(5) for k in range(30)] + [(4, "b3")]
+    lists = [(p, [rng.choice(["gone", f"b{rng.randrange(40)}"]) for _ in range(60)]) for p in range(4)] + [(4, ["b3"]), (9, ["b1"])]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = ledger.explicit_order(spark.createDataFrame(blocks, "page_id long, block_id string"), spark.createDataFrame(lists, "page_id long, ids array<string>"))
+        got = sorted(map(tuple, placed.collect()))
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    last = {(p, b): k for p, ids in lists for k, b in enumerate(ids)}
+    assert got == sorted((*key, last[key]) for key in blocks if key in last) and [r for r in got if r[0] == 4] == [(4, "b3", 0)] * 2
+    final = plan.partition("Initial Plan")[0]
+    assert "HashAggregate" not in final and final.count("Sort [") == 2
