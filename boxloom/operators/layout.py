@@ -202,41 +202,59 @@ def clamped_tile_labels(held: DataFrame, least: float = 15.0) -> DataFrame:
     )
 
 
+#: Texts of a specification that are equal or not, as they follow each other in one text.
+_MARKS = ("font_postscript", "stroke_color", "text_align", "vertical_align", "writing_direction", "color_hex")
+
+
+def _safe(part: Column) -> Column:
+    """The text without line breaks; different texts, null among them, stay different."""
+    return F.coalesce(F.replace(F.replace(part, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\\0"))
+
+
 def spec_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per block of either side: the names of the fields that differ, comma-joined; missing: ``block``.
 
     Numbers may be 0.01 apart, centres 2 pixels or 1 % of the first spec's larger side.  Fields that a side has not got are null.
     Null is false for ``bold`` and ``italic``, zero for tracking, stroke width and rotation, empty for the stroke's colour and
     no line for ``explicit_lines``; colours are compared where both sides have one, font and line heights must be there.
+
+    Both sides are shuffled whole, so rows hold only what is compared, and that in few columns: centres for boxes, one text for
+    the lines and one for the other texts, a part to a line.
     """
 
     def named(d: DataFrame, n: str) -> DataFrame:
         has = lambda c: F.col(c) if c in d.columns else F.lit(None)
         number = lambda c: F.coalesce(has(c).cast("double"), F.lit(0.0))
         word = lambda c, other=None: F.coalesce(F.nullif(has(c).cast("string"), F.lit("")), has(other).cast("string") if other else F.lit(None).cast("string"))
-        lines = F.coalesce(has("explicit_lines").cast("array<string>"), F.array().cast("array<string>"))
-        exact = {
-            "explicit_lines": lines, "line_count": F.size(lines), "font_postscript": word("font_postscript_name", "resolved_postscript_name"), "bold": F.coalesce(has("bold").cast("boolean"), F.lit(False)), "italic": F.coalesce(has("italic").cast("boolean"), F.lit(False)),
-            "stroke_color": F.lower(F.coalesce(has("stroke_color").cast("string"), F.lit(""))), "text_align": word("text_align", "horizontal_align"), "vertical_align": has("vertical_align").cast("string"), "writing_direction": has("writing_direction").cast("string"),
+        numbers = {
+            "center_x": number("x") + number("width") / 2, "center_y": number("y") + number("height") / 2, "font_size": has("font_size").cast("double"), "line_height": has("line_height").cast("double"), **{c: number(c) for c in ("tracking", "stroke_width", "rotation_deg")},
+            **({"allowed": F.greatest(F.lit(2.0), F.greatest(number("width"), number("height"), F.lit(1.0)) * 0.01)} if n == "a" else {}),
         }
-        close = {"font_size": has("font_size").cast("double"), "line_height": has("line_height").cast("double"), **{c: number(c) for c in ("tracking", "stroke_width", "rotation_deg")}}
-        colour = {"color_hex": F.lower(F.regexp_replace(F.coalesce(has("color_hex"), F.lit("")), "^#+", ""))}
-        place = {c: number(c) for c in ("x", "y", "width", "height")}
-        return d.select("block_id", F.struct(*[v.alias(k) for k, v in (exact | close | colour | place).items()]).alias(n))
+        flags = {c: F.coalesce(has(c).cast("boolean"), F.lit(False)) for c in ("bold", "italic")}
+        marks = {
+            "font_postscript": word("font_postscript_name", "resolved_postscript_name"), "stroke_color": F.lower(F.coalesce(has("stroke_color").cast("string"), F.lit(""))), "text_align": word("text_align", "horizontal_align"),
+            "vertical_align": has("vertical_align").cast("string"), "writing_direction": has("writing_direction").cast("string"), "color_hex": F.lower(F.regexp_replace(F.coalesce(has("color_hex"), F.lit("")), "^#+", "")),
+        }
+        lines = F.coalesce(has("explicit_lines").cast("array<string>"), F.array().cast("array<string>"))
+        # a break before each line, so that no line and one empty line differ
+        text = F.concat_ws("\n", F.when(F.size(lines) > 0, ""), F.transform(lines, _safe))
+        return d.select("block_id", *[v.alias(f"{n}_{k}") for k, v in (numbers | flags).items()], F.concat_ws("\n", *[_safe(marks[k]) for k in _MARKS]).alias(f"{n}_marks"), text.alias(f"{n}_lines"))
 
     both = named(a, "a").join(named(b, "b"), "block_id", "full")
-    far = lambda f: (f, F.coalesce(F.abs(F.col(f"a.{f}") - F.col(f"b.{f}")) > 0.01, F.lit(True)))
-    other = lambda f: (f, ~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")))
+    gap = lambda f: F.abs(F.col(f"a_{f}") - F.col(f"b_{f}"))
+    far = lambda f: (f, F.coalesce(gap(f) > 0.01, F.lit(True)))
+    mark = lambda n, f: F.substring_index(F.substring_index(f"{n}_marks", "\n", _MARKS.index(f) + 1), "\n", -1)
+    other = lambda f: (f, mark("a", f) != mark("b", f))
+    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    lines = F.col("a_lines") != F.col("b_lines")
     differs = [
-        *map(other, ("explicit_lines", "line_count", "font_postscript")), *map(far, ("font_size", "line_height", "tracking")), *map(other, ("bold", "italic")),
-        ("color_hex", (F.col("a.color_hex") != "") & (F.col("b.color_hex") != "") & (F.col("a.color_hex") != F.col("b.color_hex"))),
+        ("explicit_lines", lines), ("line_count", lines & (breaks("a_lines") != breaks("b_lines"))), other("font_postscript"), *map(far, ("font_size", "line_height", "tracking")), *[(f, F.col(f"a_{f}") != F.col(f"b_{f}")) for f in ("bold", "italic")],
+        ("color_hex", (mark("a", "color_hex") != "") & (mark("b", "color_hex") != "") & (mark("a", "color_hex") != mark("b", "color_hex"))),
         far("stroke_width"), *map(other, ("stroke_color", "text_align", "vertical_align", "writing_direction")), far("rotation_deg"),
+        ("center", (gap("center_x") > F.col("a_allowed")) | (gap("center_y") > F.col("a_allowed"))),
     ]
-    apart = lambda at, side: F.abs((F.col(f"a.{at}") + F.col(f"a.{side}") / 2) - (F.col(f"b.{at}") + F.col(f"b.{side}") / 2))
-    allowed = F.greatest(F.lit(2.0), F.greatest(F.col("a.width"), F.col("a.height"), F.lit(1.0)) * 0.01)
-    differs.append(("center", (apart("x", "width") > allowed) | (apart("y", "height") > allowed)))
-    names = F.array_join(F.filter(F.array(*[F.when(c, F.lit(f)) for f, c in differs]), lambda x: x.isNotNull()), ",")
-    return both.select("block_id", F.when(F.col("a").isNull() | F.col("b").isNull(), "block").otherwise(names).alias("mismatches"))
+    names = F.concat_ws(",", *[F.when(c, F.lit(f)) for f, c in differs])
+    return both.select("block_id", F.when(F.col("a_marks").isNull() | F.col("b_marks").isNull(), "block").otherwise(names).alias("mismatches"))
 
 #: Findings that a person has to look at.
 HARD = ("TEXT_OVERFLOW", "FONT_TOO_SMALL", "FONT_BELOW_PROJECT_MINIMUM", "UNBALANCED_LINES", "LAYOUT_REGION_FALLBACK", "FONT_UNAVAILABLE", "FONT_FALLBACK")

@@ -201,6 +201,43 @@ def test_specs_take_null_for_false_and_zero(spark):
     assert got == {"s": "", "t": "explicit_lines,line_count,font_size,line_height,bold,stroke_width,text_align,rotation_deg"}
 
 
+def test_specs_tell_odd_texts_apart(spark):
+    odd = [None, [], [""], ["", ""], [None], ["\\0"], ["\n"], ["\\n"], ["a", "b"], ["a\nb"], ["a\\", "b"], ["a", "\\b"], [None, ""]]
+    fonts = [None, "0", "\\0", "\n", "\\n", "x\ncenter", "\\\\0"]
+    cases = [(x, y, None, None) for x in odd for y in odd] + [(None, None, f, g) for f in fonts for g in fonts]
+    schema = "block_id string, explicit_lines array<string>, font_postscript_name string, font_size double, line_height double"
+    a = spark.createDataFrame([(f"k{k}", x, f, 9.0, 1.2) for k, (x, _, f, _) in enumerate(cases)], schema)
+    b = spark.createDataFrame([(f"k{k}", y, g, 9.0, 1.2) for k, (_, y, _, g) in enumerate(cases)], schema)
+    got = {r.block_id: r.mismatches for r in layout.spec_differences(a, b).collect()}
+    want = [(["explicit_lines"] if (x or []) != (y or []) else []) + (["line_count"] if len(x or []) != len(y or []) else []) + (["font_postscript"] if f != g else []) for x, y, f, g in cases]
+    assert got == {f"k{k}": ",".join(w) for k, w in enumerate(want)}
+
+
+def shuffled_bytes(node) -> int:
+    """Of a plan that has run: the bytes of the rows in its shuffles, before they are compressed."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return shuffled_bytes(node.executedPlan())
+    if node.nodeName().endswith("QueryStage"):
+        return shuffled_bytes(node.plan())
+    own = node.metrics().apply("dataSize").value() if node.nodeName() == "Exchange" else 0
+    return own + sum(shuffled_bytes(node.children().apply(k)) for k in range(node.children().size()))
+
+
+def test_specs_are_shuffled_as_short_rows(spark):
+    from boxloom.plans import catalogue
+
+    from .conftest import DATA
+
+    out = catalogue.QUERIES["c18_spec_differences"](spark, DATA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = len(out.collect())
+        size = shuffled_bytes(out._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 0 < size < 450 * rows
+
+
 def test_a_code_ends_at_its_moment(spark):
     rows = [(k, 1, f"2024-05-01 {at}", "2024-05-01 12:00:00", 9, False) for k, at in enumerate(("11:59:59", "12:00:00", "12:00:01"))]
     uses = spark.createDataFrame(rows, "redemption_id long, code_id long, redeemed_on string, expires_on string, allowed int, revoked boolean").selectExpr("redemption_id", "code_id", "CAST(redeemed_on AS TIMESTAMP) AS redeemed_on", "CAST(expires_on AS TIMESTAMP) AS expires_on", "allowed", "revoked")
