@@ -226,7 +226,10 @@ def _record_by_record(records: DataFrame, blocks: DataFrame) -> DataFrame:
     now_norm.  A task reads sorted rows, a project's blocks before its records, and holds the blocks of one project at a time.
     """
     rows = blocks.select("project_id", F.lit(False).alias("__record"), "found", "at", "now_norm").unionByName(records.withColumn("__record", F.lit(True)), allowMissingColumns=True)
-    rows = rows.repartition("project_id").sortWithinPartitions("project_id", "__record", F.asc_nulls_last("at"), F.asc_nulls_last("no"))
+    # numbered by a window, which holds Spark to whole projects in a task: a repartition() that a union of two sides dealt alike seems
+    # to make needless is left out, and then each side's partitions are merged by their own sizes
+    in_order = Window.partitionBy("project_id").orderBy("__record", F.asc_nulls_last("at"), F.asc_nulls_last("no"))
+    rows = rows.withColumn("__nth", F.row_number().over(in_order))
     types, read = dict(rows.dtypes), ("project_id", "__record", "found", "at", "now_norm", "no", "way", "asked", "bubble", "norm")
     kept, names = records.columns, ("found", "at", "now_norm", "again", "ratio")
 

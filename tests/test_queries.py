@@ -41,6 +41,19 @@ def test_same_as_sql(spark, db, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["c11_resolved"])
+def test_same_as_sql_with_many_small_partitions(spark, db, name):
+    small = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k"}
+    kept = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        test_same_as_sql(spark, db, name)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_entry_points(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
