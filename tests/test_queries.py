@@ -41,7 +41,7 @@ def test_same_as_sql(spark, db, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["c11_resolved", "c11_summary"])
+@pytest.mark.parametrize("name", ["c11_resolved", "c11_summary", "k5_importable"])
 def test_same_as_sql_with_many_small_partitions(spark, db, name):
     small = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k"}
     kept = {k: spark.conf.get(k) for k in small}
