@@ -238,6 +238,40 @@ def test_specs_are_shuffled_as_short_rows(spark):
     assert 0 < size < 450 * rows
 
 
+def test_judged_blocks_are_shuffled_as_short_rows(spark):
+    from boxloom.plans import catalogue
+
+    from .conftest import DATA
+
+    for name, most in (("j12_style", 120), ("j12_templates", 240)):
+        out = catalogue.QUERIES[name](spark, DATA)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            rows = len(out.collect())
+            size = shuffled_bytes(out._jdf.queryExecution().executedPlan())
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert 0 < size < most * rows
+
+
+def test_blocks_are_judged_alike_with_and_without_pages(spark):
+    pages = spark.createDataFrame([(1, 100.0, 7), (2, 0.5, 8), (3, None, None)], "page_id long, page_height double, project_id long")
+    templates = spark.createDataFrame([(7, "sfx", 0, "SFX", None), (7, "n", 1, "narrative", None), (7, "z", 2, None, "ตะโกน")], "project_id long, template_id string, ord int, balloon_type string, semantic_tag string")
+    kinds, has = ["bubble", "NARRATIVE", "narration", "sfx", "emphasis", "odd", "", None], ["sfx", "n", "z", "gone", None]
+    rows = [(f"{p}-{k}-{h}-{d}", p, "ドカ", "" if k % 2 else "words of a tale" if k % 4 else "STOP!!", d, kinds[k], "Vertical" if k == 2 else None, None if k % 3 else "#800000", 5.0, 90.0, 30.0 + 60 * (k % 2), "fallback_bbox" if h else None, None if k else 1.0, has[h]) for p in (1, 2, 3) for k in range(8) for h in range(5) for d in (None, "sfx")]
+    blocks = spark.createDataFrame(rows, "block_id string, page_id long, source_text string, translation string, detected_type string, balloon_type string, text_direction string, source_color string, y double, width double, height double, region_source string, source_stroke_width double, text_template_id string")
+    told = lambda df: sorted((r.asDict() for r in df.collect()), key=lambda r: r["block_id"])
+    joined = blocks.join(pages, "page_id")
+    got = told(style.judged(blocks, templates, pages))
+    assert len(got) == len(rows) and got == told(style.judged(joined, templates))
+    assert [{k: v for k, v in r.items() if k not in ("suggested_template", "confidence", "reason_codes")} for r in got] == [{k: v for k, v in r.items() if k not in ("confidence", "reason_codes")} for r in told(style.judged(joined))]
+    by_id = {r["block_id"]: r for r in got}
+    # narration .15 + .12 + .25 + .15, sfx .10 + .35
+    read = lambda i: (by_id[i]["role"], by_id[i]["suggested_template"], "TOP_PAGE_BANNER" in by_id[i]["reason_codes"], "KEEP_EXISTING_TEMPLATE" in by_id[i]["reason_codes"])
+    assert [read("1-2-4-None"), read("1-2-1-None"), read("2-2-1-None")] == [("narration", "n", True, False), ("narration", "n", True, True), ("narration", "bubble", False, False)]
+    assert {r["suggested_template"] for r in got} == {"sfx", "n", "z", "bubble"}
+
+
 def test_a_code_ends_at_its_moment(spark):
     rows = [(k, 1, f"2024-05-01 {at}", "2024-05-01 12:00:00", 9, False) for k, at in enumerate(("11:59:59", "12:00:00", "12:00:01"))]
     uses = spark.createDataFrame(rows, "redemption_id long, code_id long, redeemed_on string, expires_on string, allowed int, revoked boolean").selectExpr("redemption_id", "code_id", "CAST(redeemed_on AS TIMESTAMP) AS redeemed_on", "CAST(expires_on AS TIMESTAMP) AS expires_on", "allowed", "revoked")
